@@ -72,12 +72,12 @@ if __name__ == "__main__":
 
     sf = "/root/testdata/sf0.01"
     wanted = sys.argv[1:]
-    try:
+    only = [w for w in wanted if w.endswith("_queries")]
+    wanted = [w for w in wanted if not w.endswith("_queries")]
+    for module in only:
+        importlib.import_module(f"tiltmeter.plans.{module}")
+    if not only:
         load_all()
-    except ImportError as error:
-        print("partial:", error)
-        for module in Path("tiltmeter/plans").glob("*_queries.py"):
-            importlib.import_module(f"tiltmeter.plans.{module.stem}")
     spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf)

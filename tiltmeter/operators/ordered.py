@@ -19,6 +19,12 @@ INDEX_SPAN = 1 << 16
 BUCKETS = 256
 
 
+def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a table of exactly one row to every row."""
+    key = "_one"
+    return df.withColumn(key, F.lit(1)).join(F.broadcast(one_row.withColumn(key, F.lit(1))), key).drop(key)
+
+
 def index_bucket(index: Column, span: int = INDEX_SPAN) -> Column:
     """Bucket of a dense integer index."""
     return F.floor(index / F.lit(span)).cast("bigint")
@@ -79,24 +85,71 @@ def number_within(
     return running_total(df, groups, order, F.lit(1).cast("bigint"), bucket, out)
 
 
+def running(
+    df: DataFrame,
+    groups: Sequence[str],
+    order: Sequence[Column],
+    bucket: Column,
+    measures: dict[str, tuple[str, Column]],
+) -> DataFrame:
+    """Running sum, min or max up to and including each row: ``{out: (kind, column)}``.
+
+    Same scheme as :func:`running_total`: bucket results first, then offsets, then inside the buckets.
+    """
+    kinds = {"sum": F.sum, "min": F.min, "max": F.max}
+    keys = [*groups, "_bucket"]
+    marked = df.withColumn("_bucket", bucket)
+    for name, (_, column) in measures.items():
+        marked = marked.withColumn(f"_{name}", column)
+    per_bucket = marked.groupBy(*keys).agg(*[kinds[k](f"_{n}").alias(f"_t_{n}") for n, (k, _) in measures.items()])
+    earlier = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.select(
+        *keys, *[kinds[k](f"_t_{n}").over(earlier).alias(f"_o_{n}") for n, (k, _) in measures.items()]
+    )
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = marked.join(offsets, keys)
+    for name, (kind, _) in measures.items():
+        here, before = kinds[kind](f"_{name}").over(inside), F.col(f"_o_{name}")
+        joined = {
+            "sum": F.coalesce(before, F.lit(0)) + here,
+            "min": F.least(before, here),
+            "max": F.greatest(before, here),
+        }[kind]
+        out = out.withColumn(name, joined)
+    return out.drop("_bucket", *[f"_{n}" for n in measures], *[f"_o_{n}" for n in measures])
+
+
 def kth_smallest(df: DataFrame, groups: Sequence[str], column: str, k: Column, out: str = "threshold") -> DataFrame:
     """One row per group with its k-th smallest value (1-based); ``k`` may use the group size ``n``.
 
-    Equal values are counted before anything is ordered, so a value repeated in a third of the rows
-    is one row here.
+    The values are first only counted per bucket, which moves one row per bucket and group. Then the
+    values of the one bucket that holds the k-th are counted one by one: a 256th of the data for any
+    distribution, and a value repeated in a third of the rows is a single row by then.
     """
     if not groups:
         one = kth_smallest(df.withColumn("_all", F.lit(0)), ["_all"], column, k, out)
         return one.drop("_all")
-    counted = df.groupBy(*groups, column).agg(F.count(F.lit(1)).alias("_n"))
+    groups = list(groups)
     cuts = value_cuts(df, column)
-    sizes = counted.groupBy(*groups).agg(F.sum("_n").alias("n"))
+    marked = df.select(*groups, column).withColumn("_bucket", value_bucket(F.col(column), cuts))
+    per_bucket = marked.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    everything = Window.partitionBy(*groups)
+    earlier = everything.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    target = (
+        per_bucket.withColumn("n", F.sum("_n").over(everything))
+        .withColumn("_skip", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .withColumn("_k", k.cast("bigint"))
+        .where((F.col("_skip") < F.col("_k")) & (F.col("_k") <= F.col("_skip") + F.col("_n")))
+        .drop("_n")
+    )
+    counted = marked.join(target, [*groups, "_bucket"]).groupBy(*groups, "n", "_skip", "_k", column).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    inner_cuts = value_cuts(counted, column)
     placed = running_total(
-        counted, groups, [F.col(column)], F.col("_n"), value_bucket(F.col(column), cuts), "_before"
+        counted, groups, [F.col(column)], F.col("_n"), value_bucket(F.col(column), inner_cuts), "_before"
     )
-    wanted = k.cast("bigint")
-    return (
-        placed.join(sizes, list(groups))
-        .where((F.col("_before") < wanted) & (wanted <= F.col("_before") + F.col("_n")))
-        .select(*groups, F.col(column).alias(out), "n")
+    wanted = F.col("_k") - F.col("_skip")
+    return placed.where((F.col("_before") < wanted) & (wanted <= F.col("_before") + F.col("_n"))).select(
+        *groups, F.col(column).alias(out), "n"
     )
