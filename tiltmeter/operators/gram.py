@@ -20,6 +20,7 @@ from tiltmeter.functions.quantmath import IntFormat
 from tiltmeter.operators.ordered import attach
 from tiltmeter.operators.quantize import group_rows, quantise, quantise_input_columns
 from tiltmeter.operators.ranges import grid_params, grid_snap
+from tiltmeter.session import settle
 
 BLOCK_ROWS = 1024
 GRAM = T.StructType(
@@ -240,7 +241,7 @@ def best_scale(
     """The column scales with the least output error over a grid of ratios; the first wins a tie."""
     a = activation_scale(activations, batch)
     w = weight_scale(weights, group) if by_weight else None
-    candidates = scale_candidates(a, w, [i / steps for i in range(steps)])
+    candidates = settle(scale_candidates(a, w, [i / steps for i in range(steps)]))
     losses = scale_losses(weights, gram(activations), candidates, fmt, group)
     joined = candidates.join(losses, "step")
     return joined.agg(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tiltmeter.functions import prob as P
 from tiltmeter.functions.answers import tidy_letter
-from tiltmeter.operators.ordered import index_bucket, number_within
+from tiltmeter.operators.ordered import index_bucket, number_within, running_total
 
 
 def layer_number(name: Column) -> Column:
@@ -98,12 +98,22 @@ def pair_runs(left: DataFrame, right: DataFrame, on: Sequence[str] = ("question_
 
 
 def align(left: DataFrame, right: DataFrame, on: str, index: str, suffixes=("_plain", "_opinion")) -> DataFrame:
-    """Inner join on a shared key; every other column gets a suffix, rows get a running ``uid`` from 0."""
+    """Inner join on a shared key; every other column gets a suffix, rows get a running ``uid`` from 0.
+
+    ``uid`` follows the left index, then the right one. A left row meets all right rows of its key, so its
+    first number is the running total of match counts and the rest is the right row's place in its key:
+    both are worked out on the inputs, and the joined rows are never sorted.
+    """
+    here, there = index + suffixes[0], index + suffixes[1]
     a = left.select(F.col(on), *[F.col(c).alias(c + suffixes[0]) for c in left.columns if c != on])
     b = right.select(F.col(on), *[F.col(c).alias(c + suffixes[1]) for c in right.columns if c != on])
-    joined = a.join(b, on)
-    first, second = F.col(index + suffixes[0]), F.col(index + suffixes[1])
-    return number_within(joined, [], [first, second], index_bucket(first), "uid")
+    matches = b.groupBy(on).agg(F.count(F.lit(1)).alias("_matches"))
+    starts = running_total(
+        a.join(matches, on), [], [F.col(here)], F.col("_matches"), index_bucket(F.col(here)), "_start"
+    ).drop("_matches")
+    placed = number_within(b, [on], [F.col(there)], index_bucket(F.col(there)), "_place")
+    joined = starts.join(placed, on)
+    return joined.withColumn("uid", F.col("_start") + F.col("_place")).drop("_start", "_place")
 
 
 def first_per_key(df: DataFrame, key: str, index: str) -> DataFrame:

@@ -14,15 +14,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiltmeter.functions.hashing import HASH_BITS
+from tiltmeter.session import settle
 
 INDEX_SPAN = 1 << 16
 BUCKETS = 256
+FEW_BUCKETS = 16
+ROWS_PER_BUCKET = 1 << 20
 
 
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Add the columns of a table of exactly one row to every row."""
-    key = "_one"
-    return df.withColumn(key, F.lit(1)).join(F.broadcast(one_row.withColumn(key, F.lit(1))), key).drop(key)
+    """Add the columns of a table of exactly one row to every row, as a scalar subquery."""
+    packed = one_row.select(F.struct(*one_row.columns).alias("__row")).scalar()
+    return df.withColumn("__row", packed).select(
+        *[F.col(c) for c in df.columns], *[F.col("__row").getField(c).alias(c) for c in one_row.columns]
+    )
 
 
 def index_bucket(index: Column, span: int = INDEX_SPAN) -> Column:
@@ -35,15 +40,19 @@ def hash_bucket(value: Column, buckets: int = BUCKETS) -> Column:
     return F.floor(value / F.lit((1 << HASH_BITS) // buckets)).cast("bigint")
 
 
-def value_cuts(df: DataFrame, column: str, buckets: int = BUCKETS) -> list[float]:
-    """At most ``buckets - 1`` cut points from a mergeable quantile sketch (one bounded row to the driver).
+def value_cuts(df: DataFrame, column: str, buckets: int | None = None) -> list[float]:
+    """Cut points from a mergeable quantile sketch (one bounded row to the driver), more of them for more rows.
 
     The cuts only balance the buckets. They enter later plans as constants, so a recomputed task
     sees the same buckets, and no result depends on how good they are.
     """
-    shares = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(column, shares, buckets * 16).alias("cuts")).first()
-    return sorted(set(row["cuts"] or []))
+    shares = [i / BUCKETS for i in range(1, BUCKETS)]
+    row = df.agg(
+        F.percentile_approx(column, shares, BUCKETS * 16).alias("cuts"), F.count(column).alias("n")
+    ).first()
+    wanted = buckets or min(BUCKETS, max(FEW_BUCKETS, row["n"] // ROWS_PER_BUCKET))
+    step = max(1, BUCKETS // wanted)
+    return sorted(set((row["cuts"] or [])[step - 1 :: step]))
 
 
 def value_bucket(value: Column, cuts: Sequence[float]) -> Column:
@@ -126,9 +135,6 @@ def kth_smallest(df: DataFrame, groups: Sequence[str], column: str, k: Column, o
     values of the one bucket that holds the k-th are counted one by one: a 256th of the data for any
     distribution, and a value repeated in a third of the rows is a single row by then.
     """
-    if not groups:
-        one = kth_smallest(df.withColumn("_all", F.lit(0)), ["_all"], column, k, out)
-        return one.drop("_all")
     groups = list(groups)
     cuts = value_cuts(df, column)
     marked = df.select(*groups, column).withColumn("_bucket", value_bucket(F.col(column), cuts))
@@ -142,8 +148,13 @@ def kth_smallest(df: DataFrame, groups: Sequence[str], column: str, k: Column, o
         .where((F.col("_skip") < F.col("_k")) & (F.col("_k") <= F.col("_skip") + F.col("_n")))
         .drop("_n")
     )
-    counted = marked.join(target, [*groups, "_bucket"]).groupBy(*groups, "n", "_skip", "_k", column).agg(
-        F.count(F.lit(1)).alias("_n")
+    if groups:
+        inside = marked.join(target, [*groups, "_bucket"])
+    else:
+        # One row: it goes into the scan's filter, and nothing outside the bucket is moved.
+        inside = attach(marked, target.withColumnRenamed("_bucket", "_target")).where("_bucket = _target")
+    counted = settle(
+        inside.groupBy(*groups, "n", "_skip", "_k", column).agg(F.count(F.lit(1)).alias("_n"))
     )
     inner_cuts = value_cuts(counted, column)
     placed = running_total(

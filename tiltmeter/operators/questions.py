@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tiltmeter.functions import text as X
 from tiltmeter.functions.answers import index_of_four, index_of_key
 from tiltmeter.functions.hashing import pick, pick_other
-from tiltmeter.operators.ordered import index_bucket, number_within
+from tiltmeter.operators.ordered import attach, index_bucket, number_within
 from tiltmeter.schemas import rename_columns, require_columns
 
 # Names of the raw columns and of the ones used here (fixed values).
@@ -249,23 +249,14 @@ def choose_category_prefix(
 def choose_any_prefix(
     questions: DataFrame, prefixes: DataFrame, seed: int, key: str = "question_id", fallback: str = X.FALLBACK_GENERAL_PREFIX
 ) -> DataFrame:
-    """Draw a prefix row regardless of category."""
-    everything = prefixes.withColumn("academic_category", F.lit(""))
-    marked = questions.withColumnRenamed("category", "_category").withColumn("category", F.lit(""))
-    numbered = number_within(
-        everything.select(F.col(key).alias("_row"), "prefix"),
-        [],
-        [F.col("_row")],
-        index_bucket(F.col("_row")),
-        "_number",
-    ).select("_number", "prefix")
-    size = prefixes.agg(F.count(F.lit(1)).alias("_size")).withColumn("category", F.lit(""))
-    drawn = marked.join(F.broadcast(size), "category", "left").withColumn(
-        "_number", F.when(F.col("_size") > 0, pick(F.col("_size"), F.col(key), seed, "any").cast("bigint"))
-    )
+    """Draw a prefix row regardless of category: number all prefix rows and join on the drawn number."""
+    rows = prefixes.select(F.col(key).alias("_row"), "prefix")
+    numbered = number_within(rows, [], [F.col("_row")], index_bucket(F.col("_row")), "_number").select("_number", "prefix")
+    size = prefixes.agg(F.count(F.lit(1)).alias("_size"))
+    draw = F.when(F.col("_size") > 0, pick(F.col("_size"), F.col(key), seed, "any").cast("bigint"))
+    drawn = attach(questions, size).withColumn("_number", draw)
     return (
         drawn.join(numbered, "_number", "left")
         .withColumn("chosen_academic_prefix", F.coalesce("prefix", F.lit(fallback)))
-        .drop("_number", "_size", "prefix", "category")
-        .withColumnRenamed("_category", "category")
+        .drop("_number", "_size", "prefix")
     )

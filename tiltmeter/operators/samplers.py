@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tiltmeter.functions.hashing import portable_hash
 from tiltmeter.operators.ordered import attach, index_bucket, number_within, running_total
+from tiltmeter.session import settle
 
 WINDOW_BLOCK = 4096
 
@@ -24,10 +25,13 @@ def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def placed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, length and offset of every non-empty text in the joined corpus. Only the counts are shuffled."""
+    """doc_id, length and offset of every non-empty text in the joined corpus.
+
+    The texts are read once for this; the counts are kept, and only they are shuffled.
+    """
     lengths = docs.select(F.col(key).alias("doc_id"), F.size(tokens_of(F.col(text))).cast("bigint").alias("length"))
     return running_total(
-        lengths.where(F.col("length") > 0),
+        settle(lengths.where(F.col("length") > 0)),
         [],
         [F.col("doc_id")],
         F.col("length"),
@@ -95,7 +99,7 @@ def document_windows(
     """
     lengths = docs.select(F.col(key).alias("doc_id"), F.size(tokens_of(F.col(text))).alias("length"))
     numbered = number_within(
-        lengths.where(F.col("length") >= seq_len), [], [F.col("doc_id")], index_bucket(F.col("doc_id")), "number"
+        settle(lengths.where(F.col("length") >= seq_len)), [], [F.col("doc_id")], index_bucket(F.col("doc_id")), "number"
     )
     draws = (
         numbered.agg(F.count(F.lit(1)).alias("_n"))

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tiltmeter.functions.significance import chi_square_p, two_sided_p
 from tiltmeter.operators.ordered import running_total, value_bucket, value_cuts
+from tiltmeter.session import settle
 
 EXACT_SAMPLE = 8
 
@@ -33,7 +34,7 @@ def mann_whitney(df: DataFrame, groups: Sequence[str], value: str, second: Colum
     the p-value is exact, otherwise it is the normal approximation with tie and continuity correction.
     """
     groups = list(groups)
-    counts = value_counts(df, groups, value, second)
+    counts = settle(value_counts(df, groups, value, second))
     cuts = value_cuts(counts, value)
     placed = running_total(
         counts, groups, [F.col(value)], F.col("n1"), value_bucket(F.col(value), cuts), "_before"
@@ -101,7 +102,7 @@ def two_sample_summary(df: DataFrame, groups: Sequence[str], value: str, second:
 def medians(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Exact median per group out of counts per value."""
     groups = list(groups)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = settle(df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n")))
     cuts = value_cuts(counts, value)
     placed = running_total(counts, groups, [F.col(value)], F.col("_n"), value_bucket(F.col(value), cuts), "_before")
     sizes = counts.groupBy(*groups).agg(F.sum("_n").alias("_size"))

@@ -91,7 +91,7 @@ def layer_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``layers`` is ARRAY<STRUCT<layer, plain, opinion>> with the logits in letter order.
     """
-    base = table(spark, sf_dir, "embeddings").select(
+    base = spread(table(spark, sf_dir, "embeddings")).select(
         F.col("vec_id").alias("question_id"),
         F.col("embedding").cast("array<double>").alias("v"),
         (F.col("label") % 4).alias("right"),
@@ -156,10 +156,10 @@ def raw_layer_maps(spark: SparkSession, sf_dir: str, condition: str) -> DataFram
 
 def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """row_id, label, w ARRAY<DOUBLE>."""
-    return table(spark, sf_dir, "embeddings").select(
+    return spread(table(spark, sf_dir, "embeddings")).select(
         F.col("vec_id").alias("row_id"), "label", F.col("embedding").cast("array<double>").alias("w")
     )
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))

@@ -14,6 +14,7 @@ from tiltmeter.operators import rates as R
 from tiltmeter.plans import fixtures as X
 from tiltmeter.plans.registry import query, r9
 from tiltmeter.plans.sql import RESPONSES, SPACES, h, rnd, with_tables
+from tiltmeter.session import spread
 
 _TRIPLE_SQL = f"""
   {{keys}}, {rnd("avg(correct::INT)")} AS accuracy, {rnd("avg(opinion::INT)")} AS opinion_rate,
@@ -263,10 +264,10 @@ letters AS (
     + "SELECT id, part, letter FROM letters",
 )
 def answer_letter_extraction(spark, sf_dir):
-    chats = X.table(spark, sf_dir, "conversations").select(
+    chats = spread(X.table(spark, sf_dir, "conversations")).select(
         F.col("conv_id").alias("id"), F.col("turn").alias("part"), "text"
     )
-    docs = X.table(spark, sf_dir, "documents")
+    docs = spread(X.table(spark, sf_dir, "documents").select("doc_id", "text"))
     plain = docs.select(F.col("doc_id").alias("id"), F.lit(-1).cast("bigint").alias("part"), "text")
     braced = docs.select(
         F.col("doc_id").alias("id"),

@@ -55,3 +55,12 @@ def spread(df, *keys):
     """
     wanted = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *keys)
+
+
+def settle(df):
+    """Compute a table once and keep it in the shared checkpoint folder, where a lost executor cannot take it.
+
+    For results that are much smaller than what they were computed from and are read more than once.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
