@@ -43,6 +43,8 @@ def load_all() -> dict[str, Query]:
         rate_queries,
         sampler_queries,
         selector_queries,
+        source_queries,
+        stream_queries,
     )
 
     return QUERIES
