@@ -61,8 +61,9 @@ def read_pickled_frames(spark: SparkSession, pattern: str, schema: T.StructType,
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
                 frame = pd.read_pickle(io.BytesIO(content)).reset_index(drop=True)
-                out = frame.reindex(columns=names)
-                yield out.assign(path=path, row_idx=range(len(out)))
+                out = frame.reindex(columns=names).astype(object)
+                out = out.where(out.notna(), None)
+                yield out.assign(path=pd.Series([path] * len(out), dtype=object), row_idx=range(len(out)))
 
     blobs = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(pattern)
     return blobs.select("path", "content").mapInPandas(load, full)
