@@ -76,7 +76,7 @@ def test_extract_letter(spark, raw, expected):
 
 @pytest.mark.parametrize(
     "answer, strict, wide",
-    [("A", True, True), ("Ä", False, True), ("a", False, False), ("AB", False, False), ("", False, False), ("Error", False, False), (None, False, False)],
+    [("A", True, True), ("Z", True, True), ("A\n", True, False), ("A\n\n", False, False), ("\n", False, False), ("[", False, False), ("Ä", False, True), ("a", False, False), ("AB", False, False), ("", False, False), ("Error", False, False), (None, False, False)],
 )
 def test_validity(spark, answer, strict, wide):
     assert one(spark, A.is_valid(F.col("t")), t=answer) is strict

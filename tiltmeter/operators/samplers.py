@@ -17,7 +17,7 @@ WINDOW_BLOCK = 4096
 
 
 def tokens_of(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+", -1), lambda t: t != "")
+    return F.array_remove(F.split(text, r"\s+", -1), "")
 
 
 def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -29,9 +29,11 @@ def placed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
     The texts are read once for this; the counts are kept, and only they are shuffled.
     """
-    lengths = docs.select(F.col(key).alias("doc_id"), F.size(tokens_of(F.col(text))).cast("bigint").alias("length"))
+    # A filter on the count would be pushed below and split every text twice; any visible character will do.
+    words = docs.where(F.regexp_like(text, F.lit(r"\S")))
+    lengths = words.select(F.col(key).alias("doc_id"), F.size(tokens_of(F.col(text))).cast("bigint").alias("length"))
     return running_total(
-        settle(lengths.where(F.col("length") > 0)),
+        settle(lengths),
         [],
         [F.col("doc_id")],
         F.col("length"),
@@ -99,7 +101,7 @@ def document_windows(
     """
     lengths = docs.select(F.col(key).alias("doc_id"), F.size(tokens_of(F.col(text))).alias("length"))
     numbered = number_within(
-        settle(lengths.where(F.col("length") >= seq_len)), [], [F.col("doc_id")], index_bucket(F.col("doc_id")), "number"
+        settle(lengths).where(F.col("length") >= seq_len), [], [F.col("doc_id")], index_bucket(F.col("doc_id")), "number"
     )
     draws = (
         numbered.agg(F.count(F.lit(1)).alias("_n"))
@@ -186,19 +188,23 @@ def corpus_blocks(docs: DataFrame, seq_len: int, key: str = "doc_id", text: str
     """
     placed = placed_documents(docs, key, text)
     total = placed.agg(F.sum("length").alias("_total"))
-    source = tokenised(docs, key, text).join(placed, "doc_id")
-    pieces = source.select(
-        "offset",
-        "tokens",
-        F.explode(
-            F.sequence(F.floor(F.col("offset") / seq_len), F.floor((F.col("offset") + F.col("length") - 1) / seq_len))
-        ).alias("block"),
-    )
-    begin = F.greatest(F.col("block") * seq_len - F.col("offset"), F.lit(0))
-    end = (F.col("block") + 1) * seq_len - F.col("offset")
-    cut = pieces.select(
-        "block", "offset", F.slice("tokens", (begin + 1).cast("int"), (end - begin).cast("int")).alias("part")
-    )
+    source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")).join(placed, "doc_id")
+
+    def cut_up(doc: Column) -> Column:
+        first = F.floor(doc["offset"] / seq_len)
+        last = F.floor((doc["offset"] + doc["length"] - 1) / seq_len)
+
+        def piece(b: Column) -> Column:
+            begin = F.greatest(b * seq_len - doc["offset"], F.lit(0))
+            end = (b + 1) * seq_len - doc["offset"]
+            part = F.slice(doc["tokens"], (begin + 1).cast("int"), (end - begin).cast("int"))
+            return F.struct(b.alias("block"), doc["offset"].alias("offset"), part.alias("part"))
+
+        return F.transform(F.sequence(first, last), piece)
+
+    # The text is split once per row, and only its pieces are exploded.
+    doc = F.struct(tokens_of(F.col("_text")).alias("tokens"), "offset", "length")
+    cut = source.select(F.inline(F.get(F.transform(F.array(doc), cut_up), F.lit(0))))
     whole = attach(cut, total).where((F.col("block") + 1) * seq_len <= F.col("_total"))
     joined = whole.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("offset", "part"))).alias("_p"))
     return joined.select("block", F.flatten("_p.part").alias("tokens"))

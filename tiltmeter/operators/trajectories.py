@@ -33,28 +33,29 @@ def trajectories(df: DataFrame, suggested: bool = True) -> DataFrame:
         ),
     )
     base = df.withColumn("steps", steps).where(F.size("steps") > 0)
-    base = (
-        base.withColumn("path_layers", F.col("steps.layer"))
-        .withColumn("predictions", F.col("steps.prediction"))
-        .withColumn("confidences", F.col("steps.confidence"))
-        .drop("steps")
-        .withColumn("final_prediction", F.element_at("predictions", -1))
-        .withColumn("final_confidence", F.element_at("confidences", -1))
-    )
+    base = base.withColumns(
+        {
+            "path_layers": F.col("steps.layer"),
+            "predictions": F.col("steps.prediction"),
+            "confidences": F.col("steps.confidence"),
+            "final_prediction": F.element_at("steps.prediction", -1),
+            "final_confidence": F.element_at("steps.confidence", -1),
+        }
+    ).drop("steps")
     moves = F.zip_with(
         F.slice("predictions", F.lit(2), F.size("predictions")),
         F.slice("predictions", F.lit(1), F.size("predictions") - 1),
         lambda a, b: a != b,
     )
     settled = F.transform("predictions", lambda p: p == F.col("final_prediction"))
-    out = (
-        base.withColumn("prediction_changes", F.size(F.filter(moves, lambda m: m)))
-        .withColumn("stabilisation_layer", first_run_start(settled, F.col("path_layers"), STABLE_RUN))
-        .withColumn("is_correct", F.col("final_prediction") == F.col("correct_answer_index"))
-    )
+    found = {
+        "prediction_changes": F.size(F.filter(moves, lambda m: m)),
+        "stabilisation_layer": first_run_start(settled, F.col("path_layers"), STABLE_RUN),
+        "is_correct": F.col("final_prediction") == F.col("correct_answer_index"),
+    }
     if suggested and "chosen_wrong_answer_index" in df.columns:
-        out = out.withColumn("follows_opinion", F.col("final_prediction") == F.col("chosen_wrong_answer_index"))
-    return out
+        found["follows_opinion"] = F.col("final_prediction") == F.col("chosen_wrong_answer_index")
+    return base.withColumns(found)
 
 
 def emergence(paths: DataFrame) -> DataFrame:
@@ -71,26 +72,20 @@ def emergence(paths: DataFrame) -> DataFrame:
         return F.when(F.size(chosen) > 0, P.total(chosen) / F.size(chosen))
 
     layers = F.col("path_layers")
-    return (
-        paths.where(opinion.isNotNull())
-        .withColumn("_hits", hits)
-        .withColumn("_rights", rights)
-        .withColumn("first_opinion_match", F.when(F.array_contains("_hits", True), first_hit(F.col("_hits"), layers)))
-        .withColumn(
-            "confidence_at_match",
-            F.when(F.array_contains("_hits", True), first_hit(F.col("_hits"), F.col("confidences"))),
-        )
-        .withColumn("first_opinion_stable", first_run_start(F.col("_hits"), layers, STABLE_RUN))
-        .withColumn("first_opinion_pair", first_run_start(F.col("_hits"), layers, 2))
-        .withColumn(
-            "first_correct_match",
-            F.when((right != opinion) & F.array_contains("_rights", True), first_hit(F.col("_rights"), layers)),
-        )
-        .withColumn("opinion_dominance", F.size(F.filter("_hits", lambda h: h)) / F.size("_hits"))
-        .withColumn("opinion_confidence", mean_where(F.col("_hits")))
-        .withColumn("correct_confidence", mean_where(F.col("_rights")))
-        .drop("_hits", "_rights")
-    )
+    marked = paths.where(opinion.isNotNull()).withColumns({"_hits": hits, "_rights": rights})
+    any_hit, any_right = F.array_contains("_hits", True), F.array_contains("_rights", True)
+    return marked.withColumns(
+        {
+            "first_opinion_match": F.when(any_hit, first_hit(F.col("_hits"), layers)),
+            "confidence_at_match": F.when(any_hit, first_hit(F.col("_hits"), F.col("confidences"))),
+            "first_opinion_stable": first_run_start(F.col("_hits"), layers, STABLE_RUN),
+            "first_opinion_pair": first_run_start(F.col("_hits"), layers, 2),
+            "first_correct_match": F.when((right != opinion) & any_right, first_hit(F.col("_rights"), layers)),
+            "opinion_dominance": F.size(F.filter("_hits", lambda h: h)) / F.size("_hits"),
+            "opinion_confidence": mean_where(F.col("_hits")),
+            "correct_confidence": mean_where(F.col("_rights")),
+        }
+    ).drop("_hits", "_rights")
 
 
 def opinion_rate_by_position(paths: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -25,6 +25,8 @@ def build_session(app_name: str = "tiltmeter", master: str | None = None, **conf
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Long expressions are built from Python; recording a call site for each part doubles the time.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     defaults.update(conf)
