@@ -269,3 +269,73 @@ def test_sequences_hold_at_most_their_length(spark):
     packed = R.pack_sequences(table, "row_id", 10, "w", F.col("row_id").cast("double")).orderBy("seq").collect()
     assert [len(r["tokens"]) for r in packed] == [10, 10, 3]
     assert packed[1]["scores"] == [float(i) for i in range(10, 20)]
+
+
+# --- methods ---------------------------------------------------------------------------------
+
+def test_methods_against_numpy(spark):
+    from tiltmeter.operators import methods as M
+
+    w, x = RNG.normal(size=(10, 16)), RNG.normal(size=(60, 16)) * np.linspace(0.2, 4, 16)
+    weights = matrix_table(spark, w)
+    activations = spark.createDataFrame([(i // 20, [float(v) for v in r]) for i, r in enumerate(x)], "batch long, x array<double>")
+
+    def run(name, **kwargs):
+        rows = M.quantise_weights(name, weights, activations, 8).orderBy("row_id").collect()
+        return np.array([r["w"] for r in rows])
+
+    def nearest(m):
+        out = np.empty_like(m)
+        for r in range(len(m)):
+            for g in range(0, m.shape[1], 8):
+                out[r, g : g + 8] = snap4(m[r, g : g + 8], *params4(m[r, g : g + 8]))
+        return out
+
+    assert run("full_precision") == pytest.approx(w)
+    assert run("rtn_w4") == pytest.approx(nearest(w))
+    losses = {}
+    act = np.mean([np.abs(x[b * 20 : b * 20 + 20]).mean(0) for b in range(3)], axis=0)
+    rel = np.mean([np.concatenate([np.abs(r[g : g + 8]) / np.abs(r[g : g + 8]).max() for g in (0, 8)]) for r in w], axis=0)
+    for step in range(20):
+        s = np.maximum(act ** (step / 20) / rel ** (1 - step / 20), 1e-4)
+        s = s / np.sqrt(s.max() * s.min())
+        q = nearest(w * s) / s
+        losses[step] = (((x @ (q - w).T) ** 2).sum(), q)
+    best = min(losses, key=lambda k: (losses[k][0], k))
+    assert run("awq_w4") == pytest.approx(losses[best][1])
+    exact = np.abs(x).max(0) >= 6
+    assert exact.any() and not exact.all()
+    assert (run("llmint8_w4")[:, exact] == w[:, exact]).all()
+    rows = np.array([snap4(r, *params4(r)) for r in w])
+    columns = np.array([snap4(c, *params4(c)) for c in w.T]).T
+    better = min((rows, columns), key=lambda q: ((x @ (q - w).T) ** 2).sum())
+    assert run("adadim_w4") == pytest.approx(better)
+    gap = lambda q: ((x @ (q - w).T) ** 2).sum()
+    assert gap(run("gptq_w4")) < gap(run("rtn_w4"))
+
+
+def test_method_ids_and_seeds():
+    from tiltmeter.operators import methods as M
+
+    assert M.expand([{"method": "rtn"}, {"method": "awq", "method_id": "awq_w3"}, {"method": "none"}]) == [
+        ("rtn", "rtn_w4", 4), ("rtn", "rtn_w6", 6), ("rtn", "rtn_w8", 8), ("awq", "awq_w3", 3),
+    ]
+    assert M.bits_of("full_precision") is None
+    seeds = M.draw_seeds(42, 50)
+    assert len(set(seeds)) == 50 and seeds[:3] == M.draw_seeds(42, 3) and max(seeds) < 2**31
+    with pytest.raises(ValueError):
+        M.draw_seeds(1, 0)
+    with pytest.raises(ValueError, match="exists"):
+        M.method("rtn")(lambda *a: None)
+
+
+def test_scaling_leaves_the_first_blocks_alone(spark):
+    from tiltmeter.operators import methods as M
+
+    w = RNG.normal(size=(8, 16))
+    table = matrix_table(spark, w).withColumn("block", F.col("row_id"))
+    x = spark.createDataFrame([(0, [float(v) for v in r]) for r in RNG.normal(size=(30, 16)) * np.linspace(0.1, 9, 16)], "batch long, x array<double>")
+    scaled = {r["row_id"]: r["w"] for r in M.quantise_weights("awq_w4", table, x, 8).collect()}
+    plain = {r["row_id"]: r["w"] for r in M.quantise_weights("rtn_w4", table, x, 8).collect()}
+    assert all(scaled[i] == pytest.approx(plain[i]) for i in range(5))
+    assert any(scaled[i] != pytest.approx(plain[i]) for i in range(5, 8))

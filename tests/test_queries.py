@@ -10,6 +10,7 @@ from tiltmeter.plans.registry import load_all
 QUERIES = load_all()
 BY_BRUTE_FORCE = {
     "histogram_range",
+    "compared_methods",
     "proximal_zeros",
     "error_feedback",
     "farthest_point",

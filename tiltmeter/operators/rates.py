@@ -183,3 +183,8 @@ def latest_attempts(attempts: DataFrame, keys: Sequence[str], attempt: str = "at
         .agg(F.max(ranked).alias("best"))
         .select(*keys, F.col("best.model_answer").alias("model_answer"), F.col(f"best.{attempt}").alias(attempt))
     )
+
+
+def invalid_preview(responses: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """The first n unusable answers in key order; every task hands on n rows at most."""
+    return responses.where(~is_valid(F.col("model_answer"))).select(*keys, "model_answer").orderBy(*keys).limit(n)

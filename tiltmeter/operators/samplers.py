@@ -20,10 +20,6 @@ def tokens_of(text: Column) -> Column:
     return F.array_remove(F.split(text, r"\s+", -1), "")
 
 
-def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(F.col(key).alias("doc_id"), tokens_of(F.col(text)).alias("tokens"))
-
-
 def placed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, length and offset of every non-empty text in the joined corpus.
 
@@ -127,13 +123,19 @@ def shuffled_first(rows: DataFrame, n: int, seed: int, key: str = "doc_id") -> D
     return ordered.orderBy("_h", key).limit(n)
 
 
+def tokenised_first(docs: DataFrame, n: int, seed: int, key: str, text: str) -> DataFrame:
+    """The first n texts of the shuffle, cut into tokens once they are chosen."""
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
+    return shuffled_first(rows, n, seed).select("_h", "doc_id", tokens_of(F.col("_text")).alias("tokens"))
+
+
 def short_text_blocks(docs: DataFrame, n_samples: int, seq_len: int, seed: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Shuffle, leave out empty texts and those longer than ``seq_len``, join the first n, cut into full blocks.
 
     At most n_samples · seq_len tokens are joined.
     """
-    rows = tokenised(docs, key, text).where(F.size("tokens").between(1, seq_len))
-    chosen = shuffled_first(rows, n_samples, seed)
+    rows = docs.where(F.size(tokens_of(F.col(text))).between(1, seq_len))
+    chosen = tokenised_first(rows, n_samples, seed, key, text)
     joined = chosen.agg(F.array_sort(F.collect_list(F.struct("_h", "doc_id", "tokens"))).alias("_p")).select(
         F.flatten("_p.tokens").alias("_all")
     )
@@ -152,10 +154,9 @@ def truncated_texts(
     docs: DataFrame, n_samples: int, seq_len: int, seed: int, full_only: bool, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Shuffle, cut texts to ``seq_len`` tokens, take the first n; ``full_only`` leaves shorter ones out."""
-    rows = tokenised(docs, key, text).withColumn("tokens", F.slice("tokens", 1, seq_len))
-    if full_only:
-        rows = rows.where(F.size("tokens") == seq_len)
-    return shuffled_first(rows, n_samples, seed).select("doc_id", "tokens")
+    rows = docs.where(F.size(tokens_of(F.col(text))) >= seq_len) if full_only else docs
+    chosen = tokenised_first(rows, n_samples, seed, key, text)
+    return chosen.select("doc_id", F.slice("tokens", 1, seq_len).alias("tokens"))
 
 
 def chat_texts(

@@ -8,6 +8,7 @@ from tiltmeter.functions.prob import total
 from tiltmeter.functions.quantmath import FLOAT_FORMATS, IntFormat
 from tiltmeter.operators import evaluate as E
 from tiltmeter.operators import gram as G
+from tiltmeter.operators import methods as M
 from tiltmeter.operators import prune as U
 from tiltmeter.operators import quantize as Q
 from tiltmeter.operators import ranges as N
@@ -588,6 +589,23 @@ def better_direction(spark, sf_dir):
     return out.select(r9("oc_loss", 6).alias("oc_loss"), r9("ic_loss", 6).alias("ic_loss"), "direction")
 
 
+@query("compared_methods")
+def compared_methods(spark, sf_dir):
+    """Every registered method at four bits: mean and largest error of its weights."""
+    weights, x = _both(spark, sf_dir)
+    out = None
+    for name in sorted(M.METHODS):
+        changed = M.quantise_weights(f"{name}_w4", weights, x, GROUP).withColumnRenamed("w", "q")
+        gap = F.zip_with("w", "q", lambda a, b: F.abs(a - b))
+        errors = weights.join(changed, "row_id").select(
+            Q.row_error(F.col("w"), F.col("q")).alias("mse"), F.array_max(gap).alias("worst")
+        )
+        part = errors.agg(F.avg("mse").alias("mse"), F.max("worst").alias("worst"), F.count(F.lit(1)).alias("n"))
+        part = part.select(F.lit(f"{name}_w4").alias("method_id"), r9("mse").alias("mse"), r9("worst").alias("worst"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # --- pruning and analysis --------------------------------------------------------------------
 
 @query(

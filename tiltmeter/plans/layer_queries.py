@@ -659,3 +659,18 @@ def top_tokens(spark, sf_dir):
     return rows.select(
         "vec_id", r9(P.entropy(P.softmax(F.col("logits"), 0.0))).alias("entropy"), best.alias("tokens")
     )
+
+
+@query(
+    "stronger_token",
+    with_tables(LAYERS)
+    + f"""
+SELECT question_id, layer, {letter("pos")} AS letter, {rnd("greatest(plain, opinion - 1.5)")} AS logit FROM layers""",
+)
+def stronger_token(spark, sf_dir):
+    """Two readings of every letter, as a bare and as a space-prefixed token; the larger one counts."""
+    rows = X.layer_runs(spark, sf_dir).select("question_id", F.inline("layers"))
+    logits = F.zip_with("plain", "opinion", lambda bare, spaced: P.stronger_token(bare, spaced - 1.5))
+    return rows.select("question_id", "layer", F.posexplode(logits).alias("pos", "logit")).select(
+        "question_id", "layer", letter_at(F.col("pos")).alias("letter"), r9("logit").alias("logit")
+    )

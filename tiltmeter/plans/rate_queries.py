@@ -300,3 +300,15 @@ def token_letter(spark, sf_dir):
         F.col("turn").alias("part"),
         letter_of_token(F.col("text"), X.literals(FALLBACK_LETTERS)).alias("letter"),
     )
+
+
+@query(
+    "invalid_preview",
+    with_tables(RESPONSES)
+    + """
+SELECT question_id, method_id, data_seed, condition, model_answer FROM flagged WHERE NOT valid
+ORDER BY question_id, method_id, data_seed, condition LIMIT 10""",
+)
+def invalid_preview(spark, sf_dir):
+    """The first ten unusable answers, to look at."""
+    return R.invalid_preview(X.responses(spark, sf_dir), ["question_id", "method_id", "data_seed", "condition"], 10)
