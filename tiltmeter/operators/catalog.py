@@ -51,20 +51,30 @@ _RUN = r"\A(.+?)_(full_precision|[A-Za-z0-9]+_w\d+)(?:_(logit|cot)_([a-z]+))?(?:
 
 
 def parse_stem(stem: Column) -> Column:
-    """``model_method[_mode_layers][_seed]`` -> struct; method NULL for a stem of another form."""
-    method = F.regexp_extract(stem, _RUN, 2)
-
-    def part(i: int) -> Column:
-        return F.nullif(F.regexp_extract(stem, _RUN, i), F.lit(""))
-
-    return F.struct(
-        part(1).alias("model_id"),
-        part(2).alias("method_id"),
-        F.when(method != "", X.bits_of_method(method)).alias("bits"),
-        part(3).alias("mode"),
-        part(4).alias("layer_sel"),
-        part(5).try_cast("bigint").alias("data_seed"),
-    )
+    """``model_method[_mode_layers][_seed]`` -> struct; all NULL for a stem of another form.
+
+    The pattern is matched once; a mark that no name holds takes the parts apart.
+    """
+    mark = "\x1f"
+    split = F.split(F.regexp_replace(stem, _RUN, mark.join(f"${i}" for i in range(1, 6))), mark, -1)
+
+    def named(parts: Column) -> Column:
+        whole = F.size(parts) == 5
+
+        def part(i: int) -> Column:
+            return F.when(whole, F.nullif(F.get(parts, F.lit(i)), F.lit("")))
+
+        return F.struct(
+            part(0).alias("model_id"),
+            part(1).alias("method_id"),
+            F.when(whole, X.bits_of_method(F.get(parts, F.lit(1)))).alias("bits"),
+            part(2).alias("mode"),
+            part(3).alias("layer_sel"),
+            part(4).try_cast("bigint").alias("data_seed"),
+        )
+
+    # Going through an array of one binds the parts, so they are taken apart once for all fields.
+    return F.get(F.transform(F.array(split), named), F.lit(0))
 
 
 def pair_conditions(plain: DataFrame, opinion: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

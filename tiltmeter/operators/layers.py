@@ -48,17 +48,22 @@ def in_range(df: DataFrame, first: int, last: int) -> DataFrame:
 
 def layer_subset(df: DataFrame, which: str) -> DataFrame:
     """``all``, ``odd``, ``even`` (both always with the last layer) or ``last``."""
-    last = F.array_max(F.transform("layers", lambda s: s["layer"]))
     rules = {
-        "": lambda s: F.lit(True),
-        "all": lambda s: F.lit(True),
-        "odd": lambda s: (s["layer"] % 2 == 1) | (s["layer"] == last),
-        "even": lambda s: (s["layer"] % 2 == 0) | (s["layer"] == last),
-        "last": lambda s: s["layer"] == last,
+        "": lambda layer, last: F.lit(True),
+        "all": lambda layer, last: F.lit(True),
+        "odd": lambda layer, last: (layer % 2 == 1) | (layer == last),
+        "even": lambda layer, last: (layer % 2 == 0) | (layer == last),
+        "last": lambda layer, last: layer == last,
     }
     if which not in rules:
         raise ValueError(f"unknown layer choice {which!r}; expected one of {sorted(rules)}")
-    return df.withColumn("layers", F.filter("layers", rules[which]))
+
+    def choose(run: Column) -> Column:
+        return F.filter(run["layers"], lambda s: rules[which](s["layer"], run["last"]))
+
+    # The last layer is bound once per row, not once per layer.
+    run = F.struct(F.col("layers"), F.array_max("layers.layer").alias("last"))
+    return df.withColumn("layers", F.get(F.transform(F.array(run), choose), F.lit(0)))
 
 
 def first_rows(df: DataFrame, n: int, index: str = "row_idx") -> DataFrame:

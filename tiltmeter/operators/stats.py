@@ -19,12 +19,16 @@ EXACT_SAMPLE = 8
 
 
 def value_counts(df: DataFrame, groups: Sequence[str], value: str, second: Column) -> DataFrame:
-    """Rows per distinct value and sample. Repeated values collapse before they are ordered."""
-    return (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*groups, value)
-        .agg(F.count_if(~second).alias("n1"), F.count_if(second).alias("n2"))
+    """Rows per distinct value and sample. Repeated values collapse before they are ordered.
+
+    Missing values are dropped by their count: a filter on the value itself would be pushed down and
+    work out the value a second time.
+    """
+    known = F.col(value).isNotNull()
+    counts = df.groupBy(*groups, value).agg(
+        F.count_if(~second & known).alias("n1"), F.count_if(second & known).alias("n2")
     )
+    return counts.where(F.col("n1") + F.col("n2") > 0)
 
 
 def mann_whitney(df: DataFrame, groups: Sequence[str], value: str, second: Column) -> DataFrame:
@@ -102,7 +106,7 @@ def two_sample_summary(df: DataFrame, groups: Sequence[str], value: str, second:
 def medians(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Exact median per group out of counts per value."""
     groups = list(groups)
-    counts = settle(df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n")))
+    counts = settle(df.groupBy(*groups, value).agg(F.count(value).alias("_n")).where(F.col("_n") > 0))
     cuts = value_cuts(counts, value)
     placed = running_total(counts, groups, [F.col(value)], F.col("_n"), value_bucket(F.col(value), cuts), "_before")
     sizes = counts.groupBy(*groups).agg(F.sum("_n").alias("_size"))

@@ -32,7 +32,7 @@ def trajectories(df: DataFrame, suggested: bool = True) -> DataFrame:
             F.array_max(P.softmax(s["logits"], 0.0)).alias("confidence"),
         ),
     )
-    base = df.withColumn("steps", steps).where(F.size("steps") > 0)
+    base = df.where(F.exists("layers", lambda s: s["logits"].isNotNull())).withColumn("steps", steps)
     base = base.withColumns(
         {
             "path_layers": F.col("steps.layer"),

@@ -47,22 +47,29 @@ def responses(spark: SparkSession, sf_dir: str, methods=METHODS, seeds=SEEDS, co
     """One answer per question, method, seed and condition."""
     part = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("question_id")))
     n = F.when(F.col("question_id") % 3 == 0, 5).otherwise(4)
-    asked = (
-        part.withColumn("data_seed", F.explode(literals([F.lit(s).cast("bigint") for s in seeds])))
-        .withColumn("condition", F.explode(literals(conditions)))
-        .withColumn("n", n)
-        .withColumn("ans", (F.col("question_id") % F.col("n")).cast("int"))
-        .withColumn("hw", portable_hash(F.col("question_id"), F.col("data_seed"), F.col("condition"), "w"))
-        .withColumn("wrong", ((F.col("ans") + 1 + F.col("hw") % (F.col("n") - 1)) % F.col("n")).cast("int"))
-    )
+    # Hashes are worked out inside the arrays that are exploded, so that no filter on an answer repeats them.
+    question = F.col("question_id")
+
+    def ask(seed: Column, condition: Column) -> Column:
+        h = portable_hash(question, seed, condition, "w")
+        return F.struct(seed.alias("data_seed"), condition.alias("condition"), h.alias("hw"))
+
+    asked = [ask(F.lit(s).cast("bigint"), F.lit(c)) for s in seeds for c in conditions]
+    drawn = [
+        F.struct(
+            F.lit(m).alias("method_id"),
+            (portable_hash(question, F.lit(m), F.col("data_seed"), F.col("condition"), "a") % 100).alias("b"),
+        )
+        for m in methods
+    ]
     b = F.col("b")
     suggested = letter_at(F.col("wrong"))
     return (
-        asked.withColumn("method_id", F.explode(literals(methods)))
-        .withColumn(
-            "b",
-            portable_hash(F.col("question_id"), F.col("method_id"), F.col("data_seed"), F.col("condition"), "a") % 100,
-        )
+        part.select("question_id", F.inline(F.array(*asked)))
+        .withColumn("n", n)
+        .withColumn("ans", (F.col("question_id") % F.col("n")).cast("int"))
+        .withColumn("wrong", ((F.col("ans") + 1 + F.col("hw") % (F.col("n") - 1)) % F.col("n")).cast("int"))
+        .select("*", F.inline(F.array(*drawn)))
         .select(
             "question_id",
             "method_id",
@@ -109,7 +116,8 @@ def layer_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "question_id",
         letter_at(F.col("right")).alias("correct_answer_index"),
         letter_at(F.col("wrong")).alias("chosen_wrong_answer_index"),
-        F.transform(F.sequence(F.lit(0), F.lit(LAYERS - 1)), layer).alias("layers"),
+        # Exploding an array of one keeps the layers from being worked out again wherever they are used.
+        F.explode(F.array(F.transform(F.sequence(F.lit(0), F.lit(LAYERS - 1)), layer))).alias("layers"),
     )
 
 

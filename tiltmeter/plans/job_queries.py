@@ -9,6 +9,7 @@ from tiltmeter.operators import catalog as C
 from tiltmeter.plans import fixtures as X
 from tiltmeter.plans.registry import query
 from tiltmeter.plans.sql import with_tables
+from tiltmeter.session import spread
 
 _STEMS = """
 stems AS (
@@ -35,14 +36,14 @@ def _stems(spark, sf_dir):
     seed = F.when(k % 11 == 0, "").otherwise(F.concat(F.lit("_"), (c % 3 + 1).cast("string")))
     condition = F.when(k % 4 == 0, "pov").when(k % 2 == 0, "plain").otherwise("opinion_only")
     model = F.concat(F.lit("Model-"), (c % 7).cast("string"))
-    return X.table(spark, sf_dir, "orders").select(
+    return spread(X.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).select(
         k.alias("id"), F.concat(model, F.lit("_"), method, mode, seed).alias("stem"), condition.alias("condition")
     )
 
 
 def _runs(spark, sf_dir):
     stems = _stems(spark, sf_dir)
-    return stems.withColumn("run", C.parse_stem(F.col("stem"))).select("id", "stem", "condition", "run.*")
+    return stems.select("id", "stem", "condition", F.inline(F.array(C.parse_stem(F.col("stem")))))
 
 
 @query(
@@ -60,10 +61,10 @@ def run_catalog(spark, sf_dir):
     paths = _stems(spark, sf_dir).select(
         "id", F.concat(F.lit("/out/runs/exam/"), folder, F.lit("/"), F.col("stem"), F.lit(".parquet")).alias("path")
     )
-    parsed = C.parse_path(paths, "/out/runs").withColumn("run", C.parse_stem(F.col("stem")))
+    parsed = C.parse_path(paths, "/out/runs")
     return parsed.select(
         "id", "dataset", "condition", "prefix_type", "prefix_subtype", "level",
-        "run.model_id", "run.method_id", "run.bits", "run.mode", "run.layer_sel", "run.data_seed",
+        F.inline(F.array(C.parse_stem(F.col("stem")))),
     )
 
 
