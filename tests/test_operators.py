@@ -224,6 +224,15 @@ def test_windows_cross_texts_and_blocks(spark, monkeypatch):
     assert blocks == {b: words[b * 16 : b * 16 + 16] for b in range(len(words) // 16)}
 
 
+def test_ids_with_wide_gaps(spark):
+    texts = {i * 10_000_019 - 5 * 10**9: f"t{i} u{i}" for i in range(300)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    placed = {r["doc_id"]: r["offset"] for r in S.placed_documents(docs).collect()}
+    assert placed == {k: 2 * i for i, k in enumerate(sorted(texts))}
+    assert O.index_span(docs, "doc_id") > O.INDEX_SPAN
+    assert O.index_span(docs.limit(0), "doc_id") == O.INDEX_SPAN
+
+
 def test_a_hot_conversation_is_cut_where_it_should_be(spark):
     turns = [(1, t, "user", "word " * 5) for t in range(500)] + [(2, 0, "user", "hi")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(4)

@@ -22,14 +22,18 @@ from tiltmeter.operators.quantize import group_rows, quantise, quantise_input_co
 from tiltmeter.operators.ranges import grid_params, grid_snap
 from tiltmeter.session import settle
 
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 4096
 GRAM = T.StructType(
     [T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("h", T.DoubleType())]
 )
 
 
 def gram(activations: DataFrame, values: str = "x") -> DataFrame:
-    """i, h ARRAY: row i of Σ x xᵀ. Each task adds up its own rows first and sends one matrix."""
+    """i, h ARRAY: row i of Σ x xᵀ.
+
+    Each task adds up its own rows and sends the upper half of one matrix, so there are no more tasks
+    than cores: what is shuffled grows with the cluster and the row width, not with the data.
+    """
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h = None
@@ -38,11 +42,15 @@ def gram(activations: DataFrame, values: str = "x") -> DataFrame:
                 x = np.stack([np.asarray(v, dtype="float64") for v in pdf[values]])
                 h = x.T @ x if h is None else h + x.T @ x
         if h is not None:
-            i, j = np.indices(h.shape)
-            yield pd.DataFrame({"i": i.ravel().astype("int32"), "j": j.ravel().astype("int32"), "h": h.ravel()})
-
-    sums = activations.select(values).mapInPandas(partial, GRAM).groupBy("i", "j").agg(F.sum("h").alias("h"))
-    rows = sums.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "h"))).alias("_r"))
+            i, j = np.triu_indices(len(h))
+            yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "h": h[i, j]})
+
+    tasks = activations.sparkSession.sparkContext.defaultParallelism
+    halves = activations.select(values).coalesce(tasks).mapInPandas(partial, GRAM)
+    sums = halves.groupBy("i", "j").agg(F.sum("h").alias("h"))
+    here, there = F.struct("i", "j", "h"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "h")
+    whole = sums.select(F.inline(F.when(F.col("i") == F.col("j"), F.array(here)).otherwise(F.array(here, there))))
+    rows = whole.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "h"))).alias("_r"))
     return rows.select("i", F.col("_r.h").alias("h"))
 
 

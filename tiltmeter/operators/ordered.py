@@ -35,6 +35,15 @@ def index_bucket(index: Column, span: int = INDEX_SPAN) -> Column:
     return F.floor(index / F.lit(span)).cast("bigint")
 
 
+def index_span(df: DataFrame, column: str) -> int:
+    """Span that puts about as many rows into a bucket as a dense index would; for ids with wide gaps.
+
+    Reads one row of minimum, maximum and count. Like every bucket rule it only balances.
+    """
+    row = df.agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count(column).alias("n")).first()
+    return INDEX_SPAN if not row["n"] else max(INDEX_SPAN, (row["high"] - row["low"] + 1) * INDEX_SPAN // row["n"])
+
+
 def hash_bucket(value: Column, buckets: int = BUCKETS) -> Column:
     """Bucket of a uniform hash in [0, 2**32)."""
     return F.floor(value / F.lit((1 << HASH_BITS) // buckets)).cast("bigint")

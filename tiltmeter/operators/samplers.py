@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiltmeter.functions.hashing import portable_hash
-from tiltmeter.operators.ordered import attach, index_bucket, number_within, running_total
+from tiltmeter.operators.ordered import attach, index_bucket, index_span, number_within, running_total
 from tiltmeter.session import settle
 
 WINDOW_BLOCK = 4096
@@ -28,14 +28,9 @@ def placed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     # A filter on the count would be pushed below and split every text twice; any visible character will do.
     words = docs.where(F.regexp_like(text, F.lit(r"\S")))
     lengths = words.select(F.col(key).alias("doc_id"), F.size(tokens_of(F.col(text))).cast("bigint").alias("length"))
-    return running_total(
-        settle(lengths),
-        [],
-        [F.col("doc_id")],
-        F.col("length"),
-        index_bucket(F.col("doc_id")),
-        "offset",
-    )
+    kept = settle(lengths)
+    bucket = index_bucket(F.col("doc_id"), index_span(kept, "doc_id"))
+    return running_total(kept, [], [F.col("doc_id")], F.col("length"), bucket, "offset")
 
 
 def _overlap(wanted: DataFrame, placed: DataFrame) -> DataFrame:
@@ -96,9 +91,9 @@ def document_windows(
     The long texts are numbered, the draws are numbers, and the two meet in an equi-join.
     """
     lengths = docs.select(F.col(key).alias("doc_id"), F.size(tokens_of(F.col(text))).alias("length"))
-    numbered = number_within(
-        settle(lengths).where(F.col("length") >= seq_len), [], [F.col("doc_id")], index_bucket(F.col("doc_id")), "number"
-    )
+    long = settle(lengths).where(F.col("length") >= seq_len)
+    bucket = index_bucket(F.col("doc_id"), index_span(long, "doc_id"))
+    numbered = number_within(long, [], [F.col("doc_id")], bucket, "number")
     draws = (
         numbered.agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > 0)
