@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tiltmeter.functions import prob as P
 from tiltmeter.functions import vectors as V
 from tiltmeter.functions.hashing import portable_hash
 

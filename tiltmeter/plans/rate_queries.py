@@ -8,12 +8,11 @@ from tiltmeter.functions.answers import (
     FALLBACK_LETTERS,
     extract_letter,
     letter_of_token,
-    option_letters,
 )
 from tiltmeter.operators import rates as R
 from tiltmeter.plans import fixtures as X
 from tiltmeter.plans.registry import query, r9
-from tiltmeter.plans.sql import RESPONSES, SPACES, h, rnd, with_tables
+from tiltmeter.plans.sql import RESPONSES, SPACES, rnd, with_tables
 from tiltmeter.session import spread
 
 _TRIPLE_SQL = f"""
