@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiltmeter.llm import exact, mixing, templates, warc
+from tiltmeter.llm import exact, mixing, passages, templates, warc
 from tiltmeter.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -65,6 +65,33 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies_per_document(documents(spark, sf_dir))
 
 
+@query(
+    "op5_repeated_passages",
+    rf"""
+    WITH rows AS (
+        SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+    ), windows AS (
+        SELECT doc_id, head, md5(array_to_string(words[head:head + {passages.WINDOW_WORDS - 1}], ' ')) AS print
+        FROM (SELECT *, unnest(range(1, len(words) - {passages.WINDOW_WORDS - 2})) AS head FROM rows)
+    ), firsts AS (
+        SELECT print, min(doc_id) AS first_doc FROM windows GROUP BY print
+    ), gone AS (
+        SELECT doc_id, list(DISTINCT spot) AS spots
+        FROM (SELECT w.doc_id, unnest(range(w.head, w.head + {passages.WINDOW_WORDS})) AS spot FROM windows w JOIN firsts f USING (print) WHERE f.first_doc < w.doc_id)
+        GROUP BY doc_id
+    ), kept AS (
+        SELECT r.doc_id, len(r.words) AS n_words, coalesce(len(g.spots), 0) AS n_removed,
+            [r.words[i] FOR i IN range(1, len(r.words) + 1) IF NOT list_contains(coalesce(g.spots, []), i)] AS words
+        FROM rows r LEFT JOIN gone g ON r.doc_id = g.doc_id
+    )
+    SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(coalesce(array_to_string(words, ' '), '')) AS kept_sha256 FROM kept
+    """,
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = passages.remove_passages(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query(
     "op7_archived_pages",
     """
