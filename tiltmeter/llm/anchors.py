@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiltmeter.llm.common import Rolling, as_long, byte_blocks, sliding_argmin, text_column, word_hashes, word_spans
+from tiltmeter.llm.common import Rolling, as_long, byte_blocks, sliding_argmin, text_column, word_hashes, word_spans, written
 
 WORD_SEED, GRAM_SEED, SLICE_SEED = 11, 12, 13
 SLICES = "doc_id {id}, text_key long, anchor long, slice long, start int, n int"
@@ -100,18 +100,46 @@ def join_on_row(rows: DataFrame, other: DataFrame, how: str = "inner") -> DataFr
     return rows.join(other, same, how).drop("__id", "__key")
 
 
-def in_runs(batches: Iterator[pa.RecordBatch], key: str, least: Callable[[pa.Table], bool]) -> Iterator[pa.Table]:
-    """Tables of whole groups from batches sorted by a BIGINT key: closed at a change of key once ``least`` holds."""
+def shared_slices(slices: DataFrame) -> DataFrame:
+    """Distinct slices of the anchors that occur more than once, kept in the shared folder.
+
+    anchor, slice, n, members (slices equal to it), low (the member with the smallest id), slices (distinct ones of
+    the anchor). Equal slices are added up before they move, so copies and common passages cost one row per task.
+    """
+    low = F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "text_key", "start")
+    distinct = slices.groupBy("anchor", "slice").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("members"), F.min(low).alias("low"))
+    anchors = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("slices"), F.sum("members").alias("all"))
+    return written(distinct.join(anchors.where(F.col("all") > 1).drop("all"), "anchor"))
+
+
+def in_runs(batches: Iterator[pa.RecordBatch], key: str, weigh: Callable[[pa.Table], np.ndarray], most: int) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by a BIGINT key, each of about ``most`` by weight or of one group."""
     held: list[pa.RecordBatch] = []
+    weight = 0
     for batch in batches:
         held.append(batch)
-        whole = pa.Table.from_batches(held)
-        if not least(whole):
+        weight += int(weigh(pa.Table.from_batches([batch])).sum())
+        if weight < most:
             continue
+        whole = pa.Table.from_batches(held)
         keys = whole.column(key).to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1], side="left"))
-        if cut:
-            yield whole.slice(0, cut)
-            held = whole.slice(cut).to_batches()
+        last = int(np.searchsorted(keys == keys[-1], True)) if len(keys) else 0
+        yield from _cut(whole.slice(0, last), key, weigh, most)
+        held = whole.slice(last).to_batches()
+        weight = sum(int(weigh(pa.Table.from_batches([b])).sum()) for b in held)
     if held:
-        yield pa.Table.from_batches(held)
+        yield from _cut(pa.Table.from_batches(held), key, weigh, most)
+
+
+def _cut(whole: pa.Table, key: str, weigh, most: int) -> Iterator[pa.Table]:
+    if not whole.num_rows:
+        return
+    keys = whole.column(key).to_numpy()
+    firsts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    totals = np.cumsum(weigh(whole))[np.r_[firsts[1:] - 1, len(keys) - 1]]
+    a, done = 0, 0
+    while a < len(keys):
+        group = int(np.searchsorted(totals, done + most, side="left"))
+        b = int(firsts[group + 1]) if group + 1 < len(firsts) else len(keys)
+        yield whole.slice(a, b - a).combine_chunks()
+        a, done = b, int(totals[min(group, len(totals) - 1)])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiltmeter.llm.anchors import Symbols, in_runs, join_on_row, keyed_text, slice_table, text_of_slices
+from tiltmeter.llm.anchors import Symbols, in_runs, join_on_row, keyed_text, shared_slices, slice_table, text_of_slices
 from tiltmeter.llm.common import byte_blocks
 
 WINDOW_WORDS = 50
@@ -26,14 +26,8 @@ GRAM_WORDS = 12
 LAST = (1 << 63) - 1
 #: Slices of one anchor compared in one place; the extensions of larger ones are dealt out by their fingerprints.
 ANCHOR_SLICES = 4096
-#: Extensions sorted at once.
-SORTED_ROWS = 1 << 16
-
-
-def distinct_slices(slices: DataFrame) -> DataFrame:
-    """anchor, slice, n, members, low (the row with the smallest id that has it, and where)."""
-    low = F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "text_key", "start")
-    return slices.groupBy("anchor", "slice").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("members"), F.min(low).alias("low"))
+#: Slices whose extensions are sorted at once.
+SORTED_SLICES = 1 << 14
 
 
 def extensions(held: DataFrame, window: int) -> DataFrame:
@@ -68,8 +62,7 @@ def repeated_extensions(extended: DataFrame) -> DataFrame:
     """anchor, slice, windows: the windows of a slice that also occur in a slice of the anchor with a smaller ``ord``."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in in_runs(batches, "anchor", lambda t: t.num_rows >= SORTED_ROWS):
-            run = run.combine_chunks()
+        for run in in_runs(batches, "anchor", lambda t: np.ones(t.num_rows, np.int64), SORTED_SLICES):
             windows = [np.frombuffer(b, dtype=np.int32) for b in run.column("windows").to_pylist()]
             row = np.repeat(np.arange(len(windows)), [len(w) for w in windows])
             prints = np.frombuffer(b"".join(run.column("prints").to_pylist()), dtype=np.uint64)
@@ -98,10 +91,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW_WORDS, gram: int = GR
     """doc_id, text_key, runs: per document the runs (first window, windows) that also start in a smaller document."""
     rows = keyed_text(docs, id_col, text_col)
     slices = slice_table(rows, "word", window, gram)
-    distinct = distinct_slices(slices)
+    shared = shared_slices(slices)
     # Anchors with one slice need no extension: that slice is the whole match.
-    several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("slices")).where("slices > 1")
-    wanted = distinct.join(several, "anchor").select(
+    wanted = shared.where("slices > 1").select(
         F.col("low.doc_id").alias("doc_id"),
         F.col("low.text_key").alias("text_key"),
         F.struct(
@@ -115,7 +107,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW_WORDS, gram: int = GR
     )
     again = repeated_extensions(extensions(text_of_slices(rows, wanted), window))
     again = again.groupBy("anchor", "slice").agg(F.flatten(F.collect_list("windows")).alias("windows"))
-    known = distinct.select("anchor", "slice", "members", F.col("low.doc_id").alias("low_id")).join(again, ["anchor", "slice"], "left")
+    known = shared.select("anchor", "slice", "members", F.col("low.doc_id").alias("low_id")).join(again, ["anchor", "slice"], "left")
     known = known.where((F.col("members") > 1) | F.col("windows").isNotNull())
     later = (F.col("doc_id") > F.col("low_id")) | (F.col("doc_id").isNull() & F.col("low_id").isNotNull())
     whole = F.array(F.struct(F.col("start").alias("at"), "n"))

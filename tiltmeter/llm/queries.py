@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiltmeter.llm import exact, mixing, passages, templates, warc
+from tiltmeter.llm import exact, mixing, passages, substrings, templates, warc
 from tiltmeter.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -92,6 +92,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op6_repeated_substrings")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_substrings(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query(
     "op7_archived_pages",
     """
