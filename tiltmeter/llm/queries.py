@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiltmeter.llm import exact, mixing, passages, substrings, templates, warc
+from tiltmeter.llm import chosen_path, exact, mixing, passages, substrings, templates, warc
 from tiltmeter.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -176,3 +176,35 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_copies(documents(spark, sf_dir))
+
+
+def components_sql(percent: int) -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+    near_words AS (
+        SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{upper}', '{lower}'), '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+    ), near_sets AS (
+        SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+            ELSE list_distinct([array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)]) END AS shingles FROM near_words
+    ), near_tokens AS (
+        SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM near_sets
+    ), near_links AS (
+        SELECT a.doc_id AS a, b.doc_id AS b FROM near_tokens a JOIN near_tokens b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))
+    ), reach AS (
+        SELECT doc_id AS a, doc_id AS b FROM near_sets UNION SELECT r.a, l.b FROM reach r JOIN near_links l ON r.b = l.a
+    ), near_groups AS (
+        SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+    )"""
+
+
+@query(
+    "op10_near_duplicates",
+    f"""
+    WITH RECURSIVE {components_sql(85)}
+    SELECT s.doc_id, len(s.shingles)::BIGINT AS n_shingles, g.component_id, s.doc_id = g.component_id AS kept
+    FROM near_sets s JOIN near_groups g ON s.doc_id = g.doc_id
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(documents(spark, sf_dir), percent=85)
