@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiltmeter.llm import chosen_path, exact, mixing, passages, substrings, templates, warc
+from tiltmeter.llm import chosen_path, exact, mixing, passages, quantised, substrings, templates, warc
 from tiltmeter.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -23,6 +23,31 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query(
+    "op1_near_vectors",
+    """
+    WITH RECURSIVE known AS (
+        SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+        WHERE len(embedding) > 0 AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0
+    ), links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM known a JOIN known b ON a.vec_id <> b.vec_id
+        WHERE list_cosine_similarity(a.v, b.v) >= 0.95::DOUBLE
+    ), reach AS (
+        SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+    ), least AS (
+        SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+    ), counts AS (
+        SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+    )
+    SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+    FROM embeddings e JOIN least l USING (vec_id) LEFT JOIN counts c USING (vec_id)
+    """,
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantised.linked_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.95)
+
+
 @query(
     "op3_source_mix",
     rf"""
