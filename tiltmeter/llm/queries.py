@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiltmeter.llm import chosen_path, exact, mixing, passages, quantised, substrings, templates, warc
+from tiltmeter.llm import byte_gru, chosen_path, exact, mixing, passages, quantised, substrings, templates, warc
 from tiltmeter.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -48,6 +48,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantised.linked_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.95)
 
 
+@query("op2_languages")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    langs, network = byte_gru.learn(docs)
+    judged = byte_gru.predict(docs.select("doc_id", "text"), langs, network)
+    return judged.select("doc_id", byte_gru.in_fold().alias("held_out"), "lang_pred", "score")
+
+
 @query(
     "op3_source_mix",
     rf"""
