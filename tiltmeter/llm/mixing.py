@@ -65,15 +65,18 @@ def copies_per_document(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    keyed: bool = False,
 ) -> DataFrame:
     """One row per input row: ``doc_id``, ``size``, ``source_size``, ``target``, ``copies``, ``taken``.
 
     The rate of a source is its target over its size. A document is taken floor(rate) times and once more with the
     probability of the rest, drawn from a hash of its id. Rows that repeat an id share a draw; a NULL id draws as the
     empty one. NULL or blank text has size 0 and is still drawn. NULL is a source of its own. A source of size 0 has
-    target 0 and is not taken. Other columns are not read.
+    target 0 and is not taken. Other columns are not read. ``keyed`` adds ``text_key``, a hash of source and text that
+    tells rows that repeat an id apart.
     """
     rows = docs.select(
+        *([text_key(text_col, source_col).alias("text_key")] if keyed else []),
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         word_count(text_column(docs, text_col)).alias("size"),
@@ -96,5 +99,22 @@ def copies_per_document(
     chosen = draw(F.col("doc_id"), F.col("seed")) < F.col("part") * 2.0**32
     copies = (F.col("whole") + chosen.cast("long")).cast("long")
     return final.withColumn("copies", copies).select(
+        *([F.col("text_key")] if keyed else []),
         "doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
+
+
+def text_key(text_col: str, source_col: str) -> Column:
+    return F.xxhash64(F.col(source_col), F.col(text_col))
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: every input row as many times as it is taken, with all its columns; rows not taken are left out.
+
+    Cases are those of ``copies_per_document``. Rows that are equal in id, source and text are taken alike.
+    """
+    taken = copies_per_document(docs, weights, most, id_col, text_col, source_col, keyed=True)
+    taken = taken.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("copies").alias("__copies")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (text_key(text_col, source_col) == F.col("__key"))
+    rows = docs.join(taken, same)
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).drop("__id", "__key", "__copies", "__copy")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiltmeter.llm import byte_gru, chosen_path, exact, mixing, passages, quantised, substrings, templates, warc
+from tiltmeter.llm import byte_gru, chosen_path, exact, mixing, packing, passages, quantised, substrings, templates, warc
 from tiltmeter.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -98,6 +98,17 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies_per_document(documents(spark, sf_dir))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op4_packed_sequences")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer_path())
+
+
 @query(
     "op5_repeated_passages",
     rf"""
