@@ -1,8 +1,9 @@
 """Winnowed anchors: every window of a text picks the smallest fingerprint of its grams, equal windows pick alike.
 
-The windows of a document that pick the same gram follow one another. They form a slice: ``n`` windows from word or
-byte ``start`` on. Two equal windows lie in slices with the same anchor, so windows need only be compared inside
-anchors, and equal slices only once. A window is never cut and lies in exactly one slice.
+The windows of a document that pick the same gram follow one another. They form a slice: ``n`` windows from a word or
+byte on. Two equal windows lie in slices with the same anchor, so windows need only be compared inside anchors, and
+equal slices only once. A window is never cut and lies in exactly one slice. Equal slices of one document (a period
+repeated thousands of times makes thousands) are one row with all their ``starts``.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from tiltmeter.llm.common import Rolling, as_long, byte_blocks, sliding_argmin, text_column, word_hashes, word_spans, written
 
 WORD_SEED, GRAM_SEED, SLICE_SEED = 11, 12, 13
-SLICES = "doc_id {id}, text_key long, anchor long, slice long, start int, n int"
+SLICES = "doc_id {id}, text_key long, anchor long, slice long, starts array<int>, n int"
 
 
 class Symbols:
@@ -76,10 +77,15 @@ def slice_table(rows: DataFrame, unit: str, window: int, gram: int) -> DataFrame
             for first, _, data, bounds in byte_blocks(batch.column(2)):
                 row, start, n, anchor, prints = slices_of_block(symbols, data, bounds, window, gram)
                 if len(row):
-                    take = pa.array(row + first)
-                    columns = [ids.take(take), keys.take(take), pa.array(anchor), pa.array(prints)]
-                    columns += [pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "anchor", "slice", "start", "n"])
+                    order = np.lexsort((start, prints, anchor, row))
+                    row, start, n, anchor, prints = (x[order] for x in (row, start, n, anchor, prints))
+                    new = np.r_[True, (prints[1:] != prints[:-1]) | (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]
+                    head = np.flatnonzero(new)
+                    starts = pa.ListArray.from_arrays(pa.array(np.r_[head, len(row)].astype(np.int32)), pa.array(start.astype(np.int32)))
+                    take = pa.array(row[head] + first)
+                    columns = [ids.take(take), keys.take(take), pa.array(anchor[head]), pa.array(prints[head])]
+                    columns += [starts, pa.array(n[head].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "anchor", "slice", "starts", "n"])
 
     return rows.mapInArrow(cut, SLICES.format(id=rows.schema["doc_id"].dataType.simpleString()))
 
@@ -106,8 +112,8 @@ def shared_slices(slices: DataFrame) -> DataFrame:
     anchor, slice, n, members (slices equal to it), low (the member with the smallest id), slices (distinct ones of
     the anchor). Equal slices are added up before they move, so copies and common passages cost one row per task.
     """
-    low = F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "text_key", "start")
-    distinct = slices.groupBy("anchor", "slice").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("members"), F.min(low).alias("low"))
+    low = F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "text_key", F.col("starts")[0].alias("start"))
+    distinct = slices.groupBy("anchor", "slice").agg(F.max("n").alias("n"), F.sum(F.size("starts")).alias("members"), F.min(low).alias("low"))
     anchors = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("slices"), F.sum("members").alias("all"))
     return written(distinct.join(anchors.where(F.col("all") > 1).drop("all"), "anchor"))
 

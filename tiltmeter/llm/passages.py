@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiltmeter.llm.anchors import Symbols, in_runs, join_on_row, keyed_text, shared_slices, slice_table, text_of_slices
-from tiltmeter.llm.common import byte_blocks
+from tiltmeter.llm.common import byte_blocks, written
 
 WINDOW_WORDS = 50
 GRAM_WORDS = 12
@@ -90,7 +90,7 @@ def repeated_extensions(extended: DataFrame) -> DataFrame:
 def repeated_windows(docs: DataFrame, window: int = WINDOW_WORDS, gram: int = GRAM_WORDS, id_col: str = "doc_id", text_col: str = "text", anchor_slices: int = ANCHOR_SLICES) -> DataFrame:
     """doc_id, text_key, runs: per document the runs (first window, windows) that also start in a smaller document."""
     rows = keyed_text(docs, id_col, text_col)
-    slices = slice_table(rows, "word", window, gram)
+    slices = written(slice_table(rows, "word", window, gram))
     shared = shared_slices(slices)
     # Anchors with one slice need no extension: that slice is the whole match.
     wanted = shared.where("slices > 1").select(
@@ -108,10 +108,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW_WORDS, gram: int = GR
     again = repeated_extensions(extensions(text_of_slices(rows, wanted), window))
     again = again.groupBy("anchor", "slice").agg(F.flatten(F.collect_list("windows")).alias("windows"))
     known = shared.select("anchor", "slice", "members", F.col("low.doc_id").alias("low_id")).join(again, ["anchor", "slice"], "left")
-    known = known.where((F.col("members") > 1) | F.col("windows").isNotNull())
+    known = written(known.where((F.col("members") > 1) | F.col("windows").isNotNull()))
     later = (F.col("doc_id") > F.col("low_id")) | (F.col("doc_id").isNull() & F.col("low_id").isNotNull())
-    whole = F.array(F.struct(F.col("start").alias("at"), "n"))
-    single = F.transform("windows", lambda w: F.struct((F.col("start") + w).alias("at"), F.lit(1).alias("n")))
+    whole = F.transform("starts", lambda s: F.struct(s.alias("at"), F.col("n").alias("n")))
+    single = F.flatten(F.transform("starts", lambda s: F.transform("windows", lambda w: F.struct((s + w).alias("at"), F.lit(1).alias("n")))))
     hits = slices.join(known, ["anchor", "slice"]).select("doc_id", "text_key", F.when(later, whole).otherwise(single).alias("hit"))
     hits = hits.where(F.col("hit").isNotNull())
     return hits.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("hit")).alias("runs"))

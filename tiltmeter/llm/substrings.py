@@ -34,8 +34,8 @@ ANCHOR_SLICES = 8192
 
 
 def slice_bytes(held: DataFrame, window: int) -> DataFrame:
-    """anchor, slice, members, hot, piece: the bytes of each wanted slice, cut from the text of its holder."""
-    schema = "anchor long, slice long, members long, hot boolean, piece binary"
+    """anchor, slice, members, piece: the bytes of each wanted slice, cut from the text of its holder."""
+    schema = "anchor long, slice long, members long, piece binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -43,7 +43,7 @@ def slice_bytes(held: DataFrame, window: int) -> DataFrame:
             for raw, cuts in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist()):
                 raw = raw.as_py()
                 for c in cuts:
-                    out.append((c["anchor"], c["slice"], c["members"], c["hot"], raw[c["start"] : c["start"] + c["n"] - 1 + window]))
+                    out.append((c["anchor"], c["slice"], c["members"], raw[c["start"] : c["start"] + c["n"] - 1 + window]))
                 if len(out) >= 4096:
                     yield _batch(out)
                     out = []
@@ -51,8 +51,8 @@ def slice_bytes(held: DataFrame, window: int) -> DataFrame:
                 yield _batch(out)
 
     def _batch(out):
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["anchor", "slice", "members", "hot", "piece"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["anchor", "slice", "members", "piece"])
 
     return held.select("text", "cuts").mapInArrow(cut, schema)
 
@@ -118,17 +118,19 @@ def counted_repeats(pieces: DataFrame, window: int) -> DataFrame:
 def repeated_windows(docs: DataFrame, window: int = WINDOW_BYTES, gram: int = GRAM_BYTES, id_col: str = "doc_id", text_col: str = "text", anchor_slices: int = ANCHOR_SLICES) -> DataFrame:
     """doc_id, text_key, runs (first window, windows): the windows of each document that also start elsewhere."""
     rows = keyed_text(docs, id_col, text_col)
-    slices = slice_table(rows, "byte", window, gram)
+    slices = written(slice_table(rows, "byte", window, gram))
     shared = shared_slices(slices)
     cut = F.struct(F.col("low.start").alias("start"), "n", "anchor", "slice", "members", (F.col("slices") > anchor_slices).alias("hot"))
     wanted = shared.select(F.col("low.doc_id").alias("doc_id"), F.col("low.text_key").alias("text_key"), cut.alias("cut"))
-    pieces = written(slice_bytes(text_of_slices(rows, wanted), window))
-    found = shard_repeats(pieces.where("not hot"), window).unionByName(counted_repeats(pieces.where("hot"), window))
+    found = shard_repeats(slice_bytes(text_of_slices(rows, wanted.where("not cut.hot")), window), window)
+    hot = wanted.where("cut.hot")
+    if not hot.isEmpty():
+        found = found.unionByName(counted_repeats(slice_bytes(text_of_slices(rows, hot), window), window))
     found = found.groupBy("anchor", "slice").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     known = shared.select("anchor", "slice", "members").join(found, ["anchor", "slice"], "left")
-    known = known.where((F.col("members") > 1) | F.col("runs").isNotNull())
-    whole = F.array(F.struct(F.col("start").alias("at"), "n"))
-    some = F.transform("runs", lambda r: F.struct((F.col("start") + r["at"]).alias("at"), r["n"].alias("n")))
+    known = written(known.where((F.col("members") > 1) | F.col("runs").isNotNull()))
+    whole = F.transform("starts", lambda s: F.struct(s.alias("at"), F.col("n").alias("n")))
+    some = F.flatten(F.transform("starts", lambda s: F.transform("runs", lambda r: F.struct((s + r["at"]).alias("at"), r["n"].alias("n")))))
     hits = slices.join(known, ["anchor", "slice"])
     hits = hits.select("doc_id", "text_key", F.when(F.col("members") > 1, whole).otherwise(some).alias("hit"))
     return hits.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("hit")).alias("runs"))

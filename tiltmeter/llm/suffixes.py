@@ -68,23 +68,38 @@ def _ranks(key: np.ndarray) -> np.ndarray:
     return np.unique(key, return_inverse=True)[1].astype(np.int64)
 
 
-def sort_names(names: np.ndarray, marks: np.ndarray, depth: int, n: int) -> np.ndarray:
-    """The marks in the order of their suffixes, to ``depth`` bytes: pairs of names are named until they tell apart."""
-    count, reach, at = len(names), 1, np.r_[marks, n]
-    while True:
-        order = np.argsort(names, kind="stable")
-        same = names[order][1:] == names[order][:-1]
-        if not same.any():
-            break
-        held = np.unique(np.r_[order[1:][same], order[:-1][same]])
-        covers = at[np.minimum(held + reach, count)] - marks[held]
-        if (covers >= depth).all():
+def sort_names(names: np.ndarray, marks: np.ndarray, depth: int, ends: np.ndarray) -> np.ndarray:
+    """The marks in the order of their suffixes, to ``depth`` bytes or the end of their string (``ends``).
+
+    A name is the place of its group in the order. Each round looks at the groups that still have several members, adds
+    the name as far behind as the group's names reach, and so names twice as much.
+    """
+    count = len(names)
+    order = np.argsort(names, kind="stable")
+    sorted_names = names[order]
+    new = np.r_[True, sorted_names[1:] != sorted_names[:-1]]
+    place = np.empty(count + 1, dtype=np.int64)
+    place[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
+    place[count] = -1
+    at = np.r_[marks, np.iinfo(np.int64).max // 2]
+    alone = new & np.r_[new[1:], True]
+    slots, reach = np.flatnonzero(~alone), 1
+    while len(slots):
+        held = order[slots]
+        behind = np.minimum(held + reach, count)
+        open_ = (at[behind] - marks[held] < depth) & (at[behind] < ends[held])
+        # A group has one reading, so it is open or closed as a whole unless its members end; those need no order.
+        slots, held, behind = slots[open_], held[open_], behind[open_]
+        if not len(slots):
             break
-        # Unique names keep their place; only the others look further.
-        behind = np.where(held + reach < count, names[np.minimum(held + reach, count - 1)] + 1, 0)
-        wider = names * (count + 2)
-        wider[held] += behind
-        names = _ranks(wider)
+        key = place[held] * (count + 1) + place[behind] + 1
+        sort = np.argsort(key)
+        held, key = held[sort], key[sort]
+        new = np.r_[True, key[1:] != key[:-1]]
+        first = slots[np.flatnonzero(new)][np.cumsum(new) - 1]
+        order[slots] = held
+        place[held] = first
+        slots = slots[~(new & np.r_[new[1:], True])]
         reach *= 2
     return marks[order]
 
@@ -169,7 +184,8 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     marks = leftmost_smaller(smaller)
     if len(marks):
         names = substring_names(text, marks)
-        marks = sort_names(names, marks, depth, len(text))
+        closing = np.flatnonzero(text == END)
+        marks = sort_names(names, marks, depth, closing[np.searchsorted(closing, marks)])
     return induce(text, smaller, marks)
 
 
