@@ -210,14 +210,14 @@ def predict(docs: DataFrame, langs: list[str], network: Network | None, text_col
         return pd.DataFrame({"label": label.astype(np.int32), "score": chances[np.arange(len(label)), label]})
 
     names = F.array(*[F.lit(x) for x in langs])
-    judged = docs.withColumn("__judged", judge(text_column(docs, text_col)))
-    known = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    return judged.withColumns(
-        {
-            "lang_pred": F.when(known, F.element_at(names, F.col("__judged.label") + 1)).otherwise(UNDETERMINED),
-            "score": F.when(known, F.least(F.col("__judged.score"), F.lit(1.0))).otherwise(0.0),
-        }
-    ).drop("__judged")
+    text = F.col("row")[text_col]
+    known = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    judged = docs.select(F.struct(*docs.columns).alias("row"), judge(text_column(docs, text_col)).alias("judged"))
+    return judged.select(
+        *[F.col("row")[c].alias(c) for c in docs.columns],
+        F.when(known, F.element_at(names, F.col("judged.label") + 1)).otherwise(UNDETERMINED).alias("lang_pred"),
+        F.when(known, F.least(F.col("judged.score"), F.lit(1.0))).otherwise(0.0).alias("score"),
+    )
 
 
 def segment_chances(network: Network, segments: np.ndarray, length: np.ndarray) -> np.ndarray:

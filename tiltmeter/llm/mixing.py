@@ -114,7 +114,8 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS,
     Cases are those of ``copies_per_document``. Rows that are equal in id, source and text are taken alike.
     """
     taken = copies_per_document(docs, weights, most, id_col, text_col, source_col, keyed=True)
-    taken = taken.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("copies").alias("__copies")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (text_key(text_col, source_col) == F.col("__key"))
-    rows = docs.join(taken, same)
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).drop("__id", "__key", "__copies", "__copy")
+    taken = taken.where("copies > 0").select("doc_id", "text_key", "copies").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("row_id"), text_key(text_col, source_col).alias("row_key"))
+    rows = rows.join(taken, F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_key") == F.col("text_key")))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
