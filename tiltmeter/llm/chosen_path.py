@@ -9,11 +9,13 @@ Two passes keep the work on links that matter for the components:
 
 1. Every small node proposes a maximum spanning forest of its likely pairs, every large one a star around its smallest
    class. The proposals are confirmed on full sets and give a first labelling.
-2. Nodes that still hold several labels are compared exhaustively, but only between labels; large ones branch on until
-   they are small. What is large at the last level is compared in blocks, the classes outside its most
-   frequent label against all.
+2. Nodes that still hold several labels are compared exhaustively, on full sets and at once: the sizes of all
+   intersections are one product of incidence matrices. They return links between labels, a forest of them. Large
+   nodes branch on until they are small; what is large at the last level is compared in blocks, the classes outside its
+   most frequent label against all.
 
-So a group of near copies costs a star and not all its pairs, and no candidate pair between two components is left out.
+So a group of near copies costs a star and not all its pairs, no pair leaves a node unconfirmed in the second pass, and
+none between two labels is left out.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +36,15 @@ POSITIONS = 64
 #: Independent trees, positions selected in a node, levels of branching.
 TREES = 4
 BRANCHES = 2
-LEVELS = 4
+LEVELS = 3
 #: Classes of a node that is compared exhaustively in one place.
-SMALL_NODE = 96
+SMALL_NODE = 256
 #: Rows of a block of a large node at the last level.
 BLOCK_ROWS = 512
-PART_ROWS = 4096
+PART_ROWS = 2048
+#: Shingles in the columns of an incidence matrix, and bytes of sets read at once.
+WORD_COLUMNS = 4096
+SET_BYTES = 8 << 20
 #: Estimates this far below the threshold are still confirmed: four standard deviations of 64 tokens.
 SLACK = 0.2
 
@@ -156,35 +162,27 @@ def _edge_schema(kind: str) -> str:
     return f"a_id {kind}, a_key long, b_id {kind}, b_key long"
 
 
-def small_node_pairs(members: DataFrame, percent: int, labelled: bool) -> DataFrame:
-    """Likely pairs of the nodes in (path, doc_id, text_key, n, tokens[, label]): a spanning forest of each node, or,
-    with labels, all pairs of different labels."""
+def small_node_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Spanning forests of the likely pairs of each node in (path, doc_id, text_key, n, tokens)."""
     kind = members.schema["doc_id"].dataType.simpleString()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in in_runs(batches, "path", lambda t: np.ones(t.num_rows, np.int64), 1 << 13):
             path, n = run.column("path").to_numpy(), run.column("n").to_numpy()
             tokens = _tokens_of(run)
-            label = run.column("label").combine_chunks().dictionary_encode().indices.to_numpy() if labelled else None
             firsts = np.r_[np.flatnonzero(np.r_[True, path[1:] != path[:-1]]), len(path)]
             left, right = [], []
             for a, b in zip(firsts[:-1], firsts[1:]):
                 if b - a < 2:
                     continue
                 estimate = _likely(tokens[a:b], tokens[a:b], n[a:b], n[a:b], percent)
-                if labelled:
-                    i, j = np.nonzero(np.triu(estimate >= 0, 1) & (label[a:b, None] != label[None, a:b]))
-                    left += (a + i).tolist()
-                    right += (a + j).tolist()
-                else:
-                    for i, j in spanning_forest(estimate):
-                        left.append(a + i)
-                        right.append(a + j)
+                for i, j in spanning_forest(estimate):
+                    left.append(a + i)
+                    right.append(a + j)
             if left:
                 yield _pairs(run, np.array(left), np.array(right))
 
-    columns = ["path", "doc_id", "text_key", "n", "tokens"] + ["label"] * labelled
-    dealt = members.select(*columns).repartition("path").sortWithinPartitions("path")
+    dealt = members.select("path", "doc_id", "text_key", "n", "tokens").repartition("path").sortWithinPartitions("path")
     return dealt.mapInArrow(compare, _edge_schema(kind))
 
 
@@ -213,38 +211,112 @@ def star_pairs(members: DataFrame, leaders: DataFrame, percent: int) -> DataFram
     return both.select("doc_id", "text_key", "n", "tokens", "l_id", "l_key", "l_n", "l_tokens").mapInArrow(compare, _edge_schema(kind))
 
 
-def block_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of different labels in large nodes: rows outside the leading label, in blocks, against all rows.
+def full_sets(texts: DataFrame, width: int) -> DataFrame:
+    """doc_id, text_key, shingles (sorted fingerprints)."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
 
-    ``members``: path, doc_id, text_key, n, tokens, label, size, lead (its most frequent label), minor (rows outside).
-    A row meets each block of minor rows of its node once; pairs of blocks are groups of bounded size.
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(width)
+        for batch in batches:
+            found = pa.array([s.tobytes() for s in shingler.sets(batch.column(2))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=["doc_id", "text_key", "shingles"])
+
+    return texts.select("doc_id", "text_key", "text").mapInArrow(build, f"doc_id {kind}, text_key long, shingles binary")
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set, by products of incidence matrices."""
+    count = np.zeros((len(left), len(right)), dtype=np.float32)
+    sides = []
+    for sets in (left, right):
+        sides.append((np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+    words = np.intersect1d(sides[0][0], sides[1][0])
+    spots = []
+    for values, row in sides:
+        spot = np.minimum(np.searchsorted(words, values), max(0, len(words) - 1))
+        known = words[spot] == values if len(words) else np.zeros(len(values), bool)
+        order = np.argsort(spot[known], kind="stable")
+        spots.append((spot[known][order], row[known][order]))
+    for at in range(0, len(words), WORD_COLUMNS):
+        blocks = []
+        for (spot, row), sets in zip(spots, (left, right)):
+            a, b = np.searchsorted(spot, [at, at + WORD_COLUMNS])
+            block = np.zeros((len(sets), min(WORD_COLUMNS, len(words) - at)), dtype=np.float32)
+            block[row[a:b], spot[a:b] - at] = 1
+            blocks.append(block)
+        count += blocks[0] @ blocks[1].T
+    return count.astype(np.int64)
+
+
+def label_links(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Positions of confirmed links between different labels, left to right, that tie the labels to a forest."""
+    sizes = np.array([len(x) for x in sets])
+    found: dict[tuple[int, int], tuple[int, int]] = {}
+    for at in range(0, len(right), PART_ROWS):
+        some = right[at : at + PART_ROWS]
+        both = shared_counts([sets[i] for i in left], [sets[j] for j in some])
+        apart = label[left][:, None] != label[some][None, :]
+        i, j = np.nonzero(apart & (100 * both >= percent * (sizes[left][:, None] + sizes[some][None, :] - both)))
+        pairs = np.stack([label[left[i]], label[some[j]]], axis=1)
+        for k in np.unique(np.sort(pairs, axis=1), axis=0, return_index=True)[1] if len(i) else ():
+            found.setdefault(tuple(sorted(pairs[k].tolist())), (int(left[i[k]]), int(some[j[k]])))
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for (a, b), link in found.items():
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            out.append(link)
+    return out
+
+
+def node_links(members: DataFrame, percent: int) -> DataFrame:
+    """a, b: confirmed links between the labels of each group in (group, side, doc_id, label, shingles).
+
+    Side 2 is compared with itself; otherwise side 0 with side 1.
     """
     kind = members.schema["doc_id"].dataType.simpleString()
-    is_minor = F.col("label") != F.col("lead")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = lambda t: 1 + pc.binary_length(t.column("shingles")).to_numpy(zero_copy_only=False).astype(np.int64)
+        for run in in_runs(batches, "group", sizes, SET_BYTES):
+            group, side = run.column("group").to_numpy(), run.column("side").to_numpy()
+            label = run.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in run.column("shingles").to_pylist()]
+            left, right = [], []
+            firsts = np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(group)]
+            for a, b in zip(firsts[:-1], firsts[1:]):
+                one, other = a + np.flatnonzero(side[a:b] != 1), a + np.flatnonzero(side[a:b] != 0)
+                if len(one) and len(other):
+                    for i, j in label_links(sets, label, one, other, percent):
+                        left.append(i)
+                        right.append(j)
+            if left:
+                ids = run.column("doc_id").combine_chunks()
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(left)), ids.take(pa.array(right))], names=["a", "b"])
+
+    dealt = members.select("group", "side", "doc_id", "label", "shingles").repartition("group").sortWithinPartitions("group")
+    return dealt.mapInArrow(compare, f"a {kind}, b {kind}")
+
+
+def blocks_of_large(members: DataFrame) -> DataFrame:
+    """Large nodes as groups of bounded size: rows outside the most frequent label, in blocks, with parts of all rows.
+
+    ``members``: path, doc_id, text_key, label, size, lead (the most frequent label), minor (rows outside it).
+    """
     n_blocks = F.ceil(F.col("minor") / BLOCK_ROWS).cast("int")
     n_parts = F.ceil(F.col("size") / PART_ROWS).cast("int")
-    minor = members.where(is_minor).withColumn("block", F.pmod(F.xxhash64("text_key"), n_blocks).cast("int"))
+    minor = members.where(F.col("label") != F.col("lead")).withColumn("block", F.pmod(F.xxhash64("text_key"), n_blocks).cast("int"))
     left = minor.withColumn("part", F.explode(F.sequence(F.lit(0), n_parts - 1))).withColumn("side", F.lit(0))
     right = members.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_key"), n_parts).cast("int"))
-    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    right = right.withColumn("side", F.lit(1))
-    columns = ["group", "side", "doc_id", "text_key", "n", "tokens", "label"]
+    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1))).withColumn("side", F.lit(1))
     both = left.unionByName(right).withColumn("group", F.xxhash64("path", "block", "part"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in in_runs(batches, "group", lambda t: np.ones(t.num_rows, np.int64), 1):
-            side, n, tokens = run.column("side").to_numpy(), run.column("n").to_numpy(), _tokens_of(run)
-            label = run.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
-            a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            for at in range(0, len(b), PART_ROWS):
-                some = b[at : at + PART_ROWS]
-                estimate = _likely(tokens[a], tokens[some], n[a], n[some], percent)
-                i, j = np.nonzero((estimate >= 0) & (label[a][:, None] != label[some][None, :]))
-                if len(i):
-                    yield _pairs(run, a[i], some[j])
-
-    dealt = both.select(*columns).repartition("group").sortWithinPartitions("group")
-    return dealt.mapInArrow(compare, _edge_schema(kind))
+    return both.select("group", "side", "doc_id", "text_key", "label")
 
 
 def confirmed(edges: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -306,15 +378,15 @@ def near_duplicates(
     large = nodes.where(F.col("size") > small_node)
     leaders = large.where((F.col("lead.doc_id") == F.col("doc_id")) & (F.col("lead.text_key") == F.col("text_key")))
     leaders = leaders.select("path", F.col("doc_id").alias("l_id"), F.col("text_key").alias("l_key"), F.col("n").alias("l_n"), F.col("tokens").alias("l_tokens"))
-    first = small_node_pairs(nodes.where(F.col("size") <= small_node), percent, labelled=False)
+    first = small_node_pairs(nodes.where(F.col("size") <= small_node), percent)
     first = first.unionByName(star_pairs(large, leaders, percent))
     met = nodes.select("doc_id", "text_key").distinct()
     texts = written(rows.join(met, ["doc_id", "text_key"]))
     proved = confirmed(first, texts, width, percent)
 
     labels = components(proved)
-    second = _between_labels(nodes, labels, percent, levels, small_node)
-    more = confirmed(second, texts, width, percent)
+    sets_of = full_sets(texts, width)
+    more = written(_between_labels(nodes, labels, sets_of, percent, levels, small_node))
     reps = classes.select("s1", "s2", "n", F.col("doc_id").alias("node"))
     # Rows that repeat an id with other texts tie their classes together.
     again = real.groupBy("doc_id").agg(F.min(F.struct("s1", "s2", "n")).alias("x"), F.max(F.struct("s1", "s2", "n")).alias("y"))
@@ -328,28 +400,28 @@ def near_duplicates(
     return linked.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _between_labels(nodes: DataFrame, labels: DataFrame, percent: int, levels: int, small_node: int) -> DataFrame:
-    """Likely pairs of different labels in all nodes that hold several."""
+def _between_labels(nodes: DataFrame, labels: DataFrame, sets_of: DataFrame, percent: int, levels: int, small_node: int) -> DataFrame:
+    """a, b: confirmed links between different labels, from all nodes that hold several."""
     labels = labels.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "label")
-    known = nodes.select("path", "doc_id", "text_key", "n", "tokens").join(labels, "doc_id", "left")
+    known = nodes.select("path", "doc_id", "text_key", "tokens").join(labels, "doc_id", "left")
     known = known.withColumn("label", F.coalesce("label", "doc_id"))
-    pairs = None
+    groups = None
     for level in range(1, levels + 1):
-        mixed = known.groupBy("path").agg(
-            F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")
-        )
-        mixed = mixed.where("low <> high").drop("low", "high")
-        known = written(known.join(mixed, "path"))
-        found = small_node_pairs(known.where(F.col("size") <= small_node), percent, labelled=True)
-        pairs = found if pairs is None else pairs.unionByName(found)
+        mixed = known.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
+        known = written(known.join(mixed.where("low <> high").drop("low", "high"), "path"))
+        small = known.where(F.col("size") <= small_node)
+        small = small.select(F.col("path").alias("group"), F.lit(2).alias("side"), "doc_id", "text_key", "label")
+        groups = small if groups is None else groups.unionByName(small)
         large = known.where(F.col("size") > small_node)
         if large.isEmpty():
-            return pairs
+            break
         if level < levels:
             grown = children(large.select("path", "doc_id", "text_key", "tokens"))
-            carried = large.select("doc_id", "text_key", "n", "tokens", "label").dropDuplicates(["doc_id", "text_key"])
+            carried = large.select("doc_id", "text_key", "tokens", "label").dropDuplicates(["doc_id", "text_key"])
             known = grown.join(carried, ["doc_id", "text_key"])
-    counts = large.groupBy("path", "label").agg(F.count(F.lit(1)).alias("of"))
-    lead = counts.groupBy("path").agg(F.max(F.struct("of", "label")).alias("most"), F.sum("of").alias("size"))
-    lead = lead.select("path", F.col("most.label").alias("lead"), (F.col("size") - F.col("most.of")).alias("minor"), "size")
-    return pairs.unionByName(block_pairs(large.drop("size", "lead").join(lead, "path"), percent))
+        else:
+            counts = large.groupBy("path", "label").agg(F.count(F.lit(1)).alias("of"))
+            lead = counts.groupBy("path").agg(F.max(F.struct("of", "label")).alias("most"), F.sum("of").alias("size"))
+            lead = lead.select("path", F.col("most.label").alias("lead"), (F.col("size") - F.col("most.of")).alias("minor"))
+            groups = groups.unionByName(blocks_of_large(large.join(lead, "path")))
+    return node_links(groups.join(sets_of, ["doc_id", "text_key"]), percent)
