@@ -165,8 +165,12 @@ LINES_SQL = rf"""
     rows AS (
         SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents
     ), lines AS (
-        SELECT doc_id, md5(text) AS text_key, pos, regexp_extract_all(regexp_replace(lines[pos], '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '{templates.WILD}', 'g'), '[^\x20\x09-\x0D]+') AS parts
-        FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS pos FROM rows)
+        SELECT doc_id, text_key, pos, CASE WHEN len(wild) - len(list_filter(wild, lambda t: contains(t, '{templates.WILD}'))) >= {templates.CONSTANT}::DOUBLE * len(wild) THEN wild ELSE plain END AS parts
+        FROM (
+            SELECT doc_id, md5(text) AS text_key, pos, regexp_extract_all(lines[pos], '[^\x20\x09-\x0D]+') AS plain,
+                regexp_extract_all(regexp_replace(lines[pos], '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '{templates.WILD}', 'g'), '[^\x20\x09-\x0D]+') AS wild
+            FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS pos FROM rows)
+        )
     ), masked AS (
         SELECT *, array_to_string(parts, ' ') AS line, len(parts)::VARCHAR || chr(10) || array_to_string(parts[1:{templates.LEADING}], ' ') AS leaf
         FROM lines WHERE len(parts) >= {templates.LEAST_TOKENS}

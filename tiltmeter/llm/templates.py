@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiltmeter.llm.common import WORD_PATTERN, text_column, written
+from tiltmeter.llm.common import SPACE_PATTERN, text_column, written
 
 LEADING = 3
 LEAST_TOKENS = 3
@@ -19,34 +19,51 @@ LEAST_TOKENS = 3
 RECORD_TOKENS = 24
 #: Share of positions that must be constant in a leaf for it to be one template.
 SIMILARITY = 0.7
+#: Share of a line's tokens that must not be wild.
+CONSTANT = 0.5
 #: A template recurs if it stands in so many documents.
 LEAST_DOCS = 10
 WILD = "<*>"
-FIELD_PATTERN = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
+#: From the first byte of a token, without going back.
+FIELD_PATTERN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
-def masked_tokens(line: Column) -> Column:
-    """The tokens of a line, those with a digit as a wild card."""
-    return F.regexp_extract_all(F.regexp_replace(line, FIELD_PATTERN, WILD), F.lit(WORD_PATTERN), F.lit(0))
+def masked_line(line: Column) -> Column:
+    """The tokens of a line joined by one space, those with a digit as a wild card. Most lines are so already.
+
+    A line that would be left with too few constant tokens (a row of numbers) stays as it is: what it shares with
+    others is only its length.
+    """
+    untidy = line.rlike(r"[0-9\x09\x0B-\x0D]|^\x20|\x20\x20|\x20$")
+    tidy = F.trim(F.regexp_replace(line, SPACE_PATTERN + "+", " "))
+    wild = F.regexp_replace(tidy, FIELD_PATTERN, WILD)
+    constant = _tokens(wild) - (F.length(wild) - F.length(F.replace(wild, F.lit(WILD), F.lit("")))) / len(WILD)
+    return F.when(untidy, F.when(constant >= CONSTANT * _tokens(wild), wild).otherwise(tidy)).otherwise(line)
+
+
+def _tokens(masked: Column) -> Column:
+    spaces = F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit("")))
+    return F.when(masked == "", 0).otherwise(spaces + 1)
 
 
 def line_table(docs: DataFrame, leading: int, id_col: str, text_col: str) -> DataFrame:
-    """A row per line of at least LEAST_TOKENS tokens: doc_id, text_key, pos, tokens, masked, leaf, k1, k2."""
+    """A row per line of at least LEAST_TOKENS tokens: doc_id, text_key, pos, tokens, leaf, k1, k2, and for lines that
+    leaves may generalise their masked text. Kept in the shared folder, since every step below reads it."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_column(docs, text_col).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.select("doc_id", "text_key", "pos", masked_tokens(F.col("line")).alias("parts"))
-    rows = rows.withColumn("tokens", F.size("parts")).where(F.col("tokens") >= LEAST_TOKENS)
-    masked = F.array_join("parts", " ")
-    return rows.select(
+    rows = rows.select("doc_id", "text_key", "pos", masked_line(F.col("line")).alias("masked"))
+    rows = rows.withColumn("tokens", _tokens(F.col("masked")))
+    table = rows.select(
         "doc_id",
         "text_key",
         "pos",
         "tokens",
-        masked.alias("masked"),
-        F.xxhash64("tokens", F.slice("parts", 1, leading)).alias("leaf"),
-        F.xxhash64(masked).alias("k1"),
-        F.xxhash64(F.lit("line"), masked).alias("k2"),
+        F.when(F.col("tokens") <= RECORD_TOKENS, F.col("masked")).alias("masked"),
+        F.xxhash64("tokens", F.substring_index("masked", " ", leading)).alias("leaf"),
+        F.xxhash64("masked").alias("k1"),
+        F.xxhash64(F.lit("line"), "masked").alias("k2"),
     )
+    return written(table).where(F.col("tokens") >= LEAST_TOKENS)
 
 
 def generalised_leaves(lines: DataFrame, leading: int, least_docs: int, similarity: float) -> DataFrame:
@@ -99,16 +116,16 @@ def drop_recurring_lines(
     stay as they are. No rows in, no rows out.
     """
     gone = recurring_lines(docs, least_docs, leading, similarity, id_col, text_col)
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("positions").alias("__gone"))
     docs = docs.drop("n_lines", "n_removed")
-    key = F.xxhash64(text_column(docs, text_col))
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left").drop("__id", "__key")
-    parts = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    return joined.withColumns(
-        {
-            "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long"),
-            "n_removed": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"),
-            text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept),
-        }
-    ).drop("__gone")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("row_id"), F.xxhash64(text_column(docs, text_col)).alias("row_key"))
+    same = F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_key") == F.col("text_key"))
+    rows = rows.join(gone, same, "left")
+    text, positions = F.col("row")[text_col], F.col("positions")
+    parts = F.split(text, "\n")
+    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(positions, i)), "\n")
+    changed = F.when(positions.isNull(), text).otherwise(kept)
+    return rows.select(
+        *[(changed if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns],
+        F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
+        F.when(positions.isNull(), 0).otherwise(F.size(positions)).cast("long").alias("n_removed"),
+    )
