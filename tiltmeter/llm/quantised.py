@@ -1,6 +1,6 @@
 """Near-duplicate vectors by product quantisation: coarse lists, residual codes, table distances, exact rerank.
 
-Vectors are scaled to length one, where a cosine of c is a distance of sqrt(2 - 2c). Coarse centres and the codebooks of
+Vectors are brought to length one, where a cosine of c is a distance of sqrt(2 - 2c). Coarse centres and the codebooks of
 the residuals are trained on a bounded sample; every vector is indexed. Each vector enters the lists of its nearest
 centres (the probes), so two vectors meet if their probes have a list in common, whoever asks. Inside a list one side is
 a query with a table of distances to all codewords and the other a code; since the distance of a vector to its code is
@@ -100,11 +100,11 @@ def unit_points(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     raw = F.col(vector_col).cast("array<double>")
     finite = F.forall(raw, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     largest = F.array_max(F.transform(raw, F.abs))
-    scaled = F.transform("raw", lambda x: x / F.col("largest"))
+    shrunk = F.transform("raw", lambda x: x / F.col("largest"))
     rows = vectors.select(F.col(id_col).alias("vec_id"), raw.alias("raw"), F.when(finite, largest).alias("largest"))
-    rows = rows.withColumn("scaled", F.when(F.col("largest") > 0, scaled))
-    norm = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda t, x: t + x * x))
-    return rows.select("vec_id", F.transform("scaled", lambda x: x / norm).alias("point"))
+    rows = rows.withColumn("shrunk", F.when(F.col("largest") > 0, shrunk))
+    norm = F.sqrt(F.aggregate("shrunk", F.lit(0.0), lambda t, x: t + x * x))
+    return rows.select("vec_id", F.transform("shrunk", lambda x: x / norm).alias("point"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
