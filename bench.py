@@ -15,7 +15,7 @@ from tiltmeter.plans.registry import load_all  # noqa: E402
 from tiltmeter.session import build_session  # noqa: E402
 
 HEADLINE = (
-    "rate_at_scale",
+    "rate_at_volume",
     "opinion_rate_by_run",
     "accuracy_controlled_rate",
     "answer_letter_extraction",
@@ -29,7 +29,7 @@ HEADLINE = (
     "significance",
     "rtn_per_group",
     "mse_range",
-    "best_scale",
+    "best_pitch",
     "magnitude_prune",
     "activation_prune",
     "bipartite_merge",

@@ -19,20 +19,20 @@ def matrix_table(spark, m, name="w"):
     return spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], f"row_id long, {name} array<double>")
 
 
-def snap4(v, scale, zero):
-    return (np.clip(np.rint(v / scale) + zero, 0, 15) - zero) * scale
+def snap4(v, pitch, zero):
+    return (np.clip(np.rint(v / pitch) + zero, 0, 15) - zero) * pitch
 
 
 def params4(v):
-    scale = max(v.max() - v.min(), 1e-5) / 15
-    return scale, np.clip(-np.rint(v.min() / scale), 0, 15)
+    pitch = max(v.max() - v.min(), 1e-5) / 15
+    return pitch, np.clip(-np.rint(v.min() / pitch), 0, 15)
 
 
 def test_error_feedback_column_by_column(spark):
     w, x = RNG.normal(size=(6, 8)), RNG.normal(size=(40, 8))
     x[:, 5] = 0
     table = spark.createDataFrame([(i // 10, [float(v) for v in r]) for i, r in enumerate(x)], "batch long, x array<double>")
-    factor = G.inverse_factor(G.scaled_hessian(table, "batch"), by_diagonal=True)
+    factor = G.inverse_factor(G.pitched_hessian(table, "batch"), by_diagonal=True)
     got = {r["row_id"]: r for r in G.error_feedback(matrix_table(spark, w), factor, IntFormat(4), 4, block=3, rows_per_block=4).collect()}
 
     h = 2 / 4 * x.T @ x
@@ -51,8 +51,8 @@ def test_error_feedback_column_by_column(spark):
             if c % 3 == 0:
                 seen = live.copy()
             if c % 4 == 0:
-                scale, zero = params4(seen[c : c + 4])
-            q = snap4(live[c], scale, zero)
+                pitch, zero = params4(seen[c : c + 4])
+            q = snap4(live[c], pitch, zero)
             err = (live[c] - q) / u[c, c]
             loss += err**2 / 2
             snapped[c] = q
@@ -75,14 +75,14 @@ def test_proximal_zeros_stop_for_the_whole_tensor(spark):
     rows = Q.quantise(matrix_table(spark, w), fmt, group=8)
     got = {(r["row_id"], r["group"]): r for r in N.proximal_zeros(rows, fmt, ["row_id", "group"]).collect()}
     v = w.reshape(-1, 8)
-    scale = np.maximum(v.max(1) - v.min(1), 1e-5)[:, None] / 15
-    zero = np.clip(-np.rint(v.min(1)[:, None] / scale), 0, 15)
+    pitch = np.maximum(v.max(1) - v.min(1), 1e-5)[:, None] / 15
+    zero = np.clip(-np.rint(v.min(1)[:, None] / pitch), 0, 15)
     best, steps = 1e4, 0
     for steps in range(20):
-        q = np.clip(np.rint(v / scale + zero), 0, 15)
-        gap = v - (q - zero) * scale
+        q = np.clip(np.rint(v / pitch + zero), 0, 15)
+        gap = v - (q - zero) * pitch
         e = np.sign(gap) * np.maximum(np.abs(gap) - 0.1 * np.abs(gap) ** -0.3, 0)
-        zero = (q - (v - e) / scale).mean(1, keepdims=True)
+        zero = (q - (v - e) / pitch).mean(1, keepdims=True)
         error = np.abs(gap).mean()
         if error >= best:
             break
@@ -92,41 +92,26 @@ def test_proximal_zeros_stop_for_the_whole_tensor(spark):
         assert r["steps"] == steps
 
 
-def slow_clip(counts, low, high, levels, step):
-    """The search step by step, with every quantile step taken."""
-    bins, width = len(counts), (high - low) / len(counts)
-    below, total = np.cumsum(counts), sum(counts)
-    alpha, beta, first, last, best = 0.0, 1.0, 0, bins - 1, float("inf")
-    while alpha < beta:
-        na, nb = alpha + step, beta - step
-        left, right = first, last
-        while left < last and below[left] < na * total:
-            left += 1
-        while right > first and below[right] > nb * total:
-            right -= 1
-        nf, nl = first, last
-        if left - first > last - right:
-            nf, alpha = left, na
-        else:
-            nl, beta = right, nb
-        if (nf, nl) == (first, last):
-            continue
-        error = N.clipping_error(counts, width, nf, nl, levels)
-        if error > best:
-            break
-        best, first, last = error, nf, nl
-    return low + width * first, low + width * (last + 1)
-
-
 @pytest.mark.parametrize("seed", range(6))
-def test_histogram_search_takes_no_shortcut_that_matters(seed):
+def test_histogram_search_ends_where_the_error_stops_falling(seed):
     rng = np.random.default_rng(seed)
     values = rng.standard_t(3, size=4000) if seed % 2 else rng.exponential(size=4000)
     counts, edges = np.histogram(values, bins=64)
-    step = 1e-4
-    assert N.clip_histogram(counts.astype(float), edges[0], edges[-1], 16, step) == pytest.approx(
-        slow_clip(counts.astype(float), edges[0], edges[-1], 16, step)
-    )
+    counts, width, step = counts.astype(float), (edges[-1] - edges[0]) / 64, 1e-4
+    low, high = N.clip_histogram(counts, edges[0], edges[-1], 16, step)
+    first, last = round((low - edges[0]) / width), round((high - edges[0]) / width) - 1
+    here = N.clipping_error(counts, width, first, last, 16)
+    assert 0 <= first <= last < 64
+    moves = N.range_moves(counts, step)
+    errors = [np.inf, *(N.clipping_error(counts, width, *ends, 16) for ends in moves[1:])]
+    assert (first, last) in moves
+    at = moves.index((first, last))
+    assert errors[: at + 1] == sorted(errors[: at + 1], reverse=True) and (at + 1 == len(moves) or errors[at + 1] > here)
+
+
+def test_range_moves_give_up_bins_of_both_sides():
+    """Empty bins at the left go at once, because the right end gives up fewer; the full ones go one by one."""
+    assert N.range_moves(np.array([0.0, 0.0, 4.0, 4.0, 1.0, 1.0]), 0.05) == [(0, 5), (2, 5), (2, 4), (2, 3), (2, 2)]
 
 
 def test_clipping_error_is_the_error_of_the_grid():
@@ -155,7 +140,7 @@ def test_histogram_range_merges_in_batch_order(spark):
             counts += merged if same else N.widen(merged, low, high, new_low, new_high)
         merged, low, high = counts, new_low, new_high
     assert (got["seen_low"], got["seen_high"]) == pytest.approx((low, high))
-    assert (got["low"], got["high"]) == pytest.approx(slow_clip(merged, low, high, 256, 1e-5), abs=(high - low) / 32 + 1e-9)
+    assert (got["low"], got["high"]) == pytest.approx(N.clip_histogram(merged, low, high, 256, 1e-5), abs=(high - low) / 32 + 1e-9)
     assert merged.sum() == pytest.approx(1000)
 
 
@@ -175,7 +160,7 @@ def test_snapped_values_stay_within_half_a_step(spark):
     table = matrix_table(spark, RNG.normal(size=(20, 32)))
     for fmt in (IntFormat(4), IntFormat(8), IntFormat(3)):
         for r in Q.quantise(table, fmt, group=16).collect():
-            v, s, z = np.array(r["v"]), r["scale"], r["zero"]
+            v, s, z = np.array(r["v"]), r["pitch"], r["zero"]
             inside = (v >= (fmt.low - z) * s) & (v <= (fmt.high - z) * s)
             assert (np.abs(np.array(r["snapped"]) - v)[inside] <= s / 2 + 1e-12).all()
 
@@ -186,7 +171,8 @@ def test_group_size_has_to_divide_unless_padded(spark):
         Q.quantise(table, IntFormat(4), group=4).collect()
     padded = Q.quantise(table, IntFormat(4), group=4, pad=True).collect()
     assert len(padded) == 6 and padded[2]["v"][2:] == [0.0, 0.0]
-    assert len(Q.quantise(table, IntFormat(4), group=16).collect()) == 2
+    with pytest.raises(Exception, match="not divisible"):
+        Q.quantise(table, IntFormat(4), group=16).collect()
 
 
 # --- selectors -------------------------------------------------------------------------------
@@ -222,16 +208,17 @@ def test_pivots_take_unlike_tokens():
     assert kept == sorted(expected) and len(kept) == 10 * 8 // 10 + 2
 
 
-def test_distinct_tokens_drop_copies():
-    m = np.vstack([np.eye(6), np.eye(6)]) + RNG.normal(scale=1e-3, size=(12, 6))
+def test_distinct_tokens_drop_copies(spark):
+    m = np.vstack([np.eye(6), np.eye(6)]) + RNG.normal(0, 1e-3, size=(12, 6))
     scores = np.linspace(1, 0, 12)
-    kept = R.important_and_distinct(0.5, 0.34, batch=1)(m, scores)
+    row = spark.createDataFrame([(m.tolist(), scores.tolist())], "tokens array<array<double>>, scores array<double>")
+    kept = row.select(R.important_and_distinct(F.col("tokens"), F.col("scores"), 0.5, 0.34, batch=1)).first()[0]
     assert len(kept) == 6 and kept[:2] == [0, 1]
 
 
 def test_density_clusters_find_the_blobs():
     centres = np.array([[0, 0], [10, 0], [0, 10]])
-    m = np.vstack([c + RNG.normal(scale=0.3, size=(10, 2)) for c in centres])
+    m = np.vstack([c + RNG.normal(0, 0.3, size=(10, 2)) for c in centres])
     labels = R.density_clusters(4, 3)(m, None)
     assert len(set(labels)) == 3
     for b in range(3):
@@ -246,7 +233,7 @@ def test_density_clusters_find_the_blobs():
         assert s == 10 and v == pytest.approx(0.6 * m[p] + 0.4 * m[others].mean(0))
 
 
-def test_static_windows_against_every_partition():
+def test_static_windows_against_every_partition(spark):
     rng = np.random.default_rng(3)
     for _ in range(10):
         n, longest = 7, 4
@@ -261,7 +248,8 @@ def test_static_windows_against_every_partition():
             cuts = [0] + [i + 1 for i in range(n - 1) if mask >> i & 1]
             if max(np.diff([*cuts, n])) <= longest:
                 best = max(best, saved(cuts))
-        assert saved(R.static_windows(0.4, longest)(m, None)) == best
+        row = spark.createDataFrame([(m.tolist(),)], "likeness array<array<double>>")
+        assert saved(row.select(R.static_windows(F.col("likeness"), 0.4, longest)).first()[0]) == best
 
 
 def test_sequences_hold_at_most_their_length(spark):
@@ -329,13 +317,22 @@ def test_method_ids_and_seeds():
         M.method("rtn")(lambda *a: None)
 
 
-def test_scaling_leaves_the_first_blocks_alone(spark):
+def test_layers_left_out_keep_their_weights(spark):
     from tiltmeter.operators import methods as M
 
     w = RNG.normal(size=(8, 16))
-    table = matrix_table(spark, w).withColumn("block", F.col("row_id"))
+    table = matrix_table(spark, w).withColumn("block", F.col("row_id")).withColumn("layer", F.concat(F.lit("l"), F.col("row_id").cast("string")))
     x = spark.createDataFrame([(0, [float(v) for v in r]) for r in RNG.normal(size=(30, 16)) * np.linspace(0.1, 9, 16)], "batch long, x array<double>")
-    scaled = {r["row_id"]: r["w"] for r in M.quantise_weights("awq_w4", table, x, 8).collect()}
-    plain = {r["row_id"]: r["w"] for r in M.quantise_weights("rtn_w4", table, x, 8).collect()}
-    assert all(scaled[i] == pytest.approx(plain[i]) for i in range(5))
-    assert any(scaled[i] != pytest.approx(plain[i]) for i in range(5, 8))
+    for name in ("awq_w4", "rtn_w4"):
+        got = {r["row_id"]: r["w"] for r in M.quantise_weights(name, table, x, 8, left_out=["0-3", "5", "l6"]).collect()}
+        alone = {r["row_id"]: r["w"] for r in M.quantise_weights(name, table.where("row_id in (4, 7)"), x, 8).collect()}
+        assert len(got) == 8 and all(got[i] == w[i].tolist() for i in (0, 1, 2, 3, 5, 6))
+        assert all(got[i] == pytest.approx(alone[i]) and got[i] != w[i].tolist() for i in (4, 7))
+
+
+def test_matrices_meet_ids_of_any_size(spark):
+    ids, w = [-5, 9000, 2**50], RNG.normal(size=(3, 4))
+    table = spark.createDataFrame([(i, r.tolist()) for i, r in zip(ids, w)], "row_id long, delta array<double>")
+    x = RNG.normal(size=(9, 4))
+    got = G.output_error(table, G.gram(matrix_table(spark, x, "x"))).first()["loss"]
+    assert got == pytest.approx(((w @ x.T) ** 2).sum())

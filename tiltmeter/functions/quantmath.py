@@ -1,4 +1,4 @@
-"""Scale and zero-point arithmetic of integer and floating-point fake quantisation."""
+"""Pitch and zero-point arithmetic of integer and floating-point fake quantisation."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 RANGE_FLOOR = 1e-5
-SCALE_FLOOR = 1e-9
+PITCH_FLOOR = 1e-9
 
 
 @dataclass(frozen=True)
@@ -34,35 +34,35 @@ class IntFormat:
             return "tinyint" if self.symmetric else "smallint"
         return "int"
 
-    def scale(self, low: Column, high: Column) -> Column:
+    def pitch(self, low: Column, high: Column) -> Column:
         if self.symmetric:
             reach = F.greatest(F.abs(high), F.abs(low), F.lit(RANGE_FLOOR))
             return reach / F.lit(self.high)
         return F.greatest(high - low, F.lit(RANGE_FLOOR)) / F.lit(self.high - self.low)
 
-    def zero(self, low: Column, scale: Column) -> Column:
+    def zero(self, low: Column, pitch: Column) -> Column:
         if self.symmetric:
             return F.lit(0.0)
         if not self.round_zero:
-            return F.lit(self.low) - low / scale
-        return clamp(F.lit(self.low) - F.rint(low / scale), self.low, self.high)
+            return F.lit(self.low) - low / pitch
+        return clamp(F.lit(self.low) - F.rint(low / pitch), self.low, self.high)
 
-    def code(self, value: Column, scale: Column, zero: Column) -> Column:
+    def code(self, value: Column, pitch: Column, zero: Column) -> Column:
         """Nearest grid point, halves to even."""
         if self.round_zero:
-            return clamp(F.rint(value / scale) + zero, self.low, self.high)
-        return clamp(F.rint(value / F.greatest(scale, F.lit(SCALE_FLOOR)) + zero), self.low, self.high)
+            return clamp(F.rint(value / pitch) + zero, self.low, self.high)
+        return clamp(F.rint(value / F.greatest(pitch, F.lit(PITCH_FLOOR)) + zero), self.low, self.high)
 
-    def value(self, code: Column, scale: Column, zero: Column) -> Column:
-        return (code - zero) * scale
+    def value(self, code: Column, pitch: Column, zero: Column) -> Column:
+        return (code - zero) * pitch
 
-    def snap(self, value: Column, scale: Column, zero: Column) -> Column:
-        return self.value(self.code(value, scale, zero), scale, zero)
+    def snap(self, value: Column, pitch: Column, zero: Column) -> Column:
+        return self.value(self.code(value, pitch, zero), pitch, zero)
 
 
 @dataclass(frozen=True)
 class FloatFormat:
-    """A floating-point grid scaled so that its largest number is the largest magnitude of the group."""
+    """A floating-point grid pitched so that its largest number is the largest magnitude of the group."""
 
     exponent_bits: int
     mantissa_bits: int
@@ -72,7 +72,7 @@ class FloatFormat:
         largest = 2.0 - 2.0 ** (-m)
         return F.lit(2.0**self.exponent_bits) - F.log2(reach) + F.log2(F.lit(largest)) - 1
 
-    def scale(self, value: Column, reach: Column, bias: Column) -> Column:
+    def pitch(self, value: Column, reach: Column, bias: Column) -> Column:
         """Distance of neighbouring grid points around ``value``."""
         clipped = F.least(F.greatest(value, -reach), reach)
         exponent = F.floor(F.log2(F.abs(clipped)) + bias).cast("double")
@@ -80,7 +80,7 @@ class FloatFormat:
         return F.pow(F.lit(2.0), exponent - self.mantissa_bits - bias)
 
     def snap(self, value: Column, reach: Column, bias: Column) -> Column:
-        step = self.scale(value, reach, bias)
+        step = self.pitch(value, reach, bias)
         clipped = F.least(F.greatest(value, -reach), reach)
         return F.rint(clipped / step) * step
 

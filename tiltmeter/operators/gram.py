@@ -54,7 +54,7 @@ def gram(activations: DataFrame, values: str = "x") -> DataFrame:
     return rows.select("i", F.col("_r.h").alias("h"))
 
 
-def scaled_hessian(activations: DataFrame, batch: str, values: str = "x") -> DataFrame:
+def pitched_hessian(activations: DataFrame, batch: str, values: str = "x") -> DataFrame:
     """2/N Σ x xᵀ with N batches: where the running mean over batches ends up."""
     batches = activations.agg(F.count_distinct(batch).alias("_n"))
     return attach(gram(activations, values), batches).select(
@@ -72,10 +72,10 @@ def with_matrix(
 ) -> DataFrame:
     """Apply ``fn(block of weight rows, d × d matrix)`` block by block."""
     blocks = weights.withColumn("_block", F.floor(F.col(row) / rows_per_block).cast("bigint"))
-    last = blocks.agg(F.max("_block").alias("_last"))
-    copies = attach(matrix.select("i", "h"), last).select(
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_last", F.lit(0)))).alias("_block"), "i", "h"
-    )
+    # One copy per block that there is, however far apart the ids lie.
+    there = blocks.select(F.col("_block").alias("_at")).distinct()
+    whole = matrix.agg(F.collect_list(F.struct("i", "h")).alias("_m"))
+    copies = attach(there, whole).select(F.col("_at").alias("_block"), F.inline("_m"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
@@ -137,9 +137,9 @@ UPDATED = T.StructType(
 def error_feedback(
     weights: DataFrame, factor: DataFrame, fmt: IntFormat, group: int, block: int = 128, rows_per_block: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Quantise column by column and spread each column's error over the columns still to come.
+    """Quantise column by column: a column is its weights less the errors of all columns before it times the factor.
 
-    Group ranges are taken from the weights as they stand at the last finished column block.
+    Group ranges are taken from the weights corrected by the finished column blocks only.
     """
     packed = factor.select(
         "i",
@@ -148,33 +148,27 @@ def error_feedback(
 
     def update(pdf: pd.DataFrame, packed_h: np.ndarray) -> pd.DataFrame:
         order, dead, upper = packed_h[:, 0].astype(int), packed_h[:, 1] == 1, packed_h[:, 2:]
-        w = np.stack([np.asarray(v, dtype="float64") for v in pdf["w"]])[:, order]
-        w[:, dead] = 0
-        d = w.shape[1]
-        final, snapped, loss = np.zeros_like(w), np.zeros_like(w), np.zeros(len(w))
-        for start in range(0, d, block):
-            stop = min(start + block, d)
-            local = w[:, start:stop].copy()
-            spread = np.zeros_like(local)
-            for c in range(start, stop):
-                if c % group == 0:
-                    span = w[:, c : c + group]
-                    scale, zero = grid_params(fmt, span.min(axis=1), span.max(axis=1))
-                value, pivot = local[:, c - start].copy(), upper[c, c]
-                q = grid_snap(fmt, value, scale, zero)
-                final[:, c], snapped[:, c] = value, q
-                error = (value - q) / pivot
-                loss += error**2 / 2
-                local[:, c - start :] -= np.outer(error, upper[c, c:stop])
-                spread[:, c - start] = error
-            w[:, stop:] -= spread @ upper[start:stop, stop:]
+        given = np.where(dead, 0.0, np.stack([np.asarray(v, dtype="float64") for v in pdf["w"]])[:, order])
+        errors, current, snapped = np.zeros_like(given), np.zeros_like(given), np.zeros_like(given)
+
+        def corrected(columns: slice, known: int) -> np.ndarray:
+            """Columns less what the errors of the first ``known`` columns send them."""
+            return given[:, columns] - errors[:, :known] @ upper[:known, columns]
+
+        for c in range(given.shape[1]):
+            if c % group == 0:
+                span = corrected(slice(c, c + group), c - c % block)
+                pitch, zero = grid_params(fmt, span.min(axis=1), span.max(axis=1))
+            current[:, c] = corrected(slice(c, c + 1), c)[:, 0]
+            snapped[:, c] = grid_snap(fmt, current[:, c], pitch, zero)
+            errors[:, c] = (current[:, c] - snapped[:, c]) / upper[c, c]
         back = np.argsort(order)
         return pd.DataFrame(
             {
                 "row_id": pdf["row_id"].astype("int64"),
-                "w": list(final[:, back]),
+                "w": list(current[:, back]),
                 "snapped": list(snapped[:, back]),
-                "loss": loss,
+                "loss": (errors**2).sum(axis=1) / 2,
             }
         )
 
@@ -183,7 +177,7 @@ def error_feedback(
 
 # --- grids judged by the layer output --------------------------------------------------------
 
-def activation_scale(activations: DataFrame, batch: str, values: str = "x") -> DataFrame:
+def activation_pitch(activations: DataFrame, batch: str, values: str = "x") -> DataFrame:
     """Mean over batches of the mean absolute activation per column."""
     per_batch = (
         activations.select(batch, F.posexplode(values).alias("pos", "x"))
@@ -193,7 +187,7 @@ def activation_scale(activations: DataFrame, batch: str, values: str = "x") -> D
     return per_batch.groupBy("pos").agg(F.avg("m").alias("a"))
 
 
-def weight_scale(weights: DataFrame, group: int, values: str = "w") -> DataFrame:
+def weight_pitch(weights: DataFrame, group: int, values: str = "w") -> DataFrame:
     """Mean over rows of |w| relative to the largest of its group, per column."""
     rows = group_rows(weights, values, group, [])
     relative = rows.withColumn("top", F.greatest(F.abs("low"), F.abs("high"))).select(
@@ -202,8 +196,8 @@ def weight_scale(weights: DataFrame, group: int, values: str = "w") -> DataFrame
     return relative.groupBy((F.col("group") * group + F.col("place")).alias("pos")).agg(F.avg("r").alias("w"))
 
 
-def scale_candidates(a: DataFrame, w: DataFrame | None, ratios: Sequence[float]) -> DataFrame:
-    """Per ratio the scales of all columns, centred so that the largest and smallest multiply to one.
+def pitch_candidates(a: DataFrame, w: DataFrame | None, ratios: Sequence[float]) -> DataFrame:
+    """Per ratio the pitches of all columns, centred so that the largest and smallest multiply to one.
 
     With ``w`` a^r / w^(1−r), without it a^r. Rows: step, ratio, s ARRAY.
     """
@@ -222,20 +216,20 @@ def scale_candidates(a: DataFrame, w: DataFrame | None, ratios: Sequence[float])
 LOSSES = T.StructType([T.StructField("step", T.IntegerType()), T.StructField("loss", T.DoubleType())])
 
 
-def scale_losses(weights: DataFrame, h: DataFrame, candidates: DataFrame, fmt: IntFormat, group: int) -> DataFrame:
-    """Per candidate Σ over weight rows of the output error with scaled, quantised and unscaled weights."""
+def pitch_losses(weights: DataFrame, h: DataFrame, candidates: DataFrame, fmt: IntFormat, group: int) -> DataFrame:
+    """Per candidate Σ over weight rows of the output error with pitched, quantised and unpitched weights."""
     grid = candidates.select((F.col("step") - 1_000_000).cast("int").alias("i"), F.col("s").alias("h"))
     stacked = h.select("i", "h").unionByName(grid)
 
     def judge(pdf: pd.DataFrame, m: np.ndarray) -> pd.DataFrame:
         w = np.stack([np.asarray(v, dtype="float64") for v in pdf["w"]])
         d = w.shape[1]
-        scales, moments = m[:-d], m[-d:]
+        pitches, moments = m[:-d], m[-d:]
         losses = []
-        for s in scales:
+        for s in pitches:
             v = (w * s).reshape(len(w), -1, group)
-            scale, zero = grid_params(fmt, v.min(axis=2, keepdims=True), v.max(axis=2, keepdims=True))
-            delta = grid_snap(fmt, v, scale, zero).reshape(w.shape) / s - w
+            pitch, zero = grid_params(fmt, v.min(axis=2, keepdims=True), v.max(axis=2, keepdims=True))
+            delta = grid_snap(fmt, v, pitch, zero).reshape(w.shape) / s - w
             losses.append(float(np.einsum("ri,ij,rj->", delta, moments, delta, optimize=True)))
         return pd.DataFrame({"step": np.arange(len(losses), dtype="int32"), "loss": losses})
 
@@ -243,14 +237,14 @@ def scale_losses(weights: DataFrame, h: DataFrame, candidates: DataFrame, fmt: I
     return parts.groupBy("step").agg(F.sum("loss").alias("loss"))
 
 
-def best_scale(
+def best_pitch(
     weights: DataFrame, activations: DataFrame, batch: str, fmt: IntFormat, group: int, steps: int = 20, by_weight: bool = True
 ) -> DataFrame:
-    """The column scales with the least output error over a grid of ratios; the first wins a tie."""
-    a = activation_scale(activations, batch)
-    w = weight_scale(weights, group) if by_weight else None
-    candidates = settle(scale_candidates(a, w, [i / steps for i in range(steps)]))
-    losses = scale_losses(weights, gram(activations), candidates, fmt, group)
+    """The column pitches with the least output error over a grid of ratios; the first wins a tie."""
+    a = activation_pitch(activations, batch)
+    w = weight_pitch(weights, group) if by_weight else None
+    candidates = settle(pitch_candidates(a, w, [i / steps for i in range(steps)]))
+    losses = pitch_losses(weights, gram(activations), candidates, fmt, group)
     joined = candidates.join(losses, "step")
     return joined.agg(
         F.min_by(F.struct("step", "ratio", "s", "loss"), F.struct("loss", "step")).alias("best")
@@ -286,8 +280,8 @@ def clip_search(
             top = high * (1 - step / grid)
             bottom = -top if symmetric else low * (1 - step / grid)
             clipped = np.clip(v, bottom[..., None], top[..., None])
-            scale, zero = grid_params(fmt, clipped.min(axis=2, keepdims=True), clipped.max(axis=2, keepdims=True))
-            delta = grid_snap(fmt, clipped, scale, zero) - v
+            pitch, zero = grid_params(fmt, clipped.min(axis=2, keepdims=True), clipped.max(axis=2, keepdims=True))
+            delta = grid_snap(fmt, clipped, pitch, zero) - v
             loss = np.einsum("rgi,gij,rgj->rg", delta, blocks, delta, optimize=True) / n_rows
             better = loss < best
             best[better], step_at[better] = loss[better], step

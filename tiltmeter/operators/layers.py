@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tiltmeter.functions import prob as P
 from tiltmeter.functions.answers import tidy_letter
-from tiltmeter.operators.ordered import index_bucket, number_within, running_total
+from tiltmeter.operators.ordered import attach, id_bucket, number_within, running_total
 
 
 def layer_number(name: Column) -> Column:
@@ -46,8 +46,8 @@ def in_range(df: DataFrame, first: int, last: int) -> DataFrame:
     return df.withColumn("layers", F.filter("layers", lambda s: s["layer"].between(first, last)))
 
 
-def layer_subset(df: DataFrame, which: str) -> DataFrame:
-    """``all``, ``odd``, ``even`` (both always with the last layer) or ``last``."""
+def chosen_layers(which: str, layers: str = "layers") -> Column:
+    """``all``, ``odd``, ``even`` (both always with the last layer) or ``last`` of an array of layers."""
     rules = {
         "": lambda layer, last: F.lit(True),
         "all": lambda layer, last: F.lit(True),
@@ -62,13 +62,13 @@ def layer_subset(df: DataFrame, which: str) -> DataFrame:
         return F.filter(run["layers"], lambda s: rules[which](s["layer"], run["last"]))
 
     # The last layer is bound once per row, not once per layer.
-    run = F.struct(F.col("layers"), F.array_max("layers.layer").alias("last"))
-    return df.withColumn("layers", F.get(F.transform(F.array(run), choose), F.lit(0)))
+    run = F.struct(F.col(layers).alias("layers"), F.array_max(f"{layers}.layer").alias("last"))
+    return F.get(F.transform(F.array(run), choose), F.lit(0))
 
 
-def first_rows(df: DataFrame, n: int, index: str = "row_idx") -> DataFrame:
-    """The rows with an index below n; a filter on the stored index, so it reaches the scan."""
-    return df.where(F.col(index) < n)
+def layer_subset(df: DataFrame, which: str) -> DataFrame:
+    """Keep a choice of the layers."""
+    return df.withColumn("layers", chosen_layers(which))
 
 
 # --- alignment -------------------------------------------------------------------------------
@@ -114,9 +114,9 @@ def align(left: DataFrame, right: DataFrame, on: str, index: str, suffixes=("_pl
     b = right.select(F.col(on), *[F.col(c).alias(c + suffixes[1]) for c in right.columns if c != on])
     matches = b.groupBy(on).agg(F.count(F.lit(1)).alias("_matches"))
     starts = running_total(
-        a.join(matches, on), [], [F.col(here)], F.col("_matches"), index_bucket(F.col(here)), "_start"
+        a.join(matches, on), [], [F.col(here)], F.col("_matches"), id_bucket(a, here), "_start"
     ).drop("_matches")
-    placed = number_within(b, [on], [F.col(there)], index_bucket(F.col(there)), "_place")
+    placed = number_within(b, [on], [F.col(there)], id_bucket(b, there), "_place")
     joined = starts.join(placed, on)
     return joined.withColumn("uid", F.col("_start") + F.col("_place")).drop("_start", "_place")
 
@@ -139,10 +139,14 @@ def suggested_letters(opinion: DataFrame, on: Sequence[str] = ("question_id",),
 def with_suggested_letter(
     plain: DataFrame, opinion: DataFrame, on: Sequence[str] = ("question_id",), index: str = "question_id"
 ) -> DataFrame:
-    """Attach the opinion prompt's letter to plain rows, unless the plain rows bring their own column."""
-    if "chosen_wrong_answer_index" in plain.columns:
-        return plain.withColumn("suggested", tidy_letter(F.col("chosen_wrong_answer_index")))
-    return plain.join(suggested_letters(opinion, on, index), list(on), "left")
+    """Attach the suggested letter to plain rows: their own column if it holds any value, else the opinion prompt's."""
+    own = "chosen_wrong_answer_index"
+    looked_up = plain.join(suggested_letters(opinion, on, index), list(on), "left")
+    if own not in plain.columns:
+        return looked_up
+    any_own = plain.agg(F.coalesce(F.bool_or(F.col(own).isNotNull()), F.lit(False)).alias("_any_own"))
+    letter = F.when(F.col("_any_own"), tidy_letter(F.col(own))).otherwise(F.col("suggested"))
+    return attach(looked_up, any_own).withColumn("suggested", letter).drop("_any_own")
 
 
 # --- curves ----------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiltmeter.functions.quantmath import IntFormat
@@ -19,8 +19,6 @@ from tiltmeter.operators.ordered import attach
 # Bit widths tried when a method is named without one, and the width of an id without a suffix (fixed values).
 DEFAULT_BITS = (4, 6, 8)
 BITS_WITHOUT_SUFFIX = 8
-# Blocks of a model that activation-aware scaling leaves alone (fixed value).
-SCALING_SKIPS_BLOCKS = 5
 
 Run = Callable[[DataFrame, DataFrame, IntFormat, int], DataFrame]
 
@@ -78,13 +76,32 @@ def draw_seeds(master: int, n: int) -> list[int]:
     return list(seeds)
 
 
-def quantise_weights(method_id: str, weights: DataFrame, activations: DataFrame, group: int) -> DataFrame:
-    """row_id, w after the method. ``activations`` has batch and x."""
+def is_left_out(entries: Sequence[str], block: str = "block", layer: str = "layer") -> Column:
+    """Whether a row belongs to a layer left out: by block number, by a range of them (``a-b``) or by layer name."""
+    out = F.lit(False)
+    for entry in (e.strip() for e in entries):
+        span = re.fullmatch(r"(\d+)(?:-(\d+))?", entry)
+        if span:
+            out = out | F.col(block).between(int(span[1]), int(span[2] or span[1]))
+        else:
+            out = out | (F.col(layer) == entry)
+    return F.coalesce(out, F.lit(False))
+
+
+def quantise_weights(method_id: str, weights: DataFrame, activations: DataFrame, group: int, left_out: Sequence[str] = ()) -> DataFrame:
+    """row_id, w after the method. ``activations`` has batch and x.
+
+    Layers in ``left_out`` (see :func:`is_left_out`) keep their weights and take no part in any search.
+    """
     name = re.sub(r"_w\d+\Z", "", method_id)
     if name not in METHODS:
         raise ValueError(f"unknown method {name!r}; known are {sorted(METHODS)}")
     fmt = IntFormat(bits_of(method_id) or BITS_WITHOUT_SUFFIX)
-    return METHODS[name].run(weights, activations, fmt, group)
+    if not left_out:
+        return METHODS[name].run(weights, activations, fmt, group)
+    exact = is_left_out(left_out)
+    changed = METHODS[name].run(weights.where(~exact), activations, fmt, group)
+    return changed.unionByName(weights.where(exact).select("row_id", "w"))
 
 
 def joined_groups(rows: DataFrame, values: str = "snapped") -> DataFrame:
@@ -105,20 +122,17 @@ def _round_to_nearest(weights, activations, fmt, group):
 
 @method("gptq")
 def _error_feedback(weights, activations, fmt, group):
-    factor = G.inverse_factor(G.scaled_hessian(activations, "batch"))
+    factor = G.inverse_factor(G.pitched_hessian(activations, "batch"))
     return G.error_feedback(weights, factor, fmt, group).select("row_id", F.col("snapped").alias("w"))
 
 
 @method("awq")
-def _activation_scaled(weights, activations, fmt, group):
-    """Scale columns, quantise, scale back. With a ``block`` column the first blocks only round."""
-    best = G.best_scale(weights.select("row_id", "w"), activations, "batch", fmt, group).select("s")
-    scales = attach(weights, best)
-    if "block" in weights.columns:
-        ones = F.transform("s", lambda s: F.lit(1.0))
-        scales = scales.withColumn("s", F.when(F.col("block") < SCALING_SKIPS_BLOCKS, ones).otherwise(F.col("s")))
-    scaled = scales.select("row_id", "s", F.zip_with("w", "s", lambda w, s: w * s).alias("w"))
-    rows = Q.quantise(scaled, fmt, group=group, keep=["row_id", "s"])
+def _activation_pitched(weights, activations, fmt, group):
+    """Widen or narrow columns, quantise, undo it."""
+    best = G.best_pitch(weights.select("row_id", "w"), activations, "batch", fmt, group).select("s")
+    pitches = attach(weights, best)
+    pitched = pitches.select("row_id", "s", F.zip_with("w", "s", lambda w, s: w * s).alias("w"))
+    rows = Q.quantise(pitched, fmt, group=group, keep=["row_id", "s"])
     back = F.transform(
         "snapped", lambda q, i: q / F.get("s", (F.col("group") * group + i).cast("int"))
     )
@@ -128,10 +142,10 @@ def _activation_scaled(weights, activations, fmt, group):
 @method("hqq")
 def _proximal(weights, activations, fmt, group):
     rows = N.proximal_zeros(Q.quantise(weights, fmt, group=group), fmt, ["row_id", "group"])
-    scale, zero = F.col("scale"), F.col("zero")
+    pitch, zero = F.col("pitch"), F.col("zero")
     # The searched zero point is not an integer, so rounding takes it in.
     loose = IntFormat(fmt.bits, fmt.symmetric, round_zero=False)
-    return joined_groups(rows.withColumn("snapped", F.transform("v", lambda x: loose.snap(x, scale, zero))))
+    return joined_groups(rows.withColumn("snapped", F.transform("v", lambda x: loose.snap(x, pitch, zero))))
 
 
 @method("llmint8")

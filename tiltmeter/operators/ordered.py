@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from tiltmeter.functions.hashing import HASH_BITS
 from tiltmeter.session import settle
 
-INDEX_SPAN = 1 << 16
 BUCKETS = 256
 FEW_BUCKETS = 16
 ROWS_PER_BUCKET = 1 << 20
@@ -30,20 +29,6 @@ def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
     )
 
 
-def index_bucket(index: Column, span: int = INDEX_SPAN) -> Column:
-    """Bucket of a dense integer index."""
-    return F.floor(index / F.lit(span)).cast("bigint")
-
-
-def index_span(df: DataFrame, column: str) -> int:
-    """Span that puts about as many rows into a bucket as a dense index would; for ids with wide gaps.
-
-    Reads one row of minimum, maximum and count. Like every bucket rule it only balances.
-    """
-    row = df.agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count(column).alias("n")).first()
-    return INDEX_SPAN if not row["n"] else max(INDEX_SPAN, (row["high"] - row["low"] + 1) * INDEX_SPAN // row["n"])
-
-
 def hash_bucket(value: Column, buckets: int = BUCKETS) -> Column:
     """Bucket of a uniform hash in [0, 2**32)."""
     return F.floor(value / F.lit((1 << HASH_BITS) // buckets)).cast("bigint")
@@ -76,6 +61,11 @@ def value_bucket(value: Column, cuts: Sequence[float]) -> Column:
     return tree(0, len(cuts)).cast("bigint")
 
 
+def id_bucket(df: DataFrame, column: str) -> Column:
+    """Bucket of an integer order by quantile cuts of the ids that are there, however far apart they lie."""
+    return value_bucket(F.col(column), value_cuts(df, column))
+
+
 def running_total(
     df: DataFrame, groups: Sequence[str], order: Sequence[Column], amount: Column, bucket: Column, out: str
 ) -> DataFrame:

@@ -28,9 +28,7 @@ def split_groups(values: Column, size: int, pad: bool = False) -> Column:
             F.raise_error(F.lit(f"row width is not divisible by the group size {size}")).cast("array<double>")
         )
     )
-    return F.when(F.size(values) < size, F.array(values)).otherwise(
-        F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(checked, i * size + 1, F.lit(size)))
-    )
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(checked, i * size + 1, F.lit(size)))
 
 
 def group_rows(df: DataFrame, values: str, size: int | None, keep: Sequence[str], pad: bool = False) -> DataFrame:
@@ -41,16 +39,16 @@ def group_rows(df: DataFrame, values: str, size: int | None, keep: Sequence[str]
 
 
 def apply_format(rows: DataFrame, fmt: IntFormat) -> DataFrame:
-    """low, high, v -> scale, zero, codes, snapped."""
-    scaled = rows.withColumn("scale", fmt.scale(F.col("low"), F.col("high")))
-    zeroed = scaled.withColumn("zero", fmt.zero(F.col("low"), F.col("scale")))
+    """low, high, v -> pitch, zero, codes, snapped."""
+    pitched = rows.withColumn("pitch", fmt.pitch(F.col("low"), F.col("high")))
+    zeroed = pitched.withColumn("zero", fmt.zero(F.col("low"), F.col("pitch")))
     return with_codes(zeroed, fmt)
 
 
 def with_codes(rows: DataFrame, fmt: IntFormat) -> DataFrame:
-    scale, zero = F.col("scale"), F.col("zero")
-    coded = rows.withColumn("codes", F.transform("v", lambda x: fmt.code(x, scale, zero)))
-    return coded.withColumn("snapped", F.transform("codes", lambda q: fmt.value(q, scale, zero)))
+    pitch, zero = F.col("pitch"), F.col("zero")
+    coded = rows.withColumn("codes", F.transform("v", lambda x: fmt.code(x, pitch, zero)))
+    return coded.withColumn("snapped", F.transform("codes", lambda q: fmt.value(q, pitch, zero)))
 
 
 def quantise(
@@ -106,7 +104,7 @@ def packed_profile(profile: DataFrame, *names: str) -> DataFrame:
 def quantise_input_columns(df: DataFrame, fmt: IntFormat, values: str = "w", keep: Sequence[str] = ("row_id",)) -> DataFrame:
     """One range per input column: the transposed per-channel rule. The row width bounds what is broadcast."""
     profile = column_profile(df, values, {"low": F.min("x"), "high": F.max("x")})
-    profile = profile.withColumn("s", fmt.scale(F.col("low"), F.col("high")))
+    profile = profile.withColumn("s", fmt.pitch(F.col("low"), F.col("high")))
     profile = profile.withColumn("z", fmt.zero(F.col("low"), F.col("s")))
     joined = attach(df.select(*keep, F.col(values).alias("v")), packed_profile(profile, "s", "z"))
     coded = joined.withColumn(
@@ -127,15 +125,15 @@ def keep_columns(snapped: Column, original: Column, exact: Column) -> Column:
 
 
 def quantise_static(rows: DataFrame, fmt: IntFormat, learned: str | None = None) -> DataFrame:
-    """Given scale and zero columns; ``learned`` names an ARRAY of 0/1 that decides floor or ceiling."""
+    """Given pitch and zero columns; ``learned`` names an ARRAY of 0/1 that decides floor or ceiling."""
     if learned is None:
         return with_codes(rows, fmt)
-    scale, zero = F.col("scale"), F.col("zero")
+    pitch, zero = F.col("pitch"), F.col("zero")
     coded = rows.withColumn(
         "codes",
-        F.zip_with("v", learned, lambda x, r: clamp(F.floor(x / scale).cast("double") + r + zero, fmt.low, fmt.high)),
+        F.zip_with("v", learned, lambda x, r: clamp(F.floor(x / pitch).cast("double") + r + zero, fmt.low, fmt.high)),
     )
-    return coded.withColumn("snapped", F.transform("codes", lambda q: fmt.value(q, scale, zero)))
+    return coded.withColumn("snapped", F.transform("codes", lambda q: fmt.value(q, pitch, zero)))
 
 
 def learnable_range(rows: DataFrame, fmt: IntFormat, low_factor: Column | None, high_factor: Column | None) -> DataFrame:
@@ -151,7 +149,7 @@ def learnable_range(rows: DataFrame, fmt: IntFormat, low_factor: Column | None,
 
 
 def quantise_float(df: DataFrame, fmt: FloatFormat, values: str = "w", group: int | None = None, keep: Sequence[str] = ("row_id",)) -> DataFrame:
-    """Snap to a scaled floating-point grid per row or group."""
+    """Snap to a pitched floating-point grid per row or group."""
     rows = group_rows(df, values, group, keep)
     reach = F.greatest(F.col("high"), -F.col("low"))
     rows = rows.withColumn("reach", reach).withColumn("bias", fmt.bias(F.col("reach")))
@@ -168,11 +166,11 @@ def quantise_two_step(
     The zero point of the inner step is not clamped to the grid before use beyond the format's own rule.
     """
     outer = quantise(df, coarse, values, None, keep).select(
-        *keep, F.col("scale").alias("outer_scale"), F.col("zero").alias("outer_zero"), F.col("codes").alias("_codes")
+        *keep, F.col("pitch").alias("outer_pitch"), F.col("zero").alias("outer_zero"), F.col("codes").alias("_codes")
     )
-    inner = apply_format(group_rows(outer, "_codes", group, [*keep, "outer_scale", "outer_zero"]), fine)
+    inner = apply_format(group_rows(outer, "_codes", group, [*keep, "outer_pitch", "outer_zero"]), fine)
     return inner.withColumn(
-        "snapped", F.transform("snapped", lambda q: coarse.value(q, F.col("outer_scale"), F.col("outer_zero")))
+        "snapped", F.transform("snapped", lambda q: coarse.value(q, F.col("outer_pitch"), F.col("outer_zero")))
     )
 
 
@@ -184,8 +182,8 @@ def stored_codes(rows: DataFrame, fmt: IntFormat) -> DataFrame:
 def calibrated(rows: DataFrame, calibration: DataFrame, fmt: IntFormat, keys: Sequence[str]) -> DataFrame:
     """Quantise with one range per key taken from calibration rows (low, high) only."""
     ranges = spanning_ranges(calibration, keys)
-    params = ranges.withColumn("scale", fmt.scale(F.col("low"), F.col("high")))
-    params = params.withColumn("zero", fmt.zero(F.col("low"), F.col("scale"))).drop("low", "high")
+    params = ranges.withColumn("pitch", fmt.pitch(F.col("low"), F.col("high")))
+    params = params.withColumn("zero", fmt.zero(F.col("low"), F.col("pitch"))).drop("low", "high")
     return with_codes(rows.drop("low", "high").join(params, list(keys)), fmt)
 
 
@@ -196,12 +194,12 @@ def row_error(original: Column, snapped: Column) -> Column:
     ) / F.size(original)
 
 
-def smooth_scale(activations: DataFrame, weights: DataFrame, alpha: float, a_values: str = "x", w_values: str = "w") -> DataFrame:
+def smooth_pitch(activations: DataFrame, weights: DataFrame, alpha: float, a_values: str = "x", w_values: str = "w") -> DataFrame:
     """Per column amax(a)^alpha / amax(w)^(1 - alpha), at least 1e-5."""
     a = column_profile(activations, a_values, {"a_max": F.max(F.abs("x"))})
     w = column_profile(weights, w_values, {"w_max": F.greatest(F.max(F.abs("x")), F.lit(1e-5))})
-    scale = F.pow("a_max", F.lit(alpha)) / F.pow("w_max", F.lit(1 - alpha))
-    return a.join(w, "pos").select("pos", "a_max", "w_max", F.greatest(scale, F.lit(1e-5)).alias("scale"))
+    pitch = F.pow("a_max", F.lit(alpha)) / F.pow("w_max", F.lit(1 - alpha))
+    return a.join(w, "pos").select("pos", "a_max", "w_max", F.greatest(pitch, F.lit(1e-5)).alias("pitch"))
 
 
 def outlier_columns(activations: DataFrame, threshold: float, values: str = "x") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tiltmeter.functions import text as X
 from tiltmeter.functions.answers import index_of_four, index_of_key
 from tiltmeter.functions.hashing import pick, pick_other
-from tiltmeter.operators.ordered import attach, index_bucket, number_within
+from tiltmeter.operators.ordered import attach, id_bucket, number_within
 from tiltmeter.schemas import rename_columns, require_columns
 
 # Names of the raw columns and of the ones used here (fixed values).
@@ -128,7 +128,7 @@ def exam_questions(raw: DataFrame) -> DataFrame:
 
 def _with_prompt_parts(questions: DataFrame, seed, condition: str, key: str) -> DataFrame:
     n = F.size("options")
-    wrong = pick_other(n, F.col("answer_index"), F.col(key), seed, condition, "w")
+    wrong = pick_other(n, F.col("answer_index"), F.col(key), seed, condition, "w").cast("int")
     label = F.coalesce(X.letter_at(F.col("_wrong")), F.lit(X.NO_OTHER_LABEL))
     text = F.coalesce(F.get("options", F.col("_wrong")), F.lit(X.NO_OTHER_TEXT))
     return (
@@ -204,7 +204,7 @@ def prefix_library(
 def expertise_prefixes(questions: DataFrame, seed: int, level: str, key: str = "question_id") -> DataFrame:
     """One prefix row per question: a role of the level, drawn by hash, spoken for the question's category."""
     roles = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(d).alias("text")) for r, d in ROLES[level]])
-    role = F.get(roles, pick(F.lit(len(ROLES[level])), F.col(key), seed, level, "role"))
+    role = F.get(roles, pick(F.lit(len(ROLES[level])), F.col(key), seed, level, "role").cast("int"))
     return questions.select(
         F.col(key),
         F.col("category").alias("academic_category"),
@@ -227,17 +227,14 @@ def choose_category_prefix(
     category spread over as many numbers as it has prefixes.
     """
     fallback = F.lit(X.FALLBACK_FIELD_PREFIX) if fallback is None else fallback
-    numbered = number_within(
-        prefixes.select(F.col(key).alias("_row"), F.col("academic_category").alias("category"), "prefix"),
-        ["category"],
-        [F.col("_row")],
-        index_bucket(F.col("_row")),
-        "_number",
-    ).select("category", "_number", "prefix")
+    rows = prefixes.select(F.col(key).alias("_row"), F.col("academic_category").alias("category"), "prefix")
+    numbered = number_within(rows, ["category"], [F.col("_row")], id_bucket(rows, "_row"), "_number").select(
+        "category", "_number", "prefix"
+    )
     sizes = prefixes.groupBy(F.col("academic_category").alias("category")).agg(F.count(F.lit(1)).alias("_size"))
     drawn = questions.join(sizes, "category", "left").withColumn(
         "_number",
-        F.when(F.col("_size") > 0, pick(F.col("_size"), F.col(key), seed, level, "prefix").cast("bigint")),
+        F.when(F.col("_size") > 0, pick(F.col("_size"), F.col(key), seed, level, "prefix")),
     )
     return (
         drawn.join(numbered, ["category", "_number"], "left")
@@ -251,9 +248,9 @@ def choose_any_prefix(
 ) -> DataFrame:
     """Draw a prefix row regardless of category: number all prefix rows and join on the drawn number."""
     rows = prefixes.select(F.col(key).alias("_row"), "prefix")
-    numbered = number_within(rows, [], [F.col("_row")], index_bucket(F.col("_row")), "_number").select("_number", "prefix")
+    numbered = number_within(rows, [], [F.col("_row")], id_bucket(rows, "_row"), "_number").select("_number", "prefix")
     size = prefixes.agg(F.count(F.lit(1)).alias("_size"))
-    draw = F.when(F.col("_size") > 0, pick(F.col("_size"), F.col(key), seed, "any").cast("bigint"))
+    draw = F.when(F.col("_size") > 0, pick(F.col("_size"), F.col(key), seed, "any"))
     drawn = attach(questions, size).withColumn("_number", draw)
     return (
         drawn.join(numbered, "_number", "left")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tiltmeter.functions.quantmath import IntFormat
-from tiltmeter.operators.ordered import attach, index_bucket, number_within, running
+from tiltmeter.operators.ordered import attach, id_bucket, number_within, running
 
 SHRINK_STEPS = 80
 SHRINK_GRID = 100
@@ -31,22 +31,22 @@ def _by_width(groups: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def grid_params(fmt: IntFormat, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scale and zero point of many ranges at once; the array form of ``IntFormat``."""
+    """Pitch and zero point of many ranges at once; the array form of ``IntFormat``."""
     if fmt.symmetric:
         reach = np.maximum(np.maximum(np.abs(high), np.abs(low)), 1e-5)
         return reach / fmt.high, np.zeros_like(reach)
-    scale = np.maximum(high - low, 1e-5) / (fmt.high - fmt.low)
+    pitch = np.maximum(high - low, 1e-5) / (fmt.high - fmt.low)
     if not fmt.round_zero:
-        return scale, fmt.low - low / scale
-    return scale, np.clip(fmt.low - np.rint(low / scale), fmt.low, fmt.high)
+        return pitch, fmt.low - low / pitch
+    return pitch, np.clip(fmt.low - np.rint(low / pitch), fmt.low, fmt.high)
 
 
-def grid_snap(fmt: IntFormat, v: np.ndarray, scale: np.ndarray, zero: np.ndarray) -> np.ndarray:
+def grid_snap(fmt: IntFormat, v: np.ndarray, pitch: np.ndarray, zero: np.ndarray) -> np.ndarray:
     if fmt.round_zero:
-        codes = np.clip(np.rint(v / scale) + zero, fmt.low, fmt.high)
+        codes = np.clip(np.rint(v / pitch) + zero, fmt.low, fmt.high)
     else:
-        codes = np.clip(np.rint(v / np.maximum(scale, 1e-9) + zero), fmt.low, fmt.high)
-    return (codes - zero) * scale
+        codes = np.clip(np.rint(v / np.maximum(pitch, 1e-9) + zero), fmt.low, fmt.high)
+    return (codes - zero) * pitch
 
 
 def searched_range(values: Column, fmt: IntFormat) -> Column:
@@ -60,8 +60,8 @@ def searched_range(values: Column, fmt: IntFormat) -> Column:
             best = np.hstack([low, high, np.full_like(low, np.inf)])
             for step in range(SHRINK_STEPS):
                 share = 1 - step / SHRINK_GRID
-                scale, zero = grid_params(fmt, share * low, share * high)
-                err = (np.abs(grid_snap(fmt, v, scale, zero) - v) ** ERROR_POWER).sum(axis=1)
+                pitch, zero = grid_params(fmt, share * low, share * high)
+                err = (np.abs(grid_snap(fmt, v, pitch, zero) - v) ** ERROR_POWER).sum(axis=1)
                 better = err < best[:, 2]
                 best[better, 0] = share * low[better, 0]
                 best[better, 1] = share * high[better, 0]
@@ -96,7 +96,7 @@ def moving_range(rows: DataFrame, keys: Sequence[str], batch: str, alpha: float,
     """
     keys = list(keys)
     ranges = batch_ranges(rows, keys, batch, values)
-    placed = number_within(ranges, keys, [F.col(batch)], index_bucket(F.col(batch)), "_i")
+    placed = number_within(ranges, keys, [F.col(batch)], id_bucket(ranges, batch), "_i")
     sizes = ranges.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     decay = F.pow(F.lit(1 - alpha), (F.col("_n") - 1 - F.col("_i")).cast("double"))
     weight = F.when(F.col("_i") == 0, decay).otherwise(decay * alpha)
@@ -115,7 +115,7 @@ PATH = T.StructType(
 def proximal_zeros(
     rows: DataFrame, fmt: IntFormat, keys: Sequence[str], beta: float = 10.0, power: float = 0.7, iterations: int = 20
 ) -> DataFrame:
-    """Zero points by half-quadratic splitting; rows need v, scale, zero.
+    """Zero points by half-quadratic splitting; rows need v, pitch, zero.
 
     When to stop depends on the mean error of the whole tensor. Every group therefore records its
     zero point and error sum after each step in one pass; the stop step follows from the summed
@@ -124,10 +124,10 @@ def proximal_zeros(
     keys = list(keys)
 
     @F.pandas_udf(PATH)
-    def walk(groups: pd.Series, scale: pd.Series, zero: pd.Series) -> pd.DataFrame:
+    def walk(groups: pd.Series, pitch: pd.Series, zero: pd.Series) -> pd.DataFrame:
         zeros, errors = [None] * len(groups), [None] * len(groups)
         for at, v in _by_width(groups):
-            inverse = 1 / scale.to_numpy()[at][:, None]
+            inverse = 1 / pitch.to_numpy()[at][:, None]
             z = zero.to_numpy()[at][:, None]
             zs, es = [], []
             for _ in range(iterations):
@@ -145,7 +145,7 @@ def proximal_zeros(
                 errors[i] = [float(s[j]) for s in es]
         return pd.DataFrame({"zeros": zeros, "errors": errors})
 
-    walked = rows.withColumn("_path", walk("v", "scale", "zero"))
+    walked = rows.withColumn("_path", walk("v", "pitch", "zero"))
     sums = walked.agg(
         F.array(*[F.sum(F.get("_path.errors", F.lit(i))) for i in range(iterations)]).alias("_e"),
         F.sum(F.size("v")).alias("_count"),
@@ -163,7 +163,7 @@ def proximal_zeros(
         lambda s: F.when(s["stop"] < 0, s["i"] - 1).otherwise(s["stop"]),
     )
     chosen = attach(walked.drop("zero"), sums.select(stop.alias("steps")))
-    return chosen.select(*keys, "v", "scale", F.get("_path.zeros", F.col("steps")).alias("zero"), "steps")
+    return chosen.select(*keys, "v", "pitch", F.get("_path.zeros", F.col("steps")).alias("zero"), "steps")
 
 
 # --- histogram range -------------------------------------------------------------------------
@@ -185,7 +185,7 @@ def batch_histograms(rows: DataFrame, keys: Sequence[str], batch: str, values: s
         ranges,
         keys,
         [F.col(batch)],
-        index_bucket(F.col(batch)),
+        id_bucket(ranges, batch),
         {"seen_low": ("min", F.col("low")), "seen_high": ("max", F.col("high"))},
     ).select(*keys, batch, "seen_low", "seen_high")
     points = rows.select(*keys, batch, F.explode(values).alias("_x")).join(seen, [*keys, batch])
@@ -237,35 +237,47 @@ def clipping_error(counts: np.ndarray, width: float, first: int, last: int, leve
     return float(total.sum())
 
 
-def clip_histogram(counts: np.ndarray, low: float, high: float, levels: int, step: float = QUANTILE_STEP) -> tuple[float, float]:
-    """Narrow the range from the side that gives up more bins per quantile step, while the error falls.
+def range_moves(counts: np.ndarray, step: float) -> list[tuple[int, int]]:
+    """First and last bin after each move that narrows the range, the whole range first.
 
-    The quantiles move in tiny steps and most of them reach no new bin; those are jumped over at once.
+    Both ends stand at a quantile and could move it inwards by one step; the end that would give up more bins does, the
+    right one on a tie. From the cumulated counts follows at which of its steps an end gives up each bin, so only steps
+    that give up a bin are listed. The left end moves only while its very next step gives up bins; from then on the
+    right end moves alone.
     """
     bins = len(counts)
-    width = (high - low) / bins
-    below = np.cumsum(counts)
-    total = below[-1]
-    alpha, beta, first, last, best = 0.0, 1.0, 0, bins - 1, np.inf
-    while alpha < beta:
-        next_alpha, next_beta = alpha + step, beta - step
-        left = first + int(np.searchsorted(below[first:last], next_alpha * total, side="left"))
-        right = last
-        while right > first and below[right] > next_beta * total:
-            right -= 1
-        if left - first > last - right:
-            alpha, new_first, new_last = next_alpha, left, last
+    share = np.cumsum(counts) / counts.sum()
+    from_left = np.floor(share[:-1] / step).astype(np.int64) + 1
+    # A bin of the right side goes when the quantile falls below the share up to and with it.
+    from_right = np.floor((1 - share[1:]) / step).astype(np.int64) + 1
+    left_steps, left_bins = np.unique(from_left, return_counts=True)
+    right_steps, right_bins = np.unique(from_right, return_counts=True)
+    left, right = dict(zip(left_steps.tolist(), left_bins.tolist())), dict(zip(right_steps.tolist(), right_bins.tolist()))
+    first, last, a, b = 0, bins - 1, 0, 0
+    moves = [(first, last)]
+    while left.get(a + 1, 0) and a + b < 1 / step:
+        if left[a + 1] > right.get(b + 1, 0):
+            a += 1
+            first += left[a]
         else:
-            beta, new_first, new_last = next_beta, first, right
-        if (new_first, new_last) == (first, last):
-            if left == first and right == last:
-                ahead = int((beta - below[last] / total) / step)
-                beta -= max(ahead - 1, 0) * step
-            continue
-        error = clipping_error(counts, width, new_first, new_last, levels)
-        if error > best:
+            b += 1
+            last -= right.get(b, 0)
+        moves.append((min(first, last), last))
+    for s in sorted(s for s in right if s > b):
+        if last <= first or (a + s) * step > 1:
             break
-        best, first, last = error, new_first, new_last
+        last = max(first, last - right[s])
+        moves.append((first, last))
+    return [m for m, before in zip(moves, [None, *moves]) if m != before]
+
+
+def clip_histogram(counts: np.ndarray, low: float, high: float, levels: int, step: float = QUANTILE_STEP) -> tuple[float, float]:
+    """The range that narrowing reaches before the error rises for the first time."""
+    width = (high - low) / len(counts)
+    moves = range_moves(counts, step)
+    errors = [np.inf if k == 0 else clipping_error(counts, width, *ends, levels) for k, ends in enumerate(moves)]
+    rising = [k for k in range(1, len(errors)) if errors[k] > errors[k - 1]]
+    first, last = moves[rising[0] - 1 if rising else len(moves) - 1]
     return low + width * first, low + width * (last + 1)
 
 

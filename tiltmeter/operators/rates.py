@@ -185,6 +185,6 @@ def latest_attempts(attempts: DataFrame, keys: Sequence[str], attempt: str = "at
     )
 
 
-def invalid_preview(responses: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
-    """The first n unusable answers in key order; every task hands on n rows at most."""
-    return responses.where(~is_valid(F.col("model_answer"))).select(*keys, "model_answer").orderBy(*keys).limit(n)
+def invalid_answers(responses: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All unusable answers with their keys; show() some of them to get an impression."""
+    return responses.where(~is_valid(F.col("model_answer"))).select(*keys, "model_answer")

@@ -77,7 +77,7 @@ def keep_by_stage(scores: Sequence[Column], keep: Sequence[float]) -> Column:
 def chunk_positions(tokens: Column, query: Column, size: int, k: int, divisor: float) -> Column:
     """Positions of the k chunks whose mean key the query attends to most.
 
-    Softmax keeps the order, so the chunks are ranked by the scaled dot product itself.
+    Softmax keeps the order, so the chunks are ranked by the pitched dot product itself.
     """
     count = F.floor(F.size(tokens) / size).cast("int")
 
@@ -91,18 +91,20 @@ def chunk_positions(tokens: Column, query: Column, size: int, k: int, divisor: f
     return F.flatten(F.transform(chunks, lambda c: F.sequence(c * size, c * size + (size - 1))))
 
 
-def similar_frames(frames: DataFrame, keep: float, n_frames: int) -> DataFrame:
+def similar_frames(frames: DataFrame, keep: float) -> DataFrame:
     """Across frames: of every odd frame, and of every fourth, only the tokens least like the frame before it.
 
-    ``frames`` has video, frame, tokens. A frame meets one other frame by an equi-join on its number.
+    ``frames`` has video, frame, tokens. A frame meets one other frame by an equi-join on its number. The last frames of
+    the grid of four are told by the number of frames of their own video.
     """
     base = frames.select("video", "frame", "tokens")
+    counts = frames.groupBy("video").agg((F.max("frame") + 1).alias("_frames"))
     # Odd frames are held against their predecessor, frames 2, 6, 10, … against the one two before.
     against = F.when(F.col("frame") % 2 == 1, F.col("frame") - 1).when(
-        (F.col("frame") % 4 == 2) & (F.col("frame") - 2 < n_frames - 4), F.col("frame") - 2
+        (F.col("frame") % 4 == 2) & (F.col("frame") - 2 < F.col("_frames") - 4), F.col("frame") - 2
     )
     other = base.select("video", F.col("frame").alias("_against"), F.col("tokens").alias("_other"))
-    joined = base.withColumn("_against", against).join(other, ["video", "_against"], "left")
+    joined = base.join(counts, "video").withColumn("_against", against).join(other, ["video", "_against"], "left")
     similarity = F.zip_with("tokens", "_other", lambda a, b: V.cosine(a, b))
     n = F.size("tokens")
     kept = F.when(F.col("_other").isNull(), F.sequence(F.lit(0), n - 1)).otherwise(
@@ -112,7 +114,10 @@ def similar_frames(frames: DataFrame, keep: float, n_frames: int) -> DataFrame:
 
 
 def neighbour_similarity(tokens: Column, width: int, patch: int) -> Column:
-    """Mean cosine between different tokens of each square patch of a ``width``-wide grid, row by row of patches."""
+    """Mean cosine between different tokens of each square patch of a ``width``-wide grid, row by row of patches.
+
+    A grid that ends early is filled up: a pair with a token that is not there counts as unlike (0).
+    """
     per_row = width // patch
     members = [
         [(pr * patch + r) * width + pc * patch + c for r in range(patch) for c in range(patch)]
@@ -125,7 +130,7 @@ def neighbour_similarity(tokens: Column, width: int, patch: int) -> Column:
         total = F.lit(0.0)
         for x, a in enumerate(cells):
             for b in cells[x + 1 :]:
-                total = total + 2 * V.cosine(tokens[a], tokens[b])
+                total = total + 2 * F.coalesce(V.cosine(F.get(tokens, F.lit(a)), F.get(tokens, F.lit(b))), F.lit(0.0))
         return total / pairs
 
     return F.array(*[mean(cells) for cells in members])
@@ -211,24 +216,36 @@ def pivots_and_unlike(image: int, pivots: int, text_pivots: int, drop: float) ->
     return rule
 
 
-def important_and_distinct(keep: float, important: float, batch: int = 8) -> Callable:
-    """The most attended tokens, and of the rest those left after taking near copies out again and again."""
+def important_and_distinct(tokens: Column, scores: Column, keep: float, important: float, batch: int = 8) -> Column:
+    """Positions of the most attended tokens, and of the rest those left after taking near copies out again and again.
 
-    def rule(m: np.ndarray, scores: np.ndarray) -> list[int]:
-        wanted = round(len(m) * keep)
-        n_important = int(wanted * important)
-        order = _top(scores, len(m))
-        rest, target = order[n_important:], wanted - n_important
-        unit = _unit(m)
-        while target > 0 and min(batch, len(rest) - target) > 0:
-            gone = min(batch, len(rest) - target)
-            first, second = rest[::2], rest[1::2]
-            likeness = (unit[first] @ unit[second].T).max(axis=1)
-            stay = _top(likeness, len(first))[gone:]
-            rest = np.concatenate([first[stay], second])
-        return sorted([*order[:n_important].tolist(), *(rest.tolist() if target > 0 else [])])
+    A fold over rounds. What is left is split into the tokens at even and at odd places; of the even ones the ``batch``
+    most like some odd one go, until as many are left as are wanted.
+    """
+    n = F.size(tokens)
+    wanted = share_of(n, keep)
+    n_important = F.floor(wanted * F.lit(important)).cast("int")
+    ranked = F.array_sort(F.transform(scores, lambda s, i: F.struct((-s).alias("s"), i.alias("i"))))
+    order = F.transform(ranked, lambda p: p["i"])
+    best, rest = F.slice(order, F.lit(1), n_important), F.slice(order, n_important + 1, n)
+    target = wanted - n_important
 
-    return rule
+    def at_place(left: Column, odd: int) -> Column:
+        return F.filter(left, lambda _, place: place % 2 == odd)
+
+    def likeness(i: Column, others: Column) -> Column:
+        return F.array_max(F.transform(others, lambda j: V.cosine(F.get(tokens, i), F.get(tokens, j))))
+
+    def one_round(left: Column, _: Column) -> Column:
+        odd = at_place(left, 1)
+        scored = F.transform(at_place(left, 0), lambda i, k: F.struct((-likeness(i, odd)).alias("s"), k.alias("k"), i.alias("i")))
+        gone = F.least(F.lit(batch), F.size(left) - target)
+        stay = F.slice(F.array_sort(scored), gone + 1, F.size(left))
+        return F.when(gone > 0, F.concat(F.transform(stay, lambda p: p["i"]), odd)).otherwise(left)
+
+    rounds = F.sequence(F.lit(0), F.ceil((F.size(rest) - target) / F.lit(batch)).cast("int"))
+    distinct = F.when(target > 0, F.aggregate(rounds, rest, one_round)).otherwise(F.array().cast("array<int>"))
+    return F.array_sort(F.concat(best, distinct))
 
 
 def density_centres(m: np.ndarray, neighbours: int, clusters: int) -> tuple[np.ndarray, np.ndarray]:
@@ -261,32 +278,49 @@ def density_clusters(neighbours: int, clusters: int) -> Callable:
     return rule
 
 
-def static_windows(threshold: float, longest: int) -> Callable:
-    """Cut a run of frames into windows so that as many token positions as possible stay unchanged in one.
+def static_windows(likeness: Column, threshold: float, longest: int) -> Column:
+    """First frames of windows in which as many token positions as possible stay unchanged.
 
-    The matrix holds per gap between frames the similarity of every token position. Returns the first
-    frame of each window.
+    ``likeness`` holds per gap between frames the similarity of every position. The frames are folded from left to
+    right; the state holds, for every frame so far, the best total up to it and the frame its last window starts at.
+    A window of m frames counts its unchanged positions m − 1 times. The shortest of equally good last windows wins.
     """
 
-    def rule(m: np.ndarray, _) -> list[int]:
-        n = len(m)
-        still = m > threshold
-        saved, start = np.zeros(n), np.zeros(n, dtype=int)
-        for i in range(n):
-            saved[i], start[i] = (saved[i - 1] if i else 0), i
-            for size in range(2, min(i + 1, longest) + 1):
-                first = i - size + 1
-                alike = int(still[first:i].all(axis=0).sum()) * (i - first)
-                value = (saved[first - 1] if first else 0) + alike
-                if value > saved[i]:
-                    saved[i], start[i] = value, first
-        cuts, i = [], n - 1
-        while i >= 0:
-            cuts.append(int(start[i]))
-            i = int(start[i]) - 1
-        return cuts[::-1]
+    def unchanged(first: Column, last: Column) -> Column:
+        """Positions above the threshold in all gaps first … last − 1."""
+        lowest = F.aggregate(
+            F.slice(likeness, first + 2, last - first - 1),
+            F.get(likeness, first),
+            lambda low, gap: F.zip_with(low, gap, lambda a, b: F.least(a, b)),
+        )
+        return F.size(F.filter(lowest, lambda x: x > threshold))
+
+    def total_before(state: Column, first: Column) -> Column:
+        return F.when(first > 0, F.get(state, first - 1)["total"]).otherwise(0)
+
+    def add_frame(state: Column, frame: Column) -> Column:
+        alone = F.array(F.struct(total_before(state, frame).alias("total"), frame.alias("start")))
+        longer = F.transform(
+            F.sequence(F.greatest(frame - longest + 1, F.lit(0)), frame - 1),
+            lambda first: F.struct(
+                (total_before(state, first) + unchanged(first, frame) * (frame - first)).alias("total"), first.alias("start")
+            ),
+        )
+        # The largest total, and of equal ones the latest start.
+        return F.concat(state, F.array(F.array_max(F.when(frame > 0, F.concat(alone, longer)).otherwise(alone))))
 
-    return rule
+    frames = F.sequence(F.lit(0), F.size(likeness) - 1)
+    nothing = F.array().cast("array<struct<total: int, start: int>>")
+    windows = F.aggregate(frames, nothing, add_frame)
+
+    def walk_back(cuts: Column, frame: Column) -> Column:
+        """A frame is the end of a window if the window after it starts right behind it."""
+        is_end = F.get(cuts, F.lit(0)) == frame + 1
+        return F.when(is_end, F.concat(F.array(F.get(windows, frame)["start"]), cuts)).otherwise(cuts)
+
+    behind = F.array(F.size(likeness))
+    cuts = F.aggregate(F.reverse(frames), behind, walk_back)
+    return F.slice(cuts, F.lit(1), F.size(cuts) - 1)
 
 
 MERGED = T.ArrayType(

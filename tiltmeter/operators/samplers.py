@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiltmeter.functions.hashing import portable_hash
-from tiltmeter.operators.ordered import attach, index_bucket, index_span, number_within, running_total
+from tiltmeter.operators.ordered import attach, id_bucket, number_within, running_total
 from tiltmeter.session import settle
 
 WINDOW_BLOCK = 4096
@@ -29,8 +29,7 @@ def placed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     words = docs.where(F.regexp_like(text, F.lit(r"\S")))
     lengths = words.select(F.col(key).alias("doc_id"), F.size(tokens_of(F.col(text))).cast("bigint").alias("length"))
     kept = settle(lengths)
-    bucket = index_bucket(F.col("doc_id"), index_span(kept, "doc_id"))
-    return running_total(kept, [], [F.col("doc_id")], F.col("length"), bucket, "offset")
+    return running_total(kept, [], [F.col("doc_id")], F.col("length"), id_bucket(kept, "doc_id"), "offset")
 
 
 def _overlap(wanted: DataFrame, placed: DataFrame) -> DataFrame:
@@ -76,11 +75,11 @@ def random_windows(
     return _gather(_overlap(wanted, placed), docs, key, text, "sample")
 
 
-def first_texts_windows(
+def sampled_texts_windows(
     docs: DataFrame, n_texts: int, n_samples: int, seq_len: int, seed: int, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """Windows from the first ``n_texts`` texts only."""
-    return random_windows(docs.orderBy(key).limit(n_texts), n_samples, seq_len, seed, key, text)
+    """Windows from a sample of ``n_texts`` texts, drawn by hash out of all of them."""
+    return random_windows(shuffled_first(docs, n_texts, seed, key), n_samples, seq_len, seed, key, text)
 
 
 def document_windows(
@@ -92,8 +91,7 @@ def document_windows(
     """
     lengths = docs.select(F.col(key).alias("doc_id"), F.size(tokens_of(F.col(text))).alias("length"))
     long = settle(lengths).where(F.col("length") >= seq_len)
-    bucket = index_bucket(F.col("doc_id"), index_span(long, "doc_id"))
-    numbered = number_within(long, [], [F.col("doc_id")], bucket, "number")
+    numbered = number_within(long, [], [F.col("doc_id")], id_bucket(long, "doc_id"), "number")
     draws = (
         numbered.agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > 0)
@@ -168,7 +166,7 @@ def chat_texts(
         tokens_of(F.concat(F.lit("<|im_start|>"), F.col("role"), F.lit("\n"), F.col("text"), F.lit(" <|im_end|>\n"))),
     )
     lengths = marked.select(conv, turn, F.size("_tokens").cast("bigint").alias("_n"))
-    placed = running_total(lengths, [conv], [F.col(turn)], F.col("_n"), index_bucket(F.col(turn)), "_start")
+    placed = running_total(lengths, [conv], [F.col(turn)], F.col("_n"), id_bucket(lengths, turn), "_start")
     kept = placed.where(F.col("_start") < seq_len).select(conv, turn, "_start")
     parts = marked.join(kept, [conv, turn]).select(
         conv, turn, F.slice("_tokens", F.lit(1), (F.lit(seq_len) - F.col("_start")).cast("int")).alias("_part")
@@ -210,7 +208,7 @@ def batches(samples: DataFrame, size: int, index: str) -> DataFrame:
     """Batch number in the order of a unique index: all in one for −1, else ``size`` to a batch."""
     if size == -1:
         return samples.withColumn("batch", F.lit(0).cast("bigint"))
-    numbered = number_within(samples, [], [F.col(index)], index_bucket(F.col(index)), "_number")
+    numbered = number_within(samples, [], [F.col(index)], id_bucket(samples, index), "_number")
     return numbered.withColumn("batch", F.floor(F.col("_number") / size).cast("bigint")).drop("_number")
 
 

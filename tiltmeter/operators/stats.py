@@ -15,9 +15,6 @@ from tiltmeter.functions.significance import chi_square_p, two_sided_p
 from tiltmeter.operators.ordered import running_total, value_bucket, value_cuts
 from tiltmeter.session import settle
 
-EXACT_SAMPLE = 8
-
-
 def value_counts(df: DataFrame, groups: Sequence[str], value: str, second: Column) -> DataFrame:
     """Rows per distinct value and sample. Repeated values collapse before they are ordered.
 
@@ -31,26 +28,32 @@ def value_counts(df: DataFrame, groups: Sequence[str], value: str, second: Colum
     return counts.where(F.col("n1") + F.col("n2") > 0)
 
 
-def mann_whitney(df: DataFrame, groups: Sequence[str], value: str, second: Column) -> DataFrame:
+def mann_whitney(df: DataFrame, groups: Sequence[str], value: str, second: Column, exact: bool = False) -> DataFrame:
     """Two-sided Mann–Whitney U of the first against the second sample, per group.
 
-    ``u`` is the statistic of the first sample. Without ties and with at most eight values on one side
-    the p-value is exact, otherwise it is the normal approximation with tie and continuity correction.
+    ``u`` is the statistic of the first sample. The p-value is the normal approximation with tie and continuity
+    correction. ``exact`` asks for the exact one of small samples; groups with ties keep the approximation.
     """
     groups = list(groups)
-    counts = settle(value_counts(df, groups, value, second))
+    return rank_test(settle(value_counts(df, groups, value, second)), groups, value, exact)
+
+
+def rank_test(counts: DataFrame, groups: Sequence[str], value: str, exact: bool = False) -> DataFrame:
+    """The test of :func:`mann_whitney` from (groups, value, n1, n2)."""
+    groups = list(groups)
     cuts = value_cuts(counts, value)
     placed = running_total(
         counts, groups, [F.col(value)], F.col("n1"), value_bucket(F.col(value), cuts), "_before"
     )
-    t = F.col("n1") + F.col("n2")
+    # Cubes of counts leave the range of integers long before they leave that of doubles.
+    t = (F.col("n1") + F.col("n2")).cast("double")
     # Every value of the second sample beats the earlier ones of the first and half of its equals.
     beaten = F.col("n2") * (F.col("_before") + F.col("n1") / F.lit(2.0))
     sums = placed.groupBy(*groups).agg(
         F.sum("n1").alias("n1"),
         F.sum("n2").alias("n2"),
         F.sum(beaten).alias("u2"),
-        F.sum((t * t * t - t).cast("double")).alias("ties"),
+        F.sum(t * t * t - t).alias("ties"),
     )
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
@@ -62,9 +65,10 @@ def mann_whitney(df: DataFrame, groups: Sequence[str], value: str, second: Colum
         .withColumn("z", F.try_divide(larger - n1 * n2 / 2 - 0.5, spread))
     )
     normal = F.when(F.col("z") < 0, F.lit(1.0)).otherwise(two_sided_p(F.col("z")))
-    small = (F.least("n1", "n2") <= EXACT_SAMPLE) & (F.col("ties") == 0)
-    exact = exact_p(F.when(small, F.col("n1")), F.when(small, F.col("n2")), F.when(small, larger))
-    return scored.withColumn("p_value", F.coalesce(exact, normal)).select(
+    if exact:
+        untied = F.col("ties") == 0
+        normal = F.coalesce(exact_p(*[F.when(untied, c) for c in (F.col("n1"), F.col("n2"), larger)]), normal)
+    return scored.withColumn("p_value", normal).select(
         *groups, "n1", "n2", F.col("u1").alias("u"), "z", "p_value"
     )
 

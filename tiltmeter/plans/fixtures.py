@@ -80,6 +80,7 @@ def responses(spark: SparkSession, sf_dir: str, methods=METHODS, seeds=SEEDS, co
             F.when(b < 3, "")
             .when(b < 5, "Error")
             .when(b < 6, F.lit(None))
+            .when(b < 7, "Ä")
             .when(b < 50, letter_at(F.col("ans")))
             .when(
                 b < 80,

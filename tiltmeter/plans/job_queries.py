@@ -210,7 +210,7 @@ SELECT DISTINCT 'layers.' || (l_partkey % 40) || '.' || l_shipmode AS module FRO
 def module_prefixes(spark, sf_dir):
     """Parameter names; only those with a buffer part count."""
     part = F.when(F.col("l_linenumber") % 3 == 0, "q_proj").when(F.col("l_linenumber") % 3 == 1, "k_proj").otherwise("v_proj")
-    tail = F.when(F.col("l_returnflag") == "N", "buf_scales").otherwise("weight")
+    tail = F.when(F.col("l_returnflag") == "N", "buf_pitches").otherwise("weight")
     names = X.table(spark, sf_dir, "lineitem").select(
         F.concat_ws(".", F.lit("layers"), (F.col("l_partkey") % 40).cast("string"), part, tail).alias("name")
     )

@@ -25,7 +25,7 @@ GROUP = X.GROUP
 
 
 def _params_sql(source: str, keys: str, kind: str = "asym", bits: int = 4) -> str:
-    """CTE ``p`` with scale s and zero z per key from the values v of ``source``."""
+    """CTE ``p`` with pitch s and zero z per key from the values v of ``source``."""
     top = 2**bits - 1
     if kind == "sym":
         half = 2 ** (bits - 1) - 1
@@ -53,12 +53,12 @@ _GROUPED = "g AS (SELECT row_id, label, pos // 16 AS grp, pos, v FROM w)"
 
 
 def _rtn_sql(source: str, keys: str, kind: str = "asym", bits: int = 4, out: str | None = None) -> str:
-    """Per key (and row) scale, zero, sum of codes and mean squared error."""
+    """Per key (and row) pitch, zero, sum of codes and mean squared error."""
     out = out or keys
     return f"""
 {_params_sql(source, keys, kind, bits)},
 c AS (SELECT t.*, p.s, p.z, {_codes_sql(kind, bits)} AS q FROM {source} t JOIN p USING ({keys}))
-SELECT {out}, {rnd("any_value(s)")} AS scale, {rnd("any_value(z)")} AS zero, sum(q)::BIGINT AS code_sum,
+SELECT {out}, {rnd("any_value(s)")} AS pitch, {rnd("any_value(z)")} AS zero, sum(q)::BIGINT AS code_sum,
        {rnd("avg(((q - z) * s - v) * ((q - z) * s - v))")} AS mse
 FROM c GROUP BY {out}"""
 
@@ -66,7 +66,7 @@ FROM c GROUP BY {out}"""
 def _report(rows, *keys):
     return rows.select(
         *keys,
-        r9("scale").alias("scale"),
+        r9("pitch").alias("pitch"),
         r9("zero").alias("zero"),
         total(F.col("codes")).cast("bigint").alias("code_sum"),
         r9(Q.row_error(F.col("v"), F.col("snapped"))).alias("mse"),
@@ -122,7 +122,7 @@ p AS (SELECT *, greatest(0.0, least(15.0, 0.0 - round_even(lo / s, 0)::DOUBLE))
 c AS (SELECT t.*, p.s, p.z, greatest(0.0, least(15.0, round_even(v / s, 0)::DOUBLE + z)) AS q FROM t JOIN p USING (tile_row, grp))""",
     )
     + f"""
-SELECT row_id, grp, {rnd("any_value(s)")} AS scale, {rnd("any_value(z)")} AS zero, sum(q)::BIGINT AS code_sum,
+SELECT row_id, grp, {rnd("any_value(s)")} AS pitch, {rnd("any_value(z)")} AS zero, sum(q)::BIGINT AS code_sum,
        {rnd("avg(((q - z) * s - v) * ((q - z) * s - v))")} AS mse
 FROM c GROUP BY row_id, grp""",
 )
@@ -204,7 +204,7 @@ c AS (SELECT w.*, p.s, p.z, greatest(0.0, least(15.0, floor(v / s) + ((row_id +
 SELECT row_id, sum(q)::BIGINT AS code_sum, {rnd("avg(((q - z) * s - v) * ((q - z) * s - v))")} AS mse FROM c GROUP BY row_id""",
 )
 def learned_rounding(spark, sf_dir):
-    """Static scales with a given floor-or-ceiling choice per weight."""
+    """Static pitches with a given floor-or-ceiling choice per weight."""
     rows = Q.quantise(X.weights(spark, sf_dir), W4).drop("codes", "snapped")
     choice = F.transform("v", lambda x, i: ((F.col("row_id") + i) % 2).cast("double"))
     out = Q.quantise_static(rows.withColumn("learned", choice), W4, "learned")
@@ -223,7 +223,7 @@ r AS (SELECT row_id, min(v) / (1 + exp(-(row_id % 5)::DOUBLE)) AS lo, max(v) / (
 p AS (SELECT *, greatest(0.0, least(15.0, 0.0 - round_even(lo / s, 0)::DOUBLE)) AS z
       FROM (SELECT *, greatest(hi - lo, 1e-5) / 15.0 AS s FROM r)),
 c AS (SELECT w.*, p.s, p.z, {_codes_sql()} AS q FROM w JOIN p USING (row_id))
-SELECT row_id, {rnd("any_value(s)")} AS scale, {rnd("any_value(z)")} AS zero, sum(q)::BIGINT AS code_sum,
+SELECT row_id, {rnd("any_value(s)")} AS pitch, {rnd("any_value(z)")} AS zero, sum(q)::BIGINT AS code_sum,
        {rnd("avg(((q - z) * s - v) * ((q - z) * s - v))")} AS mse FROM c GROUP BY row_id""",
 )
 def learnable_range(spark, sf_dir):
@@ -271,7 +271,7 @@ c8 AS (SELECT row_id, pos // 16 AS grp, w.v AS x, p8.s AS s8, {_codes_sql("sym",
     + _params_sql("c8", "row_id, grp")
     + f""",
 c4 AS (SELECT c8.*, p.s, p.z, {_codes_sql()} AS q FROM c8 JOIN p USING (row_id, grp))
-SELECT row_id, grp, {rnd("any_value(s)")} AS scale, {rnd("any_value(z)")} AS zero, sum(q)::BIGINT AS code_sum,
+SELECT row_id, grp, {rnd("any_value(s)")} AS pitch, {rnd("any_value(z)")} AS zero, sum(q)::BIGINT AS code_sum,
        {rnd("sum((q - z) * s * s8)")} AS value_sum FROM c4 GROUP BY row_id, grp""",
 )
 def two_step_4_8(spark, sf_dir):
@@ -279,7 +279,7 @@ def two_step_4_8(spark, sf_dir):
     return rows.select(
         "row_id",
         F.col("group").cast("bigint").alias("grp"),
-        r9("scale").alias("scale"),
+        r9("pitch").alias("pitch"),
         r9("zero").alias("zero"),
         total(F.col("codes")).cast("bigint").alias("code_sum"),
         r9(total(F.col("snapped"))).alias("value_sum"),
@@ -294,7 +294,7 @@ cal AS (SELECT label, v FROM w WHERE row_id % 4 = 0),"""
     + _params_sql("cal", "label", "asym", 8)
     + f""",
 c AS (SELECT w.*, p.s, p.z, {_codes_sql("asym", 8)} AS q FROM w JOIN p USING (label))
-SELECT row_id, {rnd("any_value(s)")} AS scale, {rnd("any_value(z)")} AS zero, sum(q)::BIGINT AS code_sum,
+SELECT row_id, {rnd("any_value(s)")} AS pitch, {rnd("any_value(z)")} AS zero, sum(q)::BIGINT AS code_sum,
        {rnd("avg(((q - z) * s - v) * ((q - z) * s - v))")} AS mse FROM c GROUP BY row_id""",
 )
 def kv_calibrated(spark, sf_dir):
@@ -395,13 +395,15 @@ def seen_histogram(spark, sf_dir):
 
 
 _HIST = """
-hist AS (SELECT input, least(31, floor((v + 0.5) * 32))::INT AS bin, count(*) AS n
-         FROM (SELECT input, v FROM x WHERE v BETWEEN -0.5 AND 0.5) GROUP BY input, bin)"""
+span AS (SELECT min(v) AS lo, max(v) AS hi FROM x),
+hist AS (SELECT input, least(31, floor((v - lo) / (hi - lo) * 32))::INT AS bin, count(*) AS n FROM x, span GROUP BY input, bin)"""
 
 
 def _histogram(spark, sf_dir):
-    values = _activations(spark, sf_dir).select("input", F.explode("x").alias("v"))
-    return Q.value_histogram(values, F.col("v"), F.lit(-0.5), F.lit(0.5), 32, ["input"])
+    rows = _activations(spark, sf_dir)
+    span = rows.agg(F.min(F.array_min("x")).alias("lo"), F.max(F.array_max("x")).alias("hi"))
+    values = Q.attach(rows, span).select("input", "lo", "hi", F.explode("x").alias("v"))
+    return Q.value_histogram(values, F.col("v"), F.col("lo"), F.col("hi"), 32, ["input"])
 
 
 @query("value_histogram", with_tables(WEIGHTS, _BATCHED, _HIST) + "SELECT input, bin, n FROM hist")
@@ -425,7 +427,7 @@ def histogram_quantile(spark, sf_dir):
 def proximal_zeros(spark, sf_dir):
     rows = Q.quantise(X.weights(spark, sf_dir), W4, group=GROUP)
     out = N.proximal_zeros(rows, W4, ["row_id", "group"])
-    return out.select("row_id", "group", r9("scale").alias("scale"), r9("zero", 6).alias("zero"), "steps")
+    return out.select("row_id", "group", r9("pitch").alias("pitch"), r9("zero", 6).alias("zero"), "steps")
 
 
 # --- columns ---------------------------------------------------------------------------------
@@ -436,18 +438,18 @@ wm AS (SELECT pos, greatest(max(abs(v)), 1e-5) AS w_max FROM w WHERE row_id % 2
 
 
 @query(
-    "smooth_scale",
+    "smooth_pitch",
     with_tables(WEIGHTS, _COLUMNS)
     + f"""
 SELECT pos, {rnd("a_max")} AS a_max, {rnd("w_max")} AS w_max,
-       {rnd("greatest(power(a_max, 0.7) / power(w_max, 0.3), 1e-5)")} AS scale
+       {rnd("greatest(power(a_max, 0.7) / power(w_max, 0.3), 1e-5)")} AS pitch
 FROM a JOIN wm USING (pos)""",
 )
-def smooth_scale(spark, sf_dir):
+def smooth_pitch(spark, sf_dir):
     """Even rows as activations, odd rows as weights."""
     rows = X.weights(spark, sf_dir)
-    out = Q.smooth_scale(rows.where("row_id % 2 = 0").withColumnRenamed("w", "x"), rows.where("row_id % 2 = 1"), 0.7)
-    return out.select("pos", *[r9(c).alias(c) for c in ("a_max", "w_max", "scale")])
+    out = Q.smooth_pitch(rows.where("row_id % 2 = 0").withColumnRenamed("w", "x"), rows.where("row_id % 2 = 1"), 0.7)
+    return out.select("pos", *[r9(c).alias(c) for c in ("a_max", "w_max", "pitch")])
 
 
 @query(
@@ -494,7 +496,7 @@ def gram(spark, sf_dir):
 @query("error_feedback")
 def error_feedback(spark, sf_dir):
     weights, x = _both(spark, sf_dir)
-    factor = G.inverse_factor(G.scaled_hessian(x, "batch"), by_diagonal=True)
+    factor = G.inverse_factor(G.pitched_hessian(x, "batch"), by_diagonal=True)
     out = G.error_feedback(weights, factor, W4, GROUP)
     return out.select("row_id", r9("loss", 6).alias("loss"), r9(total(F.col("snapped")), 6).alias("snapped_sum"))
 
@@ -508,18 +510,18 @@ cand AS (SELECT pos, step, s / sqrt(max(s) OVER g * min(s) OVER g) AS s FROM raw
 
 
 @query(
-    "scale_candidates",
+    "pitch_candidates",
     with_tables(WEIGHTS, _CANDIDATES) + f"SELECT step, pos, {rnd('s')} AS s FROM cand",
 )
-def scale_candidates(spark, sf_dir):
+def pitch_candidates(spark, sf_dir):
     weights, x = _both(spark, sf_dir)
     grid = [i / 20 for i in range(20)]
-    out = G.scale_candidates(G.activation_scale(x, "batch"), G.weight_scale(weights, GROUP), grid)
+    out = G.pitch_candidates(G.activation_pitch(x, "batch"), G.weight_pitch(weights, GROUP), grid)
     return out.select("step", F.posexplode("s").alias("pos", "s")).withColumn("s", r9("s"))
 
 
 @query(
-    "best_scale",
+    "best_pitch",
     with_tables(WEIGHTS, _CANDIDATES, _GRAM)
     + f""",
 sc AS (SELECT row_id, step, pos, pos // 16 AS grp, w.v AS x, w.v * c.s AS v, c.s AS cs FROM w JOIN cand c USING (pos)),
@@ -531,9 +533,9 @@ dd AS (SELECT step, a.pos AS i, b.pos AS j, sum(a.d * b.d) AS dd FROM d a JOIN d
 losses AS (SELECT step, sum(dd * h) AS loss FROM dd JOIN h USING (i, j) GROUP BY step)
 SELECT arg_min(step, (loss, step)) AS step, {rnd("min(loss)", 6)} AS loss FROM losses""",
 )
-def best_scale(spark, sf_dir):
+def best_pitch(spark, sf_dir):
     weights, x = _both(spark, sf_dir)
-    out = G.best_scale(weights, x, "batch", W4, GROUP)
+    out = G.best_pitch(weights, x, "batch", W4, GROUP)
     return out.select("step", r9("loss", 6).alias("loss"))
 
 
@@ -589,6 +591,23 @@ def better_direction(spark, sf_dir):
     return out.select(r9("oc_loss", 6).alias("oc_loss"), r9("ic_loss", 6).alias("ic_loss"), "direction")
 
 
+@query(
+    "layers_left_out",
+    with_tables(WEIGHTS, _GROUPED)
+    + ","
+    + _params_sql("g", "row_id, grp")
+    + f""",
+c AS (SELECT row_id, label, v, (({_codes_sql()}) - z) * s AS q FROM g JOIN p USING (row_id, grp))
+SELECT row_id, {rnd("sum(CASE WHEN label BETWEEN 0 AND 4 OR label = 7 OR label = 9 THEN v ELSE q END)")} AS row_sum FROM c GROUP BY row_id""",
+)
+def layers_left_out(spark, sf_dir):
+    """Rounding to nearest with a range of blocks, a block and a layer by name left as they are."""
+    rows = X.weights(spark, sf_dir).withColumn("block", F.col("label"))
+    rows = rows.withColumn("layer", F.when(F.col("label") == 9, "head").otherwise("inner"))
+    out = M.quantise_weights("rtn_w4", rows, rows.select(F.col("w").alias("x")), GROUP, left_out=["0-4", "7", "head"])
+    return out.select("row_id", r9(total(F.col("w"))).alias("row_sum"))
+
+
 @query("compared_methods")
 def compared_methods(spark, sf_dir):
     """Every registered method at four bits: mean and largest error of its weights."""

@@ -84,6 +84,30 @@ def decision_score_wrong(spark, sf_dir):
     )
 
 
+def _own_letter_sql(position: str) -> str:
+    return with_tables(LAYERS, _SPANS, _SCORES) + f"""
+SELECT layer, {rnd("avg(plain_score)")} AS plain, count(*) AS n FROM scores WHERE {position} GROUP BY layer"""
+
+
+def _own_letter(spark, sf_dir, own):
+    plain = X.layer_table(spark, sf_dir, "plain").withColumn("chosen_wrong_answer_index", own)
+    marked = L.with_suggested_letter(plain, X.layer_table(spark, sf_dir, "opinion"))
+    scores = L.decision_scores(marked, {"score": "suggested"}).where(F.col("score").isNotNull())
+    return L.score_curve(scores, ["score"]).select("layer", r9("score").alias("plain"), "n")
+
+
+@query("decision_score_empty_own", _own_letter_sql("pos = wrong_pos"))
+def decision_score_empty_own(spark, sf_dir):
+    """A column of their own without any value: plain rows take the letter from the opinion run."""
+    return _own_letter(spark, sf_dir, F.lit(None).cast("string"))
+
+
+@query("decision_score_own", _own_letter_sql("pos = right_pos AND question_id % 2 = 0"))
+def decision_score_own(spark, sf_dir):
+    """A column of their own with some values: it alone counts."""
+    return _own_letter(spark, sf_dir, F.when(F.col("question_id") % 2 == 0, F.col("correct_answer_index")))
+
+
 def _seeded(df, opinion: bool):
     """Three seeds of a run; every seed suggests its own wrong letter."""
     out = df.withColumn("data_seed", F.explode(F.array(*[F.lit(s).cast("bigint") for s in X.SEEDS])))
@@ -235,17 +259,16 @@ def kl_from_maps(spark, sf_dir):
 
 
 @query(
-    "kl_first_rows",
+    "kl_all_rows",
     with_tables(LAYERS, _softmax_sql("layers", ["plain", "opinion"]))
     + f"""
 SELECT layer, {rnd("avg(kl)")} AS kl, count(*) AS n
 FROM (SELECT question_id, layer, sum({_kl_sql("opinion_p", "plain_p")}) AS kl FROM layers_p
-      WHERE question_id < 100 GROUP BY ALL) GROUP BY layer""",
+      GROUP BY ALL) GROUP BY layer""",
 )
-def kl_first_rows(spark, sf_dir):
-    """The row cap of the curve command, as a filter on the row index."""
-    opinion = L.first_rows(X.layer_table(spark, sf_dir, "opinion"), 100, "question_id")
-    plain = L.first_rows(X.layer_table(spark, sf_dir, "plain"), 100, "question_id")
+def kl_all_rows(spark, sf_dir):
+    """The curve of all rows, opinion against plain; there is no row cap."""
+    opinion, plain = X.layer_table(spark, sf_dir, "opinion"), X.layer_table(spark, sf_dir, "plain")
     return L.kl_curve(L.pair_runs(opinion, plain)).withColumn("kl", r9("kl"))
 
 
@@ -259,20 +282,17 @@ WHERE which = 'all' OR layer = 15 OR (which = 'odd' AND layer % 2 = 1) OR (which
 GROUP BY which, layer""",
 )
 def layer_subsets(spark, sf_dir):
-    base = X.layer_table(spark, sf_dir, "plain")
-    parts = [
-        L.layer_subset(base, which).select(F.lit(which).alias("which"), F.explode("layers.layer").alias("layer"))
-        for which in ("all", "odd", "even", "last")
-    ]
-    union = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    return union.groupBy("which", "layer").agg(F.count(F.lit(1)).alias("n"))
+    """All four choices from one scan."""
+    choices = [F.struct(F.lit(w).alias("which"), L.chosen_layers(w).alias("layers")) for w in ("all", "odd", "even", "last")]
+    runs = X.layer_table(spark, sf_dir, "plain").select(F.inline(F.array(*choices)))
+    return runs.select("which", F.explode("layers.layer").alias("layer")).groupBy("which", "layer").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- alignment -------------------------------------------------------------------------------
 
 _ALIGN_RUNS = """
 runs AS (
-  SELECT o_orderkey AS row_idx, 'q' || (o_custkey % 1000) AS synthetic_id, o_orderstatus AS model_answer FROM orders
+  SELECT o_orderkey AS row_idx, 'q' || (o_orderkey // 2) AS synthetic_id, o_orderstatus AS model_answer FROM orders
 ),
 plain_run AS (SELECT * FROM runs WHERE row_idx % 2 = 0),
 opinion_run AS (SELECT * FROM runs WHERE row_idx % 2 = 1)"""
@@ -281,7 +301,7 @@ opinion_run AS (SELECT * FROM runs WHERE row_idx % 2 = 1)"""
 def _align_runs(spark, sf_dir):
     runs = X.table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("row_idx"),
-        F.concat(F.lit("q"), (F.col("o_custkey") % 1000).cast("string")).alias("synthetic_id"),
+        F.concat(F.lit("q"), F.floor(F.col("o_orderkey") / 2).cast("string")).alias("synthetic_id"),
         F.col("o_orderstatus").alias("model_answer"),
     )
     return runs.where("row_idx % 2 = 0"), runs.where("row_idx % 2 = 1")

@@ -63,7 +63,7 @@ def rate_triple(spark, sf_dir):
     with_tables(RESPONSES)
     + f"""
 SELECT method_id, condition, count(*) AS n_total, count_if(valid)::BIGINT AS n_valid,
-       count_if(valid)::BIGINT AS n_valid_any_script, {rnd("count_if(valid) / count(*)")} AS valid_ratio
+       count_if(coalesce(regexp_full_match(model_answer, '\\p{{Lu}}'), false))::BIGINT AS n_valid_any_script, {rnd("count_if(valid) / count(*)")} AS valid_ratio
 FROM flagged GROUP BY method_id, condition""",
 )
 def valid_ratio(spark, sf_dir):
@@ -185,14 +185,14 @@ def complete_seed_average(spark, sf_dir):
 
 
 @query(
-    "rate_at_scale",
+    "rate_at_volume",
     f"""
 SELECT l_linestatus, count(*) AS n_total, count_if(l_returnflag ~ '^[A-Z]$')::BIGINT AS n_valid,
        {rnd("avg((l_returnflag = 'N')::INT)")} AS accuracy, {rnd("avg((l_returnflag = 'R')::INT)")} AS opinion_rate,
        {rnd("avg((l_returnflag NOT IN ('N', 'R'))::INT)")} AS error_rate
 FROM lineitem GROUP BY l_linestatus""",
 )
-def rate_at_scale(spark, sf_dir):
+def rate_at_volume(spark, sf_dir):
     """Item flags as answers: N is right, R is suggested."""
     answers = X.table(spark, sf_dir, "lineitem").select(
         "l_linestatus",
@@ -302,12 +302,11 @@ def token_letter(spark, sf_dir):
 
 
 @query(
-    "invalid_preview",
+    "invalid_answers",
     with_tables(RESPONSES)
     + """
-SELECT question_id, method_id, data_seed, condition, model_answer FROM flagged WHERE NOT valid
-ORDER BY question_id, method_id, data_seed, condition LIMIT 10""",
+SELECT question_id, method_id, data_seed, condition, model_answer FROM flagged WHERE NOT valid""",
 )
-def invalid_preview(spark, sf_dir):
-    """The first ten unusable answers, to look at."""
-    return R.invalid_preview(X.responses(spark, sf_dir), ["question_id", "method_id", "data_seed", "condition"], 10)
+def invalid_answers(spark, sf_dir):
+    """Every unusable answer with its run."""
+    return R.invalid_answers(X.responses(spark, sf_dir), ["question_id", "method_id", "data_seed", "condition"])

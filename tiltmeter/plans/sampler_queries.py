@@ -10,6 +10,7 @@ from tiltmeter.plans.registry import query
 from tiltmeter.plans.sql import h, with_tables
 
 SEED = 42
+_SHUFFLE = h(f"'{SEED}'", "doc_id::VARCHAR")
 
 _TOKENS = """
 docs AS (
@@ -43,12 +44,12 @@ def calib_windows(spark, sf_dir):
 
 
 @query(
-    "calib_first_texts",
-    with_tables(_TOKENS.replace("FROM docs)", "FROM docs ORDER BY doc_id LIMIT 500)"), _PLACED) + "," + _window_sql(64, 128),
+    "calib_sampled_texts",
+    with_tables(_TOKENS.replace("FROM docs)", f"FROM docs ORDER BY {_SHUFFLE}, doc_id LIMIT 500)"), _PLACED) + "," + _window_sql(64, 128),
 )
-def calib_first_texts(spark, sf_dir):
-    """The sampler that reads only the first texts of a corpus."""
-    return _text(S.first_texts_windows(X.corpus(spark, sf_dir), 500, 64, 128, SEED), "sample")
+def calib_sampled_texts(spark, sf_dir):
+    """The sampler that reads a sample of the texts of a corpus."""
+    return _text(S.sampled_texts_windows(X.corpus(spark, sf_dir), 500, 64, 128, SEED), "sample")
 
 
 @query(
@@ -65,9 +66,6 @@ def calib_documents(spark, sf_dir):
     return _text(S.document_windows(X.corpus(spark, sf_dir), 128, 64, SEED), "sample", "doc_id")
 
 
-_SHUFFLE = h(f"'{SEED}'", "doc_id::VARCHAR")
-
-
 @query(
     "calib_blocks",
     with_tables(_TOKENS)

@@ -125,42 +125,41 @@ unit AS (SELECT seq, pos, d, x / sqrt(sum(x * x) OVER (PARTITION BY seq, pos)) A
 @query(
     "frame_select",
     with_tables(
-        "tok AS (SELECT vec_id // 10 AS frame, (vec_id % 10)::INT AS pos, embedding::DOUBLE[] AS v FROM embeddings),"
-        " nf AS (SELECT max(frame) + 1 AS nf FROM tok)"
+        "tok AS (SELECT vec_id // 90 AS video, vec_id // 10 % 9 AS frame, (vec_id % 10)::INT AS pos, embedding::DOUBLE[] AS v FROM embeddings),"
+        " nf AS (SELECT video, max(frame) + 1 AS nf FROM tok GROUP BY video)"
     )
     + f""",
-against AS (SELECT tok.*, CASE WHEN frame % 2 = 1 THEN frame - 1 WHEN frame % 4 = 2 AND frame - 2 < 46 THEN frame - 2 END AS other FROM tok),
-sim AS (SELECT a.frame, a.pos, b.frame IS NULL AS free, list_cosine_similarity(a.v, b.v) AS c
-        FROM against a LEFT JOIN tok b ON b.frame = a.other AND b.pos = a.pos)
-SELECT frame, {_AGG} FROM (
-  SELECT *, row_number() OVER (PARTITION BY frame ORDER BY c, pos) AS rn FROM sim) WHERE free OR rn <= 3 GROUP BY frame""",
+against AS (SELECT tok.*, CASE WHEN frame % 2 = 1 THEN frame - 1 WHEN frame % 4 = 2 AND frame - 2 < nf - 4 THEN frame - 2 END AS other
+            FROM tok JOIN nf USING (video)),
+sim AS (SELECT a.video, a.frame, a.pos, b.frame IS NULL AS free, list_cosine_similarity(a.v, b.v) AS c
+        FROM against a LEFT JOIN tok b ON b.video = a.video AND b.frame = a.other AND b.pos = a.pos)
+SELECT video, frame, {_AGG} FROM (
+  SELECT *, row_number() OVER (PARTITION BY video, frame ORDER BY c, pos) AS rn FROM sim) WHERE free OR rn <= 3 GROUP BY video, frame""",
 )
 def frame_select(spark, sf_dir):
-    """Ten tokens a frame, all frames one video; of a frame like an earlier one three tokens stay."""
-    rows = X.weights(spark, sf_dir)
-    frames = R.pack_sequences(rows, "row_id", 10, "w", F.lit(0.0)).select(
-        F.lit(0).alias("video"), F.col("seq").alias("frame"), "tokens"
+    """Ten tokens a frame, nine frames a video; of a frame like an earlier one three tokens stay."""
+    frames = R.pack_sequences(X.weights(spark, sf_dir), "row_id", 10, "w", F.lit(0.0)).select(
+        F.floor(F.col("seq") / 9).alias("video"), (F.col("seq") % 9).alias("frame"), "tokens"
     )
-    out = R.similar_frames(frames, 0.3, 50)
-    return out.select("frame", _list(F.col("kept")))
+    out = R.similar_frames(frames, 0.3)
+    return out.select("video", "frame", _list(F.col("kept")))
 
 
 @query(
     "patch_merge",
-    with_tables(
-        "tok AS (SELECT vec_id // 16 AS seq, (vec_id % 16)::INT AS pos, embedding::DOUBLE[] AS v FROM embeddings),"
-        " whole AS (SELECT * FROM tok WHERE seq IN (SELECT seq FROM tok GROUP BY seq HAVING count(*) = 16))"
-    )
+    with_tables("tok AS (SELECT vec_id // 16 AS seq, (vec_id % 16)::INT AS pos, embedding::DOUBLE[] AS v FROM embeddings)")
     + f""",
-placed AS (SELECT *, (pos // 8) * 2 + (pos % 4) // 2 AS patch FROM whole),
-sims AS (SELECT a.seq, a.patch, sum(list_cosine_similarity(a.v, b.v)) / 12 AS s
-         FROM placed a JOIN placed b ON a.seq = b.seq AND a.patch = b.patch AND a.pos <> b.pos GROUP BY ALL)
+placed AS (SELECT *, (pos // 8) * 2 + (pos % 4) // 2 AS patch FROM tok),
+found AS (SELECT a.seq, a.patch, sum(list_cosine_similarity(a.v, b.v)) / 12 AS s
+          FROM placed a JOIN placed b ON a.seq = b.seq AND a.patch = b.patch AND a.pos <> b.pos GROUP BY ALL),
+sims AS (SELECT q.seq, p.patch, coalesce(s, 0.0::DOUBLE) AS s FROM (SELECT DISTINCT seq FROM tok) q, (SELECT unnest(range(0, 4)) AS patch) p
+         LEFT JOIN found f ON f.seq = q.seq AND f.patch = p.patch)
 SELECT seq, {rnd("max(s)")} AS best, coalesce(string_agg(patch::VARCHAR, ',' ORDER BY patch) FILTER (s >= 0.0), '') AS kept
 FROM sims GROUP BY seq""",
 )
 def patch_merge(spark, sf_dir):
-    """Grids of four by four tokens in patches of two by two; the similar patches are merged."""
-    rows = R.pack_sequences(X.weights(spark, sf_dir), "row_id", 16, "w", F.lit(0.0)).where(F.size("tokens") == 16)
+    """Grids of four by four tokens in patches of two by two; the similar patches are merged. The last grid may be short."""
+    rows = R.pack_sequences(X.weights(spark, sf_dir), "row_id", 16, "w", F.lit(0.0))
     scored = rows.withColumn("s", R.neighbour_similarity(F.col("tokens"), 4, 2))
     return scored.select("seq", r9(F.array_max("s")).alias("best"), _list(R.similar_patches(F.col("s"), 0.0)))
 
@@ -237,15 +236,20 @@ def _positions_query(name: str, rule, ordered: bool = True):
 
 _positions_query("farthest_point", R.farthest_points(0.2))
 _positions_query("pivot_select", R.pivots_and_unlike(40, 4, 4, 0.5))
-_positions_query("distinct_select", R.important_and_distinct(0.4, 0.5))
 _positions_query("density_clusters", R.density_clusters(5, 8))
 
 
+@query("distinct_select")
+def distinct_select(spark, sf_dir):
+    rows = _sequences(spark, sf_dir)
+    return rows.select("seq", _list(R.important_and_distinct(F.col("tokens"), F.col("scores"), 0.4, 0.5)))
+
+
 @query("static_windows")
 def static_windows(spark, sf_dir):
     """Tokens as frames, their absolute entries as similarities of positions."""
     rows = _sequences(spark, sf_dir).withColumn("a", F.transform("tokens", lambda t: F.transform(t, lambda x: F.abs(x))))
-    return rows.select("seq", _list(R.positions_udf(R.static_windows(0.05, 8), F.col("a"), F.col("scores"))))
+    return rows.select("seq", _list(R.static_windows(F.col("a"), 0.05, 8)))
 
 
 def _merge_query(name: str, rule):

@@ -30,17 +30,44 @@ def custom_samples(spark, sf_dir):
 
 
 @query(
-    "eval_first_blocks",
+    "eval_short_blocks",
     """
 WITH docs AS (
   SELECT doc_id, list_filter(string_split_regex(text, '[\\t\\n\\x0B\\f\\r ]+'), lambda t: t <> '') AS toks
-  FROM documents ORDER BY doc_id LIMIT 1100),
+  FROM documents),
 words AS (SELECT row_number() OVER (ORDER BY doc_id, k) - 1 AS pos, w
           FROM (SELECT doc_id, unnest(toks) AS w, generate_subscripts(toks, 1) AS k FROM docs)),
 blocks AS (SELECT pos // 128 AS block, count(*) AS n, md5(string_agg(w, ' ' ORDER BY pos)) AS digest FROM words GROUP BY block)
-SELECT block, digest FROM blocks WHERE n = 128 AND block < 256""",
+SELECT block, digest FROM blocks WHERE n = 128""",
 )
-def eval_first_blocks(spark, sf_dir):
-    """The evaluation corpus that reads its first 1100 texts and 256 blocks."""
-    blocks = corpora.evaluation_blocks(X.corpus(spark, sf_dir), "c4", 128)
+def eval_short_blocks(spark, sf_dir):
+    """The whole evaluation corpus in blocks of 128 tokens."""
+    blocks = corpora.evaluation_blocks(X.corpus(spark, sf_dir), 128)
     return blocks.select("block", F.md5(F.array_join("tokens", " ")).alias("digest"))
+
+
+@query(
+    "eval_whole_or_subsets",
+    "SELECT * FROM (SELECT r_regionkey AS k, r_name AS name FROM region UNION ALL SELECT n_nationkey, n_name FROM nation)",
+)
+def eval_whole_or_subsets(spark, sf_dir):
+    """A set that is there as a whole is read from one place; one that is not, from its subsets that are."""
+    whole = corpora.read_subsets(spark, f"{sf_dir}/region.parquet", [f"{sf_dir}/nation.parquet"])
+    parts = corpora.read_subsets(spark, f"{sf_dir}/no_such.parquet", [f"{sf_dir}/missing.parquet", f"{sf_dir}/nation.parquet"])
+    rows = whole.select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"))
+    return rows.unionByName(parts.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")))
+
+
+@query(
+    "dense_row_index",
+    "SELECT count(*) AS n, count(*) - 1 AS last, count(*) AS places, count(*) * (count(*) - 1) // 2 AS total FROM documents",
+)
+def dense_row_index(spark, sf_dir):
+    """The numbers 0, 1, … in file order, without moving the rows."""
+    rows = corpora.with_row_index(spark, f"{sf_dir}/documents.parquet")
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max("row_idx").alias("last"),
+        F.count_distinct("row_idx").alias("places"),
+        F.sum("row_idx").alias("total"),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def h(*parts: str) -> str:
     """The portable hash of text expressions."""
-    return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT"
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15))::BIGINT"
 
 
 def rnd(expression: str, digits: int = 9) -> str:
@@ -47,7 +47,7 @@ drawn AS (
 responses AS (
   SELECT question_id, method_id, data_seed, condition, {letter("ans")} AS correct_answer_index,
          CASE WHEN condition <> 'plain' THEN {letter("wrong")} END AS chosen_wrong_answer_index,
-         CASE WHEN b < 3 THEN '' WHEN b < 5 THEN 'Error' WHEN b < 6 THEN NULL
+         CASE WHEN b < 3 THEN '' WHEN b < 5 THEN 'Error' WHEN b < 6 THEN NULL WHEN b < 7 THEN 'Ä'
               WHEN b < 50 THEN {letter("ans")}
               WHEN b < 80 THEN CASE WHEN condition <> 'plain' THEN {letter("wrong")} ELSE {letter("(ans + 1) % n")} END
               ELSE {letter("b % n")} END AS model_answer

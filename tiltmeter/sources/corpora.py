@@ -11,14 +11,11 @@ from pyspark.sql import types as T
 
 from tiltmeter.operators.samplers import corpus_blocks
 from tiltmeter.schemas import MissingColumns, require_columns
+from tiltmeter.session import settle
 
 # Text column of each corpus (fixed values).
 TEXT_COLUMNS = {"pileval": "text", "c4": "text", "wikitext2": "text", "ptb": "sentence", "ultrachat": "messages"}
 
-# How many texts and blocks an evaluation reads; None for all (fixed values).
-EVAL_TEXTS = {"wikitext2": None, "c4": 1100, "ptb": None}
-EVAL_BLOCKS = {"wikitext2": None, "c4": 256, "ptb": None}
-
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines by ending, else Parquet."""
@@ -52,17 +49,23 @@ def read_subsets(spark: SparkSession, whole: str, subsets: Sequence[str]) -> Dat
     return spark.read.option("mergeSchema", "true").parquet(*present)
 
 
+#: Files whose starts are sent to every task; beyond that they are joined like any table.
+FEW_FILES = 100_000
+
+
 def with_row_index(spark: SparkSession, path: str, index: str = "row_idx") -> DataFrame:
     """A Parquet table with a dense index that follows file name and position in the file.
 
-    Only the row counts of the files are ordered; the rows themselves are read once and not moved.
+    Only the row counts of the files are ordered. Their starts go to every task if there are at most FEW_FILES of
+    them, so the rows are read once and not moved.
     """
     rows = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-    counts = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    # Counting needs no column of the table, so this reads the footers' row counts only.
+    counts = settle(spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count(F.lit(1)).alias("_n")))
     upto = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_file", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"))
-    joined = rows.join(starts, "_file")
-    return joined.withColumn(index, F.col("_start") + F.col("_at")).drop("_file", "_at", "_start", "_n")
+    joined = rows.join(F.broadcast(starts) if counts.count() <= FEW_FILES else starts, "_file")
+    return joined.withColumn(index, F.col("_start") + F.col("_at")).drop("_file", "_at", "_start")
 
 
 def calibration_texts(spark: SparkSession, name: str, path: str) -> DataFrame:
@@ -76,12 +79,9 @@ def calibration_texts(spark: SparkSession, name: str, path: str) -> DataFrame:
     return df.select("doc_id", F.col(column).alias("text"))
 
 
-def evaluation_blocks(docs: DataFrame, name: str, seq_len: int) -> DataFrame:
-    """Consecutive blocks of the joined evaluation texts, for the corpora that are cut short the first ones."""
-    texts, blocks = EVAL_TEXTS[name], EVAL_BLOCKS[name]
-    kept = docs if texts is None else docs.orderBy("doc_id").limit(texts)
-    out = corpus_blocks(kept, seq_len)
-    return out if blocks is None else out.where(F.col("block") < blocks)
+def evaluation_blocks(docs: DataFrame, seq_len: int) -> DataFrame:
+    """Consecutive full blocks of the joined evaluation texts, whatever the corpus."""
+    return corpus_blocks(docs, seq_len)
 
 
 def custom_text(df: DataFrame) -> DataFrame:
