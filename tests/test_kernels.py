@@ -181,7 +181,11 @@ def unit(m):
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def test_farthest_points_one_by_one():
+def row_of(spark, m):
+    return spark.createDataFrame([(m.tolist(),)], "tokens array<array<double>>")
+
+
+def test_farthest_points_one_by_one(spark):
     m = RNG.normal(size=(20, 4))
     distance = 1 - unit(m) @ unit(m).T
     chosen = []
@@ -191,12 +195,12 @@ def test_farthest_points_one_by_one():
         else:
             scores = [min(distance[i, j] for i in chosen) for j in range(20)]
         chosen.append(int(np.argmax(scores)))
-    assert R.farthest_points(0.3)(m, None) == chosen
+    assert row_of(spark, m).select(R.farthest_points(F.col("tokens"), 0.3)).first()[0] == chosen
 
 
-def test_pivots_take_unlike_tokens():
+def test_pivots_take_unlike_tokens(spark):
     m = RNG.normal(size=(14, 4))
-    kept = R.pivots_and_unlike(10, 2, 2, 0.2)(m, None)
+    kept = row_of(spark, m).select(R.pivots_and_unlike(F.col("tokens"), 10, 2, 2, 0.2)).first()[0]
     size = np.abs(m).sum(1)
     own = sorted(range(10), key=lambda i: (-size[i], i))[:2]
     text = sorted(range(10, 14), key=lambda i: (-size[i], i))[:2]
@@ -216,18 +220,18 @@ def test_distinct_tokens_drop_copies(spark):
     assert len(kept) == 6 and kept[:2] == [0, 1]
 
 
-def test_density_clusters_find_the_blobs():
+def test_density_clusters_find_the_blobs(spark):
     centres = np.array([[0, 0], [10, 0], [0, 10]])
     m = np.vstack([c + RNG.normal(0, 0.3, size=(10, 2)) for c in centres])
-    labels = R.density_clusters(4, 3)(m, None)
+    labels = row_of(spark, m).select(R.density_clusters(F.col("tokens"), 4, 3)).first()[0]
     assert len(set(labels)) == 3
     for b in range(3):
         assert len(set(labels[b * 10 : b * 10 + 10])) == 1
-    merged = R.cluster_merge(4, 3)(m, None)
+    merged = row_of(spark, m).select(R.cluster_merge(F.col("tokens"), 4, 3)).first()[0]
     assert sorted(s for _, s, _ in merged) == [10.0, 10.0, 10.0]
     for p, s, v in merged:
         assert v == pytest.approx(m[p // 10 * 10 : p // 10 * 10 + 10].sum(0) / (10 + 1e-6))
-    mixed = R.centre_weighted_merge(4, 3, 0.6)(m, None)
+    mixed = row_of(spark, m).select(R.centre_weighted_merge(F.col("tokens"), 4, 3, 0.6)).first()[0]
     for p, s, v in mixed:
         others = [i for i in range(p // 10 * 10, p // 10 * 10 + 10) if i != p]
         assert s == 10 and v == pytest.approx(0.6 * m[p] + 0.4 * m[others].mean(0))

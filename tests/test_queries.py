@@ -16,11 +16,7 @@ BY_BRUTE_FORCE = {
     "farthest_point",
     "pivot_select",
     "distinct_select",
-    "density_clusters",
     "static_windows",
-    "cluster_merge",
-    "centre_weighted_merge",
-    "sparse_recycle",
     "stream_moving_range",
 }
 

@@ -2,24 +2,20 @@
 
 A sequence is one row: ``tokens`` ARRAY<ARRAY<DOUBLE>> and ``scores`` ARRAY<DOUBLE>. Its length is fixed
 by the model that produced it, so the row is the unit of work and nothing needs a shuffle. Selections by
-score stay in built-in array functions; selections that compare tokens with each other run on one
-sequence's matrix at a time, and only positions or merged tokens come out, never the pairs.
+score and by comparing tokens are built-in array functions; choices that depend on earlier ones are folds
+over the array. Only positions or merged tokens come out, never the pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tiltmeter.functions import vectors as V
 from tiltmeter.functions.hashing import portable_hash
 
-POSITIONS = T.ArrayType(T.IntegerType())
 
 
 def pack_sequences(tokens: DataFrame, index: str, length: int, vector: str, score: Column) -> DataFrame:
@@ -153,67 +149,83 @@ def segment_cuts(similarity: Column, n_segments: int, threshold: float) -> Colum
 
 # --- by comparing tokens ---------------------------------------------------------------------
 
-def _matrix(tokens) -> np.ndarray:
-    return np.stack([np.asarray(t, dtype="float64") for t in tokens])
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once per row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
+def positions(tokens: Column) -> Column:
+    return F.sequence(F.lit(0), F.size(tokens) - 1)
 
 
-def _top(values: np.ndarray, k: int, largest: bool = True) -> np.ndarray:
-    """k best positions, best first; the earlier position wins a tie."""
-    return np.argsort(-values if largest else values, kind="stable")[: max(k, 0)]
+def without(all_of: Column, some: Column) -> Column:
+    """Entries that are not among others, in their order."""
+    return F.filter(all_of, lambda i: ~F.array_contains(some, i))
 
 
-def positions_udf(rule: Callable[..., Sequence[int]], *columns: Column) -> Column:
-    """Apply a rule on one sequence's matrix (and further arrays) to every row; positions come back."""
+def most_like(tokens: Column, i: Column, others: Column) -> Column:
+    """struct(s, at): the position among others with the highest cosine to token i; the earlier one wins a tie. s is negated."""
+    return F.array_min(
+        F.transform(others, lambda j: F.struct((-V.cosine(F.get(tokens, i), F.get(tokens, j))).alias("s"), j.alias("at")))
+    )
+
+
+def added(tokens: Column, start: Column, members: Column) -> Column:
+    """A vector plus the tokens at some positions."""
+    return F.aggregate(members, start, lambda acc, i: F.zip_with(acc, F.get(tokens, i), lambda x, y: x + y))
 
-    @F.pandas_udf(POSITIONS)
-    def apply(tokens: pd.Series, extra: pd.Series) -> pd.Series:
-        return pd.Series([[int(i) for i in rule(_matrix(t), np.asarray(e))] for t, e in zip(tokens, extra)])
 
-    return apply(*columns)
+def merged_token(pos: Column, size: Column, token: Column) -> Column:
+    return F.struct(pos.cast("int").alias("pos"), size.cast("double").alias("size"), token.alias("token"))
 
 
-def farthest_points(share: float) -> Callable:
-    """Greedy choice of the token farthest (by cosine) from those already chosen."""
+def farthest_points(tokens: Column, share: float) -> Column:
+    """Greedy choice of the token farthest (by cosine) from those already chosen, as a fold over the choices.
+
+    The first choice is the token whose nearest other token is farthest away.
+    """
+
+    def gaps(i: Column) -> Column:
+        return F.transform(tokens, lambda t: 1 - V.cosine(t, F.get(tokens, i)))
 
-    def rule(m: np.ndarray, _) -> list[int]:
-        distance = 1 - _unit(m) @ _unit(m).T
-        count = round(share * len(m))
-        if count == 0:
-            return []
-        # The first choice is the token whose nearest other token is farthest away.
-        second = np.partition(distance, 1, axis=0)[1]
-        chosen = [int(np.argmax(second))]
-        nearest = distance[chosen[0]].copy()
-        for _ in range(count - 1):
-            chosen.append(int(np.argmax(nearest)))
-            nearest = np.minimum(nearest, distance[chosen[-1]])
-        return chosen
+    def farthest(nearest: Column) -> Column:
+        return F.get(F.transform(F.array_sort(F.transform(nearest, lambda d, i: F.struct((-d).alias("d"), i.alias("i")))), lambda p: p["i"]), F.lit(0))
 
-    return rule
+    def choose(state: Column, _: Column) -> Column:
+        def chosen(i: Column) -> Column:
+            nearest = F.zip_with(state["nearest"], gaps(i), lambda x, y: F.least(x, y))
+            return F.struct(F.concat(state["chosen"], F.array(i)).alias("chosen"), nearest.alias("nearest"))
 
+        return bound(farthest(state["nearest"]), chosen)
 
-def pivots_and_unlike(image: int, pivots: int, text_pivots: int, drop: float) -> Callable:
-    """Tokens of large L1 norm as pivots, and for each pivot the least similar image tokens not yet kept."""
+    second = F.transform(positions(tokens), lambda i: F.get(F.array_sort(gaps(i)), F.lit(1)))
+    count = F.rint(F.size(tokens) * F.lit(share)).cast("int")
+    begin = bound(farthest(second), lambda i: F.struct(F.array(i).alias("chosen"), gaps(i).alias("nearest")))
+    rounds = F.filter(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda k: k < count)
+    return F.when(count > 0, F.aggregate(rounds, begin, choose, lambda s: s["chosen"])).otherwise(F.array().cast("array<int>"))
 
-    def rule(m: np.ndarray, _) -> list[int]:
-        each = int(image * (1 - drop) / (pivots + text_pivots))
-        size = np.abs(m).sum(axis=1)
-        own = _top(size[:image], pivots).tolist()
-        text = (_top(size[image:], text_pivots) + image).tolist()
-        unit = _unit(m)
-        left, kept = [i for i in range(image) if i not in set(own)], set(own)
-        for pivot in sorted(own + text):
-            near = unit[left] @ unit[pivot]
-            found = {left[i] for i in _top(near, each, largest=False)}
-            kept |= found
-            left = [i for i in left if i not in found]
-        return sorted(kept)
 
-    return rule
+def pivots_and_unlike(tokens: Column, image: int, pivots: int, text_pivots: int, drop: float) -> Column:
+    """Tokens of large L1 norm as pivots, and for each pivot the least similar image tokens not yet kept.
+
+    The first ``image`` tokens are the image, the others are text. A fold over the pivots in order of position.
+    """
+    each = int(image * (1 - drop) / (pivots + text_pivots))
+    norms = F.transform(tokens, lambda t: F.aggregate(t, F.lit(0.0), lambda s, x: s + F.abs(x)))
+    own = best_positions(F.slice(norms, 1, image), F.lit(pivots))
+    text = F.transform(best_positions(F.slice(norms, F.lit(image + 1), F.size(norms)), F.lit(text_pivots)), lambda i: i + image)
+
+    def take(state: Column, pivot: Column) -> Column:
+        near = F.array_sort(
+            F.transform(state["left"], lambda i: F.struct(V.cosine(F.get(tokens, i), F.get(tokens, pivot)).alias("c"), i.alias("i")))
+        )
+        return bound(
+            F.transform(F.slice(near, 1, each), lambda p: p["i"]),
+            lambda found: F.struct(without(state["left"], found).alias("left"), F.concat(state["kept"], found).alias("kept")),
+        )
+
+    begin = F.struct(without(F.sequence(F.lit(0), F.lit(image - 1)), own).alias("left"), own.alias("kept"))
+    return F.array_sort(F.aggregate(F.array_sort(F.concat(own, text)), begin, take, lambda s: s["kept"]))
 
 
 def important_and_distinct(tokens: Column, scores: Column, keep: float, important: float, batch: int = 8) -> Column:
@@ -248,34 +260,156 @@ def important_and_distinct(tokens: Column, scores: Column, keep: float, importan
     return F.array_sort(F.concat(best, distinct))
 
 
-def density_centres(m: np.ndarray, neighbours: int, clusters: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cluster centres by density times distance to the next denser token; returns centres and distances.
+def density_profile(tokens: Column, neighbours: int) -> Column:
+    """struct(dist, score): distances of all tokens (over the root of their width), and density times gap per token.
 
-    Equal densities are told apart by position, the earlier token counting as denser.
+    The density falls with the mean squared distance of the nearest neighbours, the token itself among them. The gap is
+    the distance to the nearest denser token, for the densest the largest distance of all. Equal densities are told
+    apart by position, the earlier token counting as denser.
     """
-    squares = (m**2).sum(axis=1)
-    distance = np.sqrt(np.maximum(squares[:, None] + squares[None, :] - 2 * m @ m.T, 0)) / np.sqrt(m.shape[1])
-    np.fill_diagonal(distance, 0)
-    near = np.sort(distance, axis=1)[:, :neighbours]
-    density = np.exp(-(near**2).mean(axis=1))
-    index = np.arange(len(m))
-    denser = (density[None, :] > density[:, None]) | (
-        (density[None, :] == density[:, None]) & (index[None, :] < index[:, None])
-    )
-    gap = np.where(denser, distance, distance.max()).min(axis=1)
-    return _top(gap * density, clusters), distance
 
+    def euclid(a: Column, b: Column) -> Column:
+        squares = F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+        return F.sqrt(squares) / F.sqrt(F.size(a))
+
+    def density(row: Column) -> Column:
+        near = F.slice(F.array_sort(row), 1, neighbours)
+        return F.exp(-F.aggregate(near, F.lit(0.0), lambda s, d: s + d * d) / F.size(near))
+
+    def scored(p: Column) -> Column:
+        def gap(row: Column, i: Column) -> Column:
+            mine = F.get(p["density"], i)
+            denser = F.filter(
+                F.zip_with(p["density"], row, lambda x, d: F.struct(x.alias("x"), d.alias("d"))),
+                lambda q, j: (q["x"] > mine) | ((q["x"] == mine) & (j < i)),
+            )
+            return F.coalesce(F.array_min(F.transform(denser, lambda q: q["d"])), p["widest"])
+
+        score = F.transform(p["dist"], lambda row, i: gap(row, i) * F.get(p["density"], i))
+        return F.struct(p["dist"].alias("dist"), score.alias("score"))
+
+    def with_density(dist: Column) -> Column:
+        widest = F.array_max(F.transform(dist, lambda row: F.array_max(row)))
+        return bound(F.struct(dist.alias("dist"), F.transform(dist, density).alias("density"), widest.alias("widest")), scored)
+
+    return bound(F.transform(tokens, lambda a: F.transform(tokens, lambda b: euclid(a, b))), with_density)
+
+
+def density_labels(tokens: Column, neighbours: int, clusters: int) -> Column:
+    """struct(centres, label): centres by density times gap, best first; every token takes the number of its nearest centre."""
+
+    def labelled(p: Column) -> Column:
+        ranked = F.array_sort(F.transform(p["score"], lambda s, i: F.struct((-s).alias("s"), i.alias("i"))))
+        centres = F.transform(F.slice(ranked, 1, clusters), lambda q: q["i"])
+
+        def nearest(row: Column, c: Column) -> Column:
+            return F.array_min(F.transform(c, lambda i, k: F.struct(F.get(row, i).alias("d"), k.alias("k"))))["k"]
 
-def density_clusters(neighbours: int, clusters: int) -> Callable:
+        def label(c: Column) -> Column:
+            own = F.transform(p["dist"], lambda row, i: F.coalesce(F.nullif(F.array_position(c, i), F.lit(0)).cast("int") - 1, nearest(row, c)))
+            return F.struct(c.alias("centres"), own.alias("label"))
+
+        return bound(centres, label)
+
+    return bound(density_profile(tokens, neighbours), labelled)
+
+
+def density_clusters(tokens: Column, neighbours: int, clusters: int) -> Column:
     """Cluster number of every token; centres are numbered by score and belong to themselves."""
+    return density_labels(tokens, neighbours, clusters)["label"]
+
+
+def _members(label: Column, number: Column) -> Column:
+    return F.filter(F.transform(label, lambda x, i: F.when(x == number, i)), lambda i: i.isNotNull())
+
+
+def _zeros(tokens: Column) -> Column:
+    return F.transform(F.get(tokens, F.lit(0)), lambda x: F.lit(0.0))
+
+
+def cluster_merge(tokens: Column, neighbours: int, clusters: int) -> Column:
+    """Mean token of every density cluster, at the position of its centre."""
+
+    def merged(found: Column) -> Column:
+        def one(centre: Column, number: Column) -> Column:
+            return bound(
+                _members(found["label"], number),
+                lambda m: merged_token(
+                    centre, F.size(m), F.transform(added(tokens, _zeros(tokens), m), lambda x: x / (F.size(m) + F.lit(1e-6)))
+                ),
+            )
+
+        return F.transform(found["centres"], one)
+
+    return bound(density_labels(tokens, neighbours, clusters), merged)
+
+
+def centre_weighted_merge(tokens: Column, neighbours: int, clusters: int, own: float) -> Column:
+    """Each centre mixed with the mean of the tokens nearest to it."""
+
+    def merged(found: Column) -> Column:
+        def one(centre: Column, number: Column) -> Column:
+            def mixed(m: Column) -> Column:
+                mean = F.transform(added(tokens, _zeros(tokens), m), lambda x: x / F.size(m))
+                both = F.zip_with(F.get(tokens, centre), mean, lambda x, y: own * x + (1 - own) * y)
+                return merged_token(centre, 1 + F.size(m), F.when(F.size(m) > 0, both).otherwise(F.get(tokens, centre)))
+
+            return bound(F.filter(_members(found["label"], number), lambda i: i != centre), mixed)
+
+        return F.transform(found["centres"], one)
 
-    def rule(m: np.ndarray, _) -> list[int]:
-        centres, distance = density_centres(m, neighbours, clusters)
-        label = distance[centres].argmin(axis=0)
-        label[centres] = np.arange(len(centres))
-        return label.tolist()
+    return bound(density_labels(tokens, neighbours, clusters), merged)
 
-    return rule
+
+def bipartite_merge(tokens: Column, r: int) -> Column:
+    """Match each even token with its most similar odd one and merge the r best matches by mean."""
+    n = F.size(tokens)
+    evens = F.filter(positions(tokens), lambda i: i % 2 == 0)
+    odds = F.filter(positions(tokens), lambda i: i % 2 == 1)
+    matches = F.array_sort(
+        F.transform(
+            evens,
+            lambda i: bound(most_like(tokens, i, odds), lambda m: F.struct(m["s"].alias("s"), i.alias("src"), m["at"].alias("dst"))),
+        )
+    )
+
+    def merged(best: Column) -> Column:
+        single = without(evens, F.transform(best, lambda m: m["src"]))
+
+        def taken_in(j: Column) -> Column:
+            members = F.transform(F.filter(best, lambda m: m["dst"] == j), lambda m: m["src"])
+            size = 1 + F.size(members)
+            return merged_token(j, size, F.transform(added(tokens, F.get(tokens, j), members), lambda x: x / size))
+
+        kept = F.transform(single, lambda i: merged_token(i, F.lit(1.0), F.get(tokens, i)))
+        return F.concat(kept, F.transform(odds, taken_in))
+
+    return bound(F.slice(matches, F.lit(1), F.least(F.lit(r), F.floor(n / 2)).cast("int")), merged)
+
+
+def dominant_and_context(tokens: Column, scores: Column, dominant: int, contextual: int) -> Column:
+    """The most attended tokens stay; evenly spaced others take in the tokens most like them, by mean."""
+    top = best_positions(scores, F.lit(dominant))
+    rest = without(positions(tokens), top)
+    step = F.greatest(F.lit(1), F.floor(F.size(rest) / contextual).cast("int"))
+    targets = F.slice(F.filter(rest, lambda _, k: k % step == 0), 1, contextual)
+
+    def merged(t: Column) -> Column:
+        def homes(others: Column) -> Column:
+            return F.transform(others, lambda o: F.struct(o.alias("o"), most_like(tokens, o, t)["at"].alias("at")))
+
+        def taken_in(home: Column) -> Column:
+            def one(i: Column) -> Column:
+                members = F.transform(F.filter(home, lambda h: h["at"] == i), lambda h: h["o"])
+                mean = F.transform(added(tokens, _zeros(tokens), members), lambda x: x / F.greatest(F.size(members), F.lit(1)))
+                return merged_token(i, 1 + F.size(members), F.zip_with(F.get(tokens, i), mean, lambda x, y: x + y))
+
+            return F.transform(t, one)
+
+        kept = F.transform(top, lambda i: merged_token(i, F.lit(1.0), F.get(tokens, i)))
+        return F.concat(kept, bound(homes(without(rest, t)), taken_in))
+
+    return bound(targets, merged)
 
 
 def static_windows(likeness: Column, threshold: float, longest: int) -> Column:
@@ -321,101 +455,3 @@ def static_windows(likeness: Column, threshold: float, longest: int) -> Column:
     behind = F.array(F.size(likeness))
     cuts = F.aggregate(F.reverse(frames), behind, walk_back)
     return F.slice(cuts, F.lit(1), F.size(cuts) - 1)
-
-
-MERGED = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("pos", T.IntegerType()),
-            T.StructField("size", T.DoubleType()),
-            T.StructField("token", T.ArrayType(T.DoubleType())),
-        ]
-    )
-)
-
-
-def merged_udf(rule: Callable, *columns: Column) -> Column:
-    """Apply a merging rule to every row; it returns (position, size, token) triples."""
-
-    @F.pandas_udf(MERGED)
-    def apply(tokens: pd.Series, extra: pd.Series) -> pd.Series:
-        return pd.Series(
-            [
-                [{"pos": int(p), "size": float(s), "token": v.tolist()} for p, s, v in rule(_matrix(t), np.asarray(e))]
-                for t, e in zip(tokens, extra)
-            ]
-        )
-
-    return apply(*columns)
-
-
-def bipartite_merge(r: int) -> Callable:
-    """Match each even token with its most similar odd one and merge the r best matches by mean."""
-
-    def rule(m: np.ndarray, _) -> list[tuple]:
-        count = min(r, len(m) // 2)
-        unit = _unit(m)
-        likeness = unit[::2] @ unit[1::2].T
-        order = _top(likeness.max(axis=1), len(likeness))
-        target = likeness.argmax(axis=1)
-        merged, single = order[:count], np.sort(order[count:])
-        total, size = m[1::2].copy(), np.ones(len(m[1::2]))
-        np.add.at(total, target[merged], m[::2][merged])
-        np.add.at(size, target[merged], 1)
-        kept = [(2 * i, 1.0, m[2 * i]) for i in single]
-        return kept + [(2 * j + 1, size[j], total[j] / size[j]) for j in range(len(total))]
-
-    return rule
-
-
-def dominant_and_context(dominant: int, contextual: int) -> Callable:
-    """The most attended tokens stay; evenly spaced others take in the tokens most like them, by mean."""
-
-    def rule(m: np.ndarray, scores: np.ndarray) -> list[tuple]:
-        top = np.sort(_top(scores, dominant))
-        rest = np.setdiff1d(np.arange(len(m)), top)
-        step = max(1, len(rest) // contextual)
-        at = np.arange(0, len(rest), step)[:contextual]
-        targets, others = rest[at], np.delete(rest, at)
-        unit = _unit(m)
-        choice = (unit[others] @ unit[targets].T).argmax(axis=1)
-        total, count = np.zeros((len(targets), m.shape[1])), np.zeros(len(targets))
-        np.add.at(total, choice, m[others])
-        np.add.at(count, choice, 1)
-        merged = m[targets] + total / np.maximum(count, 1)[:, None]
-        kept = [(i, 1.0, m[i]) for i in top]
-        return kept + [(i, 1 + c, v) for i, c, v in zip(targets, count, merged)]
-
-    return rule
-
-
-def cluster_merge(neighbours: int, clusters: int) -> Callable:
-    """Mean token of every density cluster, at the position of its centre."""
-
-    def rule(m: np.ndarray, _) -> list[tuple]:
-        centres, distance = density_centres(m, neighbours, clusters)
-        label = distance[centres].argmin(axis=0)
-        label[centres] = np.arange(len(centres))
-        size = np.bincount(label, minlength=len(centres)).astype("float64")
-        total = np.zeros((len(centres), m.shape[1]))
-        np.add.at(total, label, m)
-        return [(p, s, v) for p, s, v in zip(centres, size, total / (size + 1e-6)[:, None])]
-
-    return rule
-
-
-def centre_weighted_merge(neighbours: int, clusters: int, own: float) -> Callable:
-    """Each centre mixed with the mean of the tokens nearest to it."""
-
-    def rule(m: np.ndarray, _) -> list[tuple]:
-        centres, distance = density_centres(m, neighbours, clusters)
-        others = np.setdiff1d(np.arange(len(m)), centres)
-        label = distance[np.ix_(others, centres)].argmin(axis=1)
-        out = []
-        for c, centre in enumerate(centres):
-            members = others[label == c]
-            mixed = own * m[centre] + (1 - own) * m[members].mean(axis=0) if len(members) else m[centre]
-            out.append((centre, 1 + len(members), mixed))
-        return out
-
-    return rule

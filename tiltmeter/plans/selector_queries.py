@@ -196,11 +196,11 @@ SELECT seq, home::INT AS pos, count(DISTINCT pos)::DOUBLE AS size, {rnd("sum(x)
 FROM homes GROUP BY seq, home""",
 )
 def bipartite_merge(spark, sf_dir):
-    return _merged(_sequences(spark, sf_dir), R.bipartite_merge(8))
+    return _merged(_sequences(spark, sf_dir), R.bipartite_merge(F.col("tokens"), 8))
 
 
-def _merged(rows, rule):
-    out = rows.select("seq", F.inline(R.merged_udf(rule, F.col("tokens"), F.col("scores"))))
+def _merged(rows, merged):
+    out = rows.select("seq", F.inline(merged))
     return out.select("seq", "pos", "size", r9(total(F.col("token"))).alias("token_sum"))
 
 
@@ -224,19 +224,47 @@ SELECT t.seq, t.pos, 1.0 + coalesce(n, 0), {rnd("s.x + coalesce(k.x / k.n, 0)")}
 FROM targets t JOIN sums s USING (seq, pos) LEFT JOIN taken k ON k.seq = t.seq AND k.dst = t.pos""",
 )
 def dominant_context(spark, sf_dir):
-    return _merged(_sequences(spark, sf_dir), R.dominant_and_context(10, 5))
+    return _merged(_sequences(spark, sf_dir), R.dominant_and_context(F.col("tokens"), F.col("scores"), 10, 5))
 
 
-def _positions_query(name: str, rule, ordered: bool = True):
-    @query(name)
-    def run(spark, sf_dir):
-        rows = _sequences(spark, sf_dir)
-        return rows.select("seq", _list(R.positions_udf(rule, F.col("tokens"), F.col("scores"))))
+def _density_sql(source: str, neighbours: int, clusters: int) -> str:
+    """CTEs centres (seq, pos, k) and labels (seq, pos, k) from tokens (seq, pos, v)."""
+    return f"""
+dist AS (SELECT a.seq, a.pos AS i, b.pos AS j, list_distance(a.v, b.v) / sqrt(len(a.v)) AS d FROM {source} a JOIN {source} b USING (seq)),
+dens AS (SELECT seq, i, exp(-avg(d * d)) AS y FROM (
+  SELECT *, row_number() OVER (PARTITION BY seq, i ORDER BY d) AS rn FROM dist) WHERE rn <= {neighbours} GROUP BY seq, i),
+gaps AS (SELECT t.seq, t.i, any_value(m.y) AS y, min(CASE WHEN o.y > m.y OR (o.y = m.y AND t.j < t.i) THEN t.d END) AS gap
+         FROM dist t JOIN dens m ON m.seq = t.seq AND m.i = t.i JOIN dens o ON o.seq = t.seq AND o.i = t.j GROUP BY t.seq, t.i),
+wide AS (SELECT seq, max(d) AS widest FROM dist GROUP BY seq),
+centres AS (SELECT seq, i AS pos, rn - 1 AS k FROM (
+  SELECT g.seq, i, row_number() OVER (PARTITION BY g.seq ORDER BY coalesce(gap, widest) * y DESC, i) AS rn FROM gaps g JOIN wide USING (seq)) WHERE rn <= {clusters}),
+near AS (SELECT d.seq, d.i AS pos, arg_min(c.k, (d.d, c.k)) AS k FROM dist d JOIN centres c ON c.seq = d.seq AND c.pos = d.j GROUP BY d.seq, d.i),
+labels AS (SELECT n.seq, n.pos, coalesce(c.k, n.k) AS k FROM near n LEFT JOIN centres c USING (seq, pos))"""
 
 
-_positions_query("farthest_point", R.farthest_points(0.2))
-_positions_query("pivot_select", R.pivots_and_unlike(40, 4, 4, 0.5))
-_positions_query("density_clusters", R.density_clusters(5, 8))
+_SUMS = "sums AS (SELECT seq, pos, list_sum(v) AS x FROM tok)"
+
+
+@query("farthest_point")
+def farthest_point(spark, sf_dir):
+    return _sequences(spark, sf_dir).select("seq", _list(R.farthest_points(F.col("tokens"), 0.2)))
+
+
+@query("pivot_select")
+def pivot_select(spark, sf_dir):
+    return _sequences(spark, sf_dir).select("seq", _list(R.pivots_and_unlike(F.col("tokens"), 40, 4, 4, 0.5)))
+
+
+@query(
+    "density_clusters",
+    with_tables(_TOKENS)
+    + ","
+    + _density_sql("tok", 5, 8)
+    + """
+SELECT seq, string_agg(k::VARCHAR, ',' ORDER BY pos) AS kept FROM labels GROUP BY seq""",
+)
+def density_clusters(spark, sf_dir):
+    return _sequences(spark, sf_dir).select("seq", _list(R.density_clusters(F.col("tokens"), 5, 8)))
 
 
 @query("distinct_select")
@@ -252,17 +280,48 @@ def static_windows(spark, sf_dir):
     return rows.select("seq", _list(R.static_windows(F.col("a"), 0.05, 8)))
 
 
-def _merge_query(name: str, rule):
-    @query(name)
-    def run(spark, sf_dir):
-        return _merged(_sequences(spark, sf_dir), rule)
+@query(
+    "cluster_merge",
+    with_tables(_TOKENS, _SUMS)
+    + ","
+    + _density_sql("tok", 8, 8)
+    + f"""
+SELECT c.seq, c.pos::INT AS pos, count(*)::DOUBLE AS size, {rnd("sum(s.x) / (count(*) + 1e-6)")} AS token_sum
+FROM centres c JOIN labels l ON l.seq = c.seq AND l.k = c.k JOIN sums s ON s.seq = l.seq AND s.pos = l.pos GROUP BY c.seq, c.pos""",
+)
+def cluster_merge(spark, sf_dir):
+    return _merged(_sequences(spark, sf_dir), R.cluster_merge(F.col("tokens"), 8, 8))
 
 
-_merge_query("cluster_merge", R.cluster_merge(8, 8))
-_merge_query("centre_weighted_merge", R.centre_weighted_merge(7, 8, 0.6))
+@query(
+    "centre_weighted_merge",
+    with_tables(_TOKENS, _SUMS)
+    + ","
+    + _density_sql("tok", 7, 8)
+    + f"""
+SELECT c.seq, c.pos::INT AS pos, count(*)::DOUBLE AS size,
+       {rnd("any_value(o.x) * 0.6 + coalesce(avg(s.x) FILTER (l.pos <> c.pos), any_value(o.x)) * 0.4")} AS token_sum
+FROM centres c JOIN sums o USING (seq, pos) JOIN labels l ON l.seq = c.seq AND l.k = c.k JOIN sums s ON s.seq = l.seq AND s.pos = l.pos
+GROUP BY c.seq, c.pos""",
+)
+def centre_weighted_merge(spark, sf_dir):
+    return _merged(_sequences(spark, sf_dir), R.centre_weighted_merge(F.col("tokens"), 7, 8, 0.6))
 
 
-@query("sparse_recycle")
+@query(
+    "sparse_recycle",
+    with_tables(_TOKENS)
+    + """,
+kept AS (SELECT seq, pos FROM tok QUALIFY row_number() OVER (PARTITION BY seq ORDER BY s DESC, pos) <= 20),
+pool AS (SELECT seq, row_number() OVER (PARTITION BY seq ORDER BY pos) - 1 AS pos, v FROM (
+  SELECT t.* FROM tok t ANTI JOIN kept USING (seq, pos) QUALIFY row_number() OVER (PARTITION BY t.seq ORDER BY t.s DESC, t.pos) <= 15)),
+names AS (SELECT seq, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS kept FROM kept GROUP BY seq),"""
+    + _density_sql("pool", 4, 4)
+    + f"""
+SELECT c.seq, any_value(n.kept) AS kept, c.pos::INT AS pos, count(*)::DOUBLE AS size, {rnd("sum(list_sum(p.v)) / (count(*) + 1e-6)")} AS token_sum
+FROM centres c JOIN labels l ON l.seq = c.seq AND l.k = c.k JOIN pool p ON p.seq = l.seq AND p.pos = l.pos JOIN names n ON n.seq = c.seq
+GROUP BY c.seq, c.pos""",
+)
 def sparse_recycle(spark, sf_dir):
     """The best attended tokens stay; of the others the better half is merged into density clusters."""
     rows = _sequences(spark, sf_dir)
@@ -279,6 +338,6 @@ def sparse_recycle(spark, sf_dir):
     merged = pool.select(
         "seq",
         _list(F.col("kept")),
-        F.inline(R.merged_udf(R.cluster_merge(4, 4), F.col("pool_tokens"), F.col("scores"))),
+        F.inline(R.cluster_merge(F.col("pool_tokens"), 4, 4)),
     )
     return merged.select("seq", "kept", "pos", "size", r9(total(F.col("token"))).alias("token_sum"))
