@@ -17,7 +17,6 @@ BY_BRUTE_FORCE = {
     "pivot_select",
     "distinct_select",
     "static_windows",
-    "stream_moving_range",
 }
 
 

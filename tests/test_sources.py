@@ -1,9 +1,6 @@
 from __future__ import annotations
 
 import json
-import uuid
-
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,15 +40,6 @@ def test_states_spill_to_a_side_table(spark, tmp_path):
     assert back == {1: {"layer_0": [1.0, 2.0]}, 2: None}
 
 
-def test_pickled_frames_only_on_request(spark, tmp_path):
-    pd.DataFrame({"a": [1, 2], "b": ["x", None]}).to_pickle(tmp_path / "one.pkl")
-    pd.DataFrame({"a": [3]}).to_pickle(tmp_path / "two.pkl")
-    with pytest.raises(ValueError, match="trusted"):
-        tables.read_pickled_frames(spark, str(tmp_path / "*.pkl"), PAIR)
-    rows = tables.read_pickled_frames(spark, str(tmp_path / "*.pkl"), PAIR, trusted=True).orderBy("a").collect()
-    assert [(r["a"], r["b"], r["row_idx"]) for r in rows] == [(1, "x", 0), (2, None, 1), (3, None, 0)]
-
-
 def test_text_formats(spark, tmp_path):
     df = spark.createDataFrame([(1, "x,\"y\""), (2, None)], PAIR)
     tables.write_jsonl(df, str(tmp_path / "j"))
@@ -108,12 +96,8 @@ def test_moving_range_over_two_runs(spark, tmp_path):
     for part in (values[:10], values[10:]):
         spark.createDataFrame([("k", *v) for v in part], "input string, batch long, x array<double>").write.mode("append").parquet(source)
         stream = spark.readStream.schema("input string, batch long, x array<double>").parquet(source)
-        ranges = live.batch_ranges_of(stream, ["input"], "batch")
-        moved = live.moving_range_stream(ranges, ["input"], 0.2)
-        out: list = []
-        writer = moved.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True)
-        writer.foreachBatch(lambda df, _: out.extend(df.collect())).queryName(f"q{uuid.uuid4().hex}").start().awaitTermination()
+        got = live.moving_range_table(live.batch_ranges_of(stream, ["input"], "batch"), ["input"], 0.2, state).first()
         for _, x in part:
             low = min(x) if low is None else low + 0.2 * (min(x) - low)
             high = max(x) if high is None else high + 0.2 * (max(x) - high)
-        assert (out[-1]["low"], out[-1]["high"]) == pytest.approx((low, high))
+        assert (got["low"], got["high"]) == pytest.approx((low, high))

@@ -88,23 +88,40 @@ def mean_range(rows: DataFrame, keys: Sequence[str], batch: str, values: str = "
     )
 
 
-def moving_range(rows: DataFrame, keys: Sequence[str], batch: str, alpha: float, values: str = "x") -> DataFrame:
-    """Exponentially moving range m ← m + alpha (x − m) in batch order.
+def moving_parts(ranges: DataFrame, keys: Sequence[str], batch: str, alpha: float) -> DataFrame:
+    """What a run of batches adds to a moving range: keys, n, low, high, first_low, first_high.
 
-    Written out, batch i of n (from 0) weighs alpha (1 − alpha)^(n−1−i), the first one (1 − alpha)^(n−1).
-    So the fold is a weighted sum and needs no ordered pass over the batches.
+    Written out, m ← m + alpha (x − m) over n batches is (1 − alpha)^n m plus batch i weighed by
+    alpha (1 − alpha)^(n−1−i). So the fold is a weighted sum and needs no ordered pass over the batches.
     """
     keys = list(keys)
-    ranges = batch_ranges(rows, keys, batch, values)
     placed = number_within(ranges, keys, [F.col(batch)], id_bucket(ranges, batch), "_i")
-    sizes = ranges.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    decay = F.pow(F.lit(1 - alpha), (F.col("_n") - 1 - F.col("_i")).cast("double"))
-    weight = F.when(F.col("_i") == 0, decay).otherwise(decay * alpha)
+    sizes = ranges.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    weight = alpha * F.pow(F.lit(1 - alpha), (F.col("n") - 1 - F.col("_i")).cast("double"))
+    first = F.col("_i") == 0
     return placed.join(sizes, keys).groupBy(*keys).agg(
-        F.sum(weight * F.col("low")).alias("low"), F.sum(weight * F.col("high")).alias("high")
+        F.max("n").alias("n"),
+        F.sum(weight * F.col("low")).alias("low"),
+        F.sum(weight * F.col("high")).alias("high"),
+        F.max(F.when(first, F.col("low"))).alias("first_low"),
+        F.max(F.when(first, F.col("high"))).alias("first_high"),
     )
 
 
+def moved(parts: DataFrame, keys: Sequence[str], alpha: float, before_low: Column, before_high: Column) -> DataFrame:
+    """The moving range after the parts, from the one before them; where there is none it starts at the first batch."""
+    left = F.pow(F.lit(1 - alpha), F.col("n").cast("double"))
+    low = F.col("low") + left * F.coalesce(before_low, F.col("first_low"))
+    high = F.col("high") + left * F.coalesce(before_high, F.col("first_high"))
+    return parts.select(*keys, low.alias("low"), high.alias("high"))
+
+
+def moving_range(rows: DataFrame, keys: Sequence[str], batch: str, alpha: float, values: str = "x") -> DataFrame:
+    """Exponentially moving range m ← m + alpha (x − m) in batch order."""
+    nothing = F.lit(None).cast("double")
+    return moved(moving_parts(batch_ranges(rows, keys, batch, values), keys, batch, alpha), keys, alpha, nothing, nothing)
+
+
 # --- proximal zero point ---------------------------------------------------------------------
 
 PATH = T.StructType(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tiltmeter.operators import rates as R
@@ -32,9 +30,7 @@ def stream_rates(spark, sf_dir):
         F.lit("N").alias("correct_answer_index"),
         F.lit("R").alias("chosen_wrong_answer_index"),
     )
-    counts = live.to_table(
-        live.running_counts(answers, ["l_linestatus"]), f"rates_{uuid.uuid4().hex}", "complete"
-    )
+    counts = live.standing_table(live.running_counts(answers, ["l_linestatus"]), live.stream_folder(spark))
     return counts.select(
         "l_linestatus",
         "n_total",
@@ -60,16 +56,22 @@ def stream_attempts(spark, sf_dir):
         (F.col("conv_id") * 1000 + F.col("turn")).alias("attempt"),
         F.when(F.regexp_like(first, F.lit("^[A-Z]$")), first).otherwise("").alias("model_answer"),
     )
-    out = live.to_table(live.standing_answers(attempts, ["question_id"]), f"attempts_{uuid.uuid4().hex}", "complete")
+    out = live.standing_table(live.standing_answers(attempts, ["question_id"]), live.stream_folder(spark))
     return out.select("question_id", "attempt", "model_answer")
 
 
-@query("stream_moving_range")
+@query(
+    "stream_moving_range",
+    f"""
+SELECT label AS input, {rnd("list_reduce(list(lo ORDER BY vec_id), lambda m, x: m + 0.01 * (x - m))")} AS low,
+       {rnd("list_reduce(list(hi ORDER BY vec_id), lambda m, x: m + 0.01 * (x - m))")} AS high
+FROM (SELECT label, vec_id, list_min(embedding::DOUBLE[]) AS lo, list_max(embedding::DOUBLE[]) AS hi FROM embeddings) GROUP BY label""",
+)
 def stream_moving_range(spark, sf_dir):
     """Every vector a batch of its label's input, in order of its id."""
     rows = _stream(spark, sf_dir, "embeddings").select(
         F.col("label").alias("input"), F.col("vec_id").alias("batch"), F.col("embedding").cast("array<double>").alias("x")
     )
     ranges = live.batch_ranges_of(rows, ["input"], "batch")
-    out = live.to_table(live.moving_range_stream(ranges, ["input"], 0.01), f"range_{uuid.uuid4().hex}", "update")
+    out = live.moving_range_table(ranges, ["input"], 0.01, live.stream_folder(spark))
     return out.select("input", r9("low").alias("low"), r9("high").alias("high"))

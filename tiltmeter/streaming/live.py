@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tiltmeter.operators.ordered import attach
+from tiltmeter.operators.ranges import moved, moving_parts
 from tiltmeter.operators.rates import answer_counts, latest_attempts
-
-RANGE_STATE = T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())])
+from tiltmeter.session import checkpoint_dir
 
 
 def running_counts(answers: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -32,35 +33,68 @@ def spill(stream: DataFrame, path: str, checkpoint: str, partition: str = "data_
     return writer.outputMode("append").trigger(availableNow=True).start(path)
 
 
-def moving_range_stream(ranges: DataFrame, keys: Sequence[str], alpha: float, batch: str = "batch") -> DataFrame:
-    """Exponentially moving (low, high) per key over batch ranges that arrive in batch order."""
-    keys = list(keys)
-    types = {f.name: f.dataType for f in ranges.schema.fields}
-    out = T.StructType([T.StructField(k, types[k]) for k in keys] + list(RANGE_STATE.fields))
+def batch_ranges_of(rows: DataFrame, keys: Sequence[str], batch: str, values: str = "x") -> DataFrame:
+    """Per row the range of its values, for a stream in which a row is a batch."""
+    return rows.select(*keys, batch, F.array_min(values).alias("low"), F.array_max(values).alias("high"))
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        low, high = state.get if state.exists else (None, None)
-        rows = pd.concat(list(parts)).sort_values(batch)
-        for a, b in zip(rows["low"], rows["high"]):
-            low = a if low is None else low + alpha * (a - low)
-            high = b if high is None else high + alpha * (b - high)
-        state.update((float(low), float(high)))
-        yield pd.DataFrame([[*key, low, high]], columns=out.names)
 
-    return ranges.groupBy(*keys).applyInPandasWithState(
-        step, out, RANGE_STATE, "update", GroupStateTimeout.NoTimeout
-    )
+def stream_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one, for the state and the result of a stream."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
-def batch_ranges_of(rows: DataFrame, keys: Sequence[str], batch: str, values: str = "x") -> DataFrame:
-    """Per row the range of its values, for a stream in which a row is a batch."""
-    return rows.select(*keys, batch, F.array_min(values).alias("low"), F.array_max(values).alias("high"))
+def run_batches(stream: DataFrame, folder: str, mode: str, use: Callable[[DataFrame, int], None]) -> None:
+    """Run a stream over what is there now. Its progress lies in the folder, so a restart goes on behind it."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress")
+    writer.trigger(availableNow=True).foreachBatch(use).start().awaitTermination()
+
 
+def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What the batches wrote, with the number of each; empty if there was none."""
+    with_batch = T.StructType([*schema.fields, T.StructField("_batch", T.LongType())])
+    try:
+        return spark.read.schema(with_batch).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], with_batch)
 
-def to_table(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what is there now and return its result table. For small results."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
-    return stream.sparkSession.table(name)
+
+def standing_table(stream: DataFrame, folder: str) -> DataFrame:
+    """The whole result of a grouped stream after its last batch, as a table in the folder.
+
+    Each batch replaces what an earlier attempt at it wrote; the last batch holds the result.
+    """
+
+    def put(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/result/_batch={batch_id}")
+
+    run_batches(stream, folder, "complete", put)
+    written = stored(stream.sparkSession, f"{folder}/result", stream.schema)
+    last = written.agg(F.max("_batch").alias("_last"))
+    return attach(written, last).where("_batch = _last").drop("_batch", "_last")
+
+
+def moving_range_table(ranges: DataFrame, keys: Sequence[str], alpha: float, folder: str, batch: str = "batch") -> DataFrame:
+    """Exponentially moving (low, high) per key over batch ranges that arrive in batch order.
+
+    A micro-batch is folded as one weighted sum per key, spread over the cluster, and met with the range of the key
+    before it. The state is a row per key in the folder, written once per micro-batch that has the key.
+    """
+    keys = list(keys)
+    fields = [T.StructField(k, ranges.schema[k].dataType) for k in keys]
+    state = T.StructType([*fields, T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())])
+
+    def latest(spark: SparkSession, below: int | None) -> DataFrame:
+        rows = stored(spark, f"{folder}/state", state)
+        rows = rows if below is None else rows.where(F.col("_batch") < below)
+        best = rows.groupBy(*keys).agg(F.max_by(F.struct("low", "high"), "_batch").alias("_s"))
+        return best.select(*keys, F.col("_s.low").alias("_low"), F.col("_s.high").alias("_high"))
+
+    def fold(df: DataFrame, batch_id: int) -> None:
+        parts = moving_parts(df, keys, batch, alpha).join(latest(df.sparkSession, batch_id), keys, "left")
+        after = moved(parts, keys, alpha, F.col("_low"), F.col("_high"))
+        after.write.mode("overwrite").parquet(f"{folder}/state/_batch={batch_id}")
+
+    run_batches(ranges, folder, "append", fold)
+    return latest(ranges.sparkSession, None).withColumnsRenamed({"_low": "low", "_high": "high"})
