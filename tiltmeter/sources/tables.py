@@ -48,18 +48,6 @@ def with_states(df: DataFrame, spark: SparkSession, path: str, key: str = "row_i
     return df.join(spark.read.parquet(path), [key, seed], "left")
 
 
-def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                frame = pd.read_pickle(io.BytesIO(content)).reset_index(drop=True)
-                out = frame.reindex(columns=names).astype(object)
-                out = out.where(out.notna(), None)
-                yield out.assign(path=pd.Series([path] * len(out), dtype=object), row_idx=range(len(out)))
-
-    blobs = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(pattern)
-    return blobs.select("path", "content").mapInPandas(load, full)
-
-
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
