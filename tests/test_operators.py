@@ -276,3 +276,13 @@ def test_queries_read_what_they_are_given(spark, sf_dir):
     for name in ("rate_at_volume", "run_catalog", "custom_samples"):
         plan = load_all()[name].run(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert "parquet" in plan
+
+
+def test_windows_leave_the_texts_where_they_are(spark):
+    """No text is moved: below the gathering of parts there is neither an exchange nor a broadcast of it."""
+    docs = spark.createDataFrame([(i, f"a{i} b c d e f g") for i in range(200)], "doc_id long, text string").repartition(4)
+    for out in (S.random_windows(docs, 8, 16, 3), S.document_windows(docs, 8, 4, 3)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin [doc_id" not in plan
+        side = "BuildRight" if "BuildRight" in plan else "BuildLeft"
+        assert side in plan and out.count() == 8

@@ -48,12 +48,24 @@ def _overlap(wanted: DataFrame, placed: DataFrame) -> DataFrame:
     return hits.where(F.col("_block") == first).drop("_block")
 
 
-def _gather(hits: DataFrame, docs: DataFrame, key: str, text: str, out: str) -> DataFrame:
-    """Cut each window's part out of its documents and put the parts together; a result has window length."""
+#: Pairs of a sample and a document that are sent to every task; more of them are joined like any table.
+FEW_HITS = 1 << 18
+
+
+def _small(rows: DataFrame, most: int) -> DataFrame:
+    """Rows known to be at most ``most`` go to the texts where that is little, so that no text is moved."""
+    return F.broadcast(rows) if most <= FEW_HITS else rows
+
+
+def _gather(hits: DataFrame, docs: DataFrame, key: str, text: str, out: str, most: int) -> DataFrame:
+    """Cut each window's part out of its documents and put the parts together; a result has window length.
+
+    ``most``: how many hits there can be. A window overlaps at most as many texts as it has tokens.
+    """
     source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
     begin = F.greatest(F.col("start") - F.col("offset"), F.lit(0))
     count = F.least(F.col("stop") - F.col("offset"), F.col("length")) - begin
-    parts = source.join(hits, "doc_id").select(
+    parts = source.join(_small(hits, most), "doc_id").select(
         out, "offset", F.slice(tokens_of(F.col("_text")), (begin + 1).cast("int"), count.cast("int")).alias("part")
     )
     joined = parts.groupBy(out).agg(F.array_sort(F.collect_list(F.struct("offset", "part"))).alias("_p"))
@@ -72,7 +84,7 @@ def random_windows(
         .withColumn("start", F.pmod(portable_hash(seed, F.col("sample")), F.col("_total") - seq_len))
         .select("sample", "start", (F.col("start") + seq_len).alias("stop"))
     )
-    return _gather(_overlap(wanted, placed), docs, key, text, "sample")
+    return _gather(_overlap(wanted, placed), docs, key, text, "sample", n_samples * seq_len)
 
 
 def sampled_texts_windows(
@@ -103,7 +115,7 @@ def document_windows(
         F.pmod(portable_hash(seed, F.col("sample"), "at"), F.greatest(F.col("length") - seq_len, F.lit(1)).cast("bigint")),
     )
     source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
-    return source.join(chosen.select("sample", "doc_id", "start"), "doc_id").select(
+    return source.join(_small(chosen.select("sample", "doc_id", "start"), n_samples), "doc_id").select(
         "sample",
         "doc_id",
         F.slice(tokens_of(F.col("_text")), (F.col("start") + 1).cast("int"), F.lit(seq_len)).alias("tokens"),
