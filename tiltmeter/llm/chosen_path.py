@@ -42,7 +42,7 @@ SMALL_NODE = 256
 #: Rows of a block of a large node at the last level.
 BLOCK_ROWS = 512
 PART_ROWS = 2048
-#: Shingles in the columns of an incidence matrix, and bytes of sets read at once.
+#: Shingles in the columns of an incidence matrix, and bytes of texts compared at once.
 WORD_COLUMNS = 4096
 SET_BYTES = 8 << 20
 #: Estimates this far below the threshold are still confirmed: four standard deviations of 64 tokens.
@@ -211,19 +211,6 @@ def star_pairs(members: DataFrame, leaders: DataFrame, percent: int) -> DataFram
     return both.select("doc_id", "text_key", "n", "tokens", "l_id", "l_key", "l_n", "l_tokens").mapInArrow(compare, _edge_schema(kind))
 
 
-def full_sets(texts: DataFrame, width: int) -> DataFrame:
-    """doc_id, text_key, shingles (sorted fingerprints)."""
-    kind = texts.schema["doc_id"].dataType.simpleString()
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
-        for batch in batches:
-            found = pa.array([s.tobytes() for s in shingler.sets(batch.column(2))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=["doc_id", "text_key", "shingles"])
-
-    return texts.select("doc_id", "text_key", "text").mapInArrow(build, f"doc_id {kind}, text_key long, shingles binary")
-
-
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of every left with every right set, by products of incidence matrices."""
     count = np.zeros((len(left), len(right)), dtype=np.float32)
@@ -275,19 +262,20 @@ def label_links(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, rig
     return out
 
 
-def node_links(members: DataFrame, percent: int) -> DataFrame:
-    """a, b: confirmed links between the labels of each group in (group, side, doc_id, label, shingles).
+def node_links(members: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: confirmed links between the labels of each group in (group, side, doc_id, label, text).
 
-    Side 2 is compared with itself; otherwise side 0 with side 1.
+    Side 2 is compared with itself; otherwise side 0 with side 1. Texts travel rather than sets, as they compress.
     """
     kind = members.schema["doc_id"].dataType.simpleString()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = lambda t: 1 + pc.binary_length(t.column("shingles")).to_numpy(zero_copy_only=False).astype(np.int64)
+        shingler = Shingler(width)
+        sizes = lambda t: 1 + pc.binary_length(t.column("text")).to_numpy().astype(np.int64)
         for run in in_runs(batches, "group", sizes, SET_BYTES):
             group, side = run.column("group").to_numpy(), run.column("side").to_numpy()
             label = run.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
-            sets = [np.frombuffer(x, np.uint64) for x in run.column("shingles").to_pylist()]
+            sets = list(shingler.sets(run.column("text")))
             left, right = [], []
             firsts = np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(group)]
             for a, b in zip(firsts[:-1], firsts[1:]):
@@ -300,7 +288,7 @@ def node_links(members: DataFrame, percent: int) -> DataFrame:
                 ids = run.column("doc_id").combine_chunks()
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(left)), ids.take(pa.array(right))], names=["a", "b"])
 
-    dealt = members.select("group", "side", "doc_id", "label", "shingles").repartition("group").sortWithinPartitions("group")
+    dealt = members.select("group", "side", "doc_id", "label", "text").repartition("group").sortWithinPartitions("group")
     return dealt.mapInArrow(compare, f"a {kind}, b {kind}")
 
 
@@ -372,7 +360,8 @@ def near_duplicates(
     roots = tokens.withColumn("path", F.explode(F.array(*[F.lit(r + 1).cast("long") for r in range(trees)])))
     nodes = children(roots.select("path", "doc_id", "text_key", "tokens"))
     sizes = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("doc_id", "text_key")).alias("lead"))
-    nodes = nodes.join(sizes.where("size > 1"), "path").join(tokens, ["doc_id", "text_key"])
+    # Written, so that the join finds two shuffled sides and a node of very many classes can be split.
+    nodes = nodes.join(written(sizes.where("size > 1")), "path").join(tokens, ["doc_id", "text_key"])
     nodes = written(nodes)
 
     large = nodes.where(F.col("size") > small_node)
@@ -385,8 +374,7 @@ def near_duplicates(
     proved = confirmed(first, texts, width, percent)
 
     labels = components(proved)
-    sets_of = full_sets(texts, width)
-    more = written(_between_labels(nodes, labels, sets_of, percent, levels, small_node))
+    more = written(_between_labels(nodes, labels, texts, width, percent, levels, small_node))
     reps = classes.select("s1", "s2", "n", F.col("doc_id").alias("node"))
     # Rows that repeat an id with other texts tie their classes together.
     again = real.groupBy("doc_id").agg(F.min(F.struct("s1", "s2", "n")).alias("x"), F.max(F.struct("s1", "s2", "n")).alias("y"))
@@ -400,7 +388,7 @@ def near_duplicates(
     return linked.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _between_labels(nodes: DataFrame, labels: DataFrame, sets_of: DataFrame, percent: int, levels: int, small_node: int) -> DataFrame:
+def _between_labels(nodes: DataFrame, labels: DataFrame, texts: DataFrame, width: int, percent: int, levels: int, small_node: int) -> DataFrame:
     """a, b: confirmed links between different labels, from all nodes that hold several."""
     labels = labels.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "label")
     known = nodes.select("path", "doc_id", "text_key", "tokens").join(labels, "doc_id", "left")
@@ -408,7 +396,7 @@ def _between_labels(nodes: DataFrame, labels: DataFrame, sets_of: DataFrame, per
     groups = None
     for level in range(1, levels + 1):
         mixed = known.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
-        known = written(known.join(mixed.where("low <> high").drop("low", "high"), "path"))
+        known = written(known.join(written(mixed.where("low <> high").drop("low", "high")), "path"))
         small = known.where(F.col("size") <= small_node)
         small = small.select(F.col("path").alias("group"), F.lit(2).alias("side"), "doc_id", "text_key", "label")
         groups = small if groups is None else groups.unionByName(small)
@@ -424,4 +412,4 @@ def _between_labels(nodes: DataFrame, labels: DataFrame, sets_of: DataFrame, per
             lead = counts.groupBy("path").agg(F.max(F.struct("of", "label")).alias("most"), F.sum("of").alias("size"))
             lead = lead.select("path", F.col("most.label").alias("lead"), (F.col("size") - F.col("most.of")).alias("minor"))
             groups = groups.unionByName(blocks_of_large(large.join(lead, "path")))
-    return node_links(groups.join(sets_of, ["doc_id", "text_key"]), percent)
+    return node_links(groups.join(texts, ["doc_id", "text_key"]), width, percent)
