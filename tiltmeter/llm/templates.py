@@ -94,7 +94,8 @@ def recurring_lines(
     long = lines.where(F.col("tokens") > RECORD_TOKENS).select("doc_id", "text_key", "pos", "k1", "k2")
     keys = written(keys.unionByName(long))
     often = keys.groupBy("k1", "k2").agg(F.countDistinct("doc_id").alias("docs"), F.min("doc_id").alias("first_doc"))
-    often = often.where(F.col("docs") >= least_docs).drop("docs")
+    # Written, so that the join below finds two shuffled sides and a line of very many documents can be split.
+    often = written(often.where(F.col("docs") >= least_docs).drop("docs"))
     dropped = keys.join(often, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     return dropped.groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("positions"))
 
