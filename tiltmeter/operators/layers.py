@@ -121,6 +121,13 @@ def align(left: DataFrame, right: DataFrame, on: str, index: str, suffixes=("_pl
     return joined.withColumn("uid", F.col("_start") + F.col("_place")).drop("_start", "_place")
 
 
+def misaligned_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], text: str) -> DataFrame:
+    """Pairs of two runs at the same place whose question differs: on…, left, right. Empty if the runs fit together."""
+    l = left.select(*on, F.col(text).alias("left"))
+    r = right.select(*on, F.col(text).alias("right"))
+    return l.join(r, list(on)).where(~F.col("left").eqNullSafe(F.col("right")))
+
+
 def first_per_key(df: DataFrame, key: str, index: str) -> DataFrame:
     """The row with the smallest index of every key, by an aggregate that combines before the shuffle."""
     rest = [c for c in df.columns if c != key]

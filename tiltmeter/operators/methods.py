@@ -117,7 +117,7 @@ def _unchanged(weights, activations, fmt, group):
 
 @method("rtn")
 def _round_to_nearest(weights, activations, fmt, group):
-    return joined_groups(Q.quantise(weights, fmt, group=group))
+    return Q.round_rows(weights, fmt, group=group).select("row_id", F.col("snapped").alias("w"))
 
 
 @method("gptq")
@@ -131,12 +131,9 @@ def _activation_pitched(weights, activations, fmt, group):
     """Widen or narrow columns, quantise, undo it."""
     best = G.best_pitch(weights.select("row_id", "w"), activations, "batch", fmt, group).select("s")
     pitches = attach(weights, best)
-    pitched = pitches.select("row_id", "s", F.zip_with("w", "s", lambda w, s: w * s).alias("w"))
-    rows = Q.quantise(pitched, fmt, group=group, keep=["row_id", "s"])
-    back = F.transform(
-        "snapped", lambda q, i: q / F.get("s", (F.col("group") * group + i).cast("int"))
-    )
-    return joined_groups(rows.withColumn("snapped", back))
+    widened = pitches.select("row_id", "s", F.zip_with("w", "s", lambda w, s: w * s).alias("w"))
+    rows = Q.round_rows(widened, fmt, group=group)
+    return rows.select("row_id", F.zip_with("snapped", "s", lambda q, s: q / s).alias("w"))
 
 
 @method("hqq")

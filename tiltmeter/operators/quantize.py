@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiltmeter.functions.quantmath import FloatFormat, IntFormat, clamp, sigmoid
-from tiltmeter.functions.vectors import absolute_max
+from tiltmeter.functions.vectors import absolute_max, bound
 from tiltmeter.operators.ordered import attach
 
 
@@ -58,6 +58,26 @@ def quantise(
     return apply_format(group_rows(df, values, group, keep, pad), fmt)
 
 
+def round_rows(
+    df: DataFrame, fmt: IntFormat, values: str = "w", group: int | None = None, out: str = "snapped", codes: bool = False
+) -> DataFrame:
+    """Round to nearest per row or group within the row, in place: the row gets a column with its snapped values or codes.
+
+    For whole rows, where :func:`quantise` would take them apart into groups that have to be put together again.
+    """
+    groups = F.array(F.col(values)) if group is None else split_groups(F.col(values), group)
+
+    def one(v: Column) -> Column:
+        def on_grid(r: Column) -> Column:
+            rule = fmt.code if codes else fmt.snap
+            return bound(fmt.zero(r["low"], r["pitch"]), lambda zero: F.transform(v, lambda x: rule(x, r["pitch"], zero)))
+
+        low = F.array_min(v)
+        return bound(F.struct(low.alias("low"), fmt.pitch(low, F.array_max(v)).alias("pitch")), on_grid)
+
+    return df.withColumn(out, F.flatten(F.transform(groups, one)))
+
+
 def spanning_ranges(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("low").alias("low"), F.max("high").alias("high"))
 

@@ -161,11 +161,8 @@ SELECT row_id, string_agg(q::INT::VARCHAR, ',' ORDER BY pos) AS codes FROM c GRO
 )
 def stored_codes(spark, sf_dir):
     """Real quantisation: codes of a whole row in their storage type."""
-    rows = Q.stored_codes(Q.quantise(X.weights(spark, sf_dir), W4_SYM, group=GROUP), W4_SYM)
-    packed = rows.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("group", "codes"))).alias("g"))
-    return packed.select(
-        "row_id", F.array_join(F.flatten("g.codes").cast("array<string>"), ",").alias("codes")
-    )
+    rows = Q.round_rows(X.weights(spark, sf_dir), W4_SYM, group=GROUP, out="codes", codes=True)
+    return Q.stored_codes(rows, W4_SYM).select("row_id", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"))
 
 
 @query(
@@ -736,9 +733,7 @@ def cosine_by_label(spark, sf_dir):
 
 
 def _snapped_rows(rows):
-    parts = Q.quantise(rows, W4, group=GROUP).select("row_id", "group", "snapped")
-    packed = parts.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("group", "snapped"))).alias("g"))
-    return packed.select("row_id", F.flatten("g.snapped").alias("w"))
+    return Q.round_rows(rows, W4, group=GROUP).select("row_id", F.col("snapped").alias("w"))
 
 
 @query(

@@ -321,6 +321,20 @@ def align_by_key(spark, sf_dir):
     return L.align(plain, opinion, "synthetic_id", "row_idx")
 
 
+@query(
+    "misaligned_pairs",
+    """
+SELECT p_partkey AS question_id, p_name AS "left", p_brand AS "right" FROM part WHERE p_partkey % 10 = 0
+UNION ALL SELECT p_partkey, p_name, NULL FROM part WHERE p_partkey % 10 = 1""",
+)
+def misaligned_pairs(spark, sf_dir):
+    """Two runs of the same questions, one of which has other or missing texts at some places."""
+    rows = X.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("question_id"), F.col("p_name").alias("q"), "p_brand")
+    place = F.col("question_id") % 10
+    other = rows.withColumn("q", F.when(place == 0, F.col("p_brand")).when(place != 1, F.col("q")))
+    return L.misaligned_pairs(rows, other, ["question_id"], "q")
+
+
 @query(
     "align_first_per_key",
     with_tables(_ALIGN_RUNS)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tiltmeter.plans import fixtures as X
 from tiltmeter.plans.registry import query
-from tiltmeter.sources import corpora
+from tiltmeter.sources import corpora, tables
 
 
 @query(
@@ -71,3 +71,11 @@ def dense_row_index(spark, sf_dir):
         F.count_distinct("row_idx").alias("places"),
         F.sum("row_idx").alias("total"),
     )
+
+
+@query("tolerant_scan", "SELECT r_regionkey, r_name FROM region")
+def tolerant_scan(spark, sf_dir):
+    """A table that is there and one that is not, which counts as empty."""
+    schema = X.table(spark, sf_dir, "region").select("r_regionkey", "r_name").schema
+    there = tables.read_if_there(spark, f"{sf_dir}/region.parquet", schema)
+    return there.unionByName(tables.read_if_there(spark, f"{sf_dir}/no_such.parquet", schema))
