@@ -23,35 +23,49 @@ from tiltmeter.operators.ranges import grid_params, grid_snap
 from tiltmeter.session import settle
 
 BLOCK_ROWS = 4096
-GRAM = T.StructType(
-    [T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("h", T.DoubleType())]
-)
+#: Matrices that a task adds up at once before it hands them on.
+HELD_MATRICES = 4
+
 
+def _with_keys(df: DataFrame, keys: Sequence[str], *fields: T.StructField) -> T.StructType:
+    return T.StructType([*[T.StructField(k, df.schema[k].dataType) for k in keys], *fields])
 
-def gram(activations: DataFrame, values: str = "x") -> DataFrame:
-    """i, h ARRAY: row i of Σ x xᵀ.
 
-    Each task adds up its own rows and sends the upper half of one matrix, so there are no more tasks
-    than cores: what is shuffled grows with the cluster and the row width, not with the data.
+def gram(activations: DataFrame, values: str = "x", keys: Sequence[str] = ()) -> DataFrame:
+    """keys…, i, h ARRAY: row i of Σ x xᵀ, one matrix per key (model, block, layer).
+
+    Each task adds up its own rows and sends its sums row by row, so there are no more tasks than cores: what is
+    shuffled grows with the cluster, the keys and the row width, not with the data.
     """
+    keys = list(keys)
+    schema = _with_keys(activations, keys, T.StructField("i", T.IntegerType()), T.StructField("h", T.ArrayType(T.DoubleType())))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h = None
+        sums: dict[tuple, np.ndarray] = {}
+
+        def hand_on() -> Iterator[pd.DataFrame]:
+            for key, m in sums.items():
+                fixed = {k: [v] * len(m) for k, v in zip(keys, key)}
+                yield pd.DataFrame({**fixed, "i": np.arange(len(m), dtype="int32"), "h": list(m)})
+            sums.clear()
+
         for pdf in batches:
-            if len(pdf):
-                x = np.stack([np.asarray(v, dtype="float64") for v in pdf[values]])
-                h = x.T @ x if h is None else h + x.T @ x
-        if h is not None:
-            i, j = np.triu_indices(len(h))
-            yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "h": h[i, j]})
+            for key, part in pdf.groupby(keys, dropna=False) if keys else [((), pdf)]:
+                if len(part):
+                    x = np.stack([np.asarray(v, dtype="float64") for v in part[values]])
+                    sums[key] = x.T @ x + sums.get(key, 0.0)
+            if len(sums) > HELD_MATRICES:
+                yield from hand_on()
+        yield from hand_on()
+
+    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[:1].copy()
+        first["h"] = [np.sum([np.asarray(h) for h in pdf["h"]], axis=0)]
+        return first
 
     tasks = activations.sparkSession.sparkContext.defaultParallelism
-    halves = activations.select(values).coalesce(tasks).mapInPandas(partial, GRAM)
-    sums = halves.groupBy("i", "j").agg(F.sum("h").alias("h"))
-    here, there = F.struct("i", "j", "h"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "h")
-    whole = sums.select(F.inline(F.when(F.col("i") == F.col("j"), F.array(here)).otherwise(F.array(here, there))))
-    rows = whole.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "h"))).alias("_r"))
-    return rows.select("i", F.col("_r.h").alias("h"))
+    parts = activations.select(*keys, values).coalesce(tasks).mapInPandas(partial, schema)
+    return parts.groupBy(*keys, "i").applyInPandas(lambda pdf: add_up(pdf), schema)
 
 
 def pitched_hessian(activations: DataFrame, batch: str, values: str = "x") -> DataFrame:
@@ -69,21 +83,29 @@ def with_matrix(
     schema: T.StructType,
     row: str = "row_id",
     rows_per_block: int = BLOCK_ROWS,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Apply ``fn(block of weight rows, d × d matrix)`` block by block."""
+    """Apply ``fn(block of weight rows, d × d matrix)`` block by block; every key has a matrix of its own."""
+    keys = list(keys)
     blocks = weights.withColumn("_block", F.floor(F.col(row) / rows_per_block).cast("bigint"))
     # One copy per block that there is, however far apart the ids lie.
-    there = blocks.select(F.col("_block").alias("_at")).distinct()
-    whole = matrix.agg(F.collect_list(F.struct("i", "h")).alias("_m"))
-    copies = attach(there, whole).select(F.col("_at").alias("_block"), F.inline("_m"))
+    there = blocks.select(*[F.col(k).alias(k) for k in keys], F.col("_block").alias("_at")).distinct()
+    if keys:
+        copies = there.join(matrix.select(*keys, "i", "h"), keys)
+    else:
+        whole = matrix.agg(F.collect_list(F.struct("i", "h")).alias("_m"))
+        copies = attach(there, whole).select("_at", F.inline("_m"))
+    copies = copies.withColumnRenamed("_at", "_block")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
-            return pd.DataFrame(columns=schema.names)
+            return pd.DataFrame(columns=[*keys, *schema.names])
         h = np.stack([np.asarray(r, dtype="float64") for r in right.sort_values("i")["h"]])
-        return fn(left, h)
+        out = fn(left, h)
+        return out.assign(**{k: left[k].iloc[0] for k in keys})[[*keys, *schema.names]]
 
-    return blocks.groupBy("_block").cogroup(copies.groupBy("_block")).applyInPandas(run, schema)
+    by = [*keys, "_block"]
+    return blocks.groupBy(*by).cogroup(copies.groupBy(*by)).applyInPandas(run, _with_keys(weights, keys, *schema.fields))
 
 
 # --- column-by-column quantisation with error feedback -------------------------------------------
@@ -177,49 +199,51 @@ def error_feedback(
 
 # --- grids judged by the layer output --------------------------------------------------------
 
-def activation_pitch(activations: DataFrame, batch: str, values: str = "x") -> DataFrame:
+def activation_pitch(activations: DataFrame, batch: str, values: str = "x", keys: Sequence[str] = ()) -> DataFrame:
     """Mean over batches of the mean absolute activation per column."""
     per_batch = (
-        activations.select(batch, F.posexplode(values).alias("pos", "x"))
-        .groupBy(batch, "pos")
+        activations.select(*keys, batch, F.posexplode(values).alias("pos", "x"))
+        .groupBy(*keys, batch, "pos")
         .agg(F.avg(F.abs("x")).alias("m"))
     )
-    return per_batch.groupBy("pos").agg(F.avg("m").alias("a"))
+    return per_batch.groupBy(*keys, "pos").agg(F.avg("m").alias("a"))
 
 
-def weight_pitch(weights: DataFrame, group: int, values: str = "w") -> DataFrame:
+def weight_pitch(weights: DataFrame, group: int, values: str = "w", keys: Sequence[str] = ()) -> DataFrame:
     """Mean over rows of |w| relative to the largest of its group, per column."""
-    rows = group_rows(weights, values, group, [])
+    rows = group_rows(weights, values, group, list(keys))
     relative = rows.withColumn("top", F.greatest(F.abs("low"), F.abs("high"))).select(
-        "group", F.posexplode(F.transform("v", lambda x: F.abs(x) / F.col("top"))).alias("place", "r")
+        *keys, "group", F.posexplode(F.transform("v", lambda x: F.abs(x) / F.col("top"))).alias("place", "r")
     )
-    return relative.groupBy((F.col("group") * group + F.col("place")).alias("pos")).agg(F.avg("r").alias("w"))
+    return relative.groupBy(*keys, (F.col("group") * group + F.col("place")).alias("pos")).agg(F.avg("r").alias("w"))
 
 
-def pitch_candidates(a: DataFrame, w: DataFrame | None, ratios: Sequence[float]) -> DataFrame:
+def pitch_candidates(a: DataFrame, w: DataFrame | None, ratios: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
     """Per ratio the pitches of all columns, centred so that the largest and smallest multiply to one.
 
     With ``w`` a^r / w^(1−r), without it a^r. Rows: step, ratio, s ARRAY.
     """
-    joined = a.withColumn("w", F.lit(1.0)) if w is None else a.join(w, "pos")
+    joined = a.withColumn("w", F.lit(1.0)) if w is None else a.join(w, [*keys, "pos"])
     grid = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(float(r)).alias("ratio")) for i, r in enumerate(ratios)])
-    raw = joined.select("pos", "a", "w", F.inline(grid)).withColumn(
+    raw = joined.select(*keys, "pos", "a", "w", F.inline(grid)).withColumn(
         "s", F.greatest(F.pow("a", F.col("ratio")) / F.pow("w", 1 - F.col("ratio")), F.lit(1e-4))
     )
-    packed = raw.groupBy("step", "ratio").agg(
+    packed = raw.groupBy(*keys, "step", "ratio").agg(
         F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("_s"),
         F.sqrt(F.max("s") * F.min("s")).alias("_mid"),
     )
-    return packed.select("step", "ratio", F.transform("_s", lambda p: p["s"] / F.col("_mid")).alias("s"))
+    return packed.select(*keys, "step", "ratio", F.transform("_s", lambda p: p["s"] / F.col("_mid")).alias("s"))
 
 
 LOSSES = T.StructType([T.StructField("step", T.IntegerType()), T.StructField("loss", T.DoubleType())])
 
 
-def pitch_losses(weights: DataFrame, h: DataFrame, candidates: DataFrame, fmt: IntFormat, group: int) -> DataFrame:
+def pitch_losses(
+    weights: DataFrame, h: DataFrame, candidates: DataFrame, fmt: IntFormat, group: int, keys: Sequence[str] = ()
+) -> DataFrame:
     """Per candidate Σ over weight rows of the output error with pitched, quantised and unpitched weights."""
-    grid = candidates.select((F.col("step") - 1_000_000).cast("int").alias("i"), F.col("s").alias("h"))
-    stacked = h.select("i", "h").unionByName(grid)
+    grid = candidates.select(*keys, (F.col("step") - 1_000_000).cast("int").alias("i"), F.col("s").alias("h"))
+    stacked = h.select(*keys, "i", "h").unionByName(grid)
 
     def judge(pdf: pd.DataFrame, m: np.ndarray) -> pd.DataFrame:
         w = np.stack([np.asarray(v, dtype="float64") for v in pdf["w"]])
@@ -233,22 +257,29 @@ def pitch_losses(weights: DataFrame, h: DataFrame, candidates: DataFrame, fmt: I
             losses.append(float(np.einsum("ri,ij,rj->", delta, moments, delta, optimize=True)))
         return pd.DataFrame({"step": np.arange(len(losses), dtype="int32"), "loss": losses})
 
-    parts = with_matrix(weights, stacked, judge, LOSSES)
-    return parts.groupBy("step").agg(F.sum("loss").alias("loss"))
+    parts = with_matrix(weights, stacked, judge, LOSSES, keys=keys)
+    return parts.groupBy(*keys, "step").agg(F.sum("loss").alias("loss"))
 
 
 def best_pitch(
-    weights: DataFrame, activations: DataFrame, batch: str, fmt: IntFormat, group: int, steps: int = 20, by_weight: bool = True
+    weights: DataFrame,
+    activations: DataFrame,
+    batch: str,
+    fmt: IntFormat,
+    group: int,
+    steps: int = 20,
+    by_weight: bool = True,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """The column pitches with the least output error over a grid of ratios; the first wins a tie."""
-    a = activation_pitch(activations, batch)
-    w = weight_pitch(weights, group) if by_weight else None
-    candidates = settle(pitch_candidates(a, w, [i / steps for i in range(steps)]))
-    losses = pitch_losses(weights, gram(activations), candidates, fmt, group)
-    joined = candidates.join(losses, "step")
-    return joined.agg(
-        F.min_by(F.struct("step", "ratio", "s", "loss"), F.struct("loss", "step")).alias("best")
-    ).select("best.step", "best.ratio", "best.s", "best.loss")
+    """Per matrix the column pitches with the least output error over a grid of ratios; the first wins a tie."""
+    keys = list(keys)
+    a = activation_pitch(activations, batch, keys=keys)
+    w = weight_pitch(weights, group, keys=keys) if by_weight else None
+    candidates = settle(pitch_candidates(a, w, [i / steps for i in range(steps)], keys))
+    losses = pitch_losses(weights, gram(activations, keys=keys), candidates, fmt, group, keys)
+    joined = candidates.join(losses, [*keys, "step"])
+    best = F.min_by(F.struct("step", "ratio", "s", "loss"), F.struct("loss", "step")).alias("best")
+    return joined.groupBy(*keys).agg(best).select(*keys, "best.step", "best.ratio", "best.s", "best.loss")
 
 
 CLIPPED = T.StructType(

@@ -11,6 +11,8 @@ from tiltmeter.functions import vectors as V
 from tiltmeter.operators.ordered import attach, kth_smallest
 from tiltmeter.operators.quantize import column_profile, packed_profile
 
+FEW_LAYERS = 100_000
+
 
 def magnitude_threshold(weights: DataFrame, sparsity: float, values: str = "w") -> DataFrame:
     """One row: the magnitude at position floor(n · sparsity) of all weights in ascending order."""
@@ -77,8 +79,9 @@ def least_important(importance: DataFrame, n: int, layer: str) -> DataFrame:
 
 
 def without_layers(table: DataFrame, importance: DataFrame, n: int, layer: str) -> DataFrame:
-    """Rows of the layers that stay. The n layers that go are broadcast."""
-    return table.join(F.broadcast(least_important(importance, n, layer).select(layer)), layer, "left_anti")
+    """Rows of the layers that stay. The n layers that go are sent to every task where they are few."""
+    gone = least_important(importance, n, layer).select(layer)
+    return table.join(F.broadcast(gone) if n <= FEW_LAYERS else gone, layer, "left_anti")
 
 
 def unchanged(table: DataFrame) -> DataFrame:

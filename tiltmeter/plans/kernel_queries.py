@@ -490,6 +490,24 @@ def gram(spark, sf_dir):
     return G.gram(x).select("i", F.posexplode("h").alias("j", "h")).withColumn("h", r9("h"))
 
 
+_GRAM_BY_LABEL = """
+h AS (SELECT a.label, a.pos AS i, b.pos AS j, sum(a.v * b.v) AS h FROM w a JOIN w b USING (row_id) GROUP BY a.label, a.pos, b.pos)"""
+
+
+def _both_by_label(spark, sf_dir):
+    """As ``_both``, with the label telling the matrices apart."""
+    rows = X.weights(spark, sf_dir)
+    batch = F.floor(F.col("row_id") / 20).cast("bigint").alias("batch")
+    return rows.select("label", "row_id", "w"), rows.select("label", batch, F.col("w").alias("x"))
+
+
+@query("gram_by_label", with_tables(WEIGHTS, _GRAM_BY_LABEL) + f"SELECT label, i, j, {rnd('h')} AS h FROM h")
+def gram_by_label(spark, sf_dir):
+    """A matrix per label from one pass."""
+    _, x = _both_by_label(spark, sf_dir)
+    return G.gram(x, keys=["label"]).select("label", "i", F.posexplode("h").alias("j", "h")).withColumn("h", r9("h"))
+
+
 @query("error_feedback")
 def error_feedback(spark, sf_dir):
     weights, x = _both(spark, sf_dir)
@@ -536,6 +554,31 @@ def best_pitch(spark, sf_dir):
     return out.select("step", r9("loss", 6).alias("loss"))
 
 
+@query(
+    "best_pitch_by_label",
+    with_tables(WEIGHTS, _GRAM_BY_LABEL)
+    + f""",
+act AS (SELECT label, pos, avg(m) AS a FROM (SELECT label, row_id // 20 AS batch, pos, avg(abs(v)) AS m FROM w GROUP BY ALL) GROUP BY label, pos),
+rel AS (SELECT label, pos, avg(abs(v) / top) AS wr FROM (SELECT *, max(abs(v)) OVER (PARTITION BY row_id, pos // 16) AS top FROM w) GROUP BY label, pos),
+raw AS (SELECT label, step::INT AS step, pos, greatest(power(a, step / 20.0::DOUBLE) / power(wr, 1 - step / 20.0::DOUBLE), 1e-4) AS s
+        FROM act JOIN rel USING (label, pos), (SELECT unnest(range(0, 20)) AS step)),
+cand AS (SELECT label, step, pos, s / sqrt(max(s) OVER (PARTITION BY label, step) * min(s) OVER (PARTITION BY label, step)) AS s FROM raw),
+sc AS (SELECT label, row_id, step, pos, pos // 16 AS grp, w.v AS x, w.v * c.s AS v, c.s AS cs FROM w JOIN cand c USING (label, pos)),
+"""
+    + _params_sql("sc", "row_id, step, grp")
+    + f""",
+d AS (SELECT label, row_id, step, pos, ({_codes_sql()} - z) * s / cs - x AS d FROM sc JOIN p USING (row_id, step, grp)),
+dd AS (SELECT a.label, step, a.pos AS i, b.pos AS j, sum(a.d * b.d) AS dd FROM d a JOIN d b USING (row_id, step) GROUP BY ALL),
+losses AS (SELECT label, step, sum(dd * h) AS loss FROM dd JOIN h USING (label, i, j) GROUP BY label, step)
+SELECT label, arg_min(step, (loss, step)) AS step, {rnd("min(loss)", 6)} AS loss FROM losses GROUP BY label""",
+)
+def best_pitch_by_label(spark, sf_dir):
+    """The search for ten matrices at once."""
+    weights, x = _both_by_label(spark, sf_dir)
+    out = G.best_pitch(weights, x, "batch", W4, GROUP, keys=["label"])
+    return out.select("label", "step", r9("loss", 6).alias("loss"))
+
+
 @query(
     "clip_search",
     with_tables(WEIGHTS, _GRAM)
