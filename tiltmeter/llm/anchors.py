@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiltmeter.llm.common import Rolling, as_long, byte_blocks, sliding_argmin, text_column, word_hashes, word_spans, written
+from tiltmeter.llm.common import Rolling, as_long, byte_blocks, short_batches, sliding_argmin, text_column, word_hashes, word_spans, written
 
 WORD_SEED, GRAM_SEED, SLICE_SEED = 11, 12, 13
 SLICES = "doc_id {id}, text_key long, anchor long, slice long, starts array<int>, n int"
@@ -63,6 +63,7 @@ def slices_of_block(symbols: Symbols, data, bounds, window: int, gram: int):
 
 def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text_key, text: rows that repeat an id stay apart by their text."""
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_column(docs, text_col).alias("text"))
     return rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
 
@@ -115,7 +116,9 @@ def shared_slices(slices: DataFrame) -> DataFrame:
     low = F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "text_key", F.col("starts")[0].alias("start"))
     distinct = slices.groupBy("anchor", "slice").agg(F.max("n").alias("n"), F.sum(F.size("starts")).alias("members"), F.min(low).alias("low"))
     anchors = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("slices"), F.sum("members").alias("all"))
-    return written(distinct.join(anchors.where(F.col("all") > 1).drop("all"), "anchor"))
+    # Written, so that the join finds two shuffled sides and an anchor of very many slices can be split.
+    anchors = written(anchors.where(F.col("all") > 1).drop("all"))
+    return written(distinct.join(anchors, "anchor"))
 
 
 def in_runs(batches: Iterator[pa.RecordBatch], key: str, weigh: Callable[[pa.Table], np.ndarray], most: int) -> Iterator[pa.Table]:
