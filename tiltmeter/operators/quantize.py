@@ -207,6 +207,13 @@ def calibrated(rows: DataFrame, calibration: DataFrame, fmt: IntFormat, keys: Se
     return with_codes(rows.drop("low", "high").join(params, list(keys)), fmt)
 
 
+def stays_exact(position: Column, length: Column, prompt: int, window: int) -> Column:
+    """Whether a cached position is still exact: the prompt is quantised at once, later positions wait until ``window``
+    of them have come in and are then quantised together."""
+    waiting = F.pmod(F.greatest(length - prompt, F.lit(0)), F.lit(window))
+    return position >= length - waiting
+
+
 def row_error(original: Column, snapped: Column) -> Column:
     """Mean squared error of a row."""
     return F.aggregate(

@@ -301,6 +301,27 @@ def kv_calibrated(spark, sf_dir):
     return _report(Q.calibrated(rows, calibration, W8, ["label"]), "row_id")
 
 
+@query(
+    "kv_residual_window",
+    with_tables(WEIGHTS)
+    + ","
+    + _params_sql("w", "row_id", "asym", 8)
+    + f""",
+n AS (SELECT row_id // 50 AS seq, count(DISTINCT row_id) AS n FROM w GROUP BY seq),
+c AS (SELECT w.row_id, w.v, row_id % 50 >= n - greatest(n - 20, 0) % 8 AS exact, ({_codes_sql("asym", 8)} - z) * s AS y
+      FROM w JOIN p USING (row_id) JOIN n ON seq = row_id // 50)
+SELECT row_id, any_value(exact) AS exact, {rnd("sum(CASE WHEN exact THEN v ELSE y END)")} AS row_sum FROM c GROUP BY row_id""",
+)
+def kv_residual_window(spark, sf_dir):
+    """Cache states of sequences of fifty tokens: a prompt of twenty, then windows of eight that wait until they are full."""
+    rows = X.weights(spark, sf_dir).withColumn("seq", F.floor(F.col("row_id") / 50))
+    lengths = rows.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
+    cached = Q.round_rows(rows, W8).join(lengths, "seq")
+    exact = Q.stays_exact(F.col("row_id") % 50, F.col("n"), 20, 8)
+    kept = F.when(exact, F.col("w")).otherwise(F.col("snapped"))
+    return cached.select("row_id", exact.alias("exact"), r9(total(kept)).alias("row_sum"))
+
+
 # --- ranges ----------------------------------------------------------------------------------
 
 @query(
