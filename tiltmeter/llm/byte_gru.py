@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiltmeter.llm.common import byte_blocks, mix, text_column
+from tiltmeter.llm.common import byte_blocks, mix, short_batches, text_column
 
 SEGMENT = 64
 HIDDEN = 12
@@ -198,6 +198,7 @@ def predict(docs: DataFrame, langs: list[str], network: Network | None, text_col
     from. Ties go to the language that sorts first. Input columns of these names are replaced. No rows in, no rows out.
     """
     docs = docs.drop("lang_pred", "score")
+    short_batches(docs.sparkSession)
     if network is None:
         return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiltmeter.session import checkpoint_dir
@@ -31,6 +31,20 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a batch between Spark and Python, for tables with whole texts.
+BATCH_ROWS = 1024
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of fewer rows than Spark's default, which counts on short ones.
+
+    A setting of the session, not of a query: plans are only run later. A smaller one that is set already stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the links ``a``, ``b``: the smallest node that can be reached.
 

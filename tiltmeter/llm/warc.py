@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiltmeter.llm.common import text_column, written
+from tiltmeter.llm.common import short_batches, text_column, written
 from tiltmeter.session import checkpoint_dir
 
 #: Payloads below this many bytes are never replaced by a reference.
@@ -213,6 +213,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     which case all are responses. No rows, no archives. Other columns are not read. A task that is run again writes
     under another name; only archives in the returned table count.
     """
+    short_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", text_column(pages, "html").alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256)).withColumn("size", F.octet_length("html").cast("long"))
     first = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first_id"))
