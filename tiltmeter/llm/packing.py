@@ -9,16 +9,18 @@ each of them. Bins of all blocks that stay poorly filled are dissolved and packe
 
 from __future__ import annotations
 
+import sys
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiltmeter.llm.common import byte_blocks, text_column, written
+from tiltmeter.llm.common import byte_blocks, short_batches, text_column, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -30,15 +32,19 @@ CHILDREN = 24
 POPULATION = 5
 #: Bins filled less than this are dissolved after the first round.
 WELL_FILLED = 0.98
-#: Words whose ids a task remembers.
-REMEMBERED = 1_000_000
+#: Words of a generation whose ids a worker remembers.
+REMEMBERED = 200_000
 
 
 # ---------------------------------------------------------------- tokens
 
 
 class WordIds:
-    """Ids of texts from the ids of their words; words between ASCII white space never share a token."""
+    """Ids of texts from the ids of their words; words between ASCII white space never share a token.
+
+    The tokenizer lower-cases, so words are looked up in lower case, and letters never share a token with punctuation,
+    so a word with a comma or full stop behind it has the ids of both. Only what is left is new to the tokenizer.
+    """
 
     def __init__(self, path: str) -> None:
         import os
@@ -46,31 +52,61 @@ class WordIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+
+    def learn(self, words: set[bytes]) -> None:
+        """Make all words known. Words not met for a while are forgotten: only two generations are remembered."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older, ends = self.known, self.older, {}
+        new = words - known.keys()
+        for word in new:
+            if word in older:
+                known[word] = older[word]
+            elif word[-1:] in (b",", b".") and len(word) > 1 and word[-2:-1].isalnum():
+                ends[word] = word[:-1]
+        plain = list((new | set(ends.values()) | {b",", b"."}) - known.keys() - ends.keys())
+        for at in range(0, len(plain), 4096):
+            some = [w.decode() for w in plain[at : at + 4096]]
+            coded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            raw = np.array(coded.ids, dtype="<u4").tobytes()
+            starts = np.array([start for start, _ in coded.offsets], dtype=np.int64)
+            begins = np.cumsum([0, *(len(w) + 1 for w in some)])
+            cuts = (4 * np.searchsorted(starts, begins)).tolist()
+            known.update((w, raw[a:b]) for w, a, b in zip(plain[at : at + 4096], cuts[:-1], cuts[1:]))
+        known.update((word, known[stem] + known[word[-1:]]) for word, stem in ends.items())
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers, without the end."""
-        words = [text.split() for text in texts]
-        new = {w for some in words for w in some if w not in self.known}
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = {w for some in words for w in some}
-        new = list(new)
-        for at in range(0, len(new), 65536):
-            some = new[at : at + 65536]
-            coded = self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(some, coded))
+        # Special tokens are told by their case, so texts that may hold one keep theirs.
+        words = [(text if b"<|" in text else text.lower()).split() for text in texts]
+        met = set().union(*words) if words else set()
+        if len(self.known) > REMEMBERED or not met <= self.known.keys():
+            self.learn(met)
         for some in words:
-            yield b"".join([self.known[w] for w in some])
+            yield b"".join(map(self.known.__getitem__, some))
+
+
+def word_ids(path: str) -> WordIds:
+    """One table of words per Python worker, which serves all its tasks.
+
+    Functions travel with the plan, so globals of this module last for one task only; a module of the worker lasts.
+    """
+    worker = sys.modules.setdefault("tiltmeter_worker", ModuleType("tiltmeter_worker"))
+    tables = worker.__dict__.setdefault("word_ids", {})
+    if path not in tables:
+        tables[path] = WordIds(path)
+    return tables[path]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32[, ids] of all documents."""
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_column(docs, text_col).alias("text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         closing = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             for first, _, data, bounds in byte_blocks(batch.column(1)):
