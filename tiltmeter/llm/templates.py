@@ -71,7 +71,7 @@ def generalised_leaves(lines: DataFrame, leading: int, least_docs: int, similari
     short = lines.where(F.col("tokens").between(leading + 1, RECORD_TOKENS))
     texts = short.groupBy("leaf", "tokens", "masked").agg(F.count(F.lit(1)).alias("n"))
     mixed = texts.groupBy("leaf").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"))
-    mixed = mixed.where((F.col("texts") > 1) & (F.col("n") >= least_docs)).select("leaf")
+    mixed = written(mixed.where((F.col("texts") > 1) & (F.col("n") >= least_docs)).select("leaf"))
     spots = texts.join(mixed, "leaf").select("leaf", "tokens", F.posexplode(F.split("masked", " ")).alias("spot", "token"))
     spots = spots.groupBy("leaf", "tokens", "spot").agg((F.min("token") == F.max("token")).cast("int").alias("same"))
     agree = spots.groupBy("leaf", "tokens").agg(F.sum("same").alias("same"))
@@ -88,13 +88,14 @@ def recurring_lines(
 ) -> DataFrame:
     """(doc_id, text_key, positions): the lines to drop of every document that has any; see ``drop_recurring_lines``."""
     lines = line_table(docs, leading, id_col, text_col)
-    leaves = generalised_leaves(lines, leading, least_docs, similarity).withColumn("general", F.lit(True))
+    # Written, as are the recurring templates below, so that the joins find two shuffled sides and a line that very many
+    # documents hold can be split.
+    leaves = written(generalised_leaves(lines, leading, least_docs, similarity)).withColumn("general", F.lit(True))
     keys = lines.where(F.col("tokens") <= RECORD_TOKENS).drop("masked").join(leaves, "leaf", "left")
     keys = keys.select("doc_id", "text_key", "pos", *[F.when(F.col("general"), F.col(v)).otherwise(F.col(k)).alias(k) for k, v in (("k1", "leaf"), ("k2", "tokens"))])
     long = lines.where(F.col("tokens") > RECORD_TOKENS).select("doc_id", "text_key", "pos", "k1", "k2")
     keys = written(keys.unionByName(long))
     often = keys.groupBy("k1", "k2").agg(F.countDistinct("doc_id").alias("docs"), F.min("doc_id").alias("first_doc"))
-    # Written, so that the join below finds two shuffled sides and a line of very many documents can be split.
     often = written(often.where(F.col("docs") >= least_docs).drop("docs"))
     dropped = keys.join(often, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     return dropped.groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("positions"))
