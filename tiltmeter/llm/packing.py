@@ -33,7 +33,11 @@ POPULATION = 5
 #: Bins filled less than this are dissolved after the first round.
 WELL_FILLED = 0.98
 #: Words of a generation whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
+STOPS = b",."
+#: What tokens at the end of a word end with, and words that are coded in one call.
+WORD_END = "</w>"
+CODED_WORDS = 512
 
 
 # ---------------------------------------------------------------- tokens
@@ -53,29 +57,61 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closing[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
 
     def learn(self, words: set[bytes]) -> None:
         """Make all words known. Words not met for a while are forgotten: only two generations are remembered."""
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        known, older, ends = self.known, self.older, {}
-        new = words - known.keys()
-        for word in new:
-            if word in older:
-                known[word] = older[word]
-            elif word[-1:] in (b",", b".") and len(word) > 1 and word[-2:-1].isalnum():
-                ends[word] = word[:-1]
-        plain = list((new | set(ends.values()) | {b",", b"."}) - known.keys() - ends.keys())
-        for at in range(0, len(plain), 4096):
-            some = [w.decode() for w in plain[at : at + 4096]]
-            coded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            raw = np.array(coded.ids, dtype="<u4").tobytes()
-            starts = np.array([start for start, _ in coded.offsets], dtype=np.int64)
-            begins = np.cumsum([0, *(len(w) + 1 for w in some)])
-            cuts = (4 * np.searchsorted(starts, begins)).tolist()
-            known.update((w, raw[a:b]) for w, a, b in zip(plain[at : at + 4096], cuts[:-1], cuts[1:]))
+        known, older, ends, plain = self.known, self.older, {}, {}
+        # No set operations with the tables: those would walk through the whole of them.
+        for word in words:
+            if word in known:
+                continue
+            ids = older.get(word)
+            if ids is not None:
+                known[word] = ids
+            elif word[-1] in STOPS and word[-2:-1].isalnum():
+                ends[word] = stem = word[:-1]
+                if stem not in known:
+                    plain[stem] = None
+            else:
+                plain[word] = None
+        for stop in (b",", b"."):
+            if stop not in known:
+                plain[stop] = None
+        letters = [w for w in plain if w.decode().isalpha()]
+        others = [w for w in plain if not w.decode().isalpha()]
+        for some in (letters[at : at + CODED_WORDS] for at in range(0, len(letters), CODED_WORDS)):
+            if not self._code_letters(some):
+                self._code(some)
+        for some in (others[at : at + CODED_WORDS] for at in range(0, len(others), CODED_WORDS)):
+            self._code(some)
         known.update((word, known[stem] + known[word[-1:]]) for word, stem in ends.items())
 
+    def _code_letters(self, words: list[bytes]) -> bool:
+        """Learn words of letters only: each ends with its only id that stands for the end of a word."""
+        text = b" ".join(words).decode()
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = (4 * (np.flatnonzero(self.closing[ids]) + 1)).tolist()
+        if len(ends) != len(words):
+            return False
+        raw = ids.tobytes()
+        self.known.update((w, raw[a:b]) for w, a, b in zip(words, [0, *ends[:-1]], ends))
+        return True
+
+    def _code(self, words: list[bytes]) -> None:
+        """Learn any words, told apart by where their tokens start."""
+        some = [w.decode() for w in words]
+        coded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+        raw = np.array(coded.ids, dtype="<u4").tobytes()
+        starts = np.array([start for start, _ in coded.offsets], dtype=np.int64)
+        begins = np.cumsum([0, *(len(w) + 1 for w in some)])
+        cuts = (4 * np.searchsorted(starts, begins)).tolist()
+        self.known.update((w, raw[a:b]) for w, a, b in zip(words, cuts[:-1], cuts[1:]))
+
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers, without the end."""
         # Special tokens are told by their case, so texts that may hold one keep theirs.
