@@ -59,7 +59,8 @@ def components(edges: DataFrame) -> DataFrame:
     while not live.isEmpty():
         both = live.select("a", "b").unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = both.groupBy("a").agg(F.min("b").alias("low"))
-        hooks = hooks.select(F.col("a").alias("node"), F.least("a", "low").alias("root"))
+        # Written, so that the jump finds two shuffled sides and a root of very many nodes can be split.
+        hooks = written(hooks.select(F.col("a").alias("node"), F.least("a", "low").alias("root")))
         hooks = written(_jump(_jump(hooks)))
         if labels is None:
             labels = hooks
