@@ -229,6 +229,24 @@ def test_rows_of_numbers_are_no_template(make_docs):
     assert templates.drop_recurring_lines(make_docs(rows), least_docs=5).where("n_removed > 0").count() == 0
 
 
+def removed(frame, **options):
+    return {r.doc_id: r.n_removed for r in templates.drop_recurring_lines(frame, **options).collect()}
+
+
+def test_template_leaf_holds_several_templates(make_docs):
+    names = ["amber", "beryl", "coral", "dusk", "ember", "flint"]
+    rows = [(i, f"Reviewed by the staff {name}") for i, name in enumerate(names)]
+    rows += [(10 + i, f"Reviewed by the board {name}x") for i, name in enumerate(names)]
+    rows += [(20, "Reviewed by the whole team")]
+    assert removed(make_docs(rows), least_docs=6) == {i: int(i not in (0, 10, 20)) for i, _ in rows}
+
+
+def test_template_fields_of_frequent_values(make_docs):
+    values = ["amber", "beryl", "coral", "dusk", "ember", "flint"]
+    rows = [(6 * i + k, f"Posted in the main forum by user {a} on {b}") for i, a in enumerate(values) for k, b in enumerate(values)]
+    assert removed(make_docs(rows), least_docs=6) == {i: int(i > 0) for i, _ in rows}
+
+
 def test_gradients_by_differences():
     net = byte_gru.Network.fresh(3)
     draw = np.random.default_rng(0)

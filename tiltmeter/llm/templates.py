@@ -1,9 +1,9 @@
 """Line deduplication by a log-template tree: lines that recur as one template across documents are dropped.
 
 The tree has a fixed depth: the number of tokens, then the leading tokens, each with variable fields (tokens that hold
-a digit) replaced by a wild card. A leaf whose lines agree at most positions is one template, wild where they differ;
-the lines of any other leaf, and lines too long to be a record, are templates by their whole masked text. Everything is
-DataFrame expressions; every count is added up before it is shuffled.
+a digit) replaced by a wild card. A leaf holds several templates: the tokens that enough lines share at a position are
+constant, the rest is wild, and lines that agree at most positions belong together. Every line is a template by its
+whole masked text too. Everything is DataFrame expressions; every count is added up before it is shuffled.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ LEADING = 3
 LEAST_TOKENS = 3
 #: Leaves generalise lines of up to so many tokens.
 RECORD_TOKENS = 24
-#: Share of positions that must be constant in a leaf for it to be one template.
+#: Share of positions that must be constant in a template.
 SIMILARITY = 0.7
 #: Share of a line's tokens that must not be wild.
 CONSTANT = 0.5
@@ -66,16 +66,47 @@ def line_table(docs: DataFrame, leading: int, id_col: str, text_col: str) -> Dat
     return written(table).where(F.col("tokens") >= LEAST_TOKENS)
 
 
-def generalised_leaves(lines: DataFrame, leading: int, least_docs: int, similarity: float) -> DataFrame:
-    """Leaves (``leaf``) whose lines differ but agree at enough positions to be one template."""
+def shared_patterns(lines: DataFrame, leading: int, least_docs: int, similarity: float) -> DataFrame:
+    """(text, patterns): the patterns that each differing line of a leaf, named by its ``k1``, may be an instance of.
+
+    A token is frequent to the degree that it doubles ``least_docs``, counted in lines of its leaf and position. The
+    pattern of a degree keeps the tokens of at least that degree and is wild elsewhere, so a leaf holds any number of
+    templates, and a field whose values are frequent themselves is wild from a higher degree on. The patterns of a line
+    are nested, and no more than the binary digits of the number of lines.
+    """
     short = lines.where(F.col("tokens").between(leading + 1, RECORD_TOKENS))
-    texts = short.groupBy("leaf", "tokens", "masked").agg(F.count(F.lit(1)).alias("n"))
+    texts = short.groupBy("leaf", "tokens", "k1", "masked").agg(F.count(F.lit(1)).alias("n"))
     mixed = texts.groupBy("leaf").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"))
     mixed = written(mixed.where((F.col("texts") > 1) & (F.col("n") >= least_docs)).select("leaf"))
-    spots = texts.join(mixed, "leaf").select("leaf", "tokens", F.posexplode(F.split("masked", " ")).alias("spot", "token"))
-    spots = spots.groupBy("leaf", "tokens", "spot").agg((F.min("token") == F.max("token")).cast("int").alias("same"))
-    agree = spots.groupBy("leaf", "tokens").agg(F.sum("same").alias("same"))
-    return agree.where(F.col("same") >= similarity * F.col("tokens")).select("leaf").distinct()
+    spots = texts.join(mixed, "leaf").select("leaf", "tokens", "k1", "n", F.posexplode(F.split("masked", " ")).alias("spot", "token"))
+    spots = written(spots)
+    often = spots.groupBy("leaf", "spot", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= least_docs)
+    often = written(often.select("leaf", "spot", "token", F.floor(F.log2(F.col("n") / least_docs)).alias("degree")))
+    degrees = spots.drop("n").join(often, ["leaf", "spot", "token"]).groupBy("leaf", "tokens", "k1", "degree").agg(
+        F.count(F.lit(1)).alias("same"),
+        F.bit_xor(F.xxhash64("spot", "token")).alias("p1"),
+        F.bit_xor(F.xxhash64("token", F.lit("pattern"), "spot")).alias("p2"),
+    )
+    found = degrees.groupBy("leaf", "tokens", "k1").agg(F.collect_list(F.struct("degree", "same", "p1", "p2")).alias("degrees"))
+    patterns = F.transform("degrees", lambda least: _pattern(F.filter("degrees", lambda d: d["degree"] >= least["degree"])))
+    found = found.select(F.col("k1").alias("text"), "leaf", "tokens", F.explode(patterns).alias("pattern"))
+    found = found.where((F.col("pattern.same") >= similarity * F.col("tokens")) & (F.col("pattern.same") < F.col("tokens")))
+    keyed = F.struct(F.xxhash64("leaf", "pattern.p1").alias("k1"), F.xxhash64(F.lit("leaf"), "leaf", "pattern.p2").alias("k2"))
+    return found.groupBy("text").agg(F.collect_list(keyed).alias("patterns"))
+
+
+def _pattern(degrees: Column) -> Column:
+    """The tokens of several degrees together."""
+    none = F.struct(F.lit(0).cast("long").alias("same"), F.lit(0).cast("long").alias("p1"), F.lit(0).cast("long").alias("p2"))
+    return F.aggregate(
+        degrees,
+        none,
+        lambda all_, d: F.struct(
+            (all_["same"] + d["same"]).alias("same"),
+            all_["p1"].bitwiseXOR(d["p1"]).alias("p1"),
+            all_["p2"].bitwiseXOR(d["p2"]).alias("p2"),
+        ),
+    )
 
 
 def recurring_lines(
@@ -90,11 +121,12 @@ def recurring_lines(
     lines = line_table(docs, leading, id_col, text_col)
     # Written, as are the recurring templates below, so that the joins find two shuffled sides and a line that very many
     # documents hold can be split.
-    leaves = written(generalised_leaves(lines, leading, least_docs, similarity)).withColumn("general", F.lit(True))
-    keys = lines.where(F.col("tokens") <= RECORD_TOKENS).drop("masked").join(leaves, "leaf", "left")
-    keys = keys.select("doc_id", "text_key", "pos", *[F.when(F.col("general"), F.col(v)).otherwise(F.col(k)).alias(k) for k, v in (("k1", "leaf"), ("k2", "tokens"))])
-    long = lines.where(F.col("tokens") > RECORD_TOKENS).select("doc_id", "text_key", "pos", "k1", "k2")
-    keys = written(keys.unionByName(long))
+    patterns = written(shared_patterns(lines, leading, least_docs, similarity))
+    texts = lines.select("doc_id", "text_key", "pos", "k1", "k2")
+    wild = texts.join(patterns, texts["k1"] == patterns["text"]).select("doc_id", "text_key", "pos", F.explode("patterns").alias("p"))
+    # A line counts for its own text and for each of its patterns. These are nested, so the first document of the widest
+    # one is the first of every narrower one that it holds, and keeps its lines.
+    keys = written(texts.unionByName(wild.select("doc_id", "text_key", "pos", "p.k1", "p.k2")))
     often = keys.groupBy("k1", "k2").agg(F.countDistinct("doc_id").alias("docs"), F.min("doc_id").alias("first_doc"))
     often = written(often.where(F.col("docs") >= least_docs).drop("docs"))
     dropped = keys.join(often, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
