@@ -247,6 +247,13 @@ def test_template_fields_of_frequent_values(make_docs):
     assert removed(make_docs(rows), least_docs=6) == {i: int(i > 0) for i, _ in rows}
 
 
+def test_leading_tokens_alone_are_no_template(make_docs):
+    verbs = ["go", "eat", "sleep", "read", "swim", "sing"]
+    rows = [(i, f"I want to {verb}") for i, verb in enumerate(verbs)]
+    rows += [(10 + i, f"You may then 7 {verb}") for i, verb in enumerate(verbs)]
+    assert set(removed(make_docs(rows), least_docs=6).values()) == {0}
+
+
 def test_gradients_by_differences():
     net = byte_gru.Network.fresh(3)
     draw = np.random.default_rng(0)

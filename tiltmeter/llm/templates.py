@@ -72,7 +72,8 @@ def shared_patterns(lines: DataFrame, leading: int, least_docs: int, similarity:
     A token is frequent to the degree that it doubles ``least_docs``, counted in lines of its leaf and position. The
     pattern of a degree keeps the tokens of at least that degree and is wild elsewhere, so a leaf holds any number of
     templates, and a field whose values are frequent themselves is wild from a higher degree on. The patterns of a line
-    are nested, and no more than the binary digits of the number of lines.
+    are nested, and no more than the binary digits of the number of lines. The leading tokens are equal in a leaf, so a
+    pattern needs a further word.
     """
     short = lines.where(F.col("tokens").between(leading + 1, RECORD_TOKENS))
     texts = short.groupBy("leaf", "tokens", "k1", "masked").agg(F.count(F.lit(1)).alias("n"))
@@ -84,25 +85,27 @@ def shared_patterns(lines: DataFrame, leading: int, least_docs: int, similarity:
     often = written(often.select("leaf", "spot", "token", F.floor(F.log2(F.col("n") / least_docs)).alias("degree")))
     degrees = spots.drop("n").join(often, ["leaf", "spot", "token"]).groupBy("leaf", "tokens", "k1", "degree").agg(
         F.count(F.lit(1)).alias("same"),
+        F.count_if((F.col("spot") >= leading) & (F.col("token") != WILD)).alias("further"),
         F.bit_xor(F.xxhash64("spot", "token")).alias("p1"),
         F.bit_xor(F.xxhash64("token", F.lit("pattern"), "spot")).alias("p2"),
     )
-    found = degrees.groupBy("leaf", "tokens", "k1").agg(F.collect_list(F.struct("degree", "same", "p1", "p2")).alias("degrees"))
+    found = degrees.groupBy("leaf", "tokens", "k1").agg(F.collect_list(F.struct("degree", "same", "further", "p1", "p2")).alias("degrees"))
     patterns = F.transform("degrees", lambda least: _pattern(F.filter("degrees", lambda d: d["degree"] >= least["degree"])))
     found = found.select(F.col("k1").alias("text"), "leaf", "tokens", F.explode(patterns).alias("pattern"))
-    found = found.where((F.col("pattern.same") >= similarity * F.col("tokens")) & (F.col("pattern.same") < F.col("tokens")))
+    found = found.where((F.col("pattern.further") > 0) & (F.col("pattern.same") >= similarity * F.col("tokens")) & (F.col("pattern.same") < F.col("tokens")))
     keyed = F.struct(F.xxhash64("leaf", "pattern.p1").alias("k1"), F.xxhash64(F.lit("leaf"), "leaf", "pattern.p2").alias("k2"))
     return found.groupBy("text").agg(F.collect_list(keyed).alias("patterns"))
 
 
 def _pattern(degrees: Column) -> Column:
     """The tokens of several degrees together."""
-    none = F.struct(F.lit(0).cast("long").alias("same"), F.lit(0).cast("long").alias("p1"), F.lit(0).cast("long").alias("p2"))
+    none = F.struct(*[F.lit(0).cast("long").alias(name) for name in ("same", "further", "p1", "p2")])
     return F.aggregate(
         degrees,
         none,
         lambda all_, d: F.struct(
             (all_["same"] + d["same"]).alias("same"),
+            (all_["further"] + d["further"]).alias("further"),
             all_["p1"].bitwiseXOR(d["p1"]).alias("p1"),
             all_["p2"].bitwiseXOR(d["p2"]).alias("p2"),
         ),
