@@ -254,6 +254,12 @@ def test_leading_tokens_alone_are_no_template(make_docs):
     assert set(removed(make_docs(rows), least_docs=6).values()) == {0}
 
 
+def test_records_of_many_fields_are_templates(make_docs):
+    rows = [(i, f"2024-01-{10 + i} 12:30:{10 + i} host{i} {70 + i} login failed\nViews: {i} {i + 45} 2020-01-{10 + i}") for i in range(6)]
+    rows += [(10 + i, f"{i} {i + 1} {i * 7} {i * 9}") for i in range(6)]
+    assert removed(make_docs(rows), least_docs=6) == {i: 2 * (0 < i < 6) for i, _ in rows}
+
+
 def test_gradients_by_differences():
     net = byte_gru.Network.fresh(3)
     draw = np.random.default_rng(0)

@@ -19,7 +19,7 @@ LEAST_TOKENS = 3
 RECORD_TOKENS = 24
 #: Share of positions that must be constant in a template.
 SIMILARITY = 0.7
-#: Share of a line's tokens that must not be wild.
+#: Share of a line's tokens that must not be wild; only the SQL still asks for it.
 CONSTANT = 0.5
 #: A template recurs if it stands in so many documents.
 LEAST_DOCS = 10
@@ -28,17 +28,20 @@ WILD = "<*>"
 FIELD_PATTERN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
-def masked_line(line: Column) -> Column:
+def masked_line(line: Column, leading: int = LEADING) -> Column:
     """The tokens of a line joined by one space, those with a digit as a wild card. Most lines are so already.
 
-    A line that would be left with too few constant tokens (a row of numbers) stays as it is: what it shares with
-    others is only its length.
+    A row of numbers stays as it is: a line without a constant token, or with a single one behind wild leading tokens.
     """
     untidy = line.rlike(r"[0-9\x09\x0B-\x0D]|^\x20|\x20\x20|\x20$")
     tidy = F.trim(F.regexp_replace(line, SPACE_PATTERN + "+", " "))
     wild = F.regexp_replace(tidy, FIELD_PATTERN, WILD)
-    constant = _tokens(wild) - (F.length(wild) - F.length(F.replace(wild, F.lit(WILD), F.lit("")))) / len(WILD)
-    return F.when(untidy, F.when(constant >= CONSTANT * _tokens(wild), wild).otherwise(tidy)).otherwise(line)
+    record = (_constants(F.substring_index(wild, " ", leading)) > 0) | (_constants(wild) > 1)
+    return F.when(untidy, F.when(record, wild).otherwise(tidy)).otherwise(line)
+
+
+def _constants(masked: Column) -> Column:
+    return _tokens(masked) - (F.length(masked) - F.length(F.replace(masked, F.lit(WILD), F.lit("")))) / len(WILD)
 
 
 def _tokens(masked: Column) -> Column:
@@ -51,7 +54,7 @@ def line_table(docs: DataFrame, leading: int, id_col: str, text_col: str) -> Dat
     leaves may generalise their masked text. Kept in the shared folder, since every step below reads it."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_column(docs, text_col).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.select("doc_id", "text_key", "pos", masked_line(F.col("line")).alias("masked"))
+    rows = rows.select("doc_id", "text_key", "pos", masked_line(F.col("line"), leading).alias("masked"))
     rows = rows.withColumn("tokens", _tokens(F.col("masked")))
     table = rows.select(
         "doc_id",
