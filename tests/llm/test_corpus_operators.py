@@ -260,6 +260,20 @@ def test_records_of_many_fields_are_templates(make_docs):
     assert removed(make_docs(rows), least_docs=6) == {i: 2 * (0 < i < 6) for i, _ in rows}
 
 
+def test_short_and_long_and_rare_lines_recur(make_docs):
+    words = " ".join(f"{a}{b}" for a in "abcdef" for b in "ghijk")
+    names = ["amber", "beryl", "coral", "dusk", "ember", "flint"]
+    rows = [(i, f"Read more\nAgain\n\n\nLicence {words} held by {name} alone\n{plain(9)}") for i, name in enumerate(names)]
+    rows += [(10, f"shared by two\n{plain(9)}"), (11, f"{plain(9)}\nshared by two"), (12, f"{plain(9)}\nby one only")]
+    assert removed(make_docs(rows), least_docs=6) == {i: 3 if 0 < i < 6 else int(i == 11) for i, _ in rows}
+
+
+def test_few_copies_of_a_document_stay(make_docs):
+    text = f"{plain(9)}\n{plain(8)}"
+    rows = [(1, text), (2, text), (3, text.split("\n")[0]), (None, text)]
+    assert removed(make_docs(rows)) == {1: 0, 2: 0, 3: 1, None: 0}
+
+
 def test_gradients_by_differences():
     net = byte_gru.Network.fresh(3)
     draw = np.random.default_rng(0)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tiltmeter.llm.common import SPACE_PATTERN, text_column, written
 
 LEADING = 3
+#: Bounds that only the SQL still has.
 LEAST_TOKENS = 3
-#: Leaves generalise lines of up to so many tokens.
 RECORD_TOKENS = 24
 #: Share of positions that must be constant in a template.
 SIMILARITY = 0.7
@@ -23,6 +23,8 @@ SIMILARITY = 0.7
 CONSTANT = 0.5
 #: A template recurs if it stands in so many documents.
 LEAST_DOCS = 10
+#: A whole masked line recurs if it stands in so many documents of more than one text.
+WHOLE_DOCS = 2
 WILD = "<*>"
 #: From the first byte of a token, without going back.
 FIELD_PATTERN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
@@ -50,8 +52,8 @@ def _tokens(masked: Column) -> Column:
 
 
 def line_table(docs: DataFrame, leading: int, id_col: str, text_col: str) -> DataFrame:
-    """A row per line of at least LEAST_TOKENS tokens: doc_id, text_key, pos, tokens, leaf, k1, k2, and for lines that
-    leaves may generalise their masked text. Kept in the shared folder, since every step below reads it."""
+    """A row per line that is not blank: doc_id, text_key, pos, tokens, masked, leaf, k1, k2. Kept in the shared folder,
+    since every step below reads it."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_column(docs, text_col).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     rows = rows.select("doc_id", "text_key", "pos", masked_line(F.col("line"), leading).alias("masked"))
@@ -61,12 +63,12 @@ def line_table(docs: DataFrame, leading: int, id_col: str, text_col: str) -> Dat
         "text_key",
         "pos",
         "tokens",
-        F.when(F.col("tokens") <= RECORD_TOKENS, F.col("masked")).alias("masked"),
+        "masked",
         F.xxhash64("tokens", F.substring_index("masked", " ", leading)).alias("leaf"),
         F.xxhash64("masked").alias("k1"),
         F.xxhash64(F.lit("line"), "masked").alias("k2"),
     )
-    return written(table).where(F.col("tokens") >= LEAST_TOKENS)
+    return written(table.where(F.col("tokens") > 0))
 
 
 def shared_patterns(lines: DataFrame, leading: int, least_docs: int, similarity: float) -> DataFrame:
@@ -78,10 +80,9 @@ def shared_patterns(lines: DataFrame, leading: int, least_docs: int, similarity:
     are nested, and no more than the binary digits of the number of lines. The leading tokens are equal in a leaf, so a
     pattern needs a further word.
     """
-    short = lines.where(F.col("tokens").between(leading + 1, RECORD_TOKENS))
-    texts = short.groupBy("leaf", "tokens", "k1", "masked").agg(F.count(F.lit(1)).alias("n"))
-    mixed = texts.groupBy("leaf").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"))
-    mixed = written(mixed.where((F.col("texts") > 1) & (F.col("n") >= least_docs)).select("leaf"))
+    texts = lines.where(F.col("tokens") > leading).groupBy("leaf", "tokens", "k1", "masked").agg(F.count(F.lit(1)).alias("n"))
+    mixed = lines.where(F.col("tokens") > leading).groupBy("leaf").agg((F.min("k1") < F.max("k1")).alias("differ"), F.count(F.lit(1)).alias("n"))
+    mixed = written(mixed.where(F.col("differ") & (F.col("n") >= least_docs)).select("leaf"))
     spots = texts.join(mixed, "leaf").select("leaf", "tokens", "k1", "n", F.posexplode(F.split("masked", " ")).alias("spot", "token"))
     spots = written(spots)
     often = spots.groupBy("leaf", "spot", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= least_docs)
@@ -128,14 +129,26 @@ def recurring_lines(
     # Written, as are the recurring templates below, so that the joins find two shuffled sides and a line that very many
     # documents hold can be split.
     patterns = written(shared_patterns(lines, leading, least_docs, similarity))
-    texts = lines.select("doc_id", "text_key", "pos", "k1", "k2")
+    texts = lines.select("doc_id", "text_key", "pos", "k1", "k2", F.lit(True).alias("whole"))
     wild = texts.join(patterns, texts["k1"] == patterns["text"]).select("doc_id", "text_key", "pos", F.explode("patterns").alias("p"))
     # A line counts for its own text and for each of its patterns. These are nested, so the first document of the widest
     # one is the first of every narrower one that it holds, and keeps its lines.
-    keys = written(texts.unionByName(wild.select("doc_id", "text_key", "pos", "p.k1", "p.k2")))
-    often = keys.groupBy("k1", "k2").agg(F.countDistinct("doc_id").alias("docs"), F.min("doc_id").alias("first_doc"))
-    often = written(often.where(F.col("docs") >= least_docs).drop("docs"))
+    keys = written(texts.unionByName(wild.select("doc_id", "text_key", "pos", "p.k1", "p.k2", F.lit(False).alias("whole"))))
+    # Once a document first, so that no buffer is wider than a number and a repeated id has one text.
+    named = F.when(F.col("doc_id").isNotNull(), F.col("text_key"))
+    held = keys.groupBy("k1", "k2", "whole", "doc_id").agg(F.min(named).alias("low"), F.max(named).alias("high"))
+    often = held.groupBy("k1", "k2", "whole").agg(
+        F.count("doc_id").alias("docs"),
+        F.min("doc_id").alias("first_doc"),
+        F.min_by("low", "doc_id").alias("first_text"),
+        (F.min("low") < F.max("high")).alias("texts"),
+    )
+    common = F.col("docs") >= least_docs
+    often = often.where(common | (F.col("whole") & (F.col("docs") >= WHOLE_DOCS) & F.col("texts")))
+    often = written(often.select("k1", "k2", common.alias("common"), "first_doc", "first_text"))
+    # Copies of the first document are for the operators that compare documents, unless the line is in very many.
     dropped = keys.join(often, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    dropped = dropped.where(F.col("common") | (F.col("text_key") != F.col("first_text")))
     return dropped.groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("positions"))
 
 
@@ -150,7 +163,8 @@ def drop_recurring_lines(
     """The input rows with recurring lines taken out of the text, and ``n_lines``, ``n_removed`` (long) added.
 
     A template that stands in at least ``least_docs`` documents is dropped from all of them but the one with the
-    smallest id, so nothing vanishes from the corpus. Lines of fewer than three tokens, blank ones too, always stay.
+    smallest id, so nothing vanishes from the corpus. A line whose whole masked text stands in fewer, but at least
+    ``WHOLE_DOCS`` of more than one text, is dropped from all but that one and its copies. Blank lines always stay.
     NULL text stays NULL with 0 lines. A row without an id counts as no document, but loses its recurring lines. Rows
     that repeat an id count as one document. Columns of the input named like an added one are replaced; all others
     stay as they are. No rows in, no rows out.
