@@ -163,10 +163,10 @@ class Rolling:
         return mix((prefix[k:] - prefix[:n]) * self.inverses[:n] + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))
 
 
-def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of every word; words end at the end of a row."""
+def word_spans(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of every word; words end at the end of a row. ``space`` tells per byte value what is no word."""
     inside = np.zeros(len(data) + 2, dtype=bool)
-    inside[1:-1] = ~_IS_SPACE[data]
+    inside[1:-1] = ~space[data]
     starts = inside[1:-1] & ~inside[:-2]
     first = bounds[:-1][bounds[:-1] < bounds[1:]]
     starts[first] |= inside[1:-1][first]
@@ -192,10 +192,10 @@ def sliding_argmin(keys: np.ndarray, width: int) -> np.ndarray:
     return low
 
 
-def as_long(x: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(x).view(np.int64)
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A to Z in lower case."""
+    return _LOWER[data]
 
 
-def table(schema: str, *columns) -> pa.RecordBatch:
-    names = [part.split()[0] for part in schema.split(",")]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+def as_long(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x).view(np.int64)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiltmeter.llm import byte_gru, chosen_path, exact, mixing, packing, passages, quantised, substrings, templates, warc
+from tiltmeter.llm import byte_gru, chosen_path, exact, mixing, packing, passages, phrases, quantised, substrings, templates, warc
 from tiltmeter.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -256,3 +256,50 @@ def components_sql(percent: int) -> str:
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(documents(spark, sf_dir), percent=85)
+
+
+def phrases_sql(text: str = "documents") -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+    pieces AS (
+        SELECT coalesce(lang, '{phrases.UNKNOWN_LANG}') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM {text}
+    ), worded AS (
+        SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces
+    ), totals AS (
+        SELECT lang, sum(len(words))::BIGINT AS n FROM worded GROUP BY lang
+    ), spelled AS (
+        SELECT lang, k, words[s:s + k - 1] AS words FROM (
+            SELECT *, unnest(range(1, len(words) - k + 2)) AS s FROM (SELECT lang, words, unnest(range(1, {phrases.LONGEST + 1})) AS k FROM worded)
+        )
+    ), counted AS (
+        SELECT lang, k, array_to_string(words, ' ') AS phrase, any_value(words) AS words, count(*)::BIGINT AS a FROM spelled GROUP BY ALL
+    ), frequent AS (
+        SELECT * FROM counted WHERE a >= {phrases.LEAST_COUNT} AND k > 1
+    ), cuts AS (
+        SELECT *, array_to_string(words[1:cut], ' ') AS one, array_to_string(words[cut + 1:], ' ') AS two FROM (SELECT *, unnest(range(1, k)) AS cut FROM frequent)
+    ), scored AS (
+        SELECT c.lang, c.phrase, c.words, c.a, c.cut, x.a AS l, y.a AS r, ((2000000::HUGEINT * c.a) // (x.a + y.a))::BIGINT AS score
+        FROM cuts c JOIN counted x ON c.lang = x.lang AND c.one = x.phrase JOIN counted y ON c.lang = y.lang AND c.two = y.phrase
+    ), weakest AS (
+        SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+    ), around AS (
+        SELECT lang, array_to_string(words[s:s + m - 1], ' ') AS phrase, max(a) AS longer FROM (
+            SELECT *, unnest(range(1, k - m + 2)) AS s FROM (SELECT *, unnest(range(2, k)) AS m FROM frequent)
+        ) GROUP BY ALL
+    ), kept AS (
+        SELECT w.* FROM weakest w LEFT JOIN around o ON w.lang = o.lang AND w.phrase = o.phrase
+        WHERE o.longer IS NULL OR 100::HUGEINT * o.longer < 80::HUGEINT * w.a
+    ), ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+    )"""
+
+
+@query(
+    "op11_phrases",
+    f"""
+    WITH {phrases_sql()}
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= {phrases.REPORTED}
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(documents(spark, sf_dir))
