@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiltmeter.llm import byte_gru, chosen_path, exact, mixing, packing, passages, phrases, quantised, substrings, templates, warc
+from tiltmeter.llm import byte_gru, chosen_path, decontaminate, exact, mixing, packing, passages, periods, phrases, quantised, substrings, templates, warc
+from tiltmeter.llm.common import WORD_PATTERN
 from tiltmeter.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -303,3 +304,111 @@ def phrases_sql(text: str = "documents") -> str:
 )
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine_phrases(documents(spark, sf_dir))
+
+
+CRC_SQL = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+            lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384::BIGINT * (y & 1)))), 4294967295::BIGINT)"""
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id, text: one document in ten by the checksum of its id goes on with its own words again from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def again(words):
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        return F.array_join(F.transform(words, lambda _, i: F.element_at(words, (place(i) + 1).cast("int"))), " ")
+
+    words = F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0))
+    planted = F.transform(F.array(words), again)[0]
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").rlike(WORD_PATTERN), planted).otherwise(F.col("text")).alias("text"))
+
+
+@query(
+    "op12_periodic_runs",
+    rf"""
+    WITH given AS (
+        SELECT doc_id, {CRC_SQL} AS h, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+    ), placed AS (
+        SELECT *, h // 10 AS g, len(words) AS n FROM given
+    ), steps AS (
+        SELECT *, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM placed
+    ), rows AS (
+        SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN [words[(CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1)::INT] FOR i IN range(0, n)] ELSE words END AS words FROM steps
+    ), spots AS (
+        SELECT doc_id, i, words[i + 1] AS word FROM (SELECT doc_id, words, unnest(range(0, n)) AS i FROM rows)
+    ), pairs AS (
+        SELECT x.doc_id, x.i, y.i - x.i AS q FROM spots x JOIN spots y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i
+    ), stretches AS (
+        SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (
+            SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs
+        ) GROUP BY doc_id, q, island HAVING count(*) >= q AND count(*) + q >= {periods.LEAST_WORDS}
+    ), runs AS (
+        SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY ALL
+    ), listed AS (
+        SELECT doc_id, count(*) AS n_runs, min({{'l': -length, 's': start, 'p': period}}) AS best,
+            string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+        FROM runs GROUP BY doc_id
+    ), gone AS (
+        SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+    ), kept AS (
+        SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS words FROM spots ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+    )
+    SELECT r.doc_id, coalesce(l.n_runs, 0)::BIGINT AS n_runs, l.best.s::BIGINT AS start, (-l.best.l)::BIGINT AS length, l.best.p::BIGINT AS period,
+        (1000 * -l.best.l // l.best.p)::BIGINT AS exponent_milli, sha256(coalesce(l.lines, '')) AS runs_sha256, sha256(coalesce(k.words, '')) AS collapsed_sha256
+    FROM rows r LEFT JOIN listed l ON r.doc_id = l.doc_id LEFT JOIN kept k ON r.doc_id = k.doc_id
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(with_periods(documents(spark, sf_dir)))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.array_join(lines, "").alias("lines"), "text")
+    return found.select(
+        "doc_id",
+        "n_runs",
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("-1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+@query(
+    "op13_decontaminated",
+    rf"""
+    WITH items AS (
+        SELECT item_id, regexp_extract_all(translate(text, '{decontaminate.UPPER}', '{decontaminate.LOWER}'), '{decontaminate.ITEM_PATTERN}') AS words FROM benchmark
+    ), windows AS (
+        SELECT DISTINCT item_id, m, array_to_string(words[s:s + m - 1], ' ') AS line FROM (
+            SELECT *, unnest(range(1, len(words) - m + 2)) AS s FROM (SELECT *, least(len(words), {decontaminate.WINDOW_WORDS}) AS m FROM items WHERE len(words) > 0)
+        )
+    ), rows AS (
+        SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{decontaminate.UPPER}', '{decontaminate.LOWER}'), '{decontaminate.ITEM_PATTERN}'), []) AS words FROM documents
+    ), places AS (
+        SELECT doc_id, m, s, array_to_string(words[s:s + m - 1], ' ') AS line FROM (
+            SELECT *, unnest(range(1, len(words) - m + 2)) AS s FROM rows, (SELECT DISTINCT m FROM windows)
+        )
+    ), found AS (
+        SELECT p.doc_id, p.m, p.s, w.item_id FROM places p JOIN windows w ON p.m = w.m AND p.line = w.line
+    ), hit AS (
+        SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + m)) AS i FROM found) GROUP BY doc_id
+    ), named AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id
+    )
+    SELECT r.doc_id, len(r.words)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(n.n_items, 0)::BIGINT AS n_items,
+        sha256(coalesce(n.items, '')) AS items_sha256, h.n_hit IS NOT NULL AS contaminated
+    FROM rows r LEFT JOIN hit h ON r.doc_id = h.doc_id LEFT JOIN named n ON r.doc_id = n.doc_id
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
