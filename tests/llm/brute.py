@@ -116,3 +116,68 @@ def linked_vectors(rows, cosine: float):
     count = Counter(x for link in links for x in link)
     found = groups([i for i, _ in rows], links)
     return {i: (count[i], found[i]) for i, _ in rows}
+
+
+def frequent_phrases(rows, least: int, longest: int) -> dict:
+    """(lang, words) -> occurrences of every phrase inside pieces, and lang -> words."""
+    seen, total = Counter(), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(words)
+            for k in range(1, longest + 1):
+                seen.update((lang, tuple(words[s : s + k])) for s in range(len(words) - k + 1))
+    return seen, total
+
+
+def best_phrases(rows, least: int, longest: int, reported: int):
+    """(lang, rank, phrase, a, l, r, n, score), in order."""
+    seen, total = frequent_phrases(rows, least, longest)
+    often = {k: a for k, a in seen.items() if a >= least and len(k[1]) > 1}
+    out = []
+    for (lang, words), a in often.items():
+        cuts = []
+        for c in range(1, len(words)):
+            left, right = seen[lang, words[:c]], seen[lang, words[c:]]
+            cuts.append((2000000 * a // (left + right), c, left, right))
+        score, _, left, right = min(cuts)
+        longer = [b for (other, w), b in often.items() if other == lang and len(w) > len(words) and any(w[s : s + len(words)] == words for s in range(len(w)))]
+        if not any(100 * b >= 80 * a for b in longer):
+            out.append((lang, -score, -a, " ".join(words).encode(), left, right))
+    ranked, place = [], Counter()
+    for lang, score, a, phrase, left, right in sorted(out):
+        place[lang] += 1
+        if place[lang] <= reported:
+            ranked.append((lang, place[lang], phrase.decode(), -a, left, right, total[lang], -score))
+    return ranked
+
+
+def word_runs(words, least: int):
+    """(start, length, period) of all maximal repetitions, by start and period."""
+    found, n = {}, len(words)
+    for q in range(1, n // 2 + 1):
+        start = 0
+        while start + q < n:
+            end = start
+            while end + q < n and words[end] == words[end + q]:
+                end += 1
+            if end - start >= q and end - start + q >= least:
+                found.setdefault((start, end - start + q), q)
+            start = max(end, start + 1)
+    return sorted(((s, size, q) for (s, size), q in found.items()), key=lambda x: (x[0], x[2]))
+
+
+def item_windows(text, items, window: int):
+    """(words, hit places, item ids) of one document."""
+    plain_words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    words, hit, names = plain_words(text), set(), set()
+    for item, line in items:
+        line = plain_words(line)
+        m = min(window, len(line))
+        some = {tuple(line[s : s + m]) for s in range(len(line) - m + 1)} if m else set()
+        for s in range(len(words) - m + 1):
+            if tuple(words[s : s + m]) in some:
+                hit |= set(range(s, s + m))
+                names.add(item)
+    return words, hit, names - {None}

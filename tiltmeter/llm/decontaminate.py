@@ -116,9 +116,9 @@ def shards(items: DataFrame, window: int, id_col: str, text_col: str, shard_word
     total = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
     buckets = max(1, -(-16 * total // shard_words))
     bucket = F.pmod("key", F.lit(buckets))
-    sizes = pieces.groupBy(bucket.alias("b")).agg(F.sum(F.size("words")).alias("n")).orderBy("b")
+    sizes = pieces.groupBy(bucket.alias("b")).agg(F.sum(F.size("words")).alias("n")).orderBy("b").collect()
     runs, held = [], 0
-    for b, n in sizes.toLocalIterator():
+    for b, n in sizes:
         if not runs or held + n > shard_words:
             runs.append([b, b])
             held = 0
