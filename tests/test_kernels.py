@@ -7,10 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tiltmeter.functions.quantmath import IntFormat
+from tiltmeter.operators import factors
 from tiltmeter.operators import gram as G
 from tiltmeter.operators import quantize as Q
 from tiltmeter.operators import ranges as N
 from tiltmeter.operators import reduce as R
+from tiltmeter.operators.factors import inverse_factors
 
 RNG = np.random.default_rng(7)
 
@@ -32,7 +34,7 @@ def test_error_feedback_column_by_column(spark):
     w, x = RNG.normal(size=(6, 8)), RNG.normal(size=(40, 8))
     x[:, 5] = 0
     table = spark.createDataFrame([(i // 10, [float(v) for v in r]) for i, r in enumerate(x)], "batch long, x array<double>")
-    factor = G.inverse_factor(G.pitched_hessian(table, "batch"), by_diagonal=True)
+    factor = inverse_factors(G.pitched_hessian(table, "batch"), by_diagonal=True, tile=3)
     got = {r["row_id"]: r for r in G.error_feedback(matrix_table(spark, w), factor, IntFormat(4), 4, block=3, rows_per_block=4).collect()}
 
     h = 2 / 4 * x.T @ x
@@ -63,6 +65,70 @@ def test_error_feedback_column_by_column(spark):
         assert got[row]["loss"] == pytest.approx(loss)
 
 
+def plain_factor(h, by_diagonal):
+    h = h.copy()
+    dead = np.diag(h) == 0
+    h[dead, dead] = 1
+    order = np.argsort(-np.diag(h), kind="stable") if by_diagonal else np.arange(len(h))
+    h = h[order][:, order]
+    h += np.eye(len(h)) * 0.01 * np.diag(h).mean()
+    return order, dead, np.linalg.cholesky(np.linalg.inv(h)).T
+
+
+@pytest.mark.parametrize("tile", [1, 4, 7, 64])
+@pytest.mark.parametrize("by_diagonal", [False, True])
+def test_factors_of_many_matrices(spark, tile, by_diagonal):
+    """Of different widths, with dead columns and a NULL key, in tile rows of any height."""
+    given, rows = {}, []
+    for key, width in (("a", 10), ("b", 3), (None, 7), ("c", 1)):
+        x = RNG.normal(size=(30, width))
+        x[:, width // 2] *= key != "a"
+        given[key] = x.T @ x
+        rows += [(key, i, [float(v) for v in r]) for i, r in enumerate(given[key])]
+    table = spark.createDataFrame(rows, "m string, i int, h array<double>").repartition(3)
+    got = inverse_factors(table, by_diagonal=by_diagonal, keys=["m"], tile=tile).collect()
+    for key, h in given.items():
+        order, dead, upper = plain_factor(h, by_diagonal)
+        mine = sorted((r for r in got if r.m == key), key=lambda r: r.i)
+        assert [r.i for r in mine] == list(range(len(h))) and [r.column for r in mine] == order.tolist()
+        assert [r.dead for r in mine] == dead[order].tolist()
+        assert np.array([r.h for r in mine]) == pytest.approx(upper, abs=1e-9)
+
+
+def test_factor_tile_rows_are_bounded(spark):
+    """No record holds more than a tile row of one matrix."""
+    h = RNG.normal(size=(60, 40))
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(h.T @ h)], "i int, h array<double>")
+    orders = factors.column_orders(table, 0.01, False, [])
+    tiles = factors.tile_rows(table, orders, [], 8)
+    assert [r.n for r in tiles.select(F.size("rows").alias("n")).collect()] == [8] * 5
+    sizes = factors.inverse_rows(tiles, [], 8).select(F.octet_length("x").alias("n")).collect()
+    assert [r.n for r in sizes] == [8 * 40 * 8] * 5
+
+
+def test_no_matrices(spark):
+    assert inverse_factors(spark.createDataFrame([], "m string, i int, h array<double>"), keys=["m"]).count() == 0
+
+
+def test_error_feedback_by_matrix(spark):
+    """Each matrix of its own, as the same rows alone."""
+    tables = []
+    for key in ("a", "b"):
+        w, x = RNG.normal(size=(5, 8)), RNG.normal(size=(40, 8))
+        weights = matrix_table(spark, w).withColumn("m", F.lit(key))
+        acts = spark.createDataFrame([(key, i // 10, [float(v) for v in r]) for i, r in enumerate(x)], "m string, batch long, x array<double>")
+        tables.append((weights, acts))
+    def run(weights, acts):
+        factor = inverse_factors(G.pitched_hessian(acts, "batch", keys=["m"]), keys=["m"], tile=4)
+        return {(r.m, r.row_id): (r.loss, *r.snapped) for r in G.error_feedback(weights, factor, IntFormat(4), 4, keys=["m"], rows_per_block=3).collect()}
+
+    both = run(tables[0][0].union(tables[1][0]), tables[0][1].union(tables[1][1]))
+    alone = run(*tables[0]) | run(*tables[1])
+    assert both.keys() == alone.keys() and len(both) == 10
+    for key, value in alone.items():
+        assert both[key] == pytest.approx(value)
+
+
 def test_gram_over_many_tasks(spark):
     x = RNG.normal(size=(100, 5))
     rows = G.gram(matrix_table(spark, x, "x").repartition(7)).orderBy("i").collect()

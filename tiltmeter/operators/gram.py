@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tiltmeter.functions.quantmath import IntFormat
-from tiltmeter.operators.ordered import attach
+from tiltmeter.operators.factors import by_keys
 from tiltmeter.operators.quantize import group_rows, quantise, quantise_input_columns
 from tiltmeter.operators.ranges import grid_params, grid_snap
 from tiltmeter.session import settle
@@ -68,12 +68,11 @@ def gram(activations: DataFrame, values: str = "x", keys: Sequence[str] = ()) ->
     return parts.groupBy(*keys, "i").applyInPandas(lambda pdf: add_up(pdf), schema)
 
 
-def pitched_hessian(activations: DataFrame, batch: str, values: str = "x") -> DataFrame:
-    """2/N Σ x xᵀ with N batches: where the running mean over batches ends up."""
-    batches = activations.agg(F.count_distinct(batch).alias("_n"))
-    return attach(gram(activations, values), batches).select(
-        "i", F.transform("h", lambda v: v * 2 / F.col("_n")).alias("h")
-    )
+def pitched_hessian(activations: DataFrame, batch: str, values: str = "x", keys: Sequence[str] = ()) -> DataFrame:
+    """2/N Σ x xᵀ with N batches: where the running mean over batches ends up. One matrix per key."""
+    batches = activations.groupBy(*keys).agg(F.count_distinct(batch).alias("_n"))
+    counted = by_keys(gram(activations, values, keys), batches, keys)
+    return counted.select(*keys, "i", F.transform("h", lambda v: v * 2 / F.col("_n")).alias("h"))
 
 
 def with_matrix(
@@ -90,12 +89,7 @@ def with_matrix(
     blocks = weights.withColumn("_block", F.floor(F.col(row) / rows_per_block).cast("bigint"))
     # One copy per block that there is, however far apart the ids lie.
     there = blocks.select(*[F.col(k).alias(k) for k in keys], F.col("_block").alias("_at")).distinct()
-    if keys:
-        copies = there.join(matrix.select(*keys, "i", "h"), keys)
-    else:
-        whole = matrix.agg(F.collect_list(F.struct("i", "h")).alias("_m"))
-        copies = attach(there, whole).select("_at", F.inline("_m"))
-    copies = copies.withColumnRenamed("_at", "_block")
+    copies = by_keys(matrix.select(*keys, "i", "h"), there, keys).withColumnRenamed("_at", "_block")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
@@ -110,42 +104,6 @@ def with_matrix(
 
 # --- column-by-column quantisation with error feedback -------------------------------------------
 
-def inverse_factor(hessian: DataFrame, damping: float = 0.01, by_diagonal: bool = False) -> DataFrame:
-    """Upper Cholesky factor of the damped inverse, with the order in which columns are treated.
-
-    One dense factorisation of a d × d matrix, done once per weight matrix.
-    Rows: i (place in the order), column, dead, h ARRAY.
-    """
-    schema = T.StructType(
-        [
-            T.StructField("i", T.IntegerType()),
-            T.StructField("column", T.IntegerType()),
-            T.StructField("dead", T.BooleanType()),
-            T.StructField("h", T.ArrayType(T.DoubleType())),
-        ]
-    )
-
-    def factor(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = np.stack([np.asarray(r, dtype="float64") for r in pdf.sort_values("i")["h"]])
-        dead = np.diag(h) == 0
-        h[dead, dead] = 1
-        order = np.argsort(-np.diag(h), kind="stable") if by_diagonal else np.arange(len(h))
-        h = h[np.ix_(order, order)]
-        h += np.eye(len(h)) * damping * np.diag(h).mean()
-        inverse = np.linalg.inv(h)
-        upper = np.linalg.cholesky((inverse + inverse.T) / 2).T
-        return pd.DataFrame(
-            {
-                "i": np.arange(len(h), dtype="int32"),
-                "column": order.astype("int32"),
-                "dead": dead[order],
-                "h": [row.tolist() for row in upper],
-            }
-        )
-
-    return hessian.withColumn("_m", F.lit(0)).groupBy("_m").applyInPandas(lambda pdf: factor(pdf), schema)
-
-
 UPDATED = T.StructType(
     [
         T.StructField("row_id", T.LongType()),
@@ -157,13 +115,21 @@ UPDATED = T.StructType(
 
 
 def error_feedback(
-    weights: DataFrame, factor: DataFrame, fmt: IntFormat, group: int, block: int = 128, rows_per_block: int = BLOCK_ROWS
+    weights: DataFrame,
+    factor: DataFrame,
+    fmt: IntFormat,
+    group: int,
+    block: int = 128,
+    rows_per_block: int = BLOCK_ROWS,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Quantise column by column: a column is its weights less the errors of all columns before it times the factor.
 
-    Group ranges are taken from the weights corrected by the finished column blocks only.
+    Group ranges are taken from the weights corrected by the finished column blocks only. ``factor`` is that of
+    :func:`tiltmeter.operators.factors.inverse_factors`, one matrix per key.
     """
     packed = factor.select(
+        *keys,
         "i",
         F.concat(F.array(F.col("column").cast("double"), F.col("dead").cast("int").cast("double")), "h").alias("h"),
     )
@@ -194,7 +160,7 @@ def error_feedback(
             }
         )
 
-    return with_matrix(weights.select("row_id", "w"), packed, update, UPDATED, "row_id", rows_per_block)
+    return with_matrix(weights.select(*keys, "row_id", "w"), packed, update, UPDATED, "row_id", rows_per_block, keys)
 
 
 # --- grids judged by the layer output --------------------------------------------------------

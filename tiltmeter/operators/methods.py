@@ -14,6 +14,7 @@ from tiltmeter.functions.quantmath import IntFormat
 from tiltmeter.operators import gram as G
 from tiltmeter.operators import quantize as Q
 from tiltmeter.operators import ranges as N
+from tiltmeter.operators.factors import inverse_factors
 from tiltmeter.operators.ordered import attach
 
 # Bit widths tried when a method is named without one, and the width of an id without a suffix (fixed values).
@@ -122,7 +123,7 @@ def _round_to_nearest(weights, activations, fmt, group):
 
 @method("gptq")
 def _error_feedback(weights, activations, fmt, group):
-    factor = G.inverse_factor(G.pitched_hessian(activations, "batch"))
+    factor = inverse_factors(G.pitched_hessian(activations, "batch"))
     return G.error_feedback(weights, factor, fmt, group).select("row_id", F.col("snapped").alias("w"))
 
 

@@ -12,6 +12,7 @@ from tiltmeter.operators import methods as M
 from tiltmeter.operators import prune as U
 from tiltmeter.operators import quantize as Q
 from tiltmeter.operators import ranges as N
+from tiltmeter.operators.factors import inverse_factors
 from tiltmeter.plans import fixtures as X
 from tiltmeter.plans.registry import query, r9
 from tiltmeter.plans.sql import WEIGHTS, rnd, with_tables
@@ -532,11 +533,20 @@ def gram_by_label(spark, sf_dir):
 @query("error_feedback")
 def error_feedback(spark, sf_dir):
     weights, x = _both(spark, sf_dir)
-    factor = G.inverse_factor(G.pitched_hessian(x, "batch"), by_diagonal=True)
+    factor = inverse_factors(G.pitched_hessian(x, "batch"), by_diagonal=True)
     out = G.error_feedback(weights, factor, W4, GROUP)
     return out.select("row_id", r9("loss", 6).alias("loss"), r9(total(F.col("snapped")), 6).alias("snapped_sum"))
 
 
+@query("error_feedback_by_label")
+def error_feedback_by_label(spark, sf_dir):
+    """A matrix per label, all factored together in four tile rows each."""
+    weights, x = _both_by_label(spark, sf_dir)
+    factor = inverse_factors(G.pitched_hessian(x, "batch", keys=["label"]), by_diagonal=True, keys=["label"], tile=GROUP)
+    out = G.error_feedback(weights, factor, W4, GROUP, keys=["label"])
+    return out.select("label", "row_id", r9("loss", 6).alias("loss"), r9(total(F.col("snapped")), 6).alias("snapped_sum"))
+
+
 _CANDIDATES = f"""
 act AS (SELECT pos, avg(m) AS a FROM (SELECT row_id // 20 AS batch, pos, avg(abs(v)) AS m FROM w GROUP BY ALL) GROUP BY pos),
 rel AS (SELECT pos, avg(abs(v) / top) AS wr FROM (SELECT *, max(abs(v)) OVER (PARTITION BY row_id, pos // 16) AS top FROM w) GROUP BY pos),
