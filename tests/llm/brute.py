@@ -181,3 +181,48 @@ def item_windows(text, items, window: int):
                 hit |= set(range(s, s + m))
                 names.add(item)
     return words, hit, names - {None}
+
+
+def without_templates(rows, least: int, leading: int = 3, similarity: float = 0.7):
+    """One (removed positions) per row of (doc_id, text) with ids that do not repeat."""
+    lines = []
+    for i, text in rows:
+        for pos, line in enumerate((text or "").split("\n") if text is not None else []):
+            tidy = WORD.findall(line)
+            wild = ["<*>" if re.search("[0-9]", t) else t for t in tidy]
+            constants = lambda tokens: len(tokens) - "".join(tokens).count("<*>")
+            if tidy:
+                lines.append((i, text, pos, tuple(wild if constants(wild[:leading]) > 0 or constants(wild) > 1 else tidy)))
+    leaves = defaultdict(Counter)
+    for _, _, _, tokens in lines:
+        if len(tokens) > leading:
+            leaves[len(tokens), tokens[:leading]][tokens] += 1
+    patterns = defaultdict(set)
+    for leaf, texts in leaves.items():
+        if len(texts) < 2 or sum(texts.values()) < least:
+            continue
+        often = Counter()
+        for tokens, n in texts.items():
+            for spot in enumerate(tokens):
+                often[spot] += n
+        for tokens in texts:
+            degree = {spot: int(math.log2(often[spot] / least)) for spot in enumerate(tokens) if often[spot] >= least}
+            for bound in set(degree.values()):
+                kept = tuple(s for s, d in degree.items() if d >= bound)
+                further = [s for s, t in kept if s >= leading and t != "<*>"]
+                if further and similarity * len(tokens) <= len(kept) < len(tokens):
+                    patterns[tokens].add((leaf, kept))
+    holders = defaultdict(set)
+    for i, text, _, tokens in lines:
+        for key in (tokens, *patterns[tokens]):
+            holders[key].add((i is None, i or 0, i, text))
+    gone = defaultdict(set)
+    for i, text, pos, tokens in lines:
+        for key in (tokens, *patterns[tokens]):
+            named = sorted(h for h in holders[key] if not h[0])
+            common, whole = len(named) >= least, key is tokens
+            if not named or i == named[0][2]:
+                continue
+            if common or (whole and len({h[3] for h in named}) > 1 and len(named) > 1 and text != named[0][3]):
+                gone[i, text].add(pos)
+    return [gone[i, text] for i, text in rows]

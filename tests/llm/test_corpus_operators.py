@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from brute import exact_groups, linked_vectors, near_groups, source_targets, without_passages, without_substrings
+from brute import exact_groups, linked_vectors, near_groups, source_targets, without_passages, without_substrings, without_templates
 
 from tiltmeter.llm import byte_gru, chosen_path, exact, mixing, packing, passages, quantised, substrings, templates
 from tiltmeter.llm.common import components
@@ -217,6 +217,23 @@ def test_template_lines(make_docs):
     assert sorted(r.n_removed for r in by_id[4]) == [1, 2]
 
 
+@pytest.mark.parametrize("least", [3, 6])
+def test_template_lines_by_brute_force(make_docs, least):
+    draw = random.Random(9)
+    words = ["the", "staff", "report", "filed", "on", "Ärger", "7", "host3", "by", "x"]
+    said = lambda: "".join(draw.choice(words) + draw.choice([" ", " ", "  ", "\t", "\r"]) for _ in range(draw.randint(1, 6)))
+    fixed = ["the report of {} was filed by {} on {}", "read more", "{} {} {}", "page {} of {} printed", "  ", "the staff <*> {} and so on we go"]
+    filled = lambda: draw.choice(fixed).format(*[draw.choice(words[1:]) + str(draw.choice(["", "", 4])) for _ in range(3)])
+    rows = [(i, "\n".join(draw.choice([said, filled])() for _ in range(draw.randint(0, 7)))) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, "\n\n"), (None, rows[0][1]), (103, rows[1][1]), (104, "the report " * 4000 + "\n" + rows[2][1])]
+    want = without_templates(rows, least)
+    kept = {r.doc_id: r for r in templates.drop_recurring_lines(make_docs(rows, extra="masked"), least_docs=least).collect()}
+    for (i, text), gone in zip(rows, want):
+        lines = text.split("\n") if text is not None else []
+        assert (kept[i].n_lines, kept[i].n_removed) == (len(lines), len(gone))
+        assert kept[i].text == (None if text is None else "\n".join(x for k, x in enumerate(lines) if k not in gone))
+
+
 def test_template_leaf_generalises(make_docs):
     names = ["amber", "beryl", "coral", "dusk", "ember", "flint"]
     rows = [(i, f"the quiet report from {name} station was filed late\n{plain(30)}") for i, name in enumerate(names)]

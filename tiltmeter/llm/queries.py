@@ -165,35 +165,43 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES_SQL = rf"""
     rows AS (
         SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents
-    ), lines AS (
-        SELECT doc_id, text_key, pos, CASE WHEN len(wild) - len(list_filter(wild, lambda t: contains(t, '{templates.WILD}'))) >= {templates.CONSTANT}::DOUBLE * len(wild) THEN wild ELSE plain END AS parts
+    ), cut AS (
+        SELECT doc_id, md5(text) AS text_key, pos, lines[pos] AS line,
+            array_to_string(regexp_extract_all(lines[pos], '[^\x20\x09-\x0D]+'), ' ') AS tidy FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS pos FROM rows)
+    ), fields AS (
+        SELECT *, regexp_replace(tidy, '[^\x20]*[0-9][^\x20]*', '{templates.WILD}', 'g') AS wild FROM cut WHERE tidy <> ''
+    ), counted AS (
+        SELECT *, array_to_string(string_split(wild, ' ')[1:{templates.LEADING}], ' ') AS head FROM fields
+    ), masked AS (
+        SELECT doc_id, text_key, pos, string_split(line, ' ') AS parts, line, len(string_split(line, ' ')) || chr(10) || array_to_string(string_split(line, ' ')[1:{templates.LEADING}], ' ') AS leaf
         FROM (
-            SELECT doc_id, md5(text) AS text_key, pos, regexp_extract_all(lines[pos], '[^\x20\x09-\x0D]+') AS plain,
-                regexp_extract_all(regexp_replace(lines[pos], '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '{templates.WILD}', 'g'), '[^\x20\x09-\x0D]+') AS wild
-            FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS pos FROM rows)
+            SELECT doc_id, text_key, pos, CASE WHEN len(string_split(head, ' ')) > (length(head) - length(replace(head, '{templates.WILD}', ''))) // {len(templates.WILD)}
+                OR len(string_split(wild, ' ')) > 1 + (length(wild) - length(replace(wild, '{templates.WILD}', ''))) // {len(templates.WILD)} THEN wild ELSE tidy END AS line FROM counted
         )
-    ), masked AS (
-        SELECT *, array_to_string(parts, ' ') AS line, len(parts)::VARCHAR || chr(10) || array_to_string(parts[1:{templates.LEADING}], ' ') AS leaf
-        FROM lines WHERE len(parts) >= {templates.LEAST_TOKENS}
     ), texts AS (
-        SELECT leaf, line, parts, count(*) AS n FROM masked
-        WHERE len(parts) BETWEEN {templates.LEADING + 1} AND {templates.RECORD_TOKENS} GROUP BY ALL
+        SELECT leaf, line, parts, count(*) AS n FROM masked WHERE len(parts) > {templates.LEADING} GROUP BY ALL
     ), mixed AS (
         SELECT leaf FROM texts GROUP BY leaf HAVING count(*) > 1 AND sum(n) >= {templates.LEAST_DOCS}
     ), spots AS (
-        SELECT leaf, len(parts) AS tokens, unnest(range(1, len(parts) + 1)) AS spot, unnest(parts) AS token FROM texts SEMI JOIN mixed USING (leaf)
-    ), agree AS (
-        SELECT leaf, tokens, spot, min(token) = max(token) AS same FROM spots GROUP BY ALL
-    ), leaves AS (
-        SELECT leaf FROM agree GROUP BY leaf, tokens HAVING sum(same::INT) >= {templates.SIMILARITY}::DOUBLE * tokens
+        SELECT leaf, line, n, len(parts) AS tokens, unnest(range(1, len(parts) + 1)) AS spot, unnest(parts) AS token FROM texts SEMI JOIN mixed USING (leaf)
+    ), frequent AS (
+        SELECT leaf, spot, token, floor(ln(sum(n) / {templates.LEAST_DOCS}.0::DOUBLE) / ln(2.0::DOUBLE)) AS degree FROM spots GROUP BY ALL HAVING sum(n) >= {templates.LEAST_DOCS}
+    ), held AS (
+        SELECT leaf, line, tokens, spot, token, degree FROM spots JOIN frequent USING (leaf, spot, token)
+    ), patterns AS (
+        SELECT l.leaf, l.line, string_agg(h.spot || ' ' || h.token, chr(10) ORDER BY h.spot) AS pattern
+        FROM (SELECT DISTINCT leaf, line, degree FROM held) l JOIN held h ON l.leaf = h.leaf AND l.line = h.line AND h.degree >= l.degree
+        GROUP BY l.leaf, l.line, l.degree, h.tokens
+        HAVING count(*) FILTER (h.spot > {templates.LEADING} AND h.token <> '{templates.WILD}') > 0 AND count(*) >= {templates.SIMILARITY}::DOUBLE * h.tokens AND count(*) < h.tokens
     ), keyed AS (
-        SELECT m.doc_id, m.text_key, m.pos, CASE WHEN l.leaf IS NULL THEN 'line ' || m.line ELSE 'leaf ' || m.leaf END AS template
-        FROM masked m LEFT JOIN leaves l ON m.leaf = l.leaf AND len(m.parts) <= {templates.RECORD_TOKENS}
+        SELECT doc_id, text_key, pos, true AS whole, line AS template FROM masked
+        UNION ALL SELECT m.doc_id, m.text_key, m.pos, false, p.leaf || chr(10) || p.pattern FROM masked m JOIN patterns p ON m.leaf = p.leaf AND m.line = p.line
     ), often AS (
-        SELECT template, min(doc_id) AS first_doc FROM keyed GROUP BY template HAVING count(DISTINCT doc_id) >= {templates.LEAST_DOCS}
+        SELECT whole, template, count(DISTINCT doc_id) >= {templates.LEAST_DOCS} AS common, min(doc_id) AS first_doc, arg_min(text_key, doc_id) AS first_text FROM keyed GROUP BY ALL
+        HAVING count(DISTINCT doc_id) >= {templates.LEAST_DOCS} OR (whole AND count(DISTINCT doc_id) >= {templates.WHOLE_DOCS} AND min(text_key) < max(text_key))
     ), gone AS (
-        SELECT k.doc_id, k.text_key, list(DISTINCT k.pos) AS positions FROM keyed k JOIN often o ON k.template = o.template
-        WHERE k.doc_id IS DISTINCT FROM o.first_doc GROUP BY ALL
+        SELECT k.doc_id, k.text_key, list(DISTINCT k.pos) AS positions FROM keyed k JOIN often o ON k.template = o.template AND k.whole = o.whole
+        WHERE k.doc_id IS DISTINCT FROM o.first_doc AND (o.common OR k.text_key <> o.first_text) GROUP BY ALL
     )"""
 
 
