@@ -41,7 +41,7 @@ def test_phrases_with_a_full_filter(make_docs, monkeypatch):
 
 
 def test_border_failures_are_found(spark, make_docs):
-    docs = make_docs([(1, "a b c. " * 50)]).select("text", "lang").fillna({"lang": "en"})
+    docs = make_docs([(1, "a b c. " * 50)]).selectExpr("text", "'en' as lang", "7 as bucket")
     none = spark.sparkContext.broadcast(np.zeros(1 << 11, np.uint8))
     frequent = phrases.counts(docs, 4, lambda grams: phrases.chosen(grams, phrases.Filter(none.value)), 30)
     assert sorted(r.n for r in frequent.collect()) == [50, 50, 50]

@@ -10,7 +10,8 @@
    the set: by induction over the length, both parts of a frequent phrase are counted by then.
 4. Scores. The frequent phrases get back their words in one more pass; cuts, containment and ranks are joins.
 
-Phrases travel as two 64-bit fingerprints (of the words and the language) with a count, added up before every shuffle.
+Phrases travel as a fingerprint of 96 bits (of the words and the language) with a count, added up before every shuffle,
+and with the bucket of a document that holds them: only documents of that bucket spell the phrase out in the last pass.
 """
 
 from __future__ import annotations
@@ -45,7 +46,9 @@ _BREAK = np.zeros(256, dtype=bool)
 _BREAK[list(b".,;:!?") + list(range(0x0A, 0x0E))] = True
 _BETWEEN = _BREAK.copy()
 _BETWEEN[[0x20, 0x09]] = True
-COUNTS = "h1 long, h2 long, n long"
+COUNTS = "h1 long, h2 int, bucket int, n long"
+#: Documents fall into so many buckets by their text.
+BUCKETS = 1 << 16
 
 
 class Coder:
@@ -69,23 +72,31 @@ class Coder:
         return spans, list(zip(keys[0], keys[1], fits))
 
 
+def probes(size: int) -> tuple[int, ...]:
+    """Where the places of a fingerprint in a filter of 2**size bits start, counted from its lowest bit."""
+    return 0, 13, 26, 64 - size
+
+
 class Filter:
-    """A set of fingerprints with false members: two bits each, the lowest and the highest of ``h1``."""
+    """A set of fingerprints with false members: four bits each."""
 
     def __init__(self, bits: np.ndarray) -> None:
         self.bits = bits
         self.size = int(len(bits) * 8).bit_length() - 1
 
     def has(self, h1: np.ndarray, where: np.ndarray) -> np.ndarray:
-        some = np.flatnonzero(where)
-        some = some[self._set(h1[some] & np.uint64((1 << self.size) - 1))]
-        some = some[self._set(h1[some] >> np.uint64(64 - self.size))]
+        some, mask = np.flatnonzero(where), np.uint64((1 << self.size) - 1)
+        for shift in probes(self.size):
+            at = (h1[some] >> np.uint64(shift)) & mask
+            some = some[((self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1) > 0]
         out = np.zeros(len(h1), dtype=bool)
         out[some] = True
         return out
 
-    def _set(self, at: np.ndarray) -> np.ndarray:
-        return ((self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1) > 0
+
+def in_bucket(h1: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """The fingerprint of a phrase and a bucket: the number of the bucket four times over it."""
+    return h1 ^ (bucket.astype(np.uint64) * np.uint64(0x0001000100010001))
 
 
 def lang_hash(lang: str | None) -> int:
@@ -93,14 +104,14 @@ def lang_hash(lang: str | None) -> int:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], coder: Coder):
-    """(langs by row, word spans, data, phrases by length) for blocks of the rows (text, lang)."""
+    """(langs and buckets by row, word spans, data, phrases by length) for blocks of the rows (text, lang, bucket)."""
     for batch in batches:
-        langs = batch.column(1).to_pylist()
+        langs, buckets = batch.column(1).to_pylist(), batch.column(2).to_numpy()
         hashes = {lang: lang_hash(lang) for lang in set(langs)}
         of_row = np.array([hashes[lang] for lang in langs], dtype=np.uint64)
         for first, end, data, bounds in byte_blocks(batch.column(0)):
             spans, grams = coder.of(data, bounds, of_row[first:end])
-            yield langs[first:end], spans, data, grams
+            yield (langs[first:end], buckets[first:end]), spans, data, grams
 
 
 def chosen(grams, held: Filter, known: Filter | None = None) -> Iterator[np.ndarray]:
@@ -118,39 +129,43 @@ def chosen(grams, held: Filter, known: Filter | None = None) -> Iterator[np.ndar
 
 
 def counts(rows: DataFrame, longest: int, pick: Callable, least: int) -> DataFrame:
-    """h1, h2, n of the picked phrases that occur at least ``least`` times; in the shared folder."""
+    """h1, h2, bucket, n of the picked phrases that occur at least ``least`` times; in the shared folder."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, held, total = Coder(longest), [], 0
-        for _, _, _, grams in blocks(batches, coder):
+        for (_, buckets), (_, _, row), _, grams in blocks(batches, coder):
             for (h1, h2, _), mask in zip(grams, pick(grams)):
-                if mask.any():
-                    held.append((h1[mask], h2[mask]))
-                    total += len(held[-1][0])
+                at = np.flatnonzero(mask)
+                if len(at):
+                    held.append((h1[at], as_long(h2[at]).astype(np.int32), buckets[row[at]]))
+                    total += len(at)
             if total >= HELD_ROWS:
                 yield _added_up(held)
                 held, total = [], 0
         if held:
             yield _added_up(held)
 
-    found = rows.mapInArrow(count, COUNTS).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+    found = rows.mapInArrow(count, COUNTS).groupBy("h1", "h2").agg(F.min("bucket").alias("bucket"), F.sum("n").alias("n"))
     return written(found.where(F.col("n") >= least))
 
 
 def _added_up(held) -> pa.RecordBatch:
-    h1, h2 = (np.concatenate([pair[i] for pair in held]) for i in (0, 1))
+    h1, h2, bucket = (np.concatenate([part[i] for part in held]) for i in range(3))
     order = np.argsort(h1)
-    h1, h2 = h1[order], h2[order]
+    h1, h2, bucket = h1[order], h2[order], bucket[order]
     head = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-    n = np.diff(np.r_[head, len(h1)])
-    return pa.RecordBatch.from_arrays([pa.array(as_long(h1[head])), pa.array(as_long(h2[head])), pa.array(n)], names=["h1", "h2", "n"])
+    n, low = np.diff(np.r_[head, len(h1)]), np.minimum.reduceat(bucket, head)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (as_long(h1[head]), h2[head], low, n)], names=["h1", "h2", "bucket", "n"])
 
 
-def filter_bits(phrases: DataFrame) -> np.ndarray:
-    """The filter of a table of phrases; the bits are put together in Spark, by words of 64."""
+def filter_bits(phrases: DataFrame, by_bucket: bool = False) -> np.ndarray:
+    """The filter of a table of phrases, or of phrases in their buckets; put together in Spark, by words of 64 bits."""
     wanted = FILTER_BITS * max(1 << 10, phrases.count())
     size = min(MOST_FILTER_BITS, 1 << (wanted - 1).bit_length()).bit_length() - 1
-    places = F.array(F.col("h1").bitwiseAND(F.lit((1 << size) - 1)), F.shiftrightunsigned("h1", 64 - size))
+    key = F.col("h1")
+    for shift in (0, 16, 32, 48) if by_bucket else ():
+        key = key.bitwiseXOR(F.shiftleft(F.col("bucket").cast("long"), shift))
+    places = F.array(*[F.shiftrightunsigned(key, shift).bitwiseAND(F.lit((1 << size) - 1)) for shift in probes(size)])
     at = phrases.select(F.explode(places).alias("at"))
     words = at.groupBy(F.shiftright("at", 6).alias("slot")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits"))
     found = words.toArrow()
@@ -169,7 +184,7 @@ def frequent_phrases(rows: DataFrame, least: int, longest: int, one_in: int) ->
     """h1, h2, n of every phrase of at most ``longest`` words that occurs at least ``least`` times in its language; and the
     bits of their filter."""
     share = rows.sparkSession.sparkContext.broadcast
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0)
+    sample = rows.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(one_in)) == 0)
     bound, proposed, held = lowered_bound(least, one_in), None, None
     for level in range(longest):
 
@@ -203,32 +218,31 @@ def border_failures(frequent: DataFrame, held: Broadcast) -> DataFrame:
     return frequent.mapInArrow(missed, COUNTS)
 
 
-def phrase_texts(rows: DataFrame, longest: int, known: Broadcast) -> DataFrame:
-    """h1, h2, lang, phrase of the phrases in the filter, once per task; and per block lang and n, its words."""
+def phrase_texts(rows: DataFrame, longest: int, frequent: DataFrame, known: Broadcast) -> DataFrame:
+    """h1, h2, lang, phrase of the frequent phrases (and some others), and lang and n, its words, once per block."""
+    spelt = rows.sparkSession.sparkContext.broadcast(filter_bits(frequent, by_bucket=True))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, frequent, seen = Coder(longest), Filter(known.value), np.empty(0, dtype=np.uint64)
-        for langs, (start, end, row), data, grams in blocks(batches, coder):
+        coder, frequent, here = Coder(longest), Filter(known.value), Filter(spelt.value)
+        for (langs, buckets), (start, end, row), data, grams in blocks(batches, coder):
             raw, out = lowered(data).tobytes(), []
             words = dict.fromkeys(langs, 0)
             for lang, n in zip(langs, np.bincount(row, minlength=len(langs)).tolist()):
                 words[lang] += n
             for k, (h1, h2, fits) in enumerate(grams):
-                at = np.flatnonzero(frequent.has(h1, fits))
+                fits = frequent.has(h1, fits)
+                at = np.flatnonzero(here.has(in_bucket(h1, buckets[row[: len(h1)]]), fits))
                 at = at[np.unique(h1[at], return_index=True)[1]]
-                if len(seen):
-                    at = at[seen[np.minimum(np.searchsorted(seen, h1[at]), len(seen) - 1)] != h1[at]]
-                seen = np.union1d(seen, h1[at])
                 pieces = [b" ".join(raw[a:b].split()) for a, b in zip(start[at].tolist(), end[at + k].tolist())]
-                out.append((h1[at], h2[at], [langs[r] for r in row[at].tolist()], pieces))
-            h1, h2 = (np.r_[as_long(np.concatenate([o[i] for o in out])), np.zeros(len(words), np.int64)] for i in (0, 1))
+                out.append((as_long(h1[at]), as_long(h2[at]).astype(np.int32), [langs[r] for r in row[at].tolist()], pieces))
+            h1, h2 = (np.concatenate([*[o[i] for o in out], np.zeros(len(words), kind)]) for i, kind in ((0, np.int64), (1, np.int32)))
             names, pieces = ([x for o in out for x in o[i]] for i in (2, 3))
             columns = [pa.array(h1), pa.array(h2), pa.array([*names, *words], pa.string())]
             columns.append(pa.array([*pieces, *[None] * len(words)], pa.binary()).cast(pa.string()))
             columns.append(pa.array([*[None] * len(pieces), *words.values()], pa.int64()))
             yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "lang", "phrase", "n"])
 
-    return written(rows.mapInArrow(texts, "h1 long, h2 long, lang string, phrase string, n long"))
+    return written(rows.mapInArrow(texts, "h1 long, h2 int, lang string, phrase string, n long"))
 
 
 def mine_phrases(
@@ -254,11 +268,12 @@ def mine_phrases(
     short_batches(docs.sparkSession)
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN_LANG))
     rows = docs.select(text_column(docs, text_col).alias("text"), lang.alias("lang"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("text"), F.lit(BUCKETS)).cast("int"))
     frequent, known = frequent_phrases(rows, least, longest, one_in)
-    texts = phrase_texts(rows, longest, known)
+    texts = phrase_texts(rows, longest, frequent, known)
     words = texts.where("phrase is null").groupBy("lang").agg(F.sum("n").alias("n"))
     named = texts.where("phrase is not null").select("h1", "h2", "lang", "phrase").distinct()
-    named = named.join(frequent.withColumnRenamed("n", "a"), ["h1", "h2"]).select("lang", "phrase", "a", F.split("phrase", " ").alias("words"))
+    named = named.join(frequent.select("h1", "h2", F.col("n").alias("a")), ["h1", "h2"]).select("lang", "phrase", "a", F.split("phrase", " ").alias("words"))
     return best_phrases(written(named), words, reported)
 
 
