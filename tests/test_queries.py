@@ -13,6 +13,8 @@ BY_BRUTE_FORCE = {
     "compared_methods",
     "proximal_zeros",
     "error_feedback",
+    "error_feedback_by_label",
+    "outlier_feedback",
     "farthest_point",
     "pivot_select",
     "distinct_select",

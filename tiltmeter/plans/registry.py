@@ -39,8 +39,10 @@ def load_all() -> dict[str, Query]:
         job_queries,
         kernel_queries,
         layer_queries,
+        outlier_queries,
         question_queries,
         rate_queries,
+        rotation_queries,
         sampler_queries,
         selector_queries,
         source_queries,
