@@ -42,14 +42,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more.
 
-    The smallest id of a group stays. Rows that repeat the id that stays are one document: one of them is kept, the
-    first by its columns. Rows without an id link with nothing and stay.
+    The smallest id of a group stays. Rows that share an id are told apart by their text, so only those that are near
+    duplicates of each other become one; equal rows are one document. Rows without an id link with nothing and stay.
     """
-    found = chosen_path.near_duplicates(docs, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
     docs = docs.select(*COLUMNS)
-    first = docs.join(found, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
-    first = first.select("doc_id", "row.*").select(*COLUMNS)
-    return first.unionByName(docs.where("doc_id is null"))
+    # In the order of the ids: the id, then 60 bits of its text.
+    by_text = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 4).cast("decimal(19, 0)")
+    node = (F.col("doc_id").cast("decimal(19, 0)") * F.lit(1 << 60).cast("decimal(19, 0)") + by_text).cast("decimal(38, 0)")
+    rows = docs.where("doc_id is not null").withColumn("node", node)
+    found = chosen_path.near_duplicates(rows, percent=80, id_col="node").where("kept").select(F.col("doc_id").alias("node")).distinct()
+    first = rows.join(found, "node").groupBy("node").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return first.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,3 +129,16 @@ def test_pipeline_on_no_documents(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, empty, sf_dir)
         assert out.count() == 0
+
+
+def test_near_dedup_tells_rows_of_one_id_apart(spark, sf_dir, make_docs):
+    """Different texts of one id stay, near duplicates and equal rows of it are one; rows without an id stay."""
+    words = [f"w{i}" for i in range(120)]
+    one, other = " ".join(words[:60]), " ".join(words[60:])
+    near = one + " tail"
+    rows = [(1, one), (1, other), (1, near), (1, one), (2, near), (-5, other), (3, None), (3, ""), (None, one), (None, one), (4, "short text")]
+    kept = corpus_pipeline.near_dedup(spark, make_docs(rows), sf_dir).select("doc_id", "text").collect()
+    assert sum(r.doc_id is None for r in kept) == 2
+    named = sorted((r.doc_id, r.text or "") for r in kept if r.doc_id is not None)
+    assert [i for i, _ in named if i != 3] == [-5, 1, 4] and dict(named)[-5] == other and dict(named)[1] in (one, near)
+    assert {t for i, t in named if i == 3} == {""}

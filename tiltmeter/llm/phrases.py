@@ -37,7 +37,7 @@ SAMPLE_ONE_IN = 4
 FILTER_BITS = 16
 MOST_FILTER_BITS = 1 << 28
 #: Phrase occurrences that a task adds up at once.
-HELD_ROWS = 1 << 20
+HELD_ROWS = 1 << 19
 #: Parts in which each language is ranked before the best of them are ranked together.
 RANKED_PARTS = 64
 UNKNOWN_LANG = "und"
