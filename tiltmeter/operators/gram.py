@@ -45,7 +45,8 @@ def gram(activations: DataFrame, values: str = "x", keys: Sequence[str] = ()) ->
 
         def hand_on() -> Iterator[pd.DataFrame]:
             for key, m in sums.items():
-                fixed = {k: [v] * len(m) for k, v in zip(keys, key)}
+                # pandas has NaN for the NULL key of a group.
+                fixed = {k: pd.Series([None if pd.isna(v) else v] * len(m), dtype="object") for k, v in zip(keys, key)}
                 yield pd.DataFrame({**fixed, "i": np.arange(len(m), dtype="int32"), "h": list(m)})
             sums.clear()
 
