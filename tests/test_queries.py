@@ -14,6 +14,7 @@ BY_BRUTE_FORCE = {
     "proximal_zeros",
     "error_feedback",
     "error_feedback_by_label",
+    "low_rank_keys",
     "outlier_feedback",
     "farthest_point",
     "pivot_select",

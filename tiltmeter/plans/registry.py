@@ -36,6 +36,7 @@ def r9(column: Column | str, digits: int = 9) -> Column:
 
 def load_all() -> dict[str, Query]:
     from tiltmeter.plans import (  # noqa: F401
+        cache_queries,
         grid_queries,
         job_queries,
         kernel_queries,
