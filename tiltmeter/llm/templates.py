@@ -11,16 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiltmeter.llm.common import SPACE_PATTERN, text_column, written
+from tiltmeter.llm.common import SPACE_PATTERN, WORD_PATTERN, text_column, written
 
 LEADING = 3
-#: Bounds that only the SQL still has.
-LEAST_TOKENS = 3
-RECORD_TOKENS = 24
 #: Share of positions that must be constant in a template.
 SIMILARITY = 0.7
-#: Share of a line's tokens that must not be wild; only the SQL still asks for it.
-CONSTANT = 0.5
 #: A template recurs if it stands in so many documents.
 LEAST_DOCS = 10
 #: A whole masked line recurs if it stands in so many documents of more than one text.
@@ -30,16 +25,20 @@ WILD = "<*>"
 FIELD_PATTERN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
-def masked_line(line: Column, leading: int = LEADING) -> Column:
-    """The tokens of a line joined by one space, those with a digit as a wild card. Most lines are so already.
+def masked_lines(rows: DataFrame, leading: int = LEADING) -> DataFrame:
+    """``line`` becomes ``masked``: its tokens joined by one space, those with a digit as a wild card.
 
     A row of numbers stays as it is: a line without a constant token, or with a single one behind wild leading tokens.
+    Each step is a column of its own, so that no pattern runs twice, and most lines are left as they are by the first.
     """
-    untidy = line.rlike(r"[0-9\x09\x0B-\x0D]|^\x20|\x20\x20|\x20$")
-    tidy = F.trim(F.regexp_replace(line, SPACE_PATTERN + "+", " "))
-    wild = F.regexp_replace(tidy, FIELD_PATTERN, WILD)
+    line, tidy, wild = F.col("line"), F.col("tidy"), F.col("wild")
+    spaced = line.startswith(" ") | line.endswith(" ") | line.contains("  ")
+    rows = rows.withColumn("untidy", spaced | line.rlike(r"[0-9\x09\x0B-\x0D]"))
+    rows = rows.withColumn("tidy", F.when(F.col("untidy"), F.trim(F.regexp_replace(line, SPACE_PATTERN + "+", " "))).otherwise(line)).drop("line")
+    rows = rows.withColumn("wild", F.when(F.col("untidy"), F.regexp_replace(tidy, FIELD_PATTERN, WILD)))
     record = (_constants(F.substring_index(wild, " ", leading)) > 0) | (_constants(wild) > 1)
-    return F.when(untidy, F.when(record, wild).otherwise(tidy)).otherwise(line)
+    masked = F.when(F.col("untidy"), F.when(record, wild).otherwise(tidy)).otherwise(tidy)
+    return rows.withColumn("masked", masked).drop("untidy", "tidy", "wild")
 
 
 def _constants(masked: Column) -> Column:
@@ -56,8 +55,8 @@ def line_table(docs: DataFrame, leading: int, id_col: str, text_col: str) -> Dat
     since every step below reads it."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_column(docs, text_col).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.select("doc_id", "text_key", "pos", masked_line(F.col("line"), leading).alias("masked"))
-    rows = rows.withColumn("tokens", _tokens(F.col("masked")))
+    # Blank lines go first: a condition on what is made of a line would have it made twice.
+    rows = masked_lines(rows.where(F.col("line").rlike(WORD_PATTERN[:-1])), leading).withColumn("tokens", _tokens(F.col("masked")))
     table = rows.select(
         "doc_id",
         "text_key",
@@ -68,7 +67,7 @@ def line_table(docs: DataFrame, leading: int, id_col: str, text_col: str) -> Dat
         F.xxhash64("masked").alias("k1"),
         F.xxhash64(F.lit("line"), "masked").alias("k2"),
     )
-    return written(table.where(F.col("tokens") > 0))
+    return written(table)
 
 
 def shared_patterns(lines: DataFrame, leading: int, least_docs: int, similarity: float) -> DataFrame:
