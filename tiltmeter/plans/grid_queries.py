@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tiltmeter.functions.prob import total
 from tiltmeter.functions.quantmath import IntFormat
+from tiltmeter.operators import clipping as L
 from tiltmeter.operators import gram as G
 from tiltmeter.operators import grids as N
 from tiltmeter.plans import fixtures as X
@@ -101,3 +102,11 @@ def nested_scales_by_label(spark, sf_dir):
     return out.select(
         "label", "row_id", r9("outer", 12).alias("outer_scale"), F.array_join(F.col("inner").cast("array<string>"), ",").alias("inner_scales"), codes.alias("codes"), r9("loss", 7).alias("loss")
     )
+
+
+@query("learned_clipping_by_label")
+def learned_clipping_by_label(spark, sf_dir):
+    """Ranges learned by gradient descent, ten matrices at once: the error at the start and at the end of each row."""
+    weights, x = _both_by_label(spark, sf_dir)
+    out = L.learned_clipping(weights, G.gram(x, keys=["label"]), W4, X.GROUP, ["label"])
+    return out.select("label", "row_id", r9("first_loss", 6).alias("first_loss"), r9("loss", 6).alias("loss"), r9(total(F.col("w")), 6).alias("row_sum"))
