@@ -99,23 +99,19 @@ def kurtosis_rows(weights: DataFrame, values: str = "w", keep: Sequence[str] = (
     return weights.select(*keep, V.kurtosis(F.col(values)).alias("kurtosis"))
 
 
-def cosine_summary(left: DataFrame, right: DataFrame, key: str, group: str, values: str = "x") -> DataFrame:
-    """Smallest and mean cosine of paired rows per group."""
-    pairs = left.select(key, group, F.col(values).alias("_a")).join(
-        right.select(key, F.col(values).alias("_b")), key
-    )
-    return pairs.groupBy(group).agg(
-        F.min(V.cosine(F.col("_a"), F.col("_b"))).alias("min_cos"),
-        F.avg(V.cosine(F.col("_a"), F.col("_b"))).alias("avg_cos"),
-        F.count(F.lit(1)).alias("n"),
-    )
+def paired(left: DataFrame, right: DataFrame, key: str, keep: Sequence[str], values: str = "x") -> DataFrame:
+    """keep…, a, b: rows of two runs side by side. Runs that come from the same rows need no join; see the functions below."""
+    return left.select(key, *keep, F.col(values).alias("a")).join(right.select(key, F.col(values).alias("b")), key)
+
 
+def cosine_summary(pairs: DataFrame, group: str, a: str = "a", b: str = "b") -> DataFrame:
+    """Smallest and mean cosine of the rows ``a`` and ``b`` per group."""
+    cosines = pairs.select(group, V.cosine(F.col(a), F.col(b)).alias("_cos"))
+    return cosines.groupBy(group).agg(F.min("_cos").alias("min_cos"), F.avg("_cos").alias("avg_cos"), F.count(F.lit(1)).alias("n"))
 
-def batch_loss(left: DataFrame, right: DataFrame, key: str, batch: str, values: str = "x") -> DataFrame:
+
+def batch_loss(pairs: DataFrame, batch: str, a: str = "a", b: str = "b") -> DataFrame:
     """Mean over batches of the mean squared difference within a batch."""
-    pairs = left.select(key, batch, F.col(values).alias("_a")).join(right.select(key, F.col(values).alias("_b")), key)
-    squares = F.aggregate(
-        F.zip_with("_a", "_b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v
-    )
-    per_batch = pairs.groupBy(batch).agg((F.sum(squares) / F.sum(F.size("_a"))).alias("loss"))
+    squares = F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+    per_batch = pairs.groupBy(batch).agg((F.sum(squares) / F.sum(F.size(a))).alias("loss"))
     return per_batch.agg(F.avg("loss").alias("loss"), F.count(F.lit(1)).alias("n_batches"))

@@ -205,12 +205,12 @@ def batch_histograms(rows: DataFrame, keys: Sequence[str], batch: str, values: s
         id_bucket(ranges, batch),
         {"seen_low": ("min", F.col("low")), "seen_high": ("max", F.col("high"))},
     ).select(*keys, batch, "seen_low", "seen_high")
-    points = rows.select(*keys, batch, F.explode(values).alias("_x")).join(seen, [*keys, batch])
+    # Whole arrays meet their range; the values are numbered inside them and leave as bins, which are added up at once.
     span = F.col("seen_high") - F.col("seen_low")
-    place = F.when(span > 0, F.least(F.floor((F.col("_x") - F.col("seen_low")) / span * bins), F.lit(bins - 1)))
-    counted = points.groupBy(*keys, "seen_low", "seen_high", F.coalesce(place, F.lit(0)).cast("int").alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(batch).alias("first")
-    )
+    place = lambda x: F.when(span > 0, F.least(F.floor((x - F.col("seen_low")) / span * bins), F.lit(bins - 1)))
+    numbered = F.transform(values, lambda x: F.coalesce(place(x), F.lit(0)).cast("int"))
+    points = rows.select(*keys, batch, values).join(seen, [*keys, batch]).select(*keys, batch, "seen_low", "seen_high", F.explode(numbered).alias("bin"))
+    counted = points.groupBy(*keys, "seen_low", "seen_high", "bin").agg(F.count(F.lit(1)).alias("n"), F.min(batch).alias("first"))
     by_bin = F.map_from_entries(F.collect_list(F.struct("bin", "n")))
     packed = counted.groupBy(*keys, "seen_low", "seen_high").agg(F.min("first").alias("first"), by_bin.alias("_by_bin"))
     return packed.select(

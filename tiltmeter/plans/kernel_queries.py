@@ -802,14 +802,10 @@ SELECT label, {rnd("min(cos)")} AS min_cos, {rnd("avg(cos)")} AS avg_cos, count(
 def cosine_by_label(spark, sf_dir):
     """Full-precision rows against their quantised copies."""
     rows = X.weights(spark, sf_dir)
-    out = U.cosine_summary(rows, _snapped_rows(rows), "row_id", "label", "w")
+    out = U.cosine_summary(Q.round_rows(rows, W4, group=GROUP), "label", "w", "snapped")
     return out.select("label", r9("min_cos").alias("min_cos"), r9("avg_cos").alias("avg_cos"), "n")
 
 
-def _snapped_rows(rows):
-    return Q.round_rows(rows, W4, group=GROUP).select("row_id", F.col("snapped").alias("w"))
-
-
 @query(
     "batch_loss",
     with_tables(WEIGHTS, _GROUPED)
@@ -822,7 +818,7 @@ SELECT {rnd("avg(loss)")} AS loss, count(*) AS n_batches FROM b""",
 )
 def batch_loss(spark, sf_dir):
     rows = X.weights(spark, sf_dir).withColumn("batch", F.floor(F.col("row_id") / 20).cast("bigint"))
-    out = U.batch_loss(rows, _snapped_rows(rows), "row_id", "batch", "w")
+    out = U.batch_loss(Q.round_rows(rows, W4, group=GROUP), "batch", "w", "snapped")
     return out.withColumn("loss", r9("loss"))
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tiltmeter.functions.prob import total
+from tiltmeter.operators.ordered import id_bucket, number_within
 from tiltmeter.plans import fixtures as X
-from tiltmeter.plans.registry import query
-from tiltmeter.sources import corpora, tables
+from tiltmeter.plans.registry import query, r9
+from tiltmeter.session import checkpoint_dir, settle
+from tiltmeter.sources import corpora, tables, weights_file
 
 
 @query(
@@ -48,14 +53,14 @@ def eval_short_blocks(spark, sf_dir):
 
 @query(
     "eval_whole_or_subsets",
-    "SELECT * FROM (SELECT r_regionkey AS k, r_name AS name FROM region UNION ALL SELECT n_nationkey, n_name FROM nation)",
+    "SELECT * FROM (SELECT doc_id AS k, source AS name FROM documents UNION ALL SELECT page_id, url FROM pages)",
 )
 def eval_whole_or_subsets(spark, sf_dir):
     """A set that is there as a whole is read from one place; one that is not, from its subsets that are."""
-    whole = corpora.read_subsets(spark, f"{sf_dir}/region.parquet", [f"{sf_dir}/nation.parquet"])
-    parts = corpora.read_subsets(spark, f"{sf_dir}/no_such.parquet", [f"{sf_dir}/missing.parquet", f"{sf_dir}/nation.parquet"])
-    rows = whole.select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"))
-    return rows.unionByName(parts.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")))
+    whole = corpora.read_subsets(spark, f"{sf_dir}/documents.parquet", [f"{sf_dir}/pages.parquet"])
+    parts = corpora.read_subsets(spark, f"{sf_dir}/no_such.parquet", [f"{sf_dir}/missing.parquet", f"{sf_dir}/pages.parquet"])
+    rows = whole.select(F.col("doc_id").alias("k"), F.col("source").alias("name"))
+    return rows.unionByName(parts.select(F.col("page_id").alias("k"), F.col("url").alias("name")))
 
 
 @query(
@@ -73,9 +78,26 @@ def dense_row_index(spark, sf_dir):
     )
 
 
-@query("tolerant_scan", "SELECT r_regionkey, r_name FROM region")
+@query("tolerant_scan", "SELECT doc_id, lang FROM documents")
 def tolerant_scan(spark, sf_dir):
     """A table that is there and one that is not, which counts as empty."""
-    schema = X.table(spark, sf_dir, "region").select("r_regionkey", "r_name").schema
-    there = tables.read_if_there(spark, f"{sf_dir}/region.parquet", schema)
+    schema = X.table(spark, sf_dir, "documents").select("doc_id", "lang").schema
+    there = tables.read_if_there(spark, f"{sf_dir}/documents.parquet", schema)
     return there.unionByName(tables.read_if_there(spark, f"{sf_dir}/no_such.parquet", schema))
+
+
+@query(
+    "weights_file_rows",
+    """
+SELECT 'layer.' || label || '.weight' AS tensor, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS row_id, len(embedding)::INT AS width,
+  (round(list_sum(embedding::DOUBLE[]), 9) + 0.0) AS row_sum, (round(embedding[1]::DOUBLE, 9) + 0.0) AS first
+FROM embeddings""",
+)
+def weights_file_rows(spark, sf_dir):
+    """Matrices by label written as weight files, one a matrix, and read back in ranges of rows."""
+    rows = X.weights(spark, sf_dir).withColumn("tensor", F.concat(F.lit("layer."), F.col("label").cast("string"), F.lit(".weight")))
+    placed = number_within(rows, ["tensor"], [F.col("row_id")], id_bucket(rows, "row_id"), "place")
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/weights/{uuid.uuid4().hex}"
+    settle(weights_file.write_weights(placed.select("tensor", F.col("place").alias("row_id"), "w"), folder))
+    back = weights_file.read_weights(spark, folder, range_bytes=1 << 20)
+    return back.select("tensor", "row_id", F.size("w").alias("width"), r9(total(F.col("w"))).alias("row_sum"), r9(F.get("w", F.lit(0))).alias("first"))
