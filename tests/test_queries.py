@@ -17,9 +17,6 @@ BY_BRUTE_FORCE = {
     "low_rank_keys",
     "learned_clipping_by_label",
     "outlier_feedback",
-    "farthest_point",
-    "pivot_select",
-    "distinct_select",
     "static_windows",
 }
 

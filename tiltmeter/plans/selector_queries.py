@@ -245,12 +245,48 @@ labels AS (SELECT n.seq, n.pos, coalesce(c.k, n.k) AS k FROM near n LEFT JOIN ce
 _SUMS = "sums AS (SELECT seq, pos, list_sum(v) AS x FROM tok)"
 
 
-@query("farthest_point")
+_GAPS = """
+d AS MATERIALIZED (SELECT a.seq, a.pos AS i, b.pos AS j, list_cosine_similarity(a.v, b.v) AS c FROM tok a JOIN tok b USING (seq))"""
+_RECURSIVE = "WITH RECURSIVE "
+
+
+def _recursive(*tables: str) -> str:
+    return with_tables(*tables).replace("WITH ", _RECURSIVE, 1)
+
+
+@query(
+    "farthest_point",
+    _recursive(_TOKENS, _GAPS)
+    + """,
+second AS (SELECT seq, i, list(1 - c ORDER BY 1 - c)[2] AS g FROM d GROUP BY seq, i),
+start AS (SELECT seq, arg_min(i, (-g, i)) AS first FROM second GROUP BY seq),
+picks AS (
+  SELECT seq, [first] AS chosen, round_even(n * 0.2::DOUBLE, 0)::INT AS wanted FROM start JOIN full_len USING (seq) WHERE round_even(n * 0.2::DOUBLE, 0) > 0
+  UNION ALL
+  SELECT seq, list_append(any_value(chosen), arg_min(j, (-nearest, j))) AS chosen, any_value(wanted) AS wanted FROM (
+    SELECT p.seq, any_value(chosen) AS chosen, any_value(wanted) AS wanted, j, min(1 - c) AS nearest FROM picks p JOIN d ON d.seq = p.seq AND list_contains(chosen, d.i)
+    WHERE len(chosen) < wanted GROUP BY p.seq, j) GROUP BY seq)
+SELECT seq, array_to_string(chosen, ',') AS kept FROM picks WHERE len(chosen) = wanted""",
+)
 def farthest_point(spark, sf_dir):
     return _sequences(spark, sf_dir).select("seq", _list(R.farthest_points(F.col("tokens"), 0.2)))
 
 
-@query("pivot_select")
+@query(
+    "pivot_select",
+    _recursive(_TOKENS, _GAPS)
+    + """,
+norms AS (SELECT seq, pos, list_sum(list_transform(v, lambda x: abs(x))) AS n FROM tok),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY seq, pos < 40 ORDER BY n DESC, pos) AS rn FROM norms),
+pivots AS (SELECT seq, list(pos ORDER BY pos) AS pivots, list(pos ORDER BY pos) FILTER (pos < 40) AS own FROM ranked WHERE rn <= 4 GROUP BY seq),
+steps AS (
+  SELECT seq, 1 AS k, pivots, own AS kept, list_filter(range(0, 40), lambda x: NOT list_contains(own, x::INT)) AS remaining FROM pivots
+  UNION ALL
+  SELECT seq, any_value(k) + 1, any_value(pivots), list_concat(any_value(kept), list(j ORDER BY c, j)[1:2]),
+    list_filter(any_value(remaining), lambda x: NOT list_contains(list(j ORDER BY c, j)[1:2], x::INT))
+  FROM (SELECT s.*, d.j, d.c FROM steps s JOIN d ON d.seq = s.seq AND d.i = s.pivots[s.k] AND list_contains(s.remaining, d.j) WHERE s.k <= len(s.pivots)) GROUP BY seq)
+SELECT seq, array_to_string(list_sort(kept), ',') AS kept FROM steps WHERE k = len(pivots) + 1""",
+)
 def pivot_select(spark, sf_dir):
     return _sequences(spark, sf_dir).select("seq", _list(R.pivots_and_unlike(F.col("tokens"), 40, 4, 4, 0.5)))
 
@@ -267,7 +303,25 @@ def density_clusters(spark, sf_dir):
     return _sequences(spark, sf_dir).select("seq", _list(R.density_clusters(F.col("tokens"), 5, 8)))
 
 
-@query("distinct_select")
+@query(
+    "distinct_select",
+    _recursive(_TOKENS, _GAPS)
+    + """,
+sizes AS (SELECT seq, n, round_even(n * 0.4::DOUBLE, 0)::INT AS wanted FROM full_len),
+ordered AS (SELECT seq, list(pos ORDER BY s DESC, pos) AS o FROM tok GROUP BY seq),
+begun AS (SELECT seq, o[1:floor(wanted * 0.5)::INT] AS best, o[floor(wanted * 0.5)::INT + 1:] AS remaining, wanted - floor(wanted * 0.5)::INT AS target FROM ordered JOIN sizes USING (seq)),
+rounds AS (
+  SELECT seq, best, remaining, target FROM begun
+  UNION ALL
+  SELECT seq, any_value(best), list_concat(list(i ORDER BY alike DESC, place)[least(8, len(any_value(remaining)) - any_value(target)) + 1:],
+      list_filter(any_value(remaining), lambda x, nth: nth % 2 = 0)), any_value(target)
+  FROM (
+    SELECT r.seq, any_value(best) AS best, any_value(remaining) AS remaining, any_value(target) AS target, r.i, any_value(place) AS place, max(d.c) AS alike
+    FROM (SELECT *, unnest(remaining) AS i, generate_subscripts(remaining, 1) AS place FROM rounds WHERE len(remaining) > target) r
+    JOIN d ON d.seq = r.seq AND d.i = r.i AND list_contains(list_filter(r.remaining, lambda x, nth: nth % 2 = 0), d.j)
+    WHERE r.place % 2 = 1 GROUP BY r.seq, r.i) GROUP BY seq)
+SELECT seq, array_to_string(list_sort(list_concat(best, remaining)), ',') AS kept FROM rounds WHERE len(remaining) <= target""",
+)
 def distinct_select(spark, sf_dir):
     rows = _sequences(spark, sf_dir)
     return rows.select("seq", _list(R.important_and_distinct(F.col("tokens"), F.col("scores"), 0.4, 0.5)))
