@@ -369,3 +369,16 @@ def test_children_are_whole_packings():
         child = packing.crossed(sizes, one, other, 100, draw)
         assert (np.bincount(child, sizes) <= 100).all() and (np.bincount(child) > 0).all()
         one, other = other, child
+
+
+def test_planted_passages_by_their_bytes(make_docs):
+    """What a window of 400 bytes means for passages counted in words: short ones stay, long ones go from both holders."""
+    draw = random.Random(12)
+    word = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    for words, size in ((51, 5), (62, 5), (62, 7), (100, 5)):
+        passage = " ".join(word(size) for _ in range(words))
+        rows = [(i, f"{word(9)} {' '.join(word(6) for _ in range(40))}\n{passage}\n{' '.join(word(6) for _ in range(40))}") for i in (1, 2)]
+        got = substrings.remove_substrings(make_docs(rows)).collect()
+        # The line ends around the passage are shared too.
+        whole = len(passage) + 2
+        assert [r.n_removed for r in got] == [whole if whole >= 400 else 0] * 2

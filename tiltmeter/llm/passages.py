@@ -62,7 +62,7 @@ def repeated_extensions(extended: DataFrame) -> DataFrame:
     """anchor, slice, windows: the windows of a slice that also occur in a slice of the anchor with a smaller ``ord``."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in in_runs(batches, "anchor", lambda t: np.ones(t.num_rows, np.int64), SORTED_SLICES):
+        for run in in_runs(batches, "dealt", lambda t: np.ones(t.num_rows, np.int64), SORTED_SLICES):
             windows = [np.frombuffer(b, dtype=np.int32) for b in run.column("windows").to_pylist()]
             row = np.repeat(np.arange(len(windows)), [len(w) for w in windows])
             prints = np.frombuffer(b"".join(run.column("prints").to_pylist()), dtype=np.uint64)
@@ -83,7 +83,8 @@ def repeated_extensions(extended: DataFrame) -> DataFrame:
                     names=["anchor", "slice", "windows"],
                 )
 
-    dealt = extended.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    # Parts of a large anchor are runs of their own, also where several of them come to one task.
+    dealt = extended.withColumn("dealt", F.xxhash64("anchor", "part")).repartition("anchor", "part").sortWithinPartitions("dealt")
     return dealt.mapInArrow(compare, "anchor long, slice long, windows array<int>")
 
 

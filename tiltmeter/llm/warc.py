@@ -304,7 +304,11 @@ def read_archives(archives: DataFrame, folder: str, range_bytes: int = RANGE_BYT
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     ranges = archives.select("path", "size").mapInArrow(locate, "path string, start long, lengths array<long>")
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    # The ranges are few and small rows that stand for many bytes, so the number of their tasks is named: as many as
+    # there are cores to use, or as keep a task to sixteen ranges.
+    some = -(-(archives.agg(F.sum("size")).first()[0] or 0) // range_bytes)
+    tasks = max(1, -(-some // 16), min(some, archives.sparkSession.sparkContext.defaultParallelism))
+    ranges = ranges.repartition(tasks, F.col("path"), F.col("start"))
     return ranges.mapInArrow(
         fetch,
         "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary",
