@@ -101,3 +101,18 @@ def test_moving_range_over_two_runs(spark, tmp_path):
             low = min(x) if low is None else low + 0.2 * (min(x) - low)
             high = max(x) if high is None else high + 0.2 * (max(x) - high)
         assert (got["low"], got["high"]) == pytest.approx((low, high))
+
+
+def test_running_gram_goes_on_after_a_restart(spark, tmp_path):
+    """Several micro-batches, a restart, a matrix that does not change again, a NULL key: as the batch operator."""
+    from tiltmeter.operators.gram import gram
+
+    source, folder = str(tmp_path / "in"), str(tmp_path / "state")
+    parts = [[("a", [1.0, 2.0]), (None, [0.5, 0.0])], [("a", [3.0, -1.0])], [("b", [2.0, 2.0]), ("a", [0.0, 1.0])]]
+    for upto in range(1, len(parts) + 1):
+        spark.createDataFrame(parts[upto - 1], "m string, x array<double>").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("m string, x array<double>").option("maxFilesPerTrigger", 1).parquet(source)
+        got = {(r.m, r.i): r.h for r in live.running_gram(stream, folder, keys=["m"]).collect()}
+        want = {(r.m, r.i): r.h for r in gram(spark.createDataFrame([r for p in parts[:upto] for r in p], "m string, x array<double>"), keys=["m"]).collect()}
+        assert got == want
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").find("RocksDB") < 0

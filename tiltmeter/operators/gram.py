@@ -31,14 +31,13 @@ def _with_keys(df: DataFrame, keys: Sequence[str], *fields: T.StructField) -> T.
     return T.StructType([*[T.StructField(k, df.schema[k].dataType) for k in keys], *fields])
 
 
-def gram(activations: DataFrame, values: str = "x", keys: Sequence[str] = ()) -> DataFrame:
-    """keys…, i, h ARRAY: row i of Σ x xᵀ, one matrix per key (model, block, layer).
+def moment_schema(activations: DataFrame, keys: Sequence[str]) -> T.StructType:
+    return _with_keys(activations, keys, T.StructField("i", T.IntegerType()), T.StructField("h", T.ArrayType(T.DoubleType())))
 
-    Each task adds up its own rows and sends its sums row by row, so there are no more tasks than cores: what is
-    shuffled grows with the cluster, the keys and the row width, not with the data.
-    """
+
+def partial_moments(activations: DataFrame, values: str = "x", keys: Sequence[str] = ()) -> DataFrame:
+    """keys…, i, h: row i of the sums of x xᵀ over the rows of a task (or some of them); the rows of a matrix add up."""
     keys = list(keys)
-    schema = _with_keys(activations, keys, T.StructField("i", T.IntegerType()), T.StructField("h", T.ArrayType(T.DoubleType())))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, np.ndarray] = {}
@@ -59,14 +58,25 @@ def gram(activations: DataFrame, values: str = "x", keys: Sequence[str] = ()) ->
                 yield from hand_on()
         yield from hand_on()
 
+    return activations.select(*keys, values).mapInPandas(partial, moment_schema(activations, keys))
+
+
+def gram(activations: DataFrame, values: str = "x", keys: Sequence[str] = ()) -> DataFrame:
+    """keys…, i, h ARRAY: row i of Σ x xᵀ, one matrix per key (model, block, layer).
+
+    Each task adds up its own rows and sends its sums row by row, so there are no more tasks than cores: what is
+    shuffled grows with the cluster, the keys and the row width, not with the data.
+    """
+    keys = list(keys)
+
     def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[:1].copy()
         first["h"] = [np.sum([np.asarray(h) for h in pdf["h"]], axis=0)]
         return first
 
     tasks = activations.sparkSession.sparkContext.defaultParallelism
-    parts = activations.select(*keys, values).coalesce(tasks).mapInPandas(partial, schema)
-    return parts.groupBy(*keys, "i").applyInPandas(lambda pdf: add_up(pdf), schema)
+    parts = partial_moments(activations.select(*keys, values).coalesce(tasks), values, keys)
+    return parts.groupBy(*keys, "i").applyInPandas(lambda pdf: add_up(pdf), moment_schema(activations, keys))
 
 
 def pitched_hessian(activations: DataFrame, batch: str, values: str = "x", keys: Sequence[str] = ()) -> DataFrame:

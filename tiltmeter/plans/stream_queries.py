@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tiltmeter.operators import rates as R
 from tiltmeter.plans import fixtures as X
+from tiltmeter.plans.kernel_queries import _GRAM_BY_LABEL
 from tiltmeter.plans.registry import query, r9
-from tiltmeter.plans.sql import rnd
+from tiltmeter.plans.sql import WEIGHTS, rnd, with_tables
 from tiltmeter.streaming import live
 
 
@@ -75,3 +76,11 @@ def stream_moving_range(spark, sf_dir):
     ranges = live.batch_ranges_of(rows, ["input"], "batch")
     out = live.moving_range_table(ranges, ["input"], 0.01, live.stream_folder(spark))
     return out.select("input", r9("low").alias("low"), r9("high").alias("high"))
+
+
+@query("stream_gram", with_tables(WEIGHTS, _GRAM_BY_LABEL) + f"SELECT label, i, j, {rnd('h')} AS h FROM h")
+def stream_gram(spark, sf_dir):
+    """The matrices of all labels, row sums kept as state while vectors come in."""
+    rows = _stream(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("x"))
+    out = live.running_gram(rows, live.stream_folder(spark), keys=["label"])
+    return out.select("label", "i", F.posexplode("h").alias("j", "h")).withColumn("h", r9("h"))

@@ -1,16 +1,20 @@
-"""The batch operators on answers as they arrive: running counts, retries, spilling and moving ranges."""
+"""The batch operators on rows as they arrive: running counts, retries, spilling, moving ranges and second moments."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tiltmeter.operators.gram import moment_schema, partial_moments
 from tiltmeter.operators.ordered import attach
 from tiltmeter.operators.ranges import moved, moving_parts
 from tiltmeter.operators.rates import answer_counts, latest_attempts
@@ -98,3 +102,53 @@ def moving_range_table(ranges: DataFrame, keys: Sequence[str], alpha: float, fol
 
     run_batches(ranges, folder, "append", fold)
     return latest(ranges.sparkSession, None).withColumnsRenamed({"_low": "low", "_high": "high"})
+
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class RunningSum(StatefulProcessor):
+    """A row of a matrix of second moments, added up over all micro-batches. The state is as wide as a row."""
+
+    def __init__(self, keys: Sequence[str]) -> None:
+        self.keys = list(keys)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sums = handle.getValueState("sums", "h array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        total = np.asarray(self.sums.get()[0], dtype="float64") if self.sums.exists() else 0.0
+        for pdf in rows:
+            total = total + np.sum([np.asarray(h, dtype="float64") for h in pdf["h"]], axis=0)
+        self.sums.update((total.tolist(),))
+        fixed = {k: pd.Series([None if pd.isna(v) else v], dtype="object") for k, v in zip([*self.keys, "i"], key)}
+        yield pd.DataFrame({**fixed, "h": [total.tolist()]})
+
+    def close(self) -> None:
+        pass
+
+
+def running_gram(activations: DataFrame, folder: str, values: str = "x", keys: Sequence[str] = ()) -> DataFrame:
+    """keys…, i, h: the second moments of everything that has come in, a matrix per key.
+
+    A micro-batch is added up per task first, as in the batch operator; only row sums meet the state, which the engine
+    keeps row by row in its store and snapshots with the progress of the stream. Rows that did not change are not
+    written again. A restart with the same folder goes on where it was.
+    """
+    spark, keys = activations.sparkSession, list(keys)
+    schema = moment_schema(activations, keys)
+    parts = partial_moments(activations, values, keys)
+    sums = parts.groupBy(*keys, "i").transformWithStateInPandas(RunningSum(keys), schema, "Update", "None")
+
+    def put(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/result/_batch={batch_id}")
+
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, STATE_STORE)
+    try:
+        run_batches(sums, folder, "update", put)
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    rows = stored(spark, f"{folder}/result", schema)
+    return rows.groupBy(*keys, "i").agg(F.max_by("h", "_batch").alias("h"))
