@@ -15,6 +15,7 @@ BY_BRUTE_FORCE = {
     "error_feedback",
     "error_feedback_by_label",
     "low_rank_keys",
+    "progressive_rounding_by_label",
     "learned_clipping_by_label",
     "outlier_feedback",
     "static_windows",

@@ -9,6 +9,7 @@ from tiltmeter.functions.quantmath import IntFormat
 from tiltmeter.operators import clipping as L
 from tiltmeter.operators import gram as G
 from tiltmeter.operators import grids as N
+from tiltmeter.operators import rounding as P
 from tiltmeter.plans import fixtures as X
 from tiltmeter.plans.kernel_queries import _GRAM_BY_LABEL, _both_by_label, _codes_sql, _params_sql
 from tiltmeter.plans.registry import query, r9
@@ -110,3 +111,11 @@ def learned_clipping_by_label(spark, sf_dir):
     weights, x = _both_by_label(spark, sf_dir)
     out = L.learned_clipping(weights, G.gram(x, keys=["label"]), W4, X.GROUP, ["label"])
     return out.select("label", "row_id", r9("first_loss", 6).alias("first_loss"), r9("loss", 6).alias("loss"), r9(total(F.col("w")), 6).alias("row_sum"))
+
+
+@query("progressive_rounding_by_label")
+def progressive_rounding_by_label(spark, sf_dir):
+    """Rounding decided a share at a time, ten matrices at once."""
+    weights, x = _both_by_label(spark, sf_dir)
+    out = P.progressive_rounding(weights, G.gram(x, keys=["label"]), W4, X.GROUP, ["label"], (0.4, 0.1, 0.0))
+    return out.select("label", "row_id", r9("loss", 6).alias("loss"), r9(total(F.col("snapped")), 6).alias("row_sum"))
