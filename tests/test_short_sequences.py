@@ -38,3 +38,18 @@ def agrees(spark, name: str, folder: str) -> None:
 @pytest.mark.parametrize("where", [ENDS_EARLY, GAPS])
 def test_chunk_select(spark, embeddings, where):
     agrees(spark, "chunk_select", embeddings(f"SELECT * FROM embeddings WHERE {where}"))
+
+
+@pytest.mark.parametrize("where", [ENDS_EARLY, GAPS])
+def test_frame_select(spark, embeddings, where):
+    agrees(spark, "frame_select", embeddings(f"SELECT * FROM embeddings WHERE {where}"))
+
+
+def test_frames_that_are_copies(spark, embeddings):
+    """Copies tie at a similarity of exactly 1 and stay by position; some are copies three times as long."""
+    longer = "list_transform(b.embedding, lambda x: (x * 3)::FLOAT)"
+    folder = embeddings(
+        f"""SELECT a.vec_id, CASE WHEN a.vec_id % 90 > 9 AND a.vec_id % 5 = 1 THEN {longer} ELSE b.embedding END AS embedding, a.label
+            FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id // 90 * 90 + a.vec_id % 10"""
+    )
+    agrees(spark, "frame_select", folder)

@@ -22,9 +22,20 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; NaN if either vector is all zeros."""
-    length = norm(a) * norm(b)
-    return F.when(length == 0, F.lit(float("nan"))).otherwise(dot(a, b) / length)
+    """Cosine similarity in [-1, 1]; NaN if either vector is all zeros.
+
+    One root of both squared lengths, so that equal vectors have exactly 1 and copies tie, as they do in SQL engines.
+    """
+
+    def length(squares: Column) -> Column:
+        in_range = (squares > 0) & (squares < F.lit(float("inf")))
+        return F.when(in_range, F.sqrt(squares)).otherwise(norm(a) * norm(b))
+
+    def ratio(long: Column) -> Column:
+        clipped = bound(dot(a, b) / long, lambda c: F.when(F.abs(c) <= 1, c).otherwise(F.signum(c)))
+        return F.when(long == 0, F.lit(float("nan"))).otherwise(clipped)
+
+    return bound(bound(dot(a, a) * dot(b, b), length), ratio)
 
 
 def mean_squared_error(a: Column, b: Column) -> Column:
